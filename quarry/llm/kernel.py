@@ -121,3 +121,29 @@ def shingles(hashes: np.ndarray, first: np.ndarray, k: int = 5) -> tuple[np.ndar
                 acc += hashes[first[rows] + j] * _MULS[j]
             out[at[rows]] = acc
     return mix(out), at
+
+
+class Table:
+    """Places of 64-bit keys in a sorted array, by a radix directory: the upper bits name a short run."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys = keys
+        self.bits = max(1, min(22, int(len(keys)).bit_length()))
+        self.start = np.searchsorted(keys, np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits)).astype(np.int32)
+
+    def find(self, values: np.ndarray) -> np.ndarray:
+        """Place of each value, or -1."""
+        out = np.full(len(values), -1, np.int64)
+        if not len(self.keys):
+            return out
+        at = self.start[(values >> np.uint64(64 - self.bits)).astype(np.int64)].astype(np.int64)
+        rest = np.arange(len(values))
+        wanted = values
+        while len(rest):
+            inside = at < len(self.keys)
+            got = self.keys[np.where(inside, at, 0)]
+            hit = inside & (got == wanted)
+            out[rest[hit]] = at[hit]
+            more = inside & (got < wanted)
+            rest, wanted, at = rest[more], wanted[more], at[more] + 1
+        return out

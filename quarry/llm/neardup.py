@@ -1,11 +1,12 @@
 """Near-duplicate groups by b-bit MinHash over five-word shingle sets, exact links, connected components.
 
-1. One pass over the texts: every document's shingle set (64-bit shingle hashes), a 128-bit key of the whole set, 128 minima; of the minima the low 4 bits are packed into eight longs, and full minima are hashed into 32 bands of 4 rows.
+1. One pass over the texts: every document's shingle set (64-bit shingle hashes), a 128-bit key of the whole set, 384 minima; of the first 128 minima the low 4 bits are packed into eight longs, and full minima are hashed into 64 bands of 6 rows.
 2. Documents with the same set are one class; only a class's smallest id goes on.
-3. Candidates: within a band bucket every class meets the bucket's smallest class, so a bucket of n classes gives n - 1 pairs. The packed bits' collision-corrected similarity drops the clearly different ones; the rest are confirmed on the full sets.
+3. Candidates: within a band bucket every class meets one class of the bucket, chosen at random by bucket, so a bucket of n classes gives n - 1 pairs. The packed bits' collision-corrected similarity drops the clearly different ones; the rest are confirmed on the full sets.
 4. Components of these links. Buckets that then hold classes of more than one component are finished exactly: every class outside the bucket's largest component meets the bucket's classes of other components. Classes of one component need no further test, as they are linked already; so no link between different components is lost, and no pairs are made within a group of copies.
 
-With 32 bands of 4 rows, a pair at similarity 0.75 shares no bucket with probability 5e-6, at 0.8 with 5e-8.
+With 64 bands of 6 rows, a pair at similarity 0.75 shares no bucket with probability 4e-6, at 0.8 with 5e-9.
+The full sets are computed for documents in candidate pairs only; a bit table of fixed greatest size keeps most other texts from being hashed and shuffled again.
 A document without words has the empty set and is linked with nothing. Null texts count as empty. Rows that repeat a doc_id are one node with several sets. Equal sets in any number form one class; an empty table gives no rows; other columns are not read.
 """
 
@@ -21,27 +22,29 @@ from quarry.llm.components import components
 from quarry.llm.kernel import Kernel, mix, shingles, slices
 from quarry.session import stored
 
-HASHES, ROWS, BITS = 128, 4, 4
-LONGS = HASHES * BITS // 64
+HASHES, ROWS, PACKED, BITS = 384, 6, 128, 4
+LONGS = PACKED * BITS // 64
+BLOOM_BITS = 27  # of the bit table, at most
 THRESHOLD = 75  # per cent
 
 
 def _seeds() -> tuple[np.ndarray, np.ndarray]:
-    s = mix(np.arange(1, 2 * HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return s[:HASHES] | np.uint64(1), s[HASHES:]
+    s = (mix(np.arange(1, 2 * HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
+    return s[:HASHES] | np.uint32(1), s[HASHES:]
 
 
-def signature(unique: np.ndarray, a: np.ndarray, b: np.ndarray, block: int = 4096) -> np.ndarray:
-    """The minimum of every hash function over a set of shingle hashes."""
-    out = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(unique), block):
-        np.minimum(out, (unique[None, i : i + block] * a[:, None] + b[:, None]).min(1), out=out)
-    return out
+def signature(unique: np.ndarray, a: np.ndarray, b: np.ndarray, block: int = 1024) -> np.ndarray:
+    """The minimum of every hash function over the upper halves of a set's shingle hashes."""
+    out = np.full(HASHES, 0xFFFFFFFF, np.uint32)
+    x = (unique >> np.uint64(32)).astype(np.uint32)
+    for i in range(0, len(x), block):
+        np.minimum(out, (x[None, i : i + block] * a[:, None] + b[:, None]).min(1), out=out)
+    return out.astype(np.uint64)
 
 
 def pack(minima: np.ndarray) -> np.ndarray:
     """The low bits of (mixed) minima, packed into longs."""
-    low = mix(minima) & np.uint64((1 << BITS) - 1)
+    low = mix(minima[:PACKED]) & np.uint64((1 << BITS) - 1)
     per = 64 // BITS
     return np.bitwise_or.reduce(low.reshape(LONGS, per) << (np.arange(per, dtype=np.uint64) * np.uint64(BITS)), axis=1)
 
@@ -64,7 +67,7 @@ def features(documents: DataFrame) -> DataFrame:
                         key_a.append(None), key_b.append(None), sig.append(None), bands.append(None)
                         continue
                     minima = signature(u, a, b)
-                    band = mix((mix(minima).reshape(-1, ROWS) * np.array([1, 3, 5, 7], np.uint64)).sum(1, dtype=np.uint64) + salt)
+                    band = mix((mix(minima).reshape(-1, ROWS) * np.arange(1, 2 * ROWS, 2, dtype=np.uint64)).sum(1, dtype=np.uint64) + salt)
                     key_a.append(int(mix(u).sum(dtype=np.uint64).astype(np.int64)))
                     key_b.append(int(np.bitwise_xor.reduce(mix(u * np.uint64(0xD6E8FEB86659FD93))).astype(np.int64)))
                     sig.append(pack(minima).astype(np.int64))
@@ -77,22 +80,36 @@ def features(documents: DataFrame) -> DataFrame:
     return map_batches(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, "doc_id long, n_shingles long, set_a long, set_b long, sig array<long>, bands array<long>")
 
 
-def shingle_sets(documents: DataFrame) -> DataFrame:
-    """doc_id, set: the sorted distinct shingle hashes."""
+def bit_table(ids: DataFrame) -> np.ndarray:
+    """Bits at the hashes of the ids, 16 for each id but 2^27 at most: what isn't in the table isn't among the ids."""
+    bits = min(BLOOM_BITS, max(10, int(16 * ids.count()).bit_length()))
+    at = ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits)).alias("at"))
+    words = at.groupBy(F.expr("cast(at div 64 as int)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("m")).toArrow()  # 2^21 rows at most
+    table = np.zeros(1 << (bits - 6), np.int64)
+    table[words["w"].to_numpy()] = words["m"].to_numpy()
+    return table.view(np.uint64)
+
+
+def shingle_sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id, set: the sorted distinct shingle hashes, for all wanted documents and few others."""
+    shared = documents.sparkSession.sparkContext.broadcast(bit_table(wanted))
 
     def make():
-        kernel = Kernel()
+        kernel, table = Kernel(), shared.value
 
-        def step(batch: pa.RecordBatch) -> dict:
+        def step(batch: pa.RecordBatch) -> dict | None:
+            at = batch["at"].to_numpy() % (64 * len(table))
+            batch = batch.filter(pa.array(((table[at // 64] >> (at % 64).astype(np.uint64)) & np.uint64(1)).astype(bool)))
             out = []
             for lo, hi, data, offsets in slices(batch["text"]):
                 sh, at = shingles(*kernel.word_hashes(data, offsets))
                 out += [np.unique(sh[at[i] : at[i + 1]]).astype(np.int64) for i in range(hi - lo)]
-            return {"doc_id": batch["doc_id"], "set": pa.array(out, pa.list_(pa.int64()))}
+            return {"doc_id": batch["doc_id"], "set": pa.array(out, pa.list_(pa.int64()))} if out else None
 
         return step
 
-    return map_batches(documents.select("doc_id", "text"), make, "doc_id long, set array<long>")
+    keyed = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    return map_batches(keyed.withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(1 << BLOOM_BITS))), make, "doc_id long, set array<long>")
 
 
 def estimate(left: str, right: str) -> Column:
@@ -100,7 +117,7 @@ def estimate(left: str, right: str) -> Column:
     ones = 0x1111111111111111
     differing = F.expr(f"aggregate(zip_with({left}, {right}, (x, y) -> bit_count(((x ^ y) | shiftrightunsigned(x ^ y, 1) | shiftrightunsigned(x ^ y, 2) | shiftrightunsigned(x ^ y, 3)) & {ones}L)), 0, (s, x) -> s + x)")
     by_chance = 1.0 / (1 << BITS)
-    return ((1 - differing / HASHES) - by_chance) / (1 - by_chance)
+    return ((1 - differing / PACKED) - by_chance) / (1 - by_chance)
 
 
 def confirmed(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, slack: float = 0.24) -> DataFrame:
@@ -113,7 +130,7 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, slack: f
     )
     near = stored(near)
     wanted = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
-    sets = stored(shingle_sets(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")))
+    sets = stored(shingle_sets(documents, stored(wanted)))
     shared = (
         near.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), "a")
         .join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y")), "b")
@@ -130,9 +147,9 @@ def groups(documents: DataFrame) -> DataFrame:
     # a doc_id with several rows may stand for several sets: rep + set key names a class
     nodes = stored(filled.join(classes.withColumn("doc_id", F.col("rep")), ["doc_id", "set_a", "set_b", "n_shingles"]).dropDuplicates(["rep", "set_a", "set_b"]).select("rep", F.col("n_shingles").alias("n"), "sig", "bands"))
     members = stored(nodes.select(F.col("rep").alias("d"), F.explode("bands").alias("key")).distinct())
-    buckets = members.groupBy("key").agg(F.min("d").alias("lead"), F.count("*").alias("size")).where("size > 1")
+    buckets = members.groupBy("key").agg(F.expr("min(struct(xxhash64(d, key) as h, d as d)).d").alias("lead"), F.count("*").alias("size")).where("size > 1")
     crowded = stored(members.join(buckets, "key"))
-    star = stored(crowded.where("d <> lead").select(F.col("lead").alias("a"), F.col("d").alias("b")).distinct())
+    star = stored(crowded.where("d <> lead").select(F.least("lead", "d").alias("a"), F.greatest("lead", "d").alias("b")).distinct())
     links = stored(confirmed(star, nodes, documents))
     first = components(links)
     # what stands in one bucket but not in one component

@@ -6,10 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import langid, neardup, quality, toxicity
+from quarry.llm import decontam, fingerprint, langid, neardup, pieces, quality, suffix_tree, toxicity
 from quarry.session import table
 
 
+def piece_model(path: str | None = None) -> pieces.Model:
+    """The SentencePiece model at path; by default the public one that is installed."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("piece_bpe_32k.model")
+    return pieces.read_model(path)
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = piece_model()
+    return pieces.digests(pieces.encode(table(spark, sf_dir, "documents"), model), model)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return langid.predict(documents, langid.train(documents))
@@ -29,11 +43,27 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(documents, quality.train(documents, table(spark, sf_dir, "labels")))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op3_language_id": op3_language_id,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_quality": op6_quality,
+    "op7_decontamination": op7_decontamination,
+    "op8_fingerprints": op8_fingerprints,
+    "op9_lm_scoring": op9_lm_scoring,
 }
 
 ORACLES: dict[str, str] = {}
