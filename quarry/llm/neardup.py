@@ -179,3 +179,15 @@ def dedup(documents: DataFrame) -> DataFrame:
     """The rows, whole, of one document of each group: that of the smallest id."""
     gone = groups(documents).where("not kept").select("doc_id").distinct()
     return documents.join(gone, "doc_id", "left_anti").select(documents.columns)
+
+
+ORACLE = r"""
+with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as l from documents),
+s as (select distinct doc_id, unnest(case when len(l) = 0 then [] when len(l) < 5 then [array_to_string(l, ' ')] else list_transform(range(1, len(l) - 3), lambda i: array_to_string(l[i : i + 4], ' ')) end) as g from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+c as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by a.doc_id, b.doc_id),
+e as (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 75 * (x.n + y.n - c)),
+r(d, x) as (select doc_id, doc_id from documents union select r.d, e.b from r join e on e.a = r.x),
+k as (select d, min(x) as component_id from r group by d)
+select w.doc_id, coalesce(n.n, 0)::bigint as n_shingles, k.component_id, w.doc_id = k.component_id as kept from w left join n using (doc_id) join k on k.d = w.doc_id
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import decontam, fingerprint, langid, neardup, pieces, quality, suffix_tree, toxicity
+from quarry.llm import decontam, fingerprint, langid, neardup, pieces, quality, suffix_tree, token_files, toxicity, url_filter
 from quarry.session import table
 
 
@@ -24,6 +24,12 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(pieces.encode(table(spark, sf_dir, "documents"), model), model)
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_files.read(token_files.write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return langid.predict(documents, langid.train(documents))
@@ -55,8 +61,13 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.score(table(spark, sf_dir, "documents"))
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_token_files": op2_token_files,
     "op3_language_id": op3_language_id,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_toxicity": op5_toxicity,
@@ -64,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_decontamination": op7_decontamination,
     "op8_fingerprints": op8_fingerprints,
     "op9_lm_scoring": op9_lm_scoring,
+    "op10_url_filter": op10_url_filter,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_url_filter": url_filter.ORACLE, "op4_minhash_near_dedup": neardup.ORACLE}
