@@ -1,11 +1,11 @@
 """Near-duplicate groups by b-bit MinHash over five-word shingle sets, exact links, connected components.
 
-1. One pass over the texts: every document's shingle set (64-bit shingle hashes), a 128-bit key of the whole set, 384 minima; of the first 128 minima the low 4 bits are packed into eight longs, and full minima are hashed into 64 bands of 6 rows.
+1. One pass over the texts: every document's shingle set (64-bit shingle hashes), a 128-bit key of the whole set, 384 minima; of the minima the low 4 bits are packed into 24 longs, and full minima are hashed into 64 bands of 6 rows.
 2. Documents with the same set are one class; only a class's smallest id goes on.
 3. Candidates: within a band bucket every class meets one class of the bucket, chosen at random by bucket, so a bucket of n classes gives n - 1 pairs. The packed bits' collision-corrected similarity drops the clearly different ones; the rest are confirmed on the full sets.
 4. Components of these links. Buckets that then hold classes of more than one component are finished exactly: every class outside the bucket's largest component meets the bucket's classes of other components. Classes of one component need no further test, as they are linked already; so no link between different components is lost, and no pairs are made within a group of copies.
 
-With 64 bands of 6 rows, a pair at similarity 0.75 shares no bucket with probability 4e-6, at 0.8 with 5e-9.
+With 64 bands of 6 rows, a pair at similarity 0.75 shares no bucket with probability 4e-6, at 0.8 with 5e-9; the bits drop it with probability 7e-6, at 0.8 with less than 1e-9.
 The full sets are computed for documents in candidate pairs only; a bit table of fixed greatest size keeps most other texts from being hashed and shuffled again.
 A document without words has the empty set and is linked with nothing. Null texts count as empty. Rows that repeat a doc_id are one node with several sets. Equal sets in any number form one class; an empty table gives no rows; other columns are not read.
 """
@@ -22,10 +22,11 @@ from quarry.llm.components import components
 from quarry.llm.kernel import Kernel, mix, shingles, slices
 from quarry.session import stored
 
-HASHES, ROWS, PACKED, BITS = 384, 6, 128, 4
+HASHES, ROWS, PACKED, BITS = 384, 6, 384, 4
 LONGS = PACKED * BITS // 64
 BLOOM_BITS = 27  # of the bit table, at most
 THRESHOLD = 75  # per cent
+SLACK = 0.10  # a pair whose estimate is as far under the threshold is not confirmed: over 4 standard deviations at the threshold
 
 
 def _seeds() -> tuple[np.ndarray, np.ndarray]:
@@ -120,15 +121,24 @@ def estimate(left: str, right: str) -> Column:
     return ((1 - differing / PACKED) - by_chance) / (1 - by_chance)
 
 
-def confirmed(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, slack: float = 0.24) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold. The estimate drops pairs more than slack (over 6 standard deviations) under it."""
-    near = (
+def near_enough(na: str, nb: str, sa: str, sb: str) -> Column:
+    """False only for pairs of sets whose sizes or packed bits rule the threshold out."""
+    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * THRESHOLD) & (estimate(sa, sb) >= THRESHOLD / 100 - SLACK)
+
+
+def near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that sizes and packed bits don't rule out."""
+    return (
         pairs.join(nodes.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")), "a")
         .join(nodes.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")), "b")
-        .where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * THRESHOLD) & (estimate("sa", "sb") >= THRESHOLD / 100 - slack))
-        .select("a", "b", "na", "nb")
+        .where(near_enough("na", "nb", "sa", "sb"))
+        .select("a", "b")
     )
-    near = stored(near)
+
+
+def confirmed(pairs: DataFrame, documents: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the threshold."""
+    near = stored(pairs)
     wanted = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
     sets = stored(shingle_sets(documents, stored(wanted)))
     shared = (
@@ -150,18 +160,19 @@ def groups(documents: DataFrame) -> DataFrame:
     buckets = members.groupBy("key").agg(F.expr("min(struct(xxhash64(d, key) as h, d as d)).d").alias("lead"), F.count("*").alias("size")).where("size > 1")
     crowded = stored(members.join(buckets, "key"))
     star = stored(crowded.where("d <> lead").select(F.least("lead", "d").alias("a"), F.greatest("lead", "d").alias("b")).distinct())
-    links = stored(confirmed(star, nodes, documents))
+    links = stored(confirmed(near(star, nodes), documents))
     first = components(links)
     # what stands in one bucket but not in one component
     placed = stored(crowded.where("size > 2").join(first.withColumnRenamed("node", "d"), "d", "left").select("key", "d", "lead", F.coalesce("component", "d").alias("c")))
     by_component = placed.groupBy("key", "c").agg(F.count("*").alias("n"))
     largest = by_component.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("big"), F.count("*").alias("parts")).where("parts > 1")
-    open_ = placed.join(largest, "key")
-    small = open_.where("c <> big").select("key", F.col("d").alias("x"), F.col("c").alias("cx"))
-    every = open_.select("key", F.col("d").alias("y"), F.col("c").alias("cy"), "big", "lead")
-    cross = small.join(every, "key").where("cx <> cy and (cy = big or x < y)")
-    cross = cross.where("x <> lead and y <> lead").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    rest = stored(confirmed(cross.join(star, ["a", "b"], "left_anti"), nodes, documents))
+    # sizes, bits and bands travel with the rows, so that pairs that differ clearly, and those that met in an earlier band, never leave the join
+    open_ = placed.join(largest, "key").join(nodes.select(F.col("rep").alias("d"), "n", "sig", "bands"), "d")
+    small = open_.where("c <> big").select("key", F.col("d").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), F.col("sig").alias("sx"), F.col("bands").alias("bx"))
+    every = open_.select("key", F.col("d").alias("y"), F.col("c").alias("cy"), "big", "lead", F.col("n").alias("ny"), F.col("sig").alias("sy"), F.col("bands").alias("by"))
+    meet = (small["key"] == every["key"]) & F.expr("cx <> cy and (cy = big or x < y) and x <> lead and y <> lead") & near_enough("nx", "ny", "sx", "sy") & (F.expr("get(filter(zip_with(bx, by, (p, q) -> if(p = q, p, null)), k -> k is not null), 0)") == small["key"])
+    cross = small.join(every, meet).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    rest = stored(confirmed(cross.join(star, ["a", "b"], "left_anti"), documents))
     same = filled.join(classes, ["set_a", "set_b", "n_shingles"]).select("doc_id", "rep").where("doc_id <> rep").distinct()
     several = feats.groupBy("doc_id").count().where("count > 1")
     repeated = same.join(several, "doc_id", "left_semi").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))  # one id, several sets
