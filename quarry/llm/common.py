@@ -20,16 +20,16 @@ def crc_mod_py(ids: list, n: int) -> np.ndarray:
     return np.array([zlib.crc32(b"" if x is None else str(x).encode()) % n for x in ids], dtype=np.int64)
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict | None]], schema: str) -> DataFrame:
-    """mapInArrow with state per task: make() runs once in each task and returns a function from a batch to columns."""
+def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict | Iterator[dict] | None]], schema: str) -> DataFrame:
+    """mapInArrow with state per task: make() runs once in each task and returns a function from a batch to columns, or to several parts of columns one after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
             if batch.num_rows:
                 out = step(batch)
-                if out is not None:
-                    yield out if isinstance(out, pa.RecordBatch) else pa.RecordBatch.from_pydict(out)
+                for part in () if out is None else (out,) if isinstance(out, dict) else out:
+                    yield pa.RecordBatch.from_pydict(part)
 
     return df.mapInArrow(run, schema)
 

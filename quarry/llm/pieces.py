@@ -14,6 +14,7 @@ from __future__ import annotations
 import heapq
 import struct
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,6 +32,8 @@ HOT = 1 << 22
 LONG = 62  # characters that a segment's boundaries may have in one long
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # types of pieces
 UNIGRAM, BPE = 1, 2
+NONE = (1 << 17) - 1  # id of a character without a piece
+HUGE = 1 << 12  # characters of a segment beyond which no lattice is laid out: it would be one huge row
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -167,21 +170,27 @@ def distinct_segments(texts: DataFrame, model: Model) -> DataFrame:
     def make():
         kernel = Kernel(lower=False)
 
-        def step(batch: pa.RecordBatch) -> dict | None:
-            names, keys, counts = [], [], []
-            for _, _, data, offsets in slices(normalised(batch["text"], prefix), 1 << 22):
+        def merged(parts: list[tuple]) -> dict:
+            """Segments of several slices, each once: (hashes, counts, bytes, offsets) by slice."""
+            h, at, of = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_inverse=True)
+            n = np.concatenate([np.diff(p[3]) for p in parts])
+            first = np.append(0, np.cumsum(n))
+            flat, ends = gather(first, np.concatenate([p[2] for p in parts]), at)
+            names = pa.StringArray.from_buffers(len(h), pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes()))
+            return {"s": names, "c": pa.array(np.bincount(of, np.concatenate([p[1] for p in parts])).astype(np.int64))}
+
+        def step(batch: pa.RecordBatch) -> Iterator[dict]:
+            parts: list[tuple] = []
+            for _, _, data, offsets in slices(normalised(batch["text"], prefix)):
                 starts, _ = cut(data, offsets, together)
-                if len(starts) < 2:
-                    continue
-                h, at, c = np.unique(kernel.spans(kernel.prefix(data), starts[:-1], starts[1:]), return_index=True, return_counts=True)
-                raw = data.tobytes()
-                names.append([raw[i:j] for i, j in zip(starts[at].tolist(), starts[at + 1].tolist())])
-                keys.append(h), counts.append(c)
-            if not keys:
-                return None
-            names = np.array([x for part in names for x in part], dtype=object)
-            h, at, of = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-            return {"s": pa.array(names[at], pa.binary()).cast(pa.string()), "c": pa.array(np.bincount(of, np.concatenate(counts)).astype(np.int64))}
+                if len(starts) > 1:
+                    h, at, c = np.unique(kernel.spans(kernel.prefix(data), starts[:-1], starts[1:]), return_index=True, return_counts=True)
+                    parts.append((h, c, *gather(starts, data, at)))
+                if len(parts) == 8:  # bounded: some MB of texts
+                    yield merged(parts)
+                    parts = []
+            if parts:
+                yield merged(parts)
 
         return step
 
@@ -189,72 +198,122 @@ def distinct_segments(texts: DataFrame, model: Model) -> DataFrame:
 
 
 def piece_table(spark: SparkSession, model: Model) -> DataFrame:
-    """(piece, id, cost): the vocabulary, of fixed size."""
-    rows = pa.table({"piece": list(model.ids), "id": pa.array(model.ids.values(), pa.int32()), "cost": [-model.pieces[i][1] for i in model.ids.values()]})
-    return spark.createDataFrame(rows)
+    """(piece, id, cost, rank): the vocabulary, of fixed size. rank: place of the cost among the different costs, from 1."""
+    costs = {c: i + 1 for i, c in enumerate(sorted({-model.pieces[i][1] for i in model.ids.values()}))}
+    own = [-model.pieces[i][1] for i in model.ids.values()]
+    return spark.createDataFrame(pa.table({"piece": list(model.ids), "id": pa.array(model.ids.values(), pa.int32()), "cost": own, "rank": pa.array([costs[c] for c in own], pa.int64())}))
 
 
 def lattice(segments: DataFrame, model: Model) -> DataFrame:
-    """(s, c, n, edges): every substring of a segment that is a piece, and every single character (id -1 if it has no piece).
+    """(s, c, n, edges): every substring of a segment that is a piece, and every single character (id NONE if it has no piece).
 
-    An edge has its cost, its begin and end, and where it fits in a long the bits of its inner boundaries (m) and its two ends (z).
+    For byte-pair models an edge is one long, rank << 45 | begin << 23 | length << 17 | id, so that edges sort by rank, then begin, then end; single characters have rank 0. For unigram models it is a struct (cost, b, e, id).
     """
     sized = segments.withColumn("n", F.char_length("s"))
-    spans = sized.select("s", "c", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("b")).select("s", "c", "n", "b", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), F.col("n") - F.col("b")))).alias("len"))
+    spans = sized.select("s", "c", "n", F.explode(F.sequence(F.lit(0), F.when(F.col("n") > HUGE, 0).otherwise(F.col("n") - 1))).alias("b")).select("s", "c", "n", "b", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), F.col("n") - F.col("b")))).alias("len"))
     found = spans.withColumn("piece", F.expr("substring(s, b + 1, len)")).join(F.broadcast(piece_table(segments.sparkSession, model)), "piece", "left").where("id is not null or len = 1")
     worst = max(-x[1] for x in model.pieces if x[2] == NORMAL) + 10.0  # an unknown character's cost in unigram models
-    edge = F.expr(f"""named_struct('cost', coalesce(cost, {worst!r}D), 'b', b, 'e', b + len,
-        'm', if(n <= {LONG}, (shiftleft(1L, b + len) - 1L) & ~(shiftleft(1L, b + 1) - 1L), 0L),
-        'z', if(n <= {LONG}, shiftleft(1L, b) | shiftleft(1L, b + len), 0L), 'id', coalesce(id, -1))""")
+    if model.kind == BPE:
+        edge = F.expr(f"shiftleft(if(len = 1, 0L, rank), 45) | shiftleft(cast(b as bigint), 23) | shiftleft(cast(len as bigint), 17) | cast(coalesce(id, {NONE}) as bigint)")
+    else:
+        edge = F.expr(f"named_struct('cost', coalesce(cost, {worst!r}D), 'b', b, 'e', b + len, 'id', coalesce(id, {NONE}))")
     return found.groupBy("s", "c", "n").agg(F.collect_list(edge).alias("edges"))
 
 
 def _ids(model: Model, path: str) -> Column:
-    """Ids of a path of edges in order; an unknown character gives its bytes, or the unknown id."""
+    """Ids of a path, an array of begin << 17 | id in order; an unknown character gives its bytes, or the unknown id."""
     if model.byte0 is None:
-        return F.expr(f"transform({path}, x -> if(x.id >= 0, x.id, {model.unknown}))")
-    char = "substring(s, x.b + 1, 1)"
-    return F.expr(f"flatten(transform({path}, x -> if(x.id >= 0, array(x.id), transform(sequence(1, octet_length({char})), k -> cast(conv(substring(hex({char}), 2 * k - 1, 2), 16, 10) as int) + {model.byte0}))))")
+        return F.expr(f"transform({path}, x -> cast(if(x & {NONE} = {NONE}, {model.unknown}, x & {NONE}) as int))")
+    char = "substring(s, cast(shiftright(x, 17) as int) + 1, 1)"
+    known = f"transform({path}, x -> cast(x & {NONE} as int))"
+    bytes_ = f"flatten(transform({path}, x -> if(x & {NONE} < {NONE}, array(cast(x & {NONE} as int)), transform(sequence(1, octet_length({char})), k -> cast(conv(substring(hex({char}), 2 * k - 1, 2), 16, 10) as int) + {model.byte0}))))"
+    return F.expr(f"if(exists({path}, x -> x & {NONE} = {NONE}), {bytes_}, {known})")
 
 
 def merge_fold(lat: DataFrame, model: Model) -> DataFrame:
-    """(s, c, ids) by merges in order of rank; the state is the set of boundaries, a bit each."""
-    whole = "shiftleft(1L, n + 1) - 1L"
-    left = lat.where(F.col("n") <= LONG).withColumn("edges", F.array_sort("edges")).withColumn("at", F.expr(f"aggregate(edges, {whole}, (at, x) -> if((at & x.z) = x.z and bit_count(at & x.m) = 1, at & ~x.m, at))"))
-    left = left.withColumn("path", F.expr("array_sort(transform(filter(edges, x -> (at & x.z) = x.z and (at & x.m) = 0), x -> named_struct('b', x.b, 'id', x.id)))"))
-    return left.select("s", "c", _ids(model, "path").alias("ids")).union(_long_fold(lat.where(F.col("n") > LONG)).select("s", "c", _ids(model, "path").alias("ids")))
-
-
-def _long_fold(lat: DataFrame) -> DataFrame:
-    """The same fold for segments with more boundaries than a long has bits: over linked symbols, in time proportional to the edges."""
-
-    def make():
-        def step(batch: pa.RecordBatch) -> dict:
-            paths = []
-            for n, edges in zip(batch["n"].to_pylist(), batch["edges"].to_pylist()):
-                follow = list(range(1, n + 1)) + [n]  # end of the symbol that begins at a boundary
-                alive = [True] * (n + 1)
-                edges.sort(key=lambda x: (x["cost"], x["b"], x["e"]))
-                for x in edges:
-                    b, e = x["b"], x["e"]
-                    if alive[b] and alive[e] and follow[b] < e and follow[follow[b]] == e:
-                        alive[follow[b]], follow[b] = False, e
-                paths.append([{"b": x["b"], "id": x["id"]} for x in sorted(edges, key=lambda x: x["b"]) if alive[x["b"]] and alive[x["e"]] and follow[x["b"]] == x["e"]])
-            return {"s": batch["s"], "c": batch["c"], "path": pa.array(paths, pa.list_(pa.struct([("b", pa.int32()), ("id", pa.int32())])))}
-
-        return step
-
-    return map_batches(lat.select("s", "c", "n", "edges"), make, "s string, c long, path array<struct<b int, id int>>")
+    """(s, c, ids, edges) by merges in order of rank; the state is the set of boundaries, a bit each. Segments with more boundaries than a long has bits, and those in which pieces of equal rank compete, have no ids yet and keep their edges for long_path()."""
+    ranks = Counter(r["rank"] for r in piece_table(lat.sparkSession, model).select("rank").collect())  # the vocabulary
+    tied = ", ".join(f"{r}L" for r, k in ranks.items() if k > 1) or "null"  # whose turn it is depends on the state
+    out = lat.withColumn("edges", F.sort_array("edges")).withColumn("plain", F.expr(f"n <= {LONG} and size(filter(edges, x -> shiftright(x, 45) in ({tied}))) < 2"))
+    begin, length = "cast(shiftright(x, 23) & 63 as int)", "cast(shiftright(x, 17) & 63 as int)"
+    # z: the bits of an edge's ends, m: those of the boundaries inside it
+    out = out.withColumn("parts", F.expr(f"if(plain, transform(edges, x -> named_struct('z', shiftleft(shiftleft(1L, {length}) | 1L, {begin}), 'm', shiftleft(shiftleft(1L, {length}) - 2L, {begin}), 'p', shiftright(x, 6) & {0x7E0000} | x & {NONE})), null)"))
+    out = out.withColumn("at", F.expr("aggregate(parts, shiftleft(1L, n + 1) - 1L, (at, x) -> if((at & x.z) = x.z and bit_count(at & x.m) = 1, at & ~x.m, at))"))
+    out = out.withColumn("path", F.expr("sort_array(transform(filter(parts, x -> (at & x.z) = x.z and (at & x.m) = 0), x -> x.p))"))
+    return out.select("s", "c", F.when(F.col("plain"), _ids(model, "path")).alias("ids"), F.expr("if(plain, null, edges)").alias("edges"))
+
+
+def long_path(s: str, edges: list[int], model: Model) -> list[int]:
+    """The merges of a long segment, or of one with pieces of equal rank, by a queue of the segment's edges."""
+    n = len(s)
+    cost = {((x >> 23) & 0x3FFFFF, ((x >> 23) & 0x3FFFFF) + ((x >> 17) & 63)): (x >> 45, x & NONE) for x in edges}
+    ends, before, alive, queue = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n + [False], []
+
+    def offer(b: int) -> None:
+        if ends[b] < n and (b, ends[ends[b]]) in cost:
+            heapq.heappush(queue, (cost[b, ends[ends[b]]][0], b, ends[ends[b]]))
+
+    for b in range(n - 1):
+        offer(b)
+    while queue:
+        _, b, e = heapq.heappop(queue)
+        mid = ends[b]
+        if not alive[b] or mid >= n or ends[mid] != e:
+            continue
+        alive[mid], ends[b] = False, e
+        if e < n:
+            before[e] = b
+        offer(b)
+        if before[b] >= 0:
+            offer(before[b])
+    out: list[int] = []
+    for b in range(n):
+        if alive[b]:
+            one = cost.get((b, ends[b]), (0, NONE))[1]
+            if one != NONE:
+                out.append(one)
+            elif model.byte0 is None:
+                out.append(model.unknown)
+            else:
+                out += [model.byte0 + k for k in s[b].encode()]
+    return out
+
+
+def whole_ids(s: str, model: Model) -> list[int]:
+    """Ids of a segment that is too long for a row of edges: Model.merged(), or Viterbi over its pieces."""
+    if model.kind == BPE:
+        spans = model.merged(s)[0]
+    else:
+        worst = max(-x[1] for x in model.pieces if x[2] == NORMAL) + 10.0
+        best: list[tuple[float, int]] = [(0.0, 0)] + [(float("inf"), 0)] * len(s)
+        for e in range(1, len(s) + 1):
+            for b in range(max(0, e - model.longest), e):
+                one = model.ids.get(s[b:e])
+                if one is None and e - b > 1:
+                    continue
+                total = best[b][0] + (worst if one is None else -model.pieces[one][1])
+                if total < best[e][0]:
+                    best[e] = (total, b)
+        spans, e = [], len(s)
+        while e:
+            spans.append((best[e][1], e))
+            e = best[e][1]
+        spans.reverse()
+    out: list[int] = []
+    for b, e in spans:
+        one = model.ids.get(s[b:e])
+        out += [one] if one is not None else [model.unknown] if model.byte0 is None else [model.byte0 + k for k in s[b:e].encode()]
+    return out
 
 
 def viterbi_fold(lat: DataFrame, model: Model) -> DataFrame:
-    """(s, c, ids) by the path of least cost; the state is the best way to reach each position, ties go to the longer last piece."""
-    reach = "named_struct('cost', x.cost + best[x.b].cost, 'b', x.b, 'id', x.id)"
-    start = "transform(sequence(0, n), i -> named_struct('cost', if(i = 0, 0D, double('infinity')), 'b', 0, 'id', -1))"
+    """(s, c, ids, edges: null) by the path of least cost; the state is the best way to reach each position, ties go to the longer last piece."""
+    reach = f"named_struct('cost', x.cost + best[x.b].cost, 'b', x.b, 'p', shiftleft(cast(x.b as bigint), 17) | x.id)"
+    start = f"transform(sequence(0, n), i -> named_struct('cost', if(i = 0, 0D, double('infinity')), 'b', 0, 'p', {NONE}L))"
     ordered = "array_sort(edges, (l, r) -> case when l.e <> r.e then l.e - r.e else l.b - r.b end)"
     best = f"aggregate({ordered}, {start}, (best, x) -> if(best[x.b].cost + x.cost < best[x.e].cost, transform(best, (v, i) -> if(i = x.e, {reach}, v)), best))"
-    walked = "aggregate(sequence(1, n), named_struct('at', n, 'path', cast(array() as array<struct<b: int, id: int>>)), (w, i) -> if(w.at = 0, w, named_struct('at', best[w.at].b, 'path', concat(array(named_struct('b', best[w.at].b, 'id', best[w.at].id)), w.path))), w -> w.path)"
-    return lat.withColumn("best", F.expr(best)).withColumn("path", F.expr(walked)).select("s", "c", _ids(model, "path").alias("ids"))
+    walked = "aggregate(sequence(1, n), named_struct('at', n, 'path', cast(array() as array<bigint>)), (w, i) -> if(w.at = 0, w, named_struct('at', best[w.at].b, 'path', concat(array(best[w.at].p), w.path))), w -> w.path)"
+    return lat.withColumn("best", F.expr(f"if(n <= 512, {best}, null)")).withColumn("path", F.expr(f"if(n <= 512, {walked}, null)")).select("s", "c", _ids(model, "path").alias("ids"), F.lit(None).cast("array<long>").alias("edges"))
 
 
 def dictionary(texts: DataFrame, model: Model) -> DataFrame:
@@ -266,7 +325,10 @@ def dictionary(texts: DataFrame, model: Model) -> DataFrame:
 
         def step(batch: pa.RecordBatch) -> dict:
             keys = [kernel.spans(kernel.prefix(data), offsets[:-1], offsets[1:]) for _, _, data, offsets in slices(batch["s"])]
-            return {"key": pa.array(np.concatenate(keys).view(np.int64)), "c": batch["c"], "ids": batch["ids"]}
+            ids = batch["ids"]
+            if ids.null_count:
+                ids = pa.array([x if x is not None else long_path(s, e, model) if e is not None and len(s) <= HUGE else whole_ids(s, model) for x, s, e in zip(ids.to_pylist(), batch["s"].to_pylist(), batch["edges"].to_pylist())], pa.list_(pa.int32()))
+            return {"key": pa.array(np.concatenate(keys).view(np.int64)), "c": batch["c"], "ids": ids}
 
         return step
 
@@ -314,8 +376,51 @@ def gather(first: np.ndarray, flat: np.ndarray, places: np.ndarray) -> tuple[np.
     return flat[np.repeat(first[places] - at[:-1], n) + np.arange(at[-1])], at
 
 
+class Decoder:
+    """Texts of id sequences: flat piece bytes, gathered."""
+
+    def __init__(self, model: Model) -> None:
+        raw = [bytes([i - model.byte0]) if t == BYTE else b"" if t == CONTROL else p.encode() if t != UNKNOWN else " ⁇ ".encode() for i, (p, _, t) in enumerate(model.pieces)]
+        self.flat = np.frombuffer(b"".join(raw), np.uint8)
+        self.first = np.append(0, np.cumsum([len(x) for x in raw]))
+        self.prefix = model.prefix
+
+    def texts(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
+        data, at = gather(self.first, self.flat, ids)
+        raw, ends = data.tobytes(), at[offsets]
+        out = [raw[i:j].decode("utf-8", "replace") for i, j in zip(ends[:-1].tolist(), ends[1:].tolist())]
+        return [x[1:] if self.prefix and x.startswith(" ") else x for x in out]
+
+
+def decode(encoded: DataFrame, model: Model) -> DataFrame:
+    """The rows with their other columns and text for ids; null ids give null."""
+    names = [c for c in encoded.columns if c not in ("ids", "text")]
+    schema = ", ".join([*(f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in names), "text string"])
+
+    def make():
+        decoder = Decoder(model)
+
+        def step(batch: pa.RecordBatch) -> dict:
+            ids = batch["ids"]
+            texts = decoder.texts(ids.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))))
+            return {c: batch[c] for c in names} | {"text": pa.array([t if v else None for t, v in zip(texts, ids.is_valid().to_pylist())], pa.string())}
+
+        return step
+
+    return map_batches(encoded.select(*names, "ids"), make, schema)
+
+
 def encode(documents: DataFrame, model: Model, most: int = HOT) -> DataFrame:
     """doc_id, ids for every row."""
+
+    def emit(doc_ids: pa.Array, ids: np.ndarray, at: np.ndarray) -> dict:
+        return {"doc_id": doc_ids, "ids": pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids))}
+
+    return _encoded(documents, model, lambda: emit, "doc_id long, ids array<int>", most)
+
+
+def _encoded(documents: DataFrame, model: Model, make_emit, schema: str, most: int) -> DataFrame:
+    """What emit(doc ids, ids of all rows, their offsets) makes of the rows, slice by slice."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     spark, together, prefix = docs.sparkSession, model.together, model.prefix
     words = dictionary(docs, model)
@@ -335,14 +440,12 @@ def encode(documents: DataFrame, model: Model, most: int = HOT) -> DataFrame:
         def make_tail():
             kernel = Kernel(lower=False)
 
-            def step(batch: pa.RecordBatch) -> dict:
-                ids, keys = [], []
-                for lo, hi, h, first, place in segments(batch, kernel):
+            def step(batch: pa.RecordBatch) -> Iterator[dict]:
+                for lo, _, h, first, place in segments(batch, kernel):
                     cold = np.flatnonzero(place < 0)
                     row = np.searchsorted(first, cold, "right") - 1
                     pairs = np.unique(np.stack([row.astype(np.uint64), h[cold]]), axis=1)
-                    ids.append(lo + pairs[0].astype(np.int64)), keys.append(pairs[1])
-                return {"doc_id": batch["doc_id"].take(pa.array(np.concatenate(ids))), "key": pa.array(np.concatenate(keys).view(np.int64))}
+                    yield {"doc_id": batch["doc_id"].take(pa.array(lo + pairs[0].astype(np.int64))), "key": pa.array(pairs[1].view(np.int64))}
 
             return step
 
@@ -351,87 +454,45 @@ def encode(documents: DataFrame, model: Model, most: int = HOT) -> DataFrame:
         docs = docs.join(tails, F.col("doc_id").eqNullSafe(F.col("id")), "left").drop("id")
 
     def make():
-        kernel = Kernel(lower=False)
+        kernel, emit = Kernel(lower=False), make_emit()
 
-        def step(batch: pa.RecordBatch) -> dict:
-            hot, parts, ends, base = shared.value, [], [np.zeros(1, np.int64)], 0
-            tails = batch["tail"]
+        def step(batch: pa.RecordBatch) -> Iterator[dict]:
+            hot = shared.value
             for lo, hi, keys, first, place in segments(batch, kernel):
                 cold = np.flatnonzero(place < 0)
                 if not len(cold):
                     ids, at = gather(hot.first, hot.ids, place)
                 else:
-                    known = {t["key"]: t["ids"] for i in range(lo, hi) for t in tails[i].as_py() or ()}
+                    known = {t["key"]: t["ids"] for i in range(lo, hi) for t in batch["tail"][i].as_py() or ()}
                     extra = [known[k] for k in keys[cold].view(np.int64).tolist()]
                     flat = np.concatenate([hot.ids, np.array([x for e in extra for x in e], dtype=hot.ids.dtype)])
                     more = np.concatenate([hot.first, hot.first[-1] + np.cumsum([len(e) for e in extra])])
                     place[cold] = len(hot.first) - 1 + np.arange(len(cold))
                     ids, at = gather(more, flat, place)
-                parts.append(ids.astype(np.int32))
-                ends.append(base + at[first[1:]])
-                base += len(ids)
-            return {"doc_id": batch["doc_id"], "ids": pa.ListArray.from_arrays(pa.array(np.concatenate(ends), pa.int32()), pa.array(np.concatenate(parts)))}
+                yield emit(batch["doc_id"].slice(lo, hi - lo), ids.astype(np.int32), at[first])
 
         return step
 
-    return map_batches(docs.select("doc_id", "text", "tail"), make, "doc_id long, ids array<int>")
+    return map_batches(docs.select("doc_id", "text", "tail"), make, schema)
 
 
-class Decoder:
-    """Texts of id sequences: flat piece bytes, gathered."""
+def encode_digests(documents: DataFrame, model: Model, most: int = HOT) -> DataFrame:
+    """doc_id, n_tokens, ids_crc32 (of the ids as little-endian unsigned 32-bit integers), n_chars and text_crc32 of the text that the ids decode to, ids: encoding and decoding in one pass over the texts."""
 
-    def __init__(self, model: Model) -> None:
-        raw = [bytes([i - model.byte0]) if t == BYTE else b"" if t == CONTROL else p.encode() if t != UNKNOWN else " ⁇ ".encode() for i, (p, _, t) in enumerate(model.pieces)]
-        self.flat = np.frombuffer(b"".join(raw), np.uint8)
-        self.first = np.append(0, np.cumsum([len(x) for x in raw]))
-        self.prefix = model.prefix
-
-    def texts(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
-        data, at = gather(self.first, self.flat, ids)
-        raw, ends = data.tobytes(), at[offsets]
-        out = [raw[i:j].decode("utf-8", "replace") for i, j in zip(ends[:-1].tolist(), ends[1:].tolist())]
-        return [x[1:] if self.prefix and x.startswith(" ") else x for x in out]
-
-
-def decode(encoded: DataFrame, model: Model) -> DataFrame:
-    """The rows with their other columns and text for ids; null ids give null."""
-    names = [c for c in encoded.columns if c not in ("ids", "text")]
-    schema = ", ".join([*(f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in names), "text string"])
-
-    def make():
-        decoder = Decoder(model)
-
-        def step(batch: pa.RecordBatch) -> dict:
-            ids = batch["ids"]
-            texts = decoder.texts(ids.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))))
-            return {c: batch[c] for c in names} | {"text": pa.array([t if v else None for t, v in zip(texts, ids.is_valid().to_pylist())], pa.string())}
-
-        return step
-
-    return map_batches(encoded.select(*names, "ids"), make, schema)
-
-
-def digests(encoded: DataFrame, model: Model) -> DataFrame:
-    """doc_id, n_tokens, ids_crc32 (of the ids as little-endian unsigned 32-bit integers), n_chars and text_crc32 of the decoded text, ids."""
-
-    def make():
+    def make_emit():
         decoder = Decoder(model)
 
-        def step(batch: pa.RecordBatch) -> dict:
-            ids = batch["ids"]
-            n = pc.list_value_length(ids).to_numpy(zero_copy_only=False)
-            offsets = np.append(0, np.cumsum(n))
-            flat = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4")
-            texts = decoder.texts(flat, offsets)
+        def emit(doc_ids: pa.Array, ids: np.ndarray, at: np.ndarray) -> dict:
+            raw, ends, texts = ids.astype("<u4"), at.tolist(), decoder.texts(ids, at)
             return {
-                "doc_id": batch["doc_id"],
-                "n_tokens": pa.array(n.astype(np.int64)),
-                "ids_crc32": pa.array([zlib.crc32(flat[i:j].tobytes()) for i, j in zip(offsets[:-1], offsets[1:])], pa.int64()),
+                "doc_id": doc_ids,
+                "n_tokens": pa.array(np.diff(at)),
+                "ids_crc32": pa.array([zlib.crc32(raw[i:j].tobytes()) for i, j in zip(ends[:-1], ends[1:])], pa.int64()),
                 "n_chars": pa.array([len(t) for t in texts], pa.int64()),
                 "text_crc32": pa.array([zlib.crc32(t.encode()) for t in texts], pa.int64()),
-                "ids": ids,
+                "ids": pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids)),
             }
 
-        return step
+        return emit
 
-    return map_batches(encoded.select("doc_id", "ids"), make, "doc_id long, n_tokens long, ids_crc32 long, n_chars long, text_crc32 long, ids array<int>")
+    return _encoded(documents, model, make_emit, "doc_id long, n_tokens long, ids_crc32 long, n_chars long, text_crc32 long, ids array<int>", most)

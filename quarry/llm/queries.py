@@ -20,8 +20,7 @@ def piece_model(path: str | None = None) -> pieces.Model:
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = piece_model()
-    return pieces.digests(pieces.encode(table(spark, sf_dir, "documents"), model), model)
+    return pieces.encode_digests(table(spark, sf_dir, "documents"), piece_model())
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
