@@ -14,6 +14,8 @@ Defined cases: null and empty texts have the end id only; repeated rows and doc
 
 from __future__ import annotations
 
+import sys
+import types
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -28,8 +30,8 @@ from quarry.llm.kernel import Kernel, Table, slices
 from quarry.session import stored
 
 BLOCK = 2048
-SHARD = 4096 * BLOCK  # ids, about
-SLOTS = 11  # log2 of a block's contexts of each order
+SHARD = 2048 * BLOCK  # ids, about
+SLOTS = 9  # log2 of a block's contexts of each order
 LIMIT = 2047
 _TOP, _BOTTOM, _WORD = np.uint64(1 << 48), np.uint64(1 << 40), np.uint64(16)
 
@@ -49,44 +51,58 @@ class _Model:
         self.squash, self.stretch = _tables()
         self.prior = prior  # by id: stretched order-0 probability
         self.two, self.one = np.zeros(lanes << SLOTS, np.int32), np.zeros(lanes << SLOTS, np.int32)  # id << 4 | confidence
-        self.rate2 = np.full((lanes, 16), 2048, np.int32).ravel()
-        self.rate1 = np.full((lanes, 32), 2048, np.int32).ravel()
-        self.weight = [np.full(lanes, w, np.int32) for w in (26000, 20000, 8000)]  # of 65536
-        self.before = np.zeros((2, lanes), np.int32)
+        self.rate2 = np.full(lanes << 4, 2048, np.int32)
+        self.rate1 = np.full(lanes << 5, 2048, np.int32)
+        self.weight = np.repeat(np.array([[26000], [20000], [8000]], np.int32), lanes, axis=1)  # of 65536
+        self.s = np.zeros((3, lanes), np.int32)
+        self.last, self.older = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)  # hashes of the last two ids
         lane = np.arange(lanes, dtype=np.int32)
         self.base, self.base2, self.base1 = lane << SLOTS, lane << 4, lane << 5
-
-    def predict(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """(predicted id, probability of 65536) for the first n lanes."""
-        last, older = self.before[0, :n].view(np.uint32), self.before[1, :n].view(np.uint32)
-        self.at1 = self.base[:n] + ((last * np.uint32(0x9E3779B1)) >> np.uint32(32 - SLOTS)).view(np.int32)
-        self.at2 = self.base[:n] + (((last * np.uint32(0x85EBCA6B)) ^ (older * np.uint32(0xC2B2AE35))) * np.uint32(0x9E3779B1) >> np.uint32(32 - SLOTS)).view(np.int32)
-        self.e2, self.e1 = self.two[self.at2], self.one[self.at1]
+        self.n = lanes
+
+    def cut(self, n: int) -> None:
+        """Keeps the first n lanes."""
+        if n != self.n:
+            self.weight, self.s = np.ascontiguousarray(self.weight[:, :n]), np.ascontiguousarray(self.s[:, :n])
+            self.last, self.older, self.base, self.base2, self.base1, self.n = self.last[:n], self.older[:n], self.base[:n], self.base2[:n], self.base1[:n], n
+
+    def predict(self) -> tuple[np.ndarray, np.ndarray]:
+        """(predicted id, probability of 65536) for the lanes."""
+        shift = np.uint32(32 - SLOTS)
+        self.at1 = self.base + (self.last >> shift).view(np.int32)
+        self.at2 = self.base + (((self.last ^ self.older) * np.uint32(0x85EBCA6B)) >> shift).view(np.int32)
+        self.e2, self.e1 = self.two.take(self.at2), self.one.take(self.at1)
         self.id2, self.id1, self.c2, self.c1 = self.e2 >> 4, self.e1 >> 4, self.e2 & 15, self.e1 & 15
         guess = np.where(self.c2 > 0, self.id2, self.id1)
-        self.in2, self.in1 = self.base2[:n] + self.c2, self.base1[:n] + (self.c1 << 1) + (self.id1 == guess)
-        self.q2, self.q1 = self.rate2[self.in2], self.rate1[self.in1]
-        self.s = self.stretch[self.q2], self.stretch[self.q1], self.prior[guess]
-        dot = (self.weight[0][:n] * self.s[0] + self.weight[1][:n] * self.s[1] + self.weight[2][:n] * self.s[2]) >> 16
-        self.p = self.squash[np.minimum(np.maximum(dot, -LIMIT), LIMIT) + LIMIT]
+        self.in2, self.in1 = self.base2 + self.c2, self.base1 + (self.c1 << 1) + (self.id1 == guess)
+        self.q2, self.q1 = self.rate2.take(self.in2), self.rate1.take(self.in1)
+        s = self.s
+        self.stretch.take(self.q2, out=s[0], mode="clip")
+        self.stretch.take(self.q1, out=s[1], mode="clip")
+        self.prior.take(guess, out=s[2], mode="clip")
+        dot = (self.weight * s).sum(0, dtype=np.int32) >> 16
+        np.minimum(dot, LIMIT, out=dot)
+        np.maximum(dot, -LIMIT, out=dot)
+        dot += LIMIT
+        self.p = self.squash.take(dot)
         return guess, self.p << 4
 
     def update(self, ids: np.ndarray, hit: np.ndarray) -> None:
-        n = len(ids)
         goal = hit.astype(np.int32) << 12
-        error = (goal - self.p) * 6
-        for w, s in zip(self.weight, self.s):
-            w[:n] += (s * error) >> 14
-            np.clip(w[:n], -65536, 131072, out=w[:n])
-        goal = np.minimum(goal, 4095)
+        step = self.s * ((goal - self.p) * 6)
+        step >>= 14
+        self.weight += step
+        np.minimum(self.weight, 131072, out=self.weight)
+        np.maximum(self.weight, -65536, out=self.weight)
+        np.minimum(goal, 4095, out=goal)
         self.rate2[self.in2] = self.q2 + ((goal - self.q2) >> 4)
         self.rate1[self.in1] = self.q1 + ((goal - self.q1) >> 4)
         fresh = (ids << 4) | 1
         for table, at, e, had, c in ((self.two, self.at2, self.e2, self.id2, self.c2), (self.one, self.at1, self.e1, self.id1, self.c1)):
-            kept = np.where(had == ids, e + (c < 15), e - ((c + 1) >> 1))
-            table[at] = np.where((c == 0) | ((had != ids) & (c == 1)), fresh, kept)
-        self.before[1, :n] = self.before[0, :n]
-        self.before[0, :n] = ids
+            same = had == ids
+            table[at] = np.where(same & (c > 0), e + (c < 15), np.where(c < 2, fresh, e - ((c + 1) >> 1)))
+        np.bitwise_xor(self.last, np.uint32(0x5BD1E995), out=self.older)
+        self.last = ids.view(np.uint32) * np.uint32(0x9E3779B1)
 
 
 def _order0(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -148,7 +164,8 @@ def encode_ids(ids: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray, tuple]:
     words, used = np.zeros((lanes, BLOCK + 64), np.uint16), np.zeros(lanes, np.int64)
     for t in range(BLOCK if lanes > 1 else last):
         n = lanes if t < last else lanes - 1
-        guess, p = model.predict(n)
+        model.cut(n)
+        guess, p = model.predict()
         x = steps[t, :n]
         hit = guess == x
         p64 = p.astype(np.uint64)
@@ -192,7 +209,8 @@ def decode_ids(raw: bytes, used: np.ndarray, sizes: np.ndarray, crc: np.ndarray,
     active = np.searchsorted(-sizes, -np.arange(1, longest + 1), "right") if lanes else []
     for t in range(longest):
         n = int(active[t])
-        guess, p = model.predict(n)
+        model.cut(n)
+        guess, p = model.predict()
         p64 = p.astype(np.uint64)
         edge = (state.range[:n] >> _WORD) * p64
         hit = (code[:n] - state.low[:n]) < edge
@@ -338,6 +356,14 @@ class Encoder:
             yield lo, hi, length, out
 
 
+def worker_encoder(path: str) -> Encoder:
+    """One encoder for each worker process, so that tasks that follow each other share what it has encoded."""
+    kept = sys.modules.setdefault("_quarry_worker", types.ModuleType("_quarry_worker")).__dict__
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
+
+
 def write(documents: DataFrame, path: str, end: int = 2) -> DataFrame:
     """The stored shards: part, seq, n_docs, n_tokens, data; (part, seq) ascend with doc_id."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -345,7 +371,7 @@ def write(documents: DataFrame, path: str, end: int = 2) -> DataFrame:
     ordered = docs.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seq = Encoder(path), TaskContext.get().partitionId(), 0
+        encoder, part, seq = worker_encoder(path), TaskContext.get().partitionId(), 0
         ids, lengths, tokens, held = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
