@@ -35,8 +35,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids and their digests, with the decoded text's."""
-    model = piece_model()
-    return pieces.digests(pieces.encode(docs, model), model)
+    return pieces.encode_digests(docs, piece_model())
 
 
 STAGES = [
