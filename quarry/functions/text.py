@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,8 +29,6 @@ def fold(c: Column) -> Column:
 
 def fold_exact(c: Column) -> Column:
     """fold() by full Unicode decomposition, in Arrow batches; for text with ligatures, fractions or full-width forms."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def folded(s: pd.Series) -> pd.Series:
         return s.fillna("").map(lambda x: unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode().lower())

@@ -37,12 +37,45 @@ def cyclic(df: DataFrame, order: list, forms: list[str]) -> DataFrame:
     return out.withColumn("form", form).withColumn("text", F.expr("replace(form, '{}', word)")).drop("form", "i")
 
 
-def mood_queries(categories: list[str]) -> list[tuple[str, list[str]]]:
-    """Single, mixed and adjacent-pair queries over the ordered categories."""
-    single = [(f"feeling {c}", [c]) for c in categories]
-    mixed = [(f"feeling {c}, something with a strong plot", [c]) for c in categories]
-    pairs = [(f"feeling {a} and {b}", [a, b]) for a, b in zip(categories, categories[1:])][:14]
-    return single + mixed + pairs
+def mood_queries(vocab: DataFrame, moods: DataFrame, plots: DataFrame, pairs: int = 14) -> DataFrame:
+    """(query, mode, categories): for each category a query of its first two words and desired moods and one of its first word and a plot; for the first `pairs` neighbours one of both first words.
+
+    vocab: category, n (order in the category), word; moods: category, desired; plots: i (from 0, by category order), plot. The tables are fixed vocabularies.
+    """
+    words = vocab.groupBy("category").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "word"))), lambda x: x["word"]).alias("w"))
+    c = words.join(moods, "category").withColumn("i", F.row_number().over(Window.orderBy("category")) - 1)
+    two = lambda a: F.array_join(F.slice(a, 1, 2), " and ")
+    single = c.select(F.concat(F.lit("feeling "), two(F.col("w")), F.lit(", want something "), two(F.col("desired"))).alias("query"), F.lit("mood").alias("mode"), F.array("category").alias("categories"))
+    hybrid = c.join(F.broadcast(plots), "i").select(F.concat(F.lit("feeling "), F.get("w", F.lit(0)), F.lit(", in the mood for "), "plot").alias("query"), F.lit("hybrid").alias("mode"), F.array("category").alias("categories"))
+    n = c.select((F.col("i") - 1).alias("i"), F.get("w", F.lit(0)).alias("next"), F.col("category").alias("other"))
+    both = c.where(F.col("i") < pairs).join(n, "i").select(F.concat(F.lit("feeling "), F.get("w", F.lit(0)), F.lit(" but also "), "next").alias("query"), F.lit("mood").alias("mode"), F.array("category", "other").alias("categories"))
+    return single.unionByName(hybrid).unionByName(both)
+
+
+def article(word: Column) -> Column:
+    """The word with a or an."""
+    return F.concat(F.when(F.lower(word).rlike("^[aeiou]"), "an ").otherwise("a "), word)
+
+
+def bare(display: Column) -> Column:
+    return F.regexp_replace(display, "^(an|a|the) ", "")
+
+
+def body_sentences(words: DataFrame, places: dict[str, list[str]], forms: dict[str, str]) -> DataFrame:
+    """(category, word, text): a word in the sentence of each place that takes it. places: place -> its words ('*' prefix in the key: all words but these); words that name their category or a film mood are left out."""
+    ok = ~F.contains(F.translate(F.lower("category"), "_-", "  "), F.lower("word")) & ~F.lower("word").isin(*rules.FILM_MOODS)
+    sentences = []
+    for place, own in places.items():
+        takes = F.col("word").isin(*own) if own else F.lit(False)
+        takes = ~takes if place.startswith("*") else takes
+        sentences.append(F.when(takes, F.replace(F.replace(F.lit(forms[place]), F.lit("{an}"), article(F.col("word"))), F.lit("{}"), F.col("word"))))
+    return words.where(ok).select("category", "word", F.explode(F.array_compact(F.array(*sentences))).alias("text"))
+
+
+def leaks(text: Column, terms: Column) -> Column:
+    """The terms that stand in the text as whole phrases."""
+    low = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), F.lit(" "))
+    return F.filter(terms, lambda t: F.contains(low, F.concat(F.lit(" "), F.regexp_replace(F.lower(t), "[^a-z0-9]+", " "), F.lit(" "))))
 
 
 def held_out(df: DataFrame, held: DataFrame, text: str = "text") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import rules
 from quarry.functions import text as T
-from quarry.operators import catalog, dedup, evaluate, fusion, generate, intent, labels, store, vectors
+from quarry.operators import catalog, dedup, evaluate, fusion, generate, intent, labels, render, store, vectors
 from quarry.operators.index import TextIndex, query_terms, top
 from quarry.plans import oracle as O
 from quarry.plans import pipelines
@@ -634,3 +634,85 @@ def mood_intents(spark, sf):
 def advanced_pipeline(spark, sf):
     out = pipelines.advanced(index(spark, sf), table(spark, sf, "embeddings"), docs(spark, sf), ASKED, vector(spark, sf, 0), vector(spark, sf, 1), 50, overlap_score(F.col("overview"), TERMS), dark=fusion.is_dark(F.col("overview"), F.col("genres"), phrases=WORDS))
     return out.select("id", "semantic_rrf", "final_score", "dark", "pos")
+
+
+# --- rendering and checks ---
+
+
+@query("select doc_id, md5('Title: ' || trim(split_part(text, chr(10), 1)) || ' (' || (1950 + doc_id % 70) || '). Genres: ' || lang || '. Overview: ' || trim(text)[1:600] || ' Keywords: ' || source) as document from documents")
+def rerank_documents(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", F.md5(render.rerank_document(F.split("text", "\n").getItem(0), (1950 + F.col("doc_id") % 70).cast("int"), F.col("lang"), F.lit(""), F.col("text"), F.col("source"))).alias("document"))
+
+
+@query("select doc_id, md5('Query: x' || chr(10) || 'Text: ' || text || chr(10) || 'Source: ' || source || '.') as prompt, '1. ' || lang || chr(10) || '2. ' || source as listed from documents")
+def prompts(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", F.md5(render.prompt("Query: x\nText: {text}\nSource: {source}.", text=F.col("text"), source=F.col("source"))).alias("prompt"), render.numbered(F.array("lang", "source")).alias("listed"))
+
+
+@query("""select doc_id, '{"lang":"' || lang || '","n_chars":' || n_chars || ',"source":"' || source || '"}' as line from documents""")
+def canonical_json(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", render.canonical(F.struct("lang", "n_chars", "source")).alias("line"))
+
+
+REPLIES = [(1, '{"grade": 2, "confidence": "high", "reason": " good  fit "}'), (2, "no json"), (3, "[1]"), (4, '{"grade": 7, "confidence": "high", "reason": "x"}'), (5, '{"grade": 1, "confidence": "sure", "reason": "x"}'), (6, '{"grade": 1, "confidence": "low"}'), (7, 'Sure: {"grade": 1, "confidence": "low", "reason": "ok"} done'), (8, '{"grade": true, "confidence": "low", "reason": "x"}')]
+
+
+@query("select * from (values (1, 2, 'high', 'good fit', true), (2, null, 'low', 'json_parse_error', true), (3, null, 'low', 'json_parse_error: response is not an object', true), (4, null, 'low', 'invalid grade', true), (5, null, 'low', 'invalid confidence', true), (6, null, 'low', 'invalid reason', true), (7, null, 'low', 'json_parse_error', true), (8, null, 'low', 'invalid grade', true)) t(id, grade, confidence, reason, ok)")
+def grade_replies(spark, sf):
+    df = spark.createDataFrame(REPLIES, "id int, reply string").withColumn("g", render.grade_reply(F.col("reply")))
+    return df.select("id", "g.grade", "g.confidence", "g.reason", (F.col("g.failure").isNull() == F.col("g.grade").isNotNull()).alias("ok"))
+
+
+@query("select * from (values (1, 2), (2, null), (3, null), (4, 7), (5, 1), (6, 1), (7, 1), (8, null)) t(id, grade)")
+def extracted_objects(spark, sf):
+    df = spark.createDataFrame(REPLIES, "id int, reply string")
+    return df.select("id", render.extract_object(F.col("reply"), "grade int")["grade"].alias("grade"))
+
+
+@query("select doc_id, case when length(trim(text)) between 30 and 800 then trim(text) else '' end as document from documents")
+def hypothetical_documents(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", render.hypothetical(F.col("text")).alias("document"))
+
+
+@query("select doc_id, not len(list_filter(list_filter(regexp_split_to_array(lower(trim(text)), '\\s+')[1:30], lambda w: length(w) > 4), lambda w: contains('a great movie with their then reason', w))) > 0 as unsupported from documents")
+def generic_explanations(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", render.unsupported(F.lit("A great movie with their then reason"), F.trim("text")).alias("unsupported"))
+
+
+@query(f"with {RANKED}, n as (select qid, mode, count(*) as n, count(distinct id // 2) as k, count(case when id % 3 > 0 then 1 end) as f from ranked group by all) select qid, mode, concat_ws(',', case when n < 3 then 'too few' end, case when k < n then 'duplicate keys' end, case when f < n then 'missing final_score' end, case when mode = 'hybrid' then 'no rrf_score' end) as problems from n where n < 3 or k < n or f < n or mode = 'hybrid'")
+def result_health(spark, sf):
+    rows = ranked(spark, sf).select("qid", "mode", F.expr("cast(id div 2 as string)").alias("movie_key"), F.when(F.col("id") % 3 > 0, 1.0).alias("final_score"), F.lit(None).cast("double").alias("rrf_score"), F.lit(1.0).alias("rerank_score"))
+    return render.health(rows, 10).withColumn("problems", F.array_join("problems", ","))
+
+
+@query(f"with {RANKED} select qid, id, mode, rank, case when rank % 2 = 0 then rank / 10.0::double else 0.0::double end as score from ranked")
+def evidence_round_trip(spark, sf):
+    rows = ranked(spark, sf).withColumn("score", F.when(F.col("rank") % 2 == 0, F.col("rank") / 10.0))
+    return render.from_modes(render.to_modes(rows, evaluate.MODES))
+
+
+@query(f"with {RANKED} select qid, mode, id from rows where rank < 5 and grade is null")
+def unjudged_top(spark, sf):
+    return render.unjudged_top(judged(spark, sf))
+
+
+@query("with v(category, w1, w2) as (values ('despair_sad', 'blue', 'low'), ('fear', 'afraid', 'scared'), ('hopeful', 'bright', 'keen')), m(category, d1, d2) as (values ('despair_sad', 'warm', 'heartwarming'), ('fear', 'warm', 'lighthearted'), ('hopeful', 'inspiring', 'uplifting')), p(category, plot) as (values ('despair_sad', 'a heist'), ('fear', 'a trip'), ('hopeful', 'a duel')) select 'feeling ' || w1 || ' and ' || w2 || ', want something ' || d1 || ' and ' || d2 as query, 'mood' as mode, category as categories from v join m using (category) union all select 'feeling ' || w1 || ', in the mood for ' || plot, 'hybrid', category from v join p using (category) union all values ('feeling blue but also afraid', 'mood', 'despair_sad,fear'), ('feeling afraid but also bright', 'mood', 'fear,hopeful')")
+def mood_queries(spark, sf):
+    vocab = spark.createDataFrame([("despair_sad", 0, "blue"), ("despair_sad", 1, "low"), ("fear", 0, "afraid"), ("fear", 1, "scared"), ("hopeful", 0, "bright"), ("hopeful", 1, "keen")], "category string, n int, word string")
+    moods = spark.createDataFrame([(k, list(v[0])) for k, v in rules.MOOD_MAP.items()], "category string, desired array<string>")
+    plots = spark.createDataFrame([(0, "a heist"), (1, "a trip"), (2, "a duel")], "i int, plot string")
+    return generate.mood_queries(vocab, moods, plots).withColumn("categories", F.array_join("categories", ","))
+
+
+@query("with w(category, word) as (values ('fear', 'icy'), ('stressed_tense', 'knotted'), ('stressed_tense', 'tense'), ('tender', 'achy')) select category, word, 'my whole body feels ' || word as text from w where word in ('knotted', 'achy') union all select category, word, 'an ' || word || ' feeling under my skin' from w where word = 'icy' union all select category, word, 'my back feels ' || word from w where word = 'knotted'")
+def body_sentences(spark, sf):
+    words = spark.createDataFrame([("fear", "icy"), ("stressed_tense", "knotted"), ("stressed_tense", "tense"), ("tender", "achy")], "category string, word string")
+    forms = {"*whole": "my whole body feels {}", "skin": "{an} feeling under my skin", "back": "my back feels {}"}
+    return generate.body_sentences(words, {"*whole": ["icy"], "skin": ["icy"], "back": ["knotted"]}, forms)
+
+
+@query("select doc_id, array_to_string(list_filter(['idiot', 'the and', 'clown'], lambda t: contains(' ' || regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g') || ' ', ' ' || t || ' ')), ',') as leaked from documents")
+def term_leaks(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.array_join(generate.leaks(F.col("text"), F.array(*[F.lit(t) for t in ("idiot", "the and", "clown")])), ",").alias("leaked"))

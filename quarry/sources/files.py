@@ -28,7 +28,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def jsonl_errors(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """(path, line, error) of lines that aren't JSON objects of the schema. Lines are numbered in their file; files of line-delimited records are read whole to number them."""
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     lines = files.select("path", F.posexplode(F.split("value", r"\r?\n")).alias("i", "line")).where(F.trim("line") != "")
     parsed = lines.withColumn("row", F.from_json("line", schema + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
     bad = F.when(~F.trim("line").startswith("{"), "not an object").when(F.col("row").isNull() | F.col("row._bad").isNotNull(), "invalid JSON or types")
