@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def best_merge(df: DataFrame, key: str, prefer: Column, pos: str, fill: dict, scores: tuple[str, ...] = ()) -> DataFrame:
-    """One row for each key: the one of greatest preference, the earliest among equals. Its empty fields (`fill`: field -> empty value) and missing scores come from the next best rows. The position is the key's first."""
-    w = Window.partitionBy(key).orderBy(prefer.desc_nulls_last(), F.col(pos))
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    own = lambda n, e: F.coalesce(F.first(F.nullif(F.col(n), F.lit(e)), ignorenulls=True).over(whole), F.col(n))
-    out = df.withColumns({n: own(n, e) for n, e in fill.items()} | {n: F.first(F.col(n), ignorenulls=True).over(whole) for n in scores} | {"__n": F.row_number().over(w), "__first": F.min(pos).over(Window.partitionBy(key))})
-    return out.where("__n = 1").withColumn(pos, F.col("__first")).drop("__n", "__first")
+    """One row for each key: the one of greatest preference, the earliest among equals. Its empty fields (`fill`: field -> empty value) and missing scores come from the next best rows. The position is the key's first.
+
+    Aggregates only: rows of a key are combined before the shuffle, so a hot key costs no more than others.
+    """
+    names = df.columns
+    order = F.struct(prefer.isNotNull(), prefer, -F.col(pos))
+    best = lambda c, cond: F.max_by(F.when(cond, c), F.when(cond, order))
+    rows = df.groupBy(key).agg(
+        F.max_by(F.struct(*[F.col(n).alias(n) for n in names if n != key]), order).alias("__v"), F.min(pos).alias("__first"),
+        *[best(F.col(n), F.col(n).isNotNull() & (F.col(n) != e)).alias(f"__{n}") for n, e in fill.items()], *[best(F.col(n), F.col(n).isNotNull()).alias(f"__{n}") for n in scores],
+    )
+    own = {pos: F.col("__first")} | {n: F.coalesce(f"__{n}", f"__v.{n}") for n in (*fill, *scores)}
+    return rows.select(*[F.col(n) if n == key else own.get(n, F.col(f"__v.{n}")).alias(n) for n in names])
 
 
 def duplicates(df: DataFrame, key: Column, name: str = "key") -> DataFrame:

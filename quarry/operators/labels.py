@@ -6,22 +6,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def rule_tags(catalog: DataFrame, rules: DataFrame, id_: str, genres: Column, text: Column, order: str = "id") -> DataFrame:
-    """(id, tags): sorted distinct tags of all rules that fit. rules: match_type, pattern, add.
+def rule_tags(catalog: DataFrame, rules: DataFrame, id_: str, genres: Column, text: Column, few: int = 2000) -> DataFrame:
+    """(id, tags) for every row: sorted distinct tags of all rules that fit. rules: match_type ('genre': one of the row's genres, 'keyword': contained in its text), pattern, add.
 
-    Genre rules join on the exploded genre; keyword rules are found by their first word, which must be a word of the text, and then compared with the whole text: an equi-join, not every row with every rule.
+    Up to `few` rules (they are counted) travel as one literal array and are tested in the row: no shuffle. More rules are joined: genre rules on the exploded genre, keyword rules on their first word.
     """
+    head = rules.select("match_type", "pattern", "add").limit(few + 1).collect()
+    if len(head) <= few:
+        strings = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
+        table = lambda kind: F.array(*[F.struct(F.lit(r["pattern"]).alias("pattern"), strings(r["add"]).alias("add")) for r in head if r["match_type"] == kind]).cast("array<struct<pattern:string,add:array<string>>>")
+        own = catalog.select(id_, F.transform(genres, lambda g: F.lower(F.trim(g))).alias("__g"), F.lower(F.coalesce(text, F.lit(""))).alias("__t"))
+        hits = F.concat(F.filter(table("genre"), lambda r: F.array_contains(F.col("__g"), r["pattern"])), F.filter(table("keyword"), lambda r: F.contains(F.col("__t"), r["pattern"])))
+        return own.select(id_, F.array_sort(F.array_distinct(F.flatten(F.transform(hits, lambda r: r["add"])))).alias("tags"))
+    return _joined_tags(catalog, rules, id_, genres, text)
+
+
+def _joined_tags(catalog: DataFrame, rules: DataFrame, id_: str, genres: Column, text: Column) -> DataFrame:
+    """rule_tags() for many rules. A pattern may begin inside a word, so every part of a word that is as long as some rule's first word is looked up; the whole pattern is compared after that."""
     g = catalog.select(id_, F.explode(F.transform(genres, lambda x: F.lower(F.trim(x)))).alias("pattern")).distinct()
-    by_genre = g.join(F.broadcast(rules.where("match_type = 'genre'").select("pattern", "add")), "pattern").select(id_, F.explode("add").alias("tag"))
-    keyed = rules.where("match_type = 'keyword'").withColumn("w", F.regexp_extract("pattern", "[a-z0-9]+", 0))
+    by_genre = g.join(rules.where("match_type = 'genre'").select("pattern", "add"), "pattern").select(id_, F.explode("add").alias("tag"))
+    heads = rules.where("match_type = 'keyword'").select("pattern", "add", F.regexp_extract("pattern", "[a-z0-9]+", 0).alias("w")).withColumn("k", F.length("w"))
+    lengths = sorted(r[0] for r in heads.select("k").distinct().collect())  # lengths of words: few
     low = catalog.select(id_, F.lower(F.coalesce(text, F.lit(""))).alias("t"))
-    # a pattern may begin inside a word, so every suffix of every word is a possible first word: only as long ones as rules have
     words = low.select(id_, "t", F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit("[a-z0-9]+"), F.lit(0)))).alias("word"))
-    ends = words.select(id_, "t", F.explode(F.expr("transform(sequence(1, length(word)), i -> substring(word, i))")).alias("suffix"))
-    heads = keyed.select("pattern", "add", "w").withColumn("k", F.length("w"))
-    lengths = [r[0] for r in heads.select("k").distinct().collect()]  # lengths of words: few
-    starts = ends.select(id_, "t", F.explode(F.array(*[F.when(F.length("suffix") >= k, F.substring("suffix", 1, k)) for k in lengths])).alias("w")).where("w is not null").distinct() if lengths else ends.select(id_, "t", F.col("suffix").alias("w")).limit(0)
-    by_word = starts.join(F.broadcast(heads), "w").where(F.expr("contains(t, pattern)")).select(id_, F.explode("add").alias("tag"))
+    parts = F.flatten(F.transform(F.array(*[F.lit(k) for k in lengths]).cast("array<int>"), lambda k: F.when(F.length("word") >= k, F.transform(F.sequence(F.lit(1), F.length("word") - k + 1), lambda i: F.substring("word", i, k))).otherwise(F.array().cast("array<string>"))))
+    starts = words.select(id_, "t", F.explode(F.array_distinct(parts)).alias("w")).distinct()
+    by_word = starts.join(heads, "w").where(F.expr("contains(t, pattern)")).select(id_, F.explode("add").alias("tag"))
     tags = by_genre.union(by_word).distinct().groupBy(id_).agg(F.array_sort(F.collect_list("tag")).alias("tags"))
     return catalog.select(id_).distinct().join(tags, id_, "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
 

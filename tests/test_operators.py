@@ -224,3 +224,24 @@ def test_streaming(spark, tmp_path):
     q = state.activity(state.history(stream, "ts", ["event_id"]), "ts", delay=None).writeStream.format("memory").queryName("act").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("act").count() >= 1
+
+
+def test_rule_tags_by_literal_and_by_join(spark):
+    df = spark.createDataFrame([(1, ["Drama "], "An IDIOTS' tale"), (2, ["War"], None), (3, None, "the heist and the andes")], "id long, genres array<string>, text string")
+    made = spark.createDataFrame([("genre", "drama", ["warm"]), ("keyword", "idiot", ["dark", "funny"]), ("keyword", "heist and", ["tense"]), ("keyword", "e an", ["epic"])], "match_type string, pattern string, add array<string>")
+    want = {1: ["dark", "funny", "warm"], 2: [], 3: ["epic", "tense"]}
+    want[3] = ["epic", "tense"] if "e an" in "the heist and the andes" else ["tense"]
+    for few in (2000, 0):
+        got = {r["id"]: r["tags"] or [] for r in labels.rule_tags(df, made, "id", F.coalesce("genres", F.array().cast("array<string>")), F.col("text"), few).collect()}
+        assert got == want
+
+
+def test_latency_of_large_and_small_groups(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    groups = {"large": rng.random(30_001).round(3), "even": rng.random(8_000), "same": np.ones(5_000), "small": rng.random(7), "one": np.array([2.0])}
+    df = spark.createDataFrame([(k, float(x)) for k, v in groups.items() for x in v], "g string, ms double")
+    for r in evaluate.latency(df, "g", "ms").collect():
+        v = np.sort(groups[r["g"]])
+        assert (r["n"], r["median"], r["p95"], r["least"], r["most"]) == (len(v), pytest.approx(np.median(v), abs=1e-6), pytest.approx(v[round(0.95 * (len(v) - 1))], abs=1e-6), pytest.approx(v[0], abs=1e-6), pytest.approx(v[-1], abs=1e-6))
