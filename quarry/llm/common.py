@@ -20,16 +20,32 @@ def crc_mod_py(ids: list, n: int) -> np.ndarray:
     return np.array([zlib.crc32(b"" if x is None else str(x).encode()) % n for x in ids], dtype=np.int64)
 
 
+def trim() -> None:
+    """Gives a worker's free memory back to the system: workers live on from task to task beside the JVM."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict | Iterator[dict] | None]], schema: str) -> DataFrame:
     """mapInArrow with state per task: make() runs once in each task and returns a function from a batch to columns, or to several parts of columns one after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         step = make()
         for batch in batches:
             if batch.num_rows:
                 out = step(batch)
                 for part in () if out is None else (out,) if isinstance(out, dict) else out:
                     yield pa.RecordBatch.from_pydict(part)
+        del step
+        trim()
 
     return df.mapInArrow(run, schema)
 

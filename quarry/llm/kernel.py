@@ -129,7 +129,8 @@ class Table:
     def __init__(self, keys: np.ndarray) -> None:
         self.keys = keys
         self.bits = max(1, min(22, int(len(keys)).bit_length()))
-        self.start = np.searchsorted(keys, np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits)).astype(np.int32)
+        count = np.bincount((keys >> np.uint64(64 - self.bits)).astype(np.int32), minlength=1 << self.bits)
+        self.start = (np.cumsum(count) - count).astype(np.int32)
 
     def find(self, values: np.ndarray) -> np.ndarray:
         """Place of each value, or -1."""

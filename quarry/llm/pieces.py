@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.common import map_batches
-from quarry.llm.kernel import Kernel, Table, slices
+from quarry.llm.kernel import Kernel, Table, buffers, slices
 from quarry.session import stored
 
 HOT = 1 << 22
@@ -151,6 +151,13 @@ def normalised(column: pa.Array, prefix: bool) -> pa.Array:
     return pc.binary_join_element_wise(front, text, pa.scalar("", pa.large_string()))
 
 
+def text_slices(column: pa.Array, prefix: bool, limit: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """slices() of the normalised texts; only a slice at a time is normalised."""
+    for lo, hi, _, _ in slices(column, limit):
+        data, offsets = buffers(normalised(column.slice(lo, hi - lo), prefix))
+        yield lo, hi, data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
 def cut(data: np.ndarray, offsets: np.ndarray, together: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts of segments (with the end of the last), and the first segment of each row."""
     if not len(data):
@@ -181,12 +188,12 @@ def distinct_segments(texts: DataFrame, model: Model) -> DataFrame:
 
         def step(batch: pa.RecordBatch) -> Iterator[dict]:
             parts: list[tuple] = []
-            for _, _, data, offsets in slices(normalised(batch["text"], prefix)):
+            for _, _, data, offsets in text_slices(batch["text"], prefix):
                 starts, _ = cut(data, offsets, together)
                 if len(starts) > 1:
                     h, at, c = np.unique(kernel.spans(kernel.prefix(data), starts[:-1], starts[1:]), return_index=True, return_counts=True)
                     parts.append((h, c, *gather(starts, data, at)))
-                if len(parts) == 8:  # bounded: some MB of texts
+                if len(parts) == 12:  # bounded: some MB of texts
                     yield merged(parts)
                     parts = []
             if parts:
@@ -345,16 +352,21 @@ class Lookup:
 
     @staticmethod
     def of(rows: pa.Table, small: bool) -> Lookup:
-        ids = rows["ids"].combine_chunks()
-        ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
         keys = rows["key"].to_numpy().view(np.uint64)
-        offsets = ids.offsets.to_numpy().astype(np.int64)
-        flat = ids.values.to_numpy()
-        order = np.argsort(keys)
-        n = np.diff(offsets)[order]
-        first = np.zeros(len(n) + 1, np.int64)
+        kind = np.uint16 if small else np.int32
+        parts = rows["ids"].chunks or [pa.array([], pa.list_(pa.int32()))]
+        n = np.concatenate([np.diff(p.offsets.to_numpy()).astype(np.int32) for p in parts])
+        flat = np.concatenate([p.flatten().to_numpy(zero_copy_only=False).astype(kind) for p in parts])
+        del rows, parts
+        order = np.argsort(keys).astype(np.int32)
+        at = np.zeros(len(n) + 1, np.int32)  # fewer than 2^31 ids: bounded by the number of segments and their length
+        np.cumsum(n, out=at[1:])
+        n = n[order]
+        first = np.zeros(len(n) + 1, np.int32)
         np.cumsum(n, out=first[1:])
-        return Lookup(Table(keys[order]), first, flat[np.repeat(offsets[:-1][order] - first[:-1], n) + np.arange(first[-1])].astype(np.uint16 if small else np.int32))
+        where = np.repeat(at[:-1][order] - first[:-1], n)
+        where += np.arange(len(where), dtype=np.int32)
+        return Lookup(Table(keys[order]), first, flat[where])
 
 
 def hot_lookup(words: DataFrame, small: bool, most: int = HOT) -> tuple[Lookup, int | None]:
@@ -428,7 +440,7 @@ def _encoded(documents: DataFrame, model: Model, make_emit, schema: str, most: i
     shared = spark.sparkContext.broadcast(hot)
 
     def segments(batch: pa.RecordBatch, kernel: Kernel):
-        for lo, hi, data, offsets in slices(normalised(batch["text"], prefix)):
+        for lo, hi, data, offsets in text_slices(batch["text"], prefix):
             starts, first = cut(data, offsets, together)
             keys = kernel.spans(kernel.prefix(data), starts[:-1], starts[1:])
             yield lo, hi, keys, first, shared.value.table.find(keys)
