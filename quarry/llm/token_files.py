@@ -14,6 +14,7 @@ Defined cases: null and empty texts have the end id only; repeated rows and doc
 
 from __future__ import annotations
 
+import os
 import sys
 import types
 import zlib
@@ -30,7 +31,7 @@ from quarry.llm.kernel import Kernel, Table, slices
 from quarry.session import stored
 
 BLOCK = 2048
-SHARD = 2048 * BLOCK  # ids, about
+SHARD = 4096 * BLOCK  # ids, about
 SLOTS = 9  # log2 of a block's contexts of each order
 LIMIT = 2047
 _TOP, _BOTTOM, _WORD = np.uint64(1 << 48), np.uint64(1 << 40), np.uint64(16)
@@ -134,18 +135,20 @@ class _Lanes:
 
     def shift(self, n: int) -> Iterator[np.ndarray]:
         """Yields the lanes whose top word is settled, until there are none; the caller moves the word."""
+        lanes, low, rng = None, self.low[:n], self.range[:n]
         while True:
-            low, rng = self.low[:n], self.range[:n]
             settled = (low ^ (low + rng)) < _TOP
             short = (rng < _BOTTOM) & ~settled
-            at = np.flatnonzero(settled | short)
-            if not len(at):
+            here = np.flatnonzero(settled | short)
+            if not len(here):
                 return
-            s = at[short[at]]
-            self.range[s] = (~self.low[s] + np.uint64(1)) & (_BOTTOM - np.uint64(1))
+            at = here if lanes is None else lanes[here]
+            s = at[short[here]]
+            if len(s):
+                self.range[s] = (~self.low[s] + np.uint64(1)) & (_BOTTOM - np.uint64(1))
             yield at
-            self.low[at] <<= _WORD
-            self.range[at] <<= _WORD
+            lanes, low, rng = at, self.low[at] << _WORD, self.range[at] << _WORD
+            self.low[at], self.range[at] = low, rng
 
 
 def encode_ids(ids: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray, tuple]:
@@ -280,6 +283,7 @@ class Encoder:
     """Ids of texts by a tokenizers file (byte-level BPE). Texts are cut where the pre-tokenizer always begins a new word: before a single space or line end between two visible characters, after such a line end, and between ASCII letters, digits and symbols (but not after an apostrophe). Each distinct part is encoded by the library, and kept while there is room."""
 
     def __init__(self, path: str, most: int = 1 << 20) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.library, self.kernel, self.most = Tokenizer.from_file(path), Kernel(lower=False), most
@@ -297,7 +301,30 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.table, self.first, self.flat = Table(np.zeros(0, np.uint64)), np.zeros(1, np.int64), np.zeros(0, np.int32)
+        """Forgets all parts. They are kept in two sorted tables, an old one and a recent one, which is merged into the old when it has grown to a quarter of it."""
+        self.tables = [Table(np.zeros(0, np.uint64)), Table(np.zeros(0, np.uint64))]
+        self.first, self.flat = [np.zeros(1, np.int64), np.zeros(1, np.int64)], [np.zeros(0, np.int32), np.zeros(0, np.int32)]
+
+    def _merge(self, to: int, keys: np.ndarray, begin: np.ndarray, flat: np.ndarray) -> None:
+        keys = np.concatenate([self.tables[to].keys, keys])
+        size = np.concatenate([np.diff(self.first[to]), np.diff(begin)])
+        flat = np.concatenate([self.flat[to], flat])
+        at = np.append(0, np.cumsum(size))[:-1]
+        order = np.argsort(keys, kind="stable")
+        size = size[order]
+        self.first[to] = np.append(0, np.cumsum(size))
+        self.flat[to] = flat[np.repeat(at[order] - self.first[to][:-1], size) + np.arange(self.first[to][-1])]
+        self.tables[to] = Table(keys[order])
+
+    def keep(self, keys: np.ndarray, begin: np.ndarray, flat: np.ndarray) -> None:
+        """Adds new parts while there is room."""
+        old, recent = (len(t.keys) for t in self.tables)
+        if old + recent + len(keys) > self.most:
+            return
+        self._merge(1, keys, begin, flat)
+        if 4 * len(self.tables[1].keys) > old:
+            self._merge(0, self.tables[1].keys, self.first[1], self.flat[1])
+            self.tables[1], self.first[1], self.flat[1] = Table(np.zeros(0, np.uint64)), np.zeros(1, np.int64), np.zeros(0, np.int32)
 
     def cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Starts of parts, with the end of the last."""
@@ -317,7 +344,7 @@ class Encoder:
     def _encode(self, data: np.ndarray, starts: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(lengths, ids) of the parts at these places."""
         raw = data.tobytes()
-        got = [e.ids for e in self.library.encode_batch([raw[i:j].decode() for i, j in zip(starts[at].tolist(), starts[at + 1].tolist())], add_special_tokens=False)]
+        got = [e.ids for e in self.library.encode_batch_fast([raw[i:j].decode() for i, j in zip(starts[at].tolist(), starts[at + 1].tolist())], add_special_tokens=False)]
         n = np.fromiter(map(len, got), np.int64, len(got))
         return n, np.fromiter(chain.from_iterable(got), np.int32, int(n.sum()))
 
@@ -328,22 +355,21 @@ class Encoder:
             starts = self.cuts(data, offsets)
             first = np.searchsorted(starts[:-1], offsets)
             h = self.kernel.spans(self.kernel.prefix(data), starts[:-1], starts[1:])
-            runs = self.table.find(h)
+            # places in the old table, then the recent one, then the slice's own new parts, laid end to end
+            runs = self.tables[0].find(h)
             cold = np.flatnonzero(runs < 0)
-            begin, flat = self.first, self.flat
+            old = len(self.first[0]) - 1
+            there = self.tables[1].find(h[cold])
+            runs[cold] = np.where(there >= 0, old + there, -1)
+            begin = np.concatenate([self.first[0], self.first[0][-1] + self.first[1][1:]])
+            flat = np.concatenate([self.flat[0], self.flat[1]])
+            cold = cold[there < 0]
             if len(cold):
                 distinct, at, of = np.unique(h[cold], return_index=True, return_inverse=True)
                 n, got = self._encode(data, starts, cold[at])
-                known = len(begin) - 1
-                runs[cold] = known + of
+                runs[cold] = len(begin) - 1 + of
                 begin, flat = np.concatenate([begin, begin[-1] + np.cumsum(n)]), np.concatenate([flat, got])
-                if known + len(distinct) <= self.most:
-                    keys = np.concatenate([self.table.keys, distinct])
-                    order = np.argsort(keys, kind="stable")
-                    size = np.diff(begin)[order]
-                    self.first = np.append(0, np.cumsum(size))
-                    self.flat = flat[np.repeat(begin[:-1][order] - self.first[:-1], size) + np.arange(self.first[-1])]
-                    self.table = Table(keys[order])
+                self.keep(distinct, np.append(0, np.cumsum(n)), got)
             n = begin[runs + 1] - begin[runs]
             run_at = np.append(0, np.cumsum(n))
             ids = flat[np.repeat(begin[runs] - run_at[:-1], n) + np.arange(run_at[-1])]

@@ -263,7 +263,7 @@ def test_estimate_and_components(spark):
     common, x, y = (rng.integers(0, 1 << 63, 600).astype(np.uint64) for _ in range(3))
     sig = lambda s: neardup.pack(neardup.signature(np.unique(s), a, b)).astype(np.int64).tolist()
     df = spark.createDataFrame([(sig(np.concatenate([common, x])), sig(np.concatenate([common, y])))], "s array<long>, t array<long>")
-    assert df.select(neardup.estimate("s", "t")).first()[0] == pytest.approx(1 / 3, abs=0.09)
+    assert df.select(neardup.estimate("s", "t")).first()[0] == pytest.approx(1 / 3, abs=0.07)
     edges = spark.createDataFrame([(i, i + 1) for i in range(40) if i % 10 != 9] + [(3, 3), (7, 7)], "a long, b long")
     got = {r["node"]: r["component"] for r in components(edges).collect()}
     assert got == {i: i // 10 * 10 for i in range(40 + 1) if i != 40}
