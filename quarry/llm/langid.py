@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from quarry.llm.common import crc_mod, filter_batches, map_batches, sample_by_hash
 from quarry.llm.kernel import Kernel, mix, slices
 
-SLOT_BITS = 21
+SLOT_BITS = 22
 PROBES = 3
+_SPREAD = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 
 def grams(data: np.ndarray, offsets: np.ndarray, kernel: Kernel, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -41,7 +42,8 @@ def grams(data: np.ndarray, offsets: np.ndarray, kernel: Kernel, n: int) -> tupl
 
 
 def slots(h: np.ndarray) -> list[np.ndarray]:
-    return [((h >> np.uint64(j * SLOT_BITS)) & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64) for j in range(PROBES)]
+    """Places of n-gram hashes in a filter, one for each probe."""
+    return [((h * np.uint64(m | 1)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64) for m in _SPREAD[:PROBES]]
 
 
 @dataclass
@@ -54,15 +56,16 @@ class LanguageModel:
     prior: np.ndarray
     n: int
 
-    def predict(self, column: pa.Array, kernel: Kernel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(language number or -1, score, share of n-grams that the language has)."""
+    def predict(self, column: pa.Array, kernel: Kernel) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(language number or -1, score, share of n-grams that the language has, n-grams)."""
         count = len(self.languages)
-        best, score, share = np.full(len(column), -1), np.zeros(len(column)), np.zeros(len(column))
+        best, score, share, number = np.full(len(column), -1), np.zeros(len(column)), np.zeros(len(column)), np.zeros(len(column), np.int64)
         for lo, hi, data, offsets in slices(column):
             rows, h = grams(data, offsets, kernel, self.n)
             if not count:
                 continue
-            total = np.bincount(rows, minlength=hi - lo)
+            h &= ~np.uint64(1)  # as in training, where hashes travel as signed longs
+            total = number[lo:hi] = np.bincount(rows, minlength=hi - lo)
             at = slots(h)
             have = np.zeros((hi - lo, count))
             for word in range(self.table.shape[0]):
@@ -85,10 +88,10 @@ class LanguageModel:
         for i, text in enumerate(column.to_pylist()):
             if text is None or not letter.search(text):
                 best[i], score[i], share[i] = -1, 0.0, 0.0
-        return best, score, share
+        return best, score, share, number
 
 
-def train(documents: DataFrame, held_out_mod: int = 4, held_out_rest: int = 2, per_language: int = 1500, n: int = 4, least: float = 1e-5) -> LanguageModel:
+def train(documents: DataFrame, held_out_mod: int = 4, held_out_rest: int = 2, per_language: int = 1500, n: int = 4, least: float = 2e-6) -> LanguageModel:
     """Learns from about per_language training rows of each language (the documented bound). An n-gram enters a language's filter if it is at least the share `least` of the sampled n-grams and occurs in two documents or makes up the whole sample of a language with few rows."""
     known = documents.select("doc_id", "text", F.col("lang").alias("language")).where("language is not null and text is not null").where(crc_mod("doc_id", held_out_mod) != held_out_rest)
     seen = {r[0]: r[1] for r in known.groupBy("language").count().collect()}  # languages are few
@@ -130,18 +133,15 @@ def train(documents: DataFrame, held_out_mod: int = 4, held_out_rest: int = 2, p
         return LanguageModel([], table, np.zeros(0), np.zeros(0), n)
     need = F.create_map(*[F.lit(x) for k, v in size.items() for x in (k, max(1.0, least * v))])
     kept = counts.where(F.col("c") >= need[F.col("language")]).select("language", "gram")  # at most 1 / least n-grams a language
-    for r in kept.toLocalIterator():
-        pass_bits(table, r[0], r[1])
+    rows = kept.toArrow()
+    language, gram = rows["language"].to_numpy(), rows["gram"].to_numpy().view(np.uint64) << np.uint64(1)
+    for i in range(len(languages)):
+        for at in slots(gram[language == i]):
+            table[i // 64, at] |= np.uint64(1 << (i % 64))  # repeated places set the same bit
     noise = np.array([(((table[i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean()) ** PROBES for i in range(len(languages))])
     return LanguageModel(languages, table, noise, np.array([seen[x] for x in languages]) / sum(seen.values()), n)
 
 
-def pass_bits(table: np.ndarray, language: int, gram: int) -> None:
-    """Sets the language's bit in the n-gram's slots."""
-    for j in range(PROBES):
-        table[language // 64, (gram << 1 >> (j * SLOT_BITS)) & ((1 << SLOT_BITS) - 1)] |= np.uint64(1 << (language % 64))
-
-
 def predict(documents: DataFrame, model: LanguageModel, held_out_mod: int = 4, held_out_rest: int = 2) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
@@ -150,7 +150,7 @@ def predict(documents: DataFrame, model: LanguageModel, held_out_mod: int = 4, h
         kernel, names = Kernel(extra_separators=True), np.array([*shared.value.languages, "und"], dtype=object)
 
         def step(batch: pa.RecordBatch) -> dict:
-            best, score, _ = shared.value.predict(batch["text"], kernel)
+            best, score, _, _ = shared.value.predict(batch["text"], kernel)
             return {"doc_id": batch["doc_id"], "lang_pred": pa.array(names[best], pa.string()), "score": pa.array(score)}
 
         return step
@@ -159,16 +159,16 @@ def predict(documents: DataFrame, model: LanguageModel, held_out_mod: int = 4, h
     return out.select("doc_id", (crc_mod("doc_id", held_out_mod) == held_out_rest).alias("held_out"), "lang_pred", "score")
 
 
-def reject(documents: DataFrame, model: LanguageModel, least_share: float = 0.25) -> DataFrame:
-    """The rows, whole, that are in a learned language: those without letters, or with under least_share of their n-grams in the best language's filter, go."""
+def reject(documents: DataFrame, model: LanguageModel, least_share: float = 0.1, least_grams: int = 40) -> DataFrame:
+    """The rows, whole, that are in a learned language. Those without letters go, and those with under least_share of their n-grams in the best language's filter, if they have n-grams enough to tell."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def make():
         kernel = Kernel(extra_separators=True)
 
         def step(batch: pa.RecordBatch) -> np.ndarray:
-            best, _, share = shared.value.predict(batch["text"], kernel)
-            return (best >= 0) & (share >= least_share)
+            best, _, share, n = shared.value.predict(batch["text"], kernel)
+            return (best >= 0) & ((share >= least_share) | (n < least_grams))
 
         return step
 
