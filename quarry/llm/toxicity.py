@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import crc_mod, filter_batches, map_batches, sample_by_hash
-from quarry.llm.kernel import Kernel, mix, slices
+from quarry.llm.kernel import Kernel, slices
 
 BUCKET_BITS = 20
 
@@ -68,13 +68,14 @@ def fit_arrays(docs: list[np.ndarray], y: np.ndarray, sizes: tuple[int, ...], ke
     """Fits on distinct buckets of each document."""
     m = 1 << BUCKET_BITS
     weights = np.zeros(m, np.float32)
-    share = float(y.mean()) if len(y) else 0.5
+    if not len(y):
+        return ToxicityModel(weights, 0.0, sizes)
+    share = float(y.mean())
     if not 0 < share < 1:
         share = min(max(share, 1e-3), 1 - 1e-3)
         return ToxicityModel(weights, float(np.log(share / (1 - share))), sizes)
-    flat, row = np.concatenate(docs).astype(np.int64), np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-    pos = np.bincount(flat[y[row] == 1], minlength=m).astype(float)
-    neg = np.bincount(flat[y[row] == 0], minlength=m).astype(float)
+    counted = lambda own: np.bincount(np.concatenate([d for d, t in zip(docs, y) if t == own]), minlength=m).astype(float)
+    pos, neg = counted(1), counted(0)
     n1, n0 = float((y == 1).sum()), float((y == 0).sum())
     p, q = (pos + alpha) / (n1 + 2 * alpha), (neg + alpha) / (n0 + 2 * alpha)  # document frequencies of presence
     ratio = np.log(p / q)
@@ -83,13 +84,13 @@ def fit_arrays(docs: list[np.ndarray], y: np.ndarray, sizes: tuple[int, ...], ke
     z = np.abs(p - q) / np.sqrt(pool * (1 - pool) * (1 / n1 + 1 / n0) + 1e-12)
     z[(pos + neg) < 3] = 0
     chosen = np.argsort(-z, kind="stable")[:keep]
-    chosen = chosen[z[chosen] > 3.0]
+    chosen = chosen[z[chosen] > 4.0]
     if not len(chosen):
         return ToxicityModel(weights, float(np.log(share / (1 - share))), sizes)
-    place = np.full(m, -1)
+    place = np.full(m, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
-    held = place[flat] >= 0
-    r, c = row[held], place[flat[held]]
+    kept = [p[p >= 0] for p in (place[d] for d in docs)]  # only the chosen buckets of each document
+    r, c = np.repeat(np.arange(len(docs)), [len(k) for k in kept]), np.concatenate(kept)
     x = ratio[chosen][c]
     beta, bias = np.zeros(len(chosen)), float(np.log(share / (1 - share)))
     # each document's features are weighted as x * r; Adam on the full batch
