@@ -1,11 +1,11 @@
 """Near-duplicate groups by b-bit MinHash over five-word shingle sets, exact links, connected components.
 
-1. One pass over the texts: every document's shingle set (64-bit shingle hashes), a 128-bit key of the whole set, 768 minima; of the minima the low 4 bits are packed into 48 longs, and the first 384 full minima are hashed into 64 bands of 6 rows.
+1. One pass over the texts: every document's shingle set (64-bit shingle hashes), a 128-bit key of the whole set, 384 minima; of the minima the low 4 bits are packed into 24 longs, and the full minima are hashed into 64 bands of 6 rows.
 2. Documents with the same set are one class; only a class's smallest id goes on.
 3. Candidates: within a band bucket every class meets one class of the bucket, chosen at random by bucket, so a bucket of n classes gives n - 1 pairs. The packed bits' collision-corrected similarity drops the clearly different ones; the rest are confirmed on the full sets.
 4. Components of these links. Buckets that then hold classes of more than one component are finished exactly: every class outside the bucket's largest component meets the bucket's classes of other components. Classes of one component need no further test, as they are linked already; so no link between different components is lost, and no pairs are made within a group of copies.
 
-With 64 bands of 6 rows, a pair at similarity 0.75 shares no bucket with probability 4e-6, at 0.8 with 5e-9; the bits drop it with probability 2e-6, at 0.8 with less than 1e-9.
+With 64 bands of 6 rows, a pair at similarity 0.75 shares no bucket with probability 4e-6, at 0.8 with 5e-9; the bits drop it with probability 7e-6, at 0.8 with less than 1e-9.
 The full sets are computed for documents in candidate pairs only; a bit table of fixed greatest size keeps most other texts from being hashed and shuffled again.
 A document without words has the empty set and is linked with nothing. Null texts count as empty. Rows that repeat a doc_id are one node with several sets. Equal sets in any number form one class; an empty table gives no rows; other columns are not read.
 """
@@ -22,11 +22,11 @@ from quarry.llm.components import components
 from quarry.llm.kernel import Kernel, mix, shingles, slices
 from quarry.session import stored
 
-HASHES, BANDS, ROWS, BITS = 768, 64, 6, 4
+HASHES, BANDS, ROWS, BITS = 384, 64, 6, 4
 LONGS = HASHES * BITS // 64
 BLOOM_BITS = 27  # of the bit table, at most
 THRESHOLD = 75  # per cent
-SLACK = 0.075  # a pair whose estimate is as far under the threshold is not confirmed: 4.6 standard deviations at the threshold
+SLACK = 0.10  # a pair whose estimate is as far under the threshold is not confirmed: over 4 standard deviations at the threshold
 
 
 def _seeds() -> tuple[np.ndarray, np.ndarray]:
