@@ -54,10 +54,13 @@ def filter_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch],
     """Rows of df, with all their columns, for which the function made by make() is true."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         step = make()
         for batch in batches:
             if batch.num_rows:
                 yield batch.filter(pa.array(step(batch)))
+        del step
+        trim()
 
     return df.mapInArrow(run, df.schema)
 

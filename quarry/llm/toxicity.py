@@ -55,7 +55,7 @@ class ToxicityModel:
 
     def score(self, column: pa.Array, kernel: Kernel) -> np.ndarray:
         out = np.full(len(column), self.bias)
-        for lo, hi, data, offsets in slices(column):
+        for lo, hi, data, offsets in slices(column, 1 << 19):
             rows, buckets = ngram_buckets(data, offsets, kernel, self.sizes)
             w = self.weights[buckets]
             hit = np.flatnonzero(w)
@@ -114,7 +114,7 @@ def features(df: DataFrame, text: str, label: str, sizes: tuple[int, ...]) -> Da
 
         def step(batch: pa.RecordBatch) -> dict:
             out = []
-            for lo, hi, data, offsets in slices(batch[text]):
+            for lo, hi, data, offsets in slices(batch[text], 1 << 19):
                 rows, buckets = ngram_buckets(data, offsets, kernel, sizes)
                 pairs = np.unique((rows.astype(np.int64) << BUCKET_BITS) | buckets)
                 at = np.searchsorted(pairs >> BUCKET_BITS, np.arange(hi - lo + 1))
