@@ -1,17 +1,22 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-Symbols are words (A-Z lower-cased) and one end mark a document. The tree's contexts are sequences of up to three preceding symbols (a start mark included) whose share of all training tokens is at least P_MIN; so it has at most 1 / P_MIN nodes of each length, whatever the corpus, and may be broadcast.
+Symbols are words (A-Z lower-cased) and one end mark a document. The tree holds every sequence of up to four symbols (a start mark included) that occurs LEAST times in the training documents; its contexts are sequences of up to three. LEAST is a fixed count, so what is learned grows with the corpus.
 A context is retained if a divergence test finds that its next-symbol distribution differs from that of its longest retained suffix by more nats over the corpus than its parameters cost. Distributions are smoothed towards the suffix's: P(s|c) = (N(c,s) + (N(c) - N'(c) + T(c)) P(s|suffix)) / (N(c) + T(c)), with N' and T the count and number of the kept next symbols. The root gives known symbols (1 - u) c / N and the unknown symbol u, the share of tokens that occur once.
 A token is scored in the longest retained state of its past.
 
-Counts of tokens, pairs and longer sequences cover all training documents and are summed by shuffles. Counts of the K most frequent tokens are broadcast (K = 2^22 at most, by a threshold over a histogram of 64 numbers); all other tokens meet their counts in a join.
+All suffixes and prefixes of a sequence in the tree are in the tree, so a document's score is a sum over its sequences: the root's log P of each token, and for each sequence x in the tree a weight, log P(x) - log P(suffix of x) - B(prefix of x) if its prefix is retained, plus B(x), the log weight of the suffix in x if x is retained as a context.
+Counts and weights are stored tables that meet documents in joins by key, 64-bit hashes of the sequences. Counts of the K most frequent tokens and weights of the K most frequent sequences are broadcast (K = 2^22 at most, by a threshold over a histogram of 64 numbers), and a bit table of fixed size, which spares sequences that can't be in a table the shuffle.
 
 Defined cases: null and empty texts are one end mark; with no training documents every token is unknown with probability 1; repeated rows are scored each; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+import gc
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -19,13 +24,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import crc_mod, map_batches
-from quarry.llm.kernel import Kernel, Table, slices
+from quarry.llm.common import crc_mod, map_batches, trim
+from quarry.llm.kernel import Kernel, Table, mix, slices
 from quarry.session import stored
 
 END = np.uint64(0x5851F42D4C957F2D)
-P_MIN = 1e-5
+START = np.uint64(0x14057B7EF767814F)
+LEAST = 2
 DEPTH = 3
+FILTER_BITS = 27
 HOT = 1 << 22
 COST = 3.0  # nats that each parameter of a retained context must save
 
@@ -53,7 +60,7 @@ def lookup(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Tree:
-    """Frequent sequences by length. symbols: sorted hashes; levels[L - 2]: sorted keys (prefix node << 20 | symbol) of sequences of length L; the start mark is symbol len(symbols)."""
+    """The tree in memory, for less than 2^20 symbols: frequent sequences by length. symbols: sorted hashes; levels[L - 2]: sorted keys (prefix node << 20 | symbol) of sequences of length L; the start mark is symbol len(symbols)."""
 
     symbols: np.ndarray
     root_share: np.ndarray | None = None  # P of each symbol (1 for the start mark) at the root
@@ -166,14 +173,22 @@ def grow(tree: Tree, counts: list[np.ndarray], starts: int) -> None:
         chance.append(p)
 
 
-def train(documents: DataFrame, depth: int = DEPTH, p_min: float = P_MIN) -> tuple[Tree, DataFrame, dict]:
-    """The tree, the table of all tokens' counts, and N, V and u. documents: the training rows."""
+def root(documents: DataFrame) -> tuple[DataFrame, dict]:
+    """The table of all tokens' counts, and N, V and u."""
     counts = stored(token_counts(documents))
     n, v, once = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") == 1)).first()
-    stats = {"n": n, "v": v, "u": min(max(once / max(n, 1), 1 / (n + v + 1)), 0.5) if n else 1.0}
-    least = max(2, p_min * n)
+    return counts, {"n": n, "v": v, "u": min(max(once / max(n, 1), 1 / (n + v + 1)), 0.5) if n else 1.0}
+
+
+def train(documents: DataFrame, depth: int = DEPTH, p_min: float = 0.0) -> tuple[Tree, DataFrame, dict]:
+    """The tree in memory, the table of all tokens' counts, and N, V and u. documents: the training rows. score() doesn't need it: it is what weights() is compared with."""
+    counts, stats = root(documents)
+    n = stats["n"]
+    least = max(LEAST, p_min * n)
     starts = documents.count() if n else 0
-    frequent = counts.where((F.col("c") >= least) | (F.col("key") == F.lit(int(END.view(np.int64))))).toArrow()  # at most 1 / p_min + 1 rows
+    frequent = counts.where((F.col("c") >= least) | (F.col("key") == F.lit(int(END.view(np.int64))))).toArrow()
+    if frequent.num_rows >= 1 << 20:
+        raise ValueError("too many symbols for a tree in memory")
     h, c = frequent["key"].to_numpy().view(np.uint64), frequent["c"].to_numpy()
     order = np.argsort(h)
     tree = Tree(h[order])
@@ -182,7 +197,7 @@ def train(documents: DataFrame, depth: int = DEPTH, p_min: float = P_MIN) -> tup
     for length in range(2, depth + 2):
         if not n:
             break
-        rows = sequence_counts(documents, tree, length).where(F.col("c") >= least).toArrow()  # at most 1 / p_min rows
+        rows = sequence_counts(documents, tree, length).where(F.col("c") >= least).toArrow()
         key, c = rows["key"].to_numpy(), rows["c"].to_numpy()
         if not len(key):
             break
@@ -193,37 +208,209 @@ def train(documents: DataFrame, depth: int = DEPTH, p_min: float = P_MIN) -> tup
     return tree, counts, stats
 
 
-def hot_counts(counts: DataFrame, frequent: float, most: int = HOT) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and counts of the most frequent tokens: at most `most`, and all of the tree's symbols."""
+def sequences(h: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each length from 1: rows, keys, and keys of the prefix and the suffix (none for length 1) of all sequences, with a start mark before each row."""
+    rows = np.repeat(np.arange(len(at) - 1), np.diff(at) + 1)
+    place = np.arange(len(rows)) - (at[:-1] + np.arange(len(at) - 1))[rows]
+    key = np.full(len(rows), START, np.uint64)
+    key[place > 0] = h
+    none = np.zeros(0, np.uint64)
+    yield rows, key, none, none
+    last, length = np.arange(len(rows)), 1
+    while True:
+        ok = place[last] >= length
+        ok[:1] = False
+        suffix, prefix = key[ok], key[np.flatnonzero(ok) - 1]
+        last, length = last[ok], length + 1
+        key = joined_key(prefix, suffix, length)
+        yield rows[last], key, prefix, suffix
+
+
+class Filter:
+    """Bit table of a stored table's keys: has() is true for all of them, and for few others while they are fewer than its bits."""
+
+    def __init__(self, keys: DataFrame) -> None:
+        bit = F.shiftrightunsigned("key", 64 - FILTER_BITS)
+        words = keys.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))).alias("bits")).toArrow()  # at most 2^(FILTER_BITS - 6) rows
+        self.words = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+        self.words[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        bit = keys >> np.uint64(64 - FILTER_BITS)
+        return (self.words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) > 0
+
+
+def together(df: DataFrame, keys: list[str], make: Callable[[dict], dict], schema: str) -> DataFrame:
+    """make() of the columns of all rows of a partition, after rows with equal keys have been brought together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
+        parts = [b for b in batches if b.num_rows]
+        if parts:
+            rows = pa.Table.from_batches(parts)
+            del parts
+            out = pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in make({x: rows[x].to_numpy() for x in rows.column_names}).items()})
+            del rows
+            yield from (out.slice(i, 1 << 16) for i in range(0, out.num_rows, 1 << 16))
+        trim()
+
+    return df.repartition(*keys).mapInArrow(run, schema)
+
+
+def joined_key(prefix: np.ndarray, suffix: np.ndarray, length: int) -> np.ndarray:
+    """Key of the sequence of this length with these keys of its prefix and suffix."""
+    return mix(prefix.view(np.uint64) * np.uint64(0x9FB21C651E98DF25) + mix(suffix.view(np.uint64) + np.uint64(length)))
+
+
+def pair_counts(documents: DataFrame, shorter: Filter, length: int, least: float) -> DataFrame:
+    """(prefix, suffix, c) of the sequences of this length that occur so often and whose parts are in the tree."""
+    shared = documents.sparkSession.sparkContext.broadcast(shorter)
+
+    def make():
+        kernel = Kernel()
+
+        def counted(parts: list) -> dict:
+            key, prefix, suffix = (np.concatenate(x) for x in zip(*parts))
+            _, first, c = np.unique(key, return_index=True, return_counts=True)
+            return {"prefix": pa.array(prefix[first].view(np.int64)), "suffix": pa.array(suffix[first].view(np.int64)), "c": pa.array(c)}
+
+        def step(batch: pa.RecordBatch) -> Iterator[dict]:
+            parts, held = [], 0
+            for _, _, h, at in tokens(batch["text"], kernel):
+                _, key, prefix, suffix = next(islice(sequences(h, at), length - 1, None))
+                ok = shared.value.has(prefix)
+                ok[ok] = shared.value.has(suffix[ok])
+                parts.append((key[ok], prefix[ok], suffix[ok]))
+                held += len(parts[-1][0])
+                if held > 1 << 21:
+                    yield counted(parts)
+                    parts, held = [], 0
+            if held:
+                yield counted(parts)
+
+        return step
+
+    def summed(rows: dict) -> dict:
+        key = joined_key(rows["prefix"], rows["suffix"], length)
+        order = np.argsort(key)
+        start = np.flatnonzero(np.append(True, np.diff(key[order]) != 0))
+        c = np.add.reduceat(rows["c"][order], start)
+        often = np.flatnonzero(c >= least)
+        at = order[start[often]]
+        return {"prefix": rows["prefix"][at], "suffix": rows["suffix"][at], "c": c[often]}
+
+    schema = "prefix long, suffix long, c long"
+    return together(map_batches(documents.select("text"), make, schema), ["prefix", "suffix"], summed, schema)
+
+
+def with_lower(rows: DataFrame, level: DataFrame, length: int) -> DataFrame:
+    """(at, key, c, q): prefix, key and count of each sequence, and P of its last symbol after its suffix's past."""
+
+    def found(rows: dict) -> dict:
+        own = rows["c"] > 0
+        known = np.flatnonzero(~own)
+        known = known[np.argsort(rows["at"][known])]
+        at = lookup(rows["at"][known], rows["at"][own])
+        own = np.flatnonzero(own)[at >= 0]  # all but those that only the filter let through
+        prefix = rows["prefix"][own]
+        return {"at": prefix, "key": joined_key(prefix, rows["at"][own], length).view(np.int64), "c": rows["c"][own], "q": rows["q"][known[at[at >= 0]]]}
+
+    both = rows.select(F.col("suffix").alias("at"), "prefix", "c", F.lit(-1.0).alias("q")).unionByName(level.select(F.col("key").alias("at"), F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("c"), "q"))
+    return together(both, ["at"], found, "at long, key long, c long, q double")
+
+
+def judged(rows: DataFrame, level: DataFrame) -> DataFrame:
+    """(key, c, q, w): the sequences with P of their last symbol and their weights; and the retained contexts with q = -1."""
+
+    def test(rows: dict) -> dict:
+        own = rows["q"] >= 0
+        at, n = rows["at"][~own], rows["c"][~own]
+        order = np.argsort(at)
+        at, n = at[order], n[order].astype(float)
+        of = lookup(at, rows["at"][own])
+        own = np.flatnonzero(own)[of >= 0]
+        of = of[of >= 0]
+        c, lower = rows["c"][own], rows["q"][own]
+        kept, kinds = np.bincount(of, c, len(at)), np.bincount(of, minlength=len(at)).astype(float)
+        back = (np.maximum(n - kept, 0) + kinds) / np.maximum(n + kinds, 1)
+        p = (c + back[of] * (n + kinds)[of] * lower) / (n + kinds)[of]
+        gain = np.bincount(of, p * np.log(p / lower), len(at))
+        log_back = np.log(np.maximum(back, 1e-300))
+        divergence = gain + np.maximum(1 - np.bincount(of, p, len(at)), 0) * log_back
+        retained = (kinds > 0) & (n * divergence >= COST * (kinds + 1))
+        w = np.where(retained[of], np.log(p) - np.log(lower) - log_back[of], 0.0)
+        return {
+            "key": np.concatenate([rows["key"][own], at[retained]]), "c": np.concatenate([c, n[retained].astype(np.int64)]),
+            "q": np.concatenate([np.where(retained[of], p, lower), np.full(retained.sum(), -1.0)]), "w": np.concatenate([w, log_back[retained]]),
+        }
+
+    both = rows.unionByName(level.select(F.col("key").alias("at"), F.lit(0).cast("long").alias("key"), "c", F.lit(-1.0).alias("q")))
+    return together(both, ["at"], test, "key long, c long, q double, w double")
+
+
+def weights(documents: DataFrame, counts: DataFrame, stats: dict, depth: int = DEPTH, p_min: float = 0.0) -> DataFrame:
+    """Stored (key, c, w): count and weight of every sequence of the tree whose weight isn't 0. documents: the training rows."""
+    spark, n = documents.sparkSession, stats["n"]
+    parts = [spark.createDataFrame([], "key long, c long, w double")]
+    least = max(LEAST, p_min * n)
+    level = counts.where((F.col("c") >= least) | (F.col("key") == F.lit(int(END.view(np.int64))))).select("key", "c", (F.col("c") * F.lit((1 - stats["u"]) / max(n, 1))).alias("q"))
+    start = spark.createDataFrame([(int(START.view(np.int64)), documents.count(), 1.0)], "key long, c long, q double")
+    level = level.unionByName(start)
+    for length in range(2, depth + 2) if n else ():
+        rows = stored(pair_counts(documents, Filter(level), length, least))
+        free_shuffles(spark)
+        done = stored(judged(with_lower(rows, level, length), level))
+        free_shuffles(spark)
+        level = done.where("q >= 0").select("key", "c", "q")
+        parts.append(done.where("w <> 0").select("key", "c", "w"))
+    return stored(reduce(DataFrame.unionByName, parts).groupBy("key").agg(F.max("c").alias("c"), F.sum("w").alias("w")))
+
+
+def free_shuffles(spark) -> None:
+    """Lets Spark drop the files of shuffles that are over: it does so once the driver's JVM has collected its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def hot_from(counts: DataFrame, most: int = HOT) -> int:
+    """The least count with at most `most` rows from there on."""
     histogram = counts.groupBy(F.floor(F.log2("c")).cast("int").alias("b")).count().collect()  # 64 rows at most
-    kept, least = 0, None
+    kept, least = 0, 1 << 62
     for b, k in sorted(((r[0], r[1]) for r in histogram), reverse=True):
         if kept + k > most:
             break
         kept, least = kept + k, 1 << b
-    least = frequent if least is None else min(least, frequent)
+    return least
+
+
+def hot_rows(counts: DataFrame, least: int, value: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, and values of the rows with this count at least, and of the end mark."""
     rows = counts.where((F.col("c") >= least) | (F.col("key") == F.lit(int(END.view(np.int64))))).toArrow()
-    h, c = rows["key"].to_numpy().view(np.uint64), rows["c"].to_numpy()
+    h, c = rows["key"].to_numpy().view(np.uint64), rows[value].to_numpy()
     order = np.argsort(h)
     return h[order], c[order]
 
 
-def score(documents: DataFrame, held_out_mod: int = 7, held_out_rest: int = 2, depth: int = DEPTH, p_min: float = P_MIN, hot: int = HOT) -> DataFrame:
+def score(documents: DataFrame, held_out_mod: int = 7, held_out_rest: int = 2, depth: int = DEPTH, p_min: float = 0.0, hot: int = HOT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    tree, counts, stats = train(docs.where(crc_mod("doc_id", held_out_mod) != held_out_rest), depth, p_min)
-    hot_h, hot_c = hot_counts(counts, max(2, p_min * stats["n"]), hot)
-    shared = spark.sparkContext.broadcast((tree, hot_h, hot_c))
+    trained = docs.where(crc_mod("doc_id", held_out_mod) != held_out_rest)
+    counts, stats = root(trained)
+    weighted = weights(trained, counts, stats, depth, p_min)
+    hot_h, hot_c = hot_rows(counts, hot_from(counts, hot), "c")
+    common = hot_from(weighted, hot)
+    free_shuffles(spark)
+    shared = spark.sparkContext.broadcast((hot_h, hot_c, *hot_rows(weighted, common, "w"), Filter(weighted)))
     n, v, u = stats["n"], stats["v"], stats["u"]
 
     def make():
-        kernel, (tree, hot_h, hot_c) = Kernel(), shared.value
-        hot_table = Table(hot_h)
+        kernel, (hot_h, hot_c, hot_x, hot_w, possible) = Kernel(), shared.value
+        hot_table, sequence_table = Table(hot_h), Table(hot_x)
         part, serial = TaskContext.get().partitionId() << 40, [0]
 
         def step(batch: pa.RecordBatch) -> dict:
-            base, known, size, model, tail = [], [], [], [], []
+            base, known, size, model, tail, grams = [], [], [], [], [], []
             for lo, hi, h, at in tokens(batch["text"], kernel):
                 rows = np.repeat(np.arange(hi - lo), np.diff(at))
                 place = hot_table.find(h)
@@ -231,44 +418,48 @@ def score(documents: DataFrame, held_out_mod: int = 7, held_out_rest: int = 2, d
                 base.append(np.bincount(rows, np.log10(c + 1), hi - lo))
                 known.append(np.bincount(rows, place >= 0, hi - lo))
                 size.append(np.diff(at))
-                *nodes, body = tree.nodes(h, at, len(tree.levels) + 1)
-                total, open_ = np.zeros(len(h)), np.ones(len(h), bool)
-                here = np.flatnonzero(body)
-                for L in range(len(tree.levels), 0, -1):  # context length
-                    context, longer = nodes[L - 1][here - 1], nodes[L][here]
-                    keep = open_ & (context >= 0) & tree.retained[L - 1][np.maximum(context, 0)]
-                    hit = keep & (longer >= 0)
-                    total[hit] += tree.log_p[L - 1][longer[hit]]
-                    miss = keep & ~hit
-                    total[miss] += tree.log_back[L - 1][context[miss]]
-                    open_ &= ~hit
-                rooted = open_ & (place >= 0)
-                total[rooted] += np.log((1 - u) * c[rooted] / max(n, 1))
-                model.append(np.bincount(rows, total / np.log(10), hi - lo))
+                known_here = place >= 0
+                total = np.zeros(len(h))
+                total[known_here] = np.log((1 - u) * c[known_here] / max(n, 1))
+                whole, rare_rows, rare = np.bincount(rows, total, hi - lo), [], []
+                for of, key, _, _ in islice(sequences(h, at), depth + 1):
+                    seen = np.flatnonzero(possible.has(key))
+                    of, key = of[seen], key[seen]
+                    found = sequence_table.find(key)
+                    hit = found >= 0
+                    whole += np.bincount(of[hit], hot_w[found[hit]], hi - lo)
+                    rare_rows.append(of[~hit])
+                    rare.append(key[~hit].view(np.int64))
+                model.append(whole / np.log(10))
+                rare_rows, rare = np.concatenate(rare_rows), np.concatenate(rare)
+                rare = rare[np.argsort(rare_rows, kind="stable")]
+                cut = np.append(0, np.cumsum(np.bincount(rare_rows, minlength=hi - lo)))
+                grams += [rare[cut[i] : cut[i + 1]] for i in range(hi - lo)]
                 cold = np.flatnonzero(place < 0)
                 cut = np.searchsorted(cold, at)
                 signed = h[cold].view(np.int64)
                 tail += [signed[cut[i] : cut[i + 1]] for i in range(hi - lo)]
             ids = part + serial[0] + np.arange(batch.num_rows)
             serial[0] += batch.num_rows
-            return {"row": pa.array(ids), "doc_id": batch["doc_id"], "n_tokens": pa.array(np.concatenate(size)), "known": pa.array(np.concatenate(known).astype(np.int64)), "base": pa.array(np.concatenate(base)), "model": pa.array(np.concatenate(model)), "tail": pa.array(tail, pa.list_(pa.int64()))}
+            return {"row": pa.array(ids), "doc_id": batch["doc_id"], "n_tokens": pa.array(np.concatenate(size)), "known": pa.array(np.concatenate(known).astype(np.int64)), "base": pa.array(np.concatenate(base)), "model": pa.array(np.concatenate(model)), "tail": pa.array(tail, pa.list_(pa.int64())), "grams": pa.array(grams, pa.list_(pa.int64()))}
 
         return step
 
-    scored = stored(map_batches(docs, make, "row long, doc_id long, n_tokens long, known long, base double, model double, tail array<long>"))
+    scored = stored(map_batches(docs, make, "row long, doc_id long, n_tokens long, known long, base double, model double, tail array<long>, grams array<long>"))
     cold = scored.select("row", F.explode("tail").alias("key")).groupBy("row", "key").agg(F.count("*").alias("times"))
     rest = cold.join(counts, "key", "left").groupBy("row").agg(
         F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("more"),
         F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 1)).alias("more_base"),
         F.sum(F.col("times") * F.when(F.col("c").isNull(), F.lit(float(np.log10(u)))).otherwise(F.log10(F.col("c") * F.lit((1 - u) / max(n, 1)) + F.lit(0.0)))).alias("more_model"),
     )
+    rare = scored.select("row", F.explode("grams").alias("key")).join(weighted.where(F.col("c") < common), "key").groupBy("row").agg((F.sum("w") / float(np.log(10))).alias("rare_model"))
     none = F.lit(0)
-    return scored.drop("tail").join(rest, "row", "left").select(
+    return scored.drop("tail", "grams").join(rest, "row", "left").join(rare, "row", "left").select(
         "doc_id",
         (crc_mod("doc_id", held_out_mod) == held_out_rest).alias("held_out"),
         "n_tokens",
         (F.col("known") + F.coalesce("more", none)).cast("long").alias("n_known"),
         F.lit(int(n)).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more_base", none) - F.col("n_tokens") * F.lit(float(np.log10(n + v + 1)))).alias("base_score"),
-        (F.col("model") + F.coalesce("more_model", none)).alias("score"),
+        (F.col("model") + F.coalesce("more_model", none) + F.coalesce("rare_model", none)).alias("score"),
     )

@@ -373,6 +373,24 @@ def test_suffix_tree_is_a_distribution(spark):
         del joined
 
 
+@pytest.mark.parametrize("hot", [suffix_tree.HOT, 8])
+def test_suffix_tree_keeps_rare_sequences(spark, hot):
+    """Scores equal those of the whole tree in memory, and a passage that occurs twice is learned however large the corpus is."""
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(("a b c" if rng.random() < 0.6 else "d e") if rng.random() < 0.7 else f"u{rng.integers(0, 30)}" for _ in range(30))) for i in range(120)]
+    train = lambda i: zlib.crc32(str(i).encode()) % 7 != 2
+    passage, twice = "pelican quartz lantern orchid", [i for i in range(1000, 1100) if train(i)][:2]
+    # one document makes 1e-5 of all tokens more than two
+    rows += [(i, passage) for i in twice] + [(next(i for i in range(2000, 2100) if train(i)), "filler " * 250_000), (next(i for i in range(3000, 3100) if not train(i)), passage)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in suffix_tree.score(docs, hot=hot).collect()}
+    tree, counts, stats = suffix_tree.train(spark.createDataFrame([r for r in rows if train(r[0])], "doc_id long, text string"))
+    short = [r for r in rows if len(r[1]) < 1000]
+    for (i, _), ps in zip(short, _scores(spark, tree, counts, stats, [t for _, t in short])):
+        assert got[i] == pytest.approx(sum(map(math.log10, ps)), rel=1e-6), i
+    assert got[rows[-1][0]] > -8  # some -25 by the words alone
+
+
 def _scores(spark, tree, counts, stats, rows, per_token=True):
     """Probability of every token of every text, computed token by token from the tree's tables."""
     known = {r["key"]: r["c"] for r in counts.collect()}
