@@ -280,7 +280,7 @@ def unpack_shard(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
 
 
 class Encoder:
-    """Ids of texts by a tokenizers file (byte-level BPE). Texts are cut where the pre-tokenizer always begins a new word: before a single space or line end between two visible characters, after such a line end, and between ASCII letters, digits and symbols (but not after an apostrophe). Each distinct part is encoded by the library, and kept while there is room."""
+    """Ids of texts by a tokenizers file (byte-level BPE). Texts are cut where the pre-tokenizer always begins a new word: before a single space or line end between two visible characters, after such a line end, and between ASCII letters, digits and symbols (but not after an apostrophe); never inside an added token of the file, which the library finds in plain text before it looks for words. Each distinct part is encoded by the library, and kept while there is room."""
 
     def __init__(self, path: str, most: int = 1 << 20) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
@@ -291,6 +291,7 @@ class Encoder:
         kind = np.zeros(256, np.uint8)  # 0: other
         kind[(b > 32) & (b < 127)] = 3  # symbols
         kind[(b >= 65) & (b <= 90) | (b >= 97) & (b <= 122)], kind[(b >= 48) & (b <= 57)], kind[39] = 1, 2, 4
+        self.added = [t.content.encode() for t in self.library.get_added_tokens_decoder().values() if len(t.content.encode()) > 1]
         self.kind, self.visible = kind, kind > 0
         self.after = self.visible | ((b >= 0xC3) & (b <= 0xDF))  # visible, or the lead of a two-byte letter
         self.tail, self.two = (b >= 0x80) & (b < 0xC0), (b >= 0xC3) & (b <= 0xDF)
@@ -338,6 +339,12 @@ class Encoder:
             gap = ((data[1:-1] == 32) | line) & before & self.after[data[2:]]
             new[1:-1] |= gap
             new[2:] |= gap & line
+        raw = data.tobytes() if self.added else b""
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                new[at + 1 : at + len(token)] = False
+                at = raw.find(token, at + 1)
         new[offsets[offsets < len(data)]] = True
         return np.append(np.flatnonzero(new), len(data))
 

@@ -171,6 +171,17 @@ def test_token_files(spark, documents, odd, none):
     assert token_files.read(token_files.write(none, path)).count() == 0
 
 
+def test_added_tokens_are_not_cut():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, encoder = Tokenizer.from_file(path), token_files.Encoder(path)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y1 <|endoftext|><|endoftext|>\n<|endoftext|>\n z", "end <|endo", "ftext|> of it", "<|endoftext|", "!<|endoftext|>'s  <|endoftext|>\n\né <|endoftext|>é", "it<|<|endoftext|>|>", "a b"]
+    got = [flat for _, _, length, ids in encoder.ids(pa.array(texts), 2) for flat in np.split(ids, np.cumsum(length)[:-1])]
+    for text, ids in zip(texts, got, strict=True):
+        assert ids.tolist() == [*library.encode(text, add_special_tokens=False).ids, 2], text
+
+
 # --- 3, 5, 6: classifiers ---
 
 
