@@ -2,7 +2,7 @@
 
 Tokens are runs of letters and digits, A-Z lower-cased. A mask reads some of the tokens under it and ignores the rest, so a substituted token under a gap does not hide a match.
 The masks' hashes of all benchmark positions are joined with those of all document positions; around every hit the two token sequences are laid along each other without gaps, and the pair is a contamination if some window of 13 tokens (the whole item, if it is shorter) has at least 80 % equal tokens.
-The masks find every window of 13 with up to two substituted tokens (checked by tests). Items shorter than the masks are found as exact sequences.
+The masks find every window of 13 with up to two substituted tokens. Items of under 13 tokens have masks of their own, which find each as a whole with as many substituted tokens as the share allows (both checked by tests).
 
 The benchmark is a stated query set: it is taken in blocks of a fixed number of tokens, each block is broadcast, and every document meets every block; nothing is shuffled.
 Defined cases: null or empty texts and items match nothing; repeated rows get equal results; an empty benchmark contaminates nothing; an empty table gives no rows; other columns are not read.
@@ -11,6 +11,7 @@ Defined cases: null or empty texts and items match nothing; repeated rows get eq
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,17 @@ def masked(h: np.ndarray, mask: str, number: int) -> np.ndarray:
     return mix(out)
 
 
+def short_masks(n: int) -> list[tuple[str, int]]:
+    """Masks for an item of n < 13 tokens, without the gaps at their ends, and the place of the first token read: the item is split in twice as many groups as tokens may differ (three for one token), and every mask leaves out as many groups."""
+    differ = n * (100 - SHARE) // 100
+    groups = np.arange(n) * max(1, (0, 3, 4)[differ]) // n
+    out = []
+    for left in combinations(range((0, 3, 4)[differ]), differ) if differ else [()]:
+        mask = "".join("0" if g in left else "1" for g in groups)
+        out.append((mask.strip("0"), mask.index("1")))
+    return out
+
+
 @dataclass
 class Index:
     """Seeds of a block of benchmark items, sorted by hash, and the items' tokens."""
@@ -104,17 +116,21 @@ def build(items: list[tuple[int, str]]) -> Index:
         first += list(f[1:] + first[-1])
     tokens = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
     first = np.array(first, np.int64)
-    longest = max(map(len, MASKS))
     length = np.diff(first)
-    masks = [*MASKS, *("1" * int(n) for n in np.unique(length) if 0 < n < longest)]
+    short = [(int(n), mask, lead) for n in np.unique(length) if 0 < n < WINDOW for mask, lead in short_masks(int(n))]
+    masks = list(dict.fromkeys([*MASKS, *(mask for _, mask, _ in short)]))
     owner = np.repeat(np.arange(len(items)), length)
     keys, item, place = [], [], []
     for number, mask in enumerate(masks):
         seed = masked(tokens, mask, number)
         at = np.arange(len(seed))
         ok = owner[at] == owner[at + len(mask) - 1] if len(seed) else np.zeros(0, bool)
-        if number >= len(MASKS):  # exact sequences of short items only
-            ok &= length[owner[at]] == len(mask)
+        if number >= len(MASKS):  # short items only
+            wanted = np.zeros(len(seed), bool)
+            for n, other, lead in short:
+                if other == mask:
+                    wanted |= (length[owner[at]] == n) & (at - first[owner[at]] == lead)
+            ok &= wanted
         keys.append(seed[ok]), item.append(owner[at][ok]), place.append((at - first[owner[at]])[ok])
     keys, item, place = np.concatenate(keys), np.concatenate(item), np.concatenate(place)
     order = np.argsort(keys, kind="stable")

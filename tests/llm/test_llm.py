@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -302,6 +303,18 @@ def brute_contaminated(text, items):
     return sorted(found)
 
 
+def test_short_items_with_substitutions():
+    """Every pattern of as many substitutions as the share allows, in items of 1 to 12 tokens; and none of one more."""
+    kernel = Kernel(extra_separators=True)
+    for n in range(1, 13):
+        item = [f"w{i}" for i in range(n)]
+        index = decontam.build([(7, " ".join(item))])
+        differ = n // 5
+        texts = [" ".join(["before", *("other" if i in at else w for i, w in enumerate(item)), "after"]) for k in range(differ + 2) for at in itertools.combinations(range(n), k)]
+        want = [[7] if text.count("other") <= differ else [] for text in texts]
+        assert decontam._per_document(index, pa.array(texts), kernel)[0] == want, n
+
+
 def test_decontamination(spark, documents, odd, none):
     items = {r["item_id"]: r["text"] for r in table(spark, SF, "benchmark").limit(12).collect()}
     bench = spark.createDataFrame([*items.items(), (99, None), (98, "tiny item here")], "item_id long, text string")
