@@ -212,6 +212,13 @@ def test_toxicity(spark, odd, none):
     assert toxicity.reject(odd, model).columns == odd.columns
 
 
+def test_toxicity_keeps_rare_evidence():
+    """A feature of four toxic and no clean training rows has a weight."""
+    docs = [np.array([1, 7] if i < 4 else [1], np.int32) for i in range(360)] + [np.array([2], np.int32)] * 1500
+    model = toxicity.fit_arrays(docs, np.repeat([1.0, 0.0], [360, 1500]), (4, 6))
+    assert model.weights[7] > 0 and model.weights[1] > 0 > model.weights[2]
+
+
 def test_quality(spark, odd, none):
     docs, labels = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
     model = quality.train(docs, labels)
