@@ -21,6 +21,7 @@ from quarry.llm.common import crc_mod, filter_batches, map_batches, sample_by_ha
 from quarry.llm.kernel import Kernel, mix, slices
 
 SLOT_BITS = 22
+FEW = 20  # training rows
 PROBES = 3
 _SPREAD = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
@@ -92,7 +93,7 @@ class LanguageModel:
 
 
 def train(documents: DataFrame, held_out_mod: int = 4, held_out_rest: int = 2, per_language: int = 1500, n: int = 4, least: float = 2e-6) -> LanguageModel:
-    """Learns from about per_language training rows of each language (the documented bound). An n-gram enters a language's filter if it is at least the share `least` of the sampled n-grams and occurs in two documents or makes up the whole sample of a language with few rows."""
+    """Learns from about per_language training rows of each language (the documented bound). An n-gram enters a language's filter if it is at least the share `least` of the sampled n-grams and occurs in two documents (one is enough in a language with under FEW training rows)."""
     known = documents.select("doc_id", "text", F.col("lang").alias("language")).where("language is not null and text is not null").where(crc_mod("doc_id", held_out_mod) != held_out_rest)
     seen = {r[0]: r[1] for r in known.groupBy("language").count().collect()}  # languages are few
     languages = sorted(seen)
@@ -132,7 +133,8 @@ def train(documents: DataFrame, held_out_mod: int = 4, held_out_rest: int = 2, p
     if not size:
         return LanguageModel([], table, np.zeros(0), np.zeros(0), n)
     need = F.create_map(*[F.lit(x) for k, v in size.items() for x in (k, max(1.0, least * v))])
-    kept = counts.where(F.col("c") >= need[F.col("language")]).select("language", "gram")  # at most 1 / least n-grams a language
+    few = [number[x] for x in languages if seen[x] < FEW]
+    kept = counts.where((F.col("c") >= need[F.col("language")]) & ((F.col("d") >= 2) | F.col("language").isin(few))).select("language", "gram")  # at most 1 / least n-grams a language
     rows = kept.toArrow()
     language, gram = rows["language"].to_numpy(), rows["gram"].to_numpy().view(np.uint64) << np.uint64(1)
     for i in range(len(languages)):

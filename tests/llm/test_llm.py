@@ -199,6 +199,15 @@ def test_language(spark, odd, none):
     assert langid.reject(docs, model).count() > 0.99 * docs.count()
 
 
+def test_language_needs_two_documents(spark):
+    """What only one document repeats isn't learned, but in a language of few rows."""
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 != 2][:80]
+    rows = [(i, "the cat sat on the mat", "en") for i in ids[:60]] + [(ids[60], "zqxjvkwy " * 50, "en"), (ids[61], "ein hund lief weg", "de")]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    share = model.predict(pa.array(["the cat sat on the mat", "zqxjvkwy zqxjvkwy", "ein hund lief weg"]), Kernel(extra_separators=True))[2]
+    assert share[0] > 0.9 and share[1] < 0.5 and share[2] > 0.9
+
+
 def test_toxicity(spark, odd, none):
     docs, labels = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
     model = toxicity.train(docs, labels)
