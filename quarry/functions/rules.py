@@ -8,6 +8,7 @@ SEMANTIC_WEIGHT, TEXT_WEIGHT = 1.0, 1.0
 VOTES_WEIGHT, UPSTREAM_WEIGHT, AGREEMENT_BONUS = 0.08, 0.12, 0.0
 RETRIEVE_POOL, FUSED_POOL, RERANK_POOL = 1500, 800, 100
 DESIRED_BONUS, AVOID_PENALTY, COUNTED_HITS = 5, 8, 2
+EXPLAINED = 3
 CACHE_SECONDS = 3600
 GAINS = {3: 1.0, 2: 0.7, 1: 0.3, 0: 0.0}
 
@@ -63,7 +64,7 @@ MOOD_MAP = {
 }
 GENRES = ("Action", "Adventure", "Animation", "Comedy", "Crime", "Documentary", "Drama", "Family", "Fantasy", "History", "Horror", "Music", "Mystery", "Romance", "Science Fiction", "TV Movie", "Thriller", "War", "Western")
 GENRE_SYNONYMS = (("sci-fi", "Science Fiction"), ("scifi", "Science Fiction"))
-INTENT_STOPWORDS = ("a", "an", "and", "also", "but", "feel", "feeling", "for", "i", "im", "in", "is", "it", "like", "me", "mood", "movie", "movies", "my", "of", "or", "really", "so", "some", "something", "the", "to", "tonight", "very", "want", "watch", "with")
+INTENT_STOPWORDS = ("a", "an", "and", "also", "but", "feel", "feeling", "for", "i", "im", "in", "is", "it", "like", "me", "mood", "my", "of", "or", "really", "so", "some", "something", "the", "to", "tonight", "very", "want", "watch", "with")
 FEELING = r"\b(i'?m|i am|i feel|feel|feeling|felt)\b"
 DESIRE = r"\b(want|wanna|need|give me|show me|in the mood for|looking for)\b"
 

@@ -18,6 +18,9 @@ def _fold_table() -> tuple[str, str]:
 
 _FROM, _TO = _fold_table()
 
+#: Scores are compared at so many digits: it takes off what the order of additions adds, and nothing else.
+DIGITS = 12
+
 #: Texts that stand for a missing value.
 MISSING = ("nan", "none", "null", "na")
 
@@ -75,8 +78,13 @@ def clean_list(c: Column) -> Column:
 
 
 def loose_list(c: Column) -> Column:
-    """Items of a text that is separated by , ; or | or written like a list literal."""
-    return split_list(F.regexp_replace(F.coalesce(c, F.lit("")), r"^\s*\[|\]\s*$|['\"]", ""), "[|,;]")
+    """Trimmed, non-empty items, repeats included, of a text that is separated by , ; or |, or of a list literal of quoted or plain items."""
+    text = F.trim(F.coalesce(c, F.lit("")))
+    strip = lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    literal = F.regexp_extract_all(text, F.lit(r"'([^']*)'|\"([^\"]*)\"|([^\[\],'\"]+)"), F.lit(0))
+    unquoted = F.transform(literal, lambda x: strip(F.regexp_replace(x, r"^['\"]|['\"]$", "")))
+    items = F.when(text.startswith("[") & text.endswith("]"), unquoted).otherwise(F.transform(F.split(text, "[|,;]"), strip))
+    return F.filter(items, lambda x: x != "")
 
 
 def is_true(c: Column) -> Column:
@@ -84,20 +92,24 @@ def is_true(c: Column) -> Column:
 
 
 def to_double(c: Column, default: float | None = 0.0) -> Column:
-    return F.coalesce(c.try_cast("double"), F.lit(default))
+    """A finite number, else the default."""
+    d = c.try_cast("double")
+    return F.coalesce(F.when(~F.isnan(d) & (F.abs(d) < float("inf")), d), F.lit(default))
 
 
 def to_int(c: Column, default: int = 0) -> Column:
-    """Truncated, as an integer cast of a float is."""
-    return F.coalesce(c.try_cast("double").cast("int"), F.lit(default))
+    """Truncated, as an integer cast of a float is; the default for what isn't a finite number of that size."""
+    return F.coalesce(to_double(c, None).try_cast("int"), F.lit(default))
 
 
 def year_of(date: Column) -> Column:
-    return F.year(F.try_to_timestamp(date, F.lit("yyyy-MM-dd")))
+    """Year of a date written year-month-day, also without leading zeros; null otherwise."""
+    return F.year(F.try_to_timestamp(date, F.lit("yyyy-M-d")))
 
 
 def decade(year: Column) -> Column:
-    return F.when(year.isNotNull(), F.concat((F.floor(year / 10) * 10).cast("int").cast("string"), F.lit("s")))
+    """The year's decade as in `1990s`, '' without a year."""
+    return F.coalesce(F.concat((F.floor(year / 10) * 10).cast("int").cast("string"), F.lit("s")), F.lit(""))
 
 
 def year_or(year: Column, release_date: Column) -> Column:
@@ -109,10 +121,12 @@ def title_key(title: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), "[^a-z0-9]+", " "))
 
 
-def item_key(title: Column, year: Column, id_: Column | None = None, given: Column | None = None) -> Column:
-    """given id, else title and year, else the row's id, else the empty title."""
+def item_key(title: Column, year: Column, id_: Column | None = None, given: Column | None = None, release_date: Column | None = None) -> Column:
+    """given id unless it is empty, else title and year (or the release date's), else the row's id, else the empty title."""
     norm = title_key(title)
-    y = F.when(F.coalesce(year, F.lit(0)) > 0, year.cast("string")).otherwise("")
+    known = F.coalesce(year.cast("int"), F.lit(0)) if release_date is None else year_or(year, release_date)
+    y = F.when(known != 0, known.cast("string")).otherwise("")
+    given = None if given is None else F.nullif(given.cast("string"), F.lit(""))
     by_title = F.concat(F.lit("title:"), norm, F.lit("|year:"), y)
     out = F.when(norm != "", by_title)
     if given is not None:
@@ -135,3 +149,9 @@ def whole_phrase(text: Column, phrases) -> Column:
 def uniform(seed: str, key: Column) -> Column:
     """A number in (0, 1) from a hash of the key: the same on every engine."""
     return (F.conv(F.substring(F.md5(F.concat(F.lit(seed), key.cast("string"))), 1, 8), 16, 10).cast("double") + 1) / F.lit(4294967297.0)
+
+
+def utc_stamp(moment: Column) -> Column:
+    """A time as ISO-8601 in UTC to the second, ending in Z, whatever the session's time zone."""
+    seconds = F.unix_seconds(moment.cast("timestamp"))
+    return F.concat(F.date_format(F.to_utc_timestamp(F.timestamp_seconds(seconds), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))

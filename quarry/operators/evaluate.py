@@ -6,8 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import rules
+from quarry.functions.text import fold
 
 MODES = ("basic", "advanced", "hybrid")
+KS = (5, 10, 15)
+RELEVANT, PERFECT = 2, 3  # least grades
+FAMILIES = ("hit", "strict_hit", "mrr", "strict_mrr", "ndcg")
 
 
 def gain(grade: Column) -> Column:
@@ -30,49 +34,71 @@ def judged(ranked: DataFrame, labels: DataFrame, keys=("qid", "id")) -> DataFram
 
 def ideal(rows: DataFrame, k: int) -> DataFrame:
     """(qid, ideal): best possible discounted gain at k over all judged candidates of the query, whatever the mode."""
+    return ideals(rows, (k,)).select("qid", F.col(f"ideal_{k}").alias("ideal"))
+
+
+def ideals(rows: DataFrame, ks: tuple[int, ...]) -> DataFrame:
+    """(qid, ideal_<k> ...) for several k in one pass."""
     pool = rows.where("grade is not null").groupBy("qid", "id").agg(F.max("grade").alias("grade"))
     w = Window.partitionBy("qid").orderBy(F.desc(gain(F.col("grade"))), "id")
-    return pool.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).groupBy("qid").agg(F.sum(gain(F.col("grade")) / F.log2(F.col("n") + 1)).alias("ideal"))
+    share = gain(F.col("grade")) / F.log2(F.col("n") + 1)
+    return pool.withColumn("n", F.row_number().over(w)).where(F.col("n") <= max(ks)).groupBy("qid").agg(*[F.sum(F.when(F.col("n") <= k, share)).alias(f"ideal_{k}") for k in ks])
 
 
-def metrics(rows: DataFrame, k: int, modes=MODES, queries: DataFrame | None = None) -> DataFrame:
-    """(qid, mode, hit, strict_hit, mrr, strict_mrr, ndcg) at k for every query and mode, also those without candidates.
+def metrics_at(rows: DataFrame, ks: tuple[int, ...] = KS, modes=MODES, queries: DataFrame | None = None) -> DataFrame:
+    """(qid, mode) with hit_<k>, strict_hit_<k>, mrr_<k>, strict_mrr_<k>, ndcg_<k> for every k, excluded_null and ideal_zero, for every query and mode, also those without candidates.
 
-    rows: qid, mode, id, rank (from 0), grade or null. A metric is null where the unjudged rows could change it.
+    rows: qid, mode, id, rank (from 0), grade or null. Relevant is a grade of RELEVANT or more, perfect one of PERFECT. A metric is null where the unjudged rows could change it; excluded_null tells that some metric is null for that reason, ideal_zero that the first k's ideal gain is 0.
     """
-    spark = rows.sparkSession
     queries = rows.select("qid").distinct() if queries is None else queries.select("qid").distinct()
     frame = queries.select("qid", F.explode(F.array(*[F.lit(m) for m in modes])).alias("mode"))
-    top = rows.where(F.col("rank") < k)
     at = lambda cond: F.min(F.when(cond, F.col("rank")))
-    stats = top.groupBy("qid", "mode").agg(
-        at(F.col("grade") >= 1).alias("rel"), at(F.col("grade") >= 3).alias("perfect"), at(F.col("grade").isNull()).alias("open"), F.sum(gain(F.col("grade")) / F.log2(F.col("rank") + 2)).alias("dcg")
+    share = gain(F.col("grade")) / F.log2(F.col("rank") + 2)
+    stats = rows.where(F.col("rank") < max(ks)).groupBy("qid", "mode").agg(
+        at(F.col("grade") >= RELEVANT).alias("rel"), at(F.col("grade") >= PERFECT).alias("perfect"), at(F.col("grade").isNull()).alias("open"), *[F.sum(F.when(F.col("rank") < k, share)).alias(f"dcg_{k}") for k in ks]
     )
+    within = lambda name, k: F.coalesce(F.col(name) < k, F.lit(False))
+
+    def hit(first: str, k: int) -> Column:
+        return F.when(within(first, k), 1.0).when(within("open", k), None).otherwise(0.0)
 
-    def hit(first: str) -> Column:
-        return F.when(F.col(first).isNotNull(), 1.0).when(F.col("open").isNotNull(), None).otherwise(0.0)
+    def mrr(first: str, k: int) -> Column:
+        unsure = within("open", k) & (~within(first, k) | (F.col("open") < F.col(first)))
+        return F.when(unsure, None).when(within(first, k), F.round(1.0 / (F.col(first) + 1), 6)).otherwise(0.0)
 
-    def mrr(first: str) -> Column:
-        return F.when(F.col("open").isNotNull() & (F.col(first).isNull() | (F.col("open") < F.col(first))), None).when(F.col(first).isNotNull(), 1.0 / (F.col(first) + 1)).otherwise(0.0)
+    def no_ideal(k: int) -> Column:
+        return F.coalesce(F.col(f"ideal_{k}") <= 0, F.lit(True))
 
-    out = frame.join(stats, ["qid", "mode"], "left").join(ideal(rows, k), "qid", "left")
-    ndcg = F.when(F.col("open").isNotNull() | F.coalesce(F.col("ideal") <= 0, F.lit(True)), None).otherwise(F.round(F.coalesce("dcg", F.lit(0.0)) / F.col("ideal"), 6))
-    return out.select("qid", "mode", hit("rel").alias("hit"), hit("perfect").alias("strict_hit"), F.round(mrr("rel"), 6).alias("mrr"), F.round(mrr("perfect"), 6).alias("strict_mrr"), ndcg.alias("ndcg"))
+    out = frame.join(stats, ["qid", "mode"], "left").join(ideals(rows, ks), "qid", "left")
+    columns = []
+    for k in ks:
+        ndcg = F.when(within("open", k) | no_ideal(k), None).otherwise(F.round(F.coalesce(f"dcg_{k}", F.lit(0.0)) / F.col(f"ideal_{k}"), 6))
+        columns += [hit("rel", k).alias(f"hit_{k}"), hit("perfect", k).alias(f"strict_hit_{k}"), mrr("rel", k).alias(f"mrr_{k}"), mrr("perfect", k).alias(f"strict_mrr_{k}"), ndcg.alias(f"ndcg_{k}")]
+    return out.select("qid", "mode", *columns, within("open", max(ks)).alias("excluded_null"), (~within("open", ks[0]) & no_ideal(ks[0])).alias("ideal_zero"))
+
+
+def metrics(rows: DataFrame, k: int, modes=MODES, queries: DataFrame | None = None) -> DataFrame:
+    """(qid, mode, hit, strict_hit, mrr, strict_mrr, ndcg) at one k; see metrics_at()."""
+    return metrics_at(rows, (k,), modes, queries).select("qid", "mode", *[F.col(f"{n}_{k}").alias(n) for n in FAMILIES])
 
 
-def by_mode(per_query: DataFrame) -> DataFrame:
-    """Means over defined values and how many are defined; hit and mrr are 0 where none is, ndcg stays null."""
-    names = ("hit", "strict_hit", "mrr", "strict_mrr")
+def by_mode(per_query: DataFrame, ks: tuple[int, ...] = KS) -> DataFrame:
+    """Means over defined values of metrics_at(): hit and mrr are 0 where none is defined, ndcg stays null; queries with a metric that unjudged rows hide, and with an ideal of 0."""
+    mean = lambda n: F.round(F.avg(n) if n.startswith("ndcg") else F.coalesce(F.avg(n), F.lit(0.0)), 6).alias(n)
     return per_query.groupBy("mode").agg(
-        F.count("*").alias("queries"), *[F.round(F.coalesce(F.avg(n), F.lit(0.0)), 6).alias(n) for n in names], F.round(F.avg("ndcg"), 6).alias("ndcg"), F.count("ndcg").alias("ndcg_defined"), F.count("hit").alias("hit_defined")
+        F.count("*").alias("queries"), *[mean(f"{n}_{k}") for k in ks for n in FAMILIES], F.count_if("excluded_null").alias("queries_excluded_null"), F.count_if("ideal_zero").alias("queries_with_ideal_zero")
     )
 
 
-def by_axis(per_query: DataFrame, tags: DataFrame, axes: dict[str, Column], low: int = 5) -> DataFrame:
-    """Means for each (axis, bucket, mode). axes: name -> array of a query's buckets; one pass over the unpivoted tags."""
-    long = tags.select("qid", F.explode(F.array(*[F.struct(F.lit(n).alias("axis"), c.alias("buckets")) for n, c in axes.items()])).alias("a")).select("qid", "a.axis", F.explode_outer("a.buckets").alias("bucket"))
-    long = long.withColumn("bucket", F.coalesce("bucket", F.lit("none")))
-    return per_query.join(long, "qid").groupBy("axis", "bucket", "mode").agg(F.count("*").alias("n"), F.round(F.coalesce(F.avg("hit"), F.lit(0.0)), 6).alias("hit"), F.round(F.coalesce(F.avg("mrr"), F.lit(0.0)), 6).alias("mrr"), F.round(F.avg("ndcg"), 6).alias("ndcg"), (F.count("*") < low).alias("low_sample"))
+def by_axis(per_query: DataFrame, tags: DataFrame, axes: dict[str, Column], ks: tuple[int, ...] = KS) -> DataFrame:
+    """(axis, bucket, mode, hit_<k> ..., n, low_sample): hit rates of metrics_at() over defined values; n counts the defined ones at the first k, low_sample tells that they are fewer than it.
+
+    axes: name -> array of a query's buckets; no array is the bucket `none`, a null in it `unknown`. One pass over the unpivoted tags.
+    """
+    bucket = lambda c: F.transform(F.coalesce(c, F.array(F.lit("none"))), lambda x: F.coalesce(x, F.lit("unknown")))
+    long = tags.select("qid", F.explode(F.array(*[F.struct(F.lit(n).alias("axis"), bucket(c).alias("buckets")) for n, c in axes.items()])).alias("a")).select("qid", "a.axis", F.explode("a.buckets").alias("bucket"))
+    n = F.count(f"hit_{ks[0]}")
+    return per_query.join(long, "qid").groupBy("axis", "bucket", "mode").agg(*[F.round(F.coalesce(F.avg(f"hit_{k}"), F.lit(0.0)), 6).alias(f"hit_{k}") for k in ks], n.alias("n"), (n < ks[0]).alias("low_sample"))
 
 
 def candidate_union(rows: DataFrame, first: int = 8, required: int = 5, most: int = 15, modes=MODES) -> DataFrame:
@@ -108,11 +134,17 @@ def bootstrap(values: DataFrame, group: str, item: str, value: str, rounds: int
     return base.join(ends, group).select(group, "n", F.round("mean", 6).alias("mean"), F.round("half_width", 6).alias("half_width"))
 
 
-def bootstrap_seeded(values: list[float], rng, rounds: int = 1000) -> float | None:
-    """Half-width of one small series with a caller's random.Random, in the caller's order of draws; for reports that must repeat a seeded stream."""
-    if len(values) < 2:
-        return None
-    means = sorted(sum(rng.choice(values) for _ in values) / len(values) for _ in range(rounds))
+def bootstrap_seeded(values: list[float], rng, rounds: int = 1000) -> float:
+    """Half-width of one small series with a caller's random.Random, which goes on from series to series in the caller's order; for reports that must repeat a seeded stream. An empty series draws nothing and has 0, one value draws and has 0."""
+    if rounds <= 0 or not values:
+        return 0.0
+    means = []
+    for _ in range(rounds):
+        total = 0.0
+        for _ in values:
+            total += rng.choice(values)
+        means.append(total / len(values))
+    means.sort()
 
     def quantile(q: float) -> float:
         x = q * (len(means) - 1)
@@ -126,16 +158,18 @@ def error_report(rows: DataFrame, k: int) -> DataFrame:
     """One row for each (qid, mode): the top k, hits, first relevant and first perfect rank from 1, unjudged rows."""
     item = F.struct((F.col("rank") + 1).alias("rank"), "id", "grade")
     out = rows.where(F.col("rank") < k).groupBy("qid", "mode").agg(
-        F.array_sort(F.collect_list(item)).alias("top"), F.min(F.when(F.col("grade") >= 1, F.col("rank") + 1)).alias("first_relevant_rank"), F.min(F.when(F.col("grade") >= 3, F.col("rank") + 1)).alias("first_perfect_rank"), F.count_if(F.col("grade").isNull()).alias("null_grades")
+        F.array_sort(F.collect_list(item)).alias("top"), F.min(F.when(F.col("grade") >= RELEVANT, F.col("rank") + 1)).alias("first_relevant_rank"), F.min(F.when(F.col("grade") >= PERFECT, F.col("rank") + 1)).alias("first_perfect_rank"), F.count_if(F.col("grade").isNull()).alias("null_grades")
     )
     return out
 
 
 def miss_lists(per_query: DataFrame, modes=MODES) -> DataFrame:
-    """(qid, missed_in, any_miss, all_miss, only_last_miss): which modes have hit = 0; only_last: just the last mode."""
-    missed = F.array_sort(F.collect_set(F.when(F.col("hit") == 0, F.col("mode"))))
-    out = per_query.groupBy("qid").agg(missed.alias("m"))
-    return out.where(F.size("m") > 0).select("qid", F.array_join("m", ",").alias("missed_in"), (F.size("m") == len(modes)).alias("all_miss"), ((F.size("m") == 1) & F.array_contains("m", modes[-1])).alias("only_last_miss"))
+    """(qid, missed_in, strict_missed_in, any_miss, all_miss, only_last_miss) of queries with a miss: the modes with hit = 0 and with strict_hit = 0; only_last: just the last mode has hit = 0 and all others have hit = 1, null isn't enough."""
+    missed = lambda n: F.array_sort(F.collect_set(F.when(F.col(n) == 0, F.col("mode"))))
+    out = per_query.groupBy("qid").agg(missed("hit").alias("m"), missed("strict_hit").alias("s"), F.collect_set(F.when(F.col("hit") == 1, F.col("mode"))).alias("h"))
+    others = F.size(F.array_intersect("h", F.array(*[F.lit(x) for x in modes[:-1]]))) == len(modes) - 1
+    return out.where((F.size("m") > 0) | (F.size("s") > 0)).select(
+        "qid", F.array_join("m", ",").alias("missed_in"), F.array_join("s", ",").alias("strict_missed_in"), (F.size("m") > 0).alias("any_miss"), (F.size("m") == len(modes)).alias("all_miss"), (F.array_contains("m", modes[-1]) & others).alias("only_last_miss"))
 
 
 def set_prf(rows: DataFrame, fields: list[str]) -> DataFrame:
@@ -168,7 +202,22 @@ def latency(rows: DataFrame, group: str, ms: str, small: int = 2000) -> DataFram
     return base.join(picked, group).select(group, "n", *[F.round(c, 6).alias(c) for c in ("median", "p95", "least", "most")])
 
 
-def smoke(rows: DataFrame, wanted: Column) -> DataFrame:
-    """(mode, top1, top3, top10, miss): how high the wanted rows stand."""
-    best = rows.groupBy("qid", "mode").agg(F.min(F.when(wanted, F.col("rank"))).alias("r"))
-    return best.groupBy("mode").agg(*[F.count_if(F.col("r") < k).alias(f"top{k}") for k in (1, 3, 10)], F.count_if(F.col("r").isNull() | (F.col("r") >= 10)).alias("miss"))
+def title_match(title: Column, expected: Column) -> Column:
+    """True where the folded title holds one of the expected titles or is held by it; blank ones match nothing."""
+    plain = lambda c: F.trim(F.regexp_replace(fold(c), r"[^a-z0-9\s]", ""))
+    own = plain(title)
+    return (own != "") & F.exists(F.filter(F.transform(expected, plain), lambda e: e != ""), lambda e: F.contains(own, e) | F.contains(e, own))
+
+
+def smoke(rows: DataFrame, wanted: Column, may_miss: Column | None = None) -> DataFrame:
+    """(mode, top1, top3, top10, miss, expected_miss, total): how high the wanted rows stand; a query without one is a miss, an expected one where may_miss holds."""
+    allowed = F.lit(False) if may_miss is None else may_miss
+    best = rows.groupBy("qid", "mode").agg(F.min(F.when(wanted, F.col("rank"))).alias("r"), F.bool_or(allowed).alias("may"))
+    return best.groupBy("mode").agg(*[F.count_if(F.col("r") < k).alias(f"top{k}") for k in (1, 3, 10)], F.count_if(F.col("r").isNull() & ~F.col("may")).alias("miss"), F.count_if(F.col("r").isNull() & F.col("may")).alias("expected_miss"), F.count("*").alias("total"))
+
+
+def mood_hits(rows: DataFrame, k: int = 10) -> DataFrame:
+    """(qid, results, tagged, ok): how many of a query's first k rows have a desired mood; rows: qid, rank, tags, desired."""
+    shares = F.coalesce(F.arrays_overlap("tags", "desired"), F.lit(False))
+    out = rows.where(F.col("rank") < k).groupBy("qid").agg(F.count("*").alias("results"), F.count_if(shares).alias("tagged"))
+    return out.withColumn("ok", F.col("tagged") > 0)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import rules
-from quarry.functions.text import tokens
+from quarry.functions.text import DIGITS, stem, tokens
+from quarry.session import scratch, stored
 
 
 class TextIndex:
@@ -17,11 +18,13 @@ class TextIndex:
 
     @staticmethod
     def build(df: DataFrame, id_: str, fields: dict[str, Column]) -> TextIndex:
-        """Indexes the given text of each field; persist the three tables to reuse them."""
-        named = df.select(F.col(id_).alias("id"), F.explode(F.array(*[F.struct(F.lit(n).alias("field"), tokens(c).alias("toks")) for n, c in fields.items()])).alias("f")).select("id", "f.field", "f.toks")
-        long = named.withColumn("dl", F.size("toks"))
-        postings = long.select("field", "id", "dl", F.explode("toks").alias("term")).groupBy("field", "term", "id", "dl").agg(F.count("*").alias("tf"))
-        stats = long.groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+        """Indexes the given text of each field. Words are counted inside their row, so a document's words are tokenised once and never shuffled; the counted rows are stored, since three tables come from them."""
+        named = df.select(F.col(id_).alias("id"), F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.sort_array(tokens(c)).alias("toks")) for n, c in fields.items()])).alias("f")).select("id", "f.field", "f.toks")
+        # in the sorted words a term's count is the distance between the starts of two runs
+        runs = named.withColumn("dl", F.size("toks")).withColumn("at", F.expr("filter(transform(toks, (t, i) -> if(i = 0 or t <> toks[i - 1], i, null)), i -> i is not null)"))
+        counted = stored(runs.select("field", "id", "dl", F.expr("transform(at, (b, i) -> named_struct('term', toks[b], 'tf', cast(coalesce(get(at, i + 1), dl) - b as bigint)))").alias("counts")))
+        postings = counted.select("field", "id", "dl", F.explode("counts").alias("c")).select("field", "c.term", "id", "dl", "c.tf")
+        stats = counted.groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
         terms = postings.groupBy("field", "term").agg(F.count("*").alias("n_docs")).join(F.broadcast(stats.select("field", "n")), "field")
         terms = terms.withColumn("raw", F.log(F.col("n") - F.col("n_docs") + 0.5) - F.log(F.col("n_docs") + 0.5))
         floor = terms.groupBy("field").agg((F.lit(rules.EPSILON) * F.avg("raw")).alias("floor"))
@@ -29,15 +32,21 @@ class TextIndex:
         return TextIndex(postings, stats, terms)
 
     def write(self, path: str) -> None:
-        """Postings are sorted by term within files, so that a query's terms prune row groups."""
-        self.postings.repartition("term").sortWithinPartitions("term").write.parquet(f"{path}/postings")
+        """Postings are dealt and sorted by ranges of (term, id): a query's terms prune files and row groups, and a frequent term fills several tasks."""
+        self.postings.repartitionByRange("term", "id").sortWithinPartitions("term").write.parquet(f"{path}/postings")
         self.fields.write.parquet(f"{path}/fields")
-        self.terms.sortWithinPartitions("term").write.parquet(f"{path}/terms")
+        self.terms.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/terms")
 
     @staticmethod
     def read(spark: SparkSession, path: str) -> TextIndex:
         return TextIndex(*(spark.read.parquet(f"{path}/{n}") for n in ("postings", "fields", "terms")))
 
+    def stored(self) -> TextIndex:
+        """The index as tables in the shared scratch folder, to be queried many times."""
+        path = scratch(self.postings.sparkSession)
+        self.write(path)
+        return TextIndex.read(self.postings.sparkSession, path)
+
     def search(self, terms: list[str], boosts: dict[str, float] | None = None, k1: float = rules.K1, b: float = rules.B) -> DataFrame:
         """(id, bm25_score) of documents that score above 0. A term that is asked twice counts twice."""
         spark = self.postings.sparkSession
@@ -55,39 +64,22 @@ class TextIndex:
         return hits.groupBy("id").agg(F.sum(part).alias("bm25_score")).where("bm25_score > 0")
 
 
-def expand_terms(terms: list[str], stems) -> list[str]:
-    """The terms, and of each synonym group that they touch often enough the other stems in order. Query-side: runs on the driver over a few words."""
-    have, out = set(terms), list(terms)
-    for least, group in stems:
-        if len(have & group) >= least:
-            out += sorted(group - have)
-    return out
-
-
-def stem_word(word: str) -> str:
-    """The stemmer for query words on the driver; the same rule as functions.text.stem."""
-    for suffix, put in (("ing", ""), ("ers", ""), ("ies", "y"), ("ied", "y"), ("ed", ""), ("es", ""), ("s", "")):
-        if word.endswith(suffix) and len(word) - len(suffix) > 3:
-            return word[: -len(suffix)] + put
-    return word
-
+def expanded(text: Column) -> Column:
+    """Stemmed words of a query in order, then of each synonym group that has stems enough among them the group's other stems by name."""
+    own, out = tokens(text), []
+    for least, words in rules.SYNONYMS:
+        group = F.array_sort(F.array_distinct(F.transform(F.array(*[F.lit(w) for w in sorted(words)]), stem)))
+        out.append(F.when(F.size(F.array_intersect(own, group)) >= least, F.array_except(group, own)).otherwise(F.array().cast("array<string>")))
+    return F.concat(own, *out)
 
-SYNONYM_STEMS = [(n, {stem_word(w) for w in group}) for n, group in rules.SYNONYMS]
 
-
-def query_terms(text: str, expand: bool = True) -> list[str]:
-    """Stemmed query words with synonyms."""
-    import re
-    import unicodedata
-
-    folded = unicodedata.normalize("NFKD", text or "").encode("ascii", "ignore").decode().lower()
-    terms = [stem_word(t) for t in re.findall(r"[a-z0-9]+", folded)]
-    return expand_terms(terms, SYNONYM_STEMS) if expand else terms
+def query_terms(spark: SparkSession, text: str, expand: bool = True) -> list[str]:
+    """Terms of one query on the driver: a projection of one literal row, which Spark folds without a job."""
+    c = F.lit(text or "")
+    return list(spark.sql("select 1").select(expanded(c) if expand else tokens(c)).first()[0])
 
 
 def top(df: DataFrame, score: str, key: str, k: int, rank: str) -> DataFrame:
-    """The k best rows by score rounded to 6 digits, then key, with contiguous ranks from 0. Only the k rows meet in one task."""
-    from pyspark.sql import Window
-
-    best = df.withColumn(score, F.round(score, 6)).orderBy(F.desc(score), key).limit(k)
+    """The k best rows by score, then key, with contiguous ranks from 0. Only the k rows meet in one task."""
+    best = df.withColumn(score, F.round(score, DIGITS)).orderBy(F.desc(score), key).limit(k)
     return best.withColumn(rank, F.row_number().over(Window.orderBy(F.desc(score), key)) - 1)

@@ -97,8 +97,8 @@ def lexicon(vocab: DataFrame) -> DataFrame:
     return both.groupBy("word").agg(F.array_sort(F.collect_list("category")).alias("categories"))
 
 
-def parse_tier1(texts: DataFrame, words: DataFrame, text: str = "text", mode: str = "mode") -> DataFrame:
-    """texts with `intent`: mode, moods, genres, era, rating, confidence. words: a lexicon(); it is of fixed, small size and travels as one literal map."""
+def parse_tier1(texts: DataFrame, words: DataFrame, text: str = "text", mode: str = "mode", nouns: tuple[str, ...] = ()) -> DataFrame:
+    """texts with `intent`: mode, moods, genres, era, rating, confidence. words: a lexicon(); it is of fixed, small size and travels as one literal map. nouns: the words for an item of the catalog, singular and plural, which say nothing about it; they come with the caller's vocabulary."""
     book = {r["word"]: r["categories"] for r in words.collect()}  # a vocabulary of a few hundred words
     strings = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
@@ -116,24 +116,27 @@ def parse_tier1(texts: DataFrame, words: DataFrame, text: str = "text", mode: st
     out = texts.withColumn("__m", F.when(feels, matched).otherwise(F.array().cast("array<struct<word:string,categories:array<string>>>")))
     out = out.withColumn("__c", cover(F.col("__m")))
     consumed = F.flatten(F.transform("__m", lambda m: F.split(m["word"], " ")))
-    left = F.filter(F.regexp_extract_all(low, F.lit("[a-z][a-z'-]*"), F.lit(0)), lambda t: ~t.isin(*rules.INTENT_STOPWORDS) & ~F.array_contains(consumed, t) & ~t.isin(*rules.FILM_MOODS))
+    left = F.filter(F.regexp_extract_all(low, F.lit("[a-z][a-z'-]*"), F.lit(0)), lambda t: ~t.isin(*rules.INTENT_STOPWORDS, *nouns) & ~F.array_contains(consumed, t) & ~t.isin(*rules.FILM_MOODS))
     asked = F.col(mode)
     has = F.size("__c") > 0
     resolved = F.when(asked.isin("category", "random"), asked).when(has & (F.size(left) >= 3), "hybrid").when(has, "mood").when(asked.isin("mood", "content", "hybrid"), asked).otherwise("content")
     genres, moods = parse_genres(F.col(text)), mood_fields(F.col("__c"))
     intent = F.struct(
         resolved.alias("mode"), F.col("__c").alias("user_moods"), moods["desired"].alias("desired_film_moods"), moods["avoid"].alias("avoid_film_moods"), strings([]).alias("plot_elements"), genres.alias("genres_include"), strings([]).alias("genres_exclude"),
-        parse_era(F.col(text)).alias("era"), F.struct(F.lit(0.0).alias("darkness"), F.lit(0.5).alias("intensity")).alias("tone"), F.struct(parse_rating(F.col(text)).alias("min_rating")).alias("constraints"),
+        parse_era(F.col(text)).alias("era"), F.struct(F.lit(0.0).alias("darkness"), F.lit(0.0).alias("intensity")).alias("tone"), F.struct(parse_rating(F.col(text)).alias("min_rating")).alias("constraints"),
         F.coalesce(F.col(text), F.lit("")).alias("free_text_query"), F.when(has | (F.size(genres) > 0), 0.9).otherwise(0.3).alias("confidence"),
     )
     return out.withColumn("intent", intent).drop("__m", "__c")
 
 
 def intent_query(intent: Column) -> Column:
-    """struct(query_text, desired, avoid): plot elements instead of free text where there are any; mood mode appends the desired moods."""
-    base = F.when(F.size(intent["plot_elements"]) > 0, F.array_join(intent["plot_elements"], " ")).otherwise(F.trim(intent["free_text_query"]))
-    text = F.when((intent["mode"] == "mood") & (F.size(intent["desired_film_moods"]) > 0), F.trim(F.concat(base, F.lit(" "), F.array_join(intent["desired_film_moods"], " ")))).otherwise(base)
-    return F.struct(text.alias("query_text"), intent["desired_film_moods"].alias("desired"), intent["avoid_film_moods"].alias("avoid"))
+    """struct(query_text, filters, boosts): the plot elements that aren't blank instead of the free text where there are any; mood mode appends the desired moods."""
+    plot = F.filter(F.transform(intent["plot_elements"], lambda x: F.trim(x)), lambda x: x != "")
+    base = F.when(F.size(plot) > 0, F.array_join(plot, " ")).otherwise(F.trim(F.coalesce(intent["free_text_query"], F.lit(""))))
+    wished = F.when((intent["mode"] == "mood") & (F.size(intent["desired_film_moods"]) > 0), F.concat(base, F.lit(" "), F.array_join(intent["desired_film_moods"], " "))).otherwise(base)
+    filters = F.struct(intent["era"]["min_year"].alias("min_year"), intent["era"]["max_year"].alias("max_year"), intent["constraints"]["min_rating"].alias("min_rating"), intent["genres_include"].alias("genres_include"), intent["genres_exclude"].alias("genres_exclude"))
+    boosts = F.struct(intent["desired_film_moods"].alias("desired_film_moods"), intent["avoid_film_moods"].alias("avoid_film_moods"), intent["tone"].alias("tone"))
+    return F.struct(F.trim(wished).alias("query_text"), filters.alias("filters"), boosts.alias("boosts"))
 
 
 def expand_query(query: Column) -> Column:
@@ -211,3 +214,24 @@ def intent_errors(intent: Column) -> Column:
     for name in ("user_moods", "desired_film_moods", "avoid_film_moods", "plot_elements", "genres_include", "genres_exclude"):
         checks[name] = intent[name].isNull()
     return F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(True)), F.lit(m)) for m, bad in checks.items()]))
+
+
+def merge_extracted(df: DataFrame, reply: str, intent: str = "intent", most: int = 8) -> DataFrame:
+    """df whose intent takes the story fields of a model's JSON reply: plot elements (trimmed, no blanks, `most` at most), genres asked for behind those already found, genres ruled out; genres outside the list are left out. A reply that isn't such an object, or makes the intent invalid, changes nothing.
+
+    reply: column with {"plot_elements": [..], "genres_include": [..], "genres_exclude": [..]}; absent lists are empty.
+    """
+    value, i = F.try_parse_json(F.col(reply)), F.col(intent)
+    strings = F.array().cast("array<string>")
+    kind = lambda n: F.schema_of_variant(F.try_variant_get(value, f"$.{n}", "variant"))
+    given = lambda n: F.coalesce(F.try_variant_get(value, f"$.{n}", "array<string>"), strings)
+    names = ("plot_elements", "genres_include", "genres_exclude")
+    usable = F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
+    for n in names:
+        usable &= kind(n).isNull() | kind(n).startswith("ARRAY")
+    known = F.array(*[F.lit(g) for g in rules.GENRES])
+    plot = F.slice(F.filter(F.transform(given("plot_elements"), lambda x: F.trim(x)), lambda x: x != ""), 1, most)
+    genres = lambda n: F.filter(given(n), lambda g: F.array_contains(known, g))
+    candidate = i.withField("plot_elements", plot).withField("genres_include", F.array_union(i["genres_include"], genres("genres_include"))).withField("genres_exclude", genres("genres_exclude"))
+    out = df.withColumn("__c", F.when(usable, candidate))
+    return out.withColumn(intent, F.when(F.col("__c").isNotNull() & (F.size(intent_errors(F.col("__c"))) == 0), F.col("__c")).otherwise(i)).drop("__c")

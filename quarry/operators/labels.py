@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: fixed value: provenance of a label that no person has changed
+SILVER = "silver_llm_pregrade"
+
 
 def rule_tags(catalog: DataFrame, rules: DataFrame, id_: str, genres: Column, text: Column, few: int = 2000) -> DataFrame:
     """(id, tags) for every row: sorted distinct tags of all rules that fit. rules: match_type ('genre': one of the row's genres, 'keyword': contained in its text), pattern, add.
@@ -37,19 +40,36 @@ def _joined_tags(catalog: DataFrame, rules: DataFrame, id_: str, genres: Column,
 
 
 def gold_over_silver(silver: DataFrame, gold: DataFrame, keys=("qid", "id")) -> DataFrame:
-    """Merged labels with their source: gold's grade where there is one, gold-only rows added; silver rows that repeat stay."""
-    g = gold.select(*keys, F.col("grade").alias("gold_grade"), F.lit(True).alias("g"))
+    """Merged labels with their source: gold's grade where there is one, gold-only rows added; silver rows that repeat stay.
+
+    gold may have `provenance` and `notes`, which are kept; without a provenance it is told by how the grades compare. Silver rows have the provenance SILVER.
+    """
+    told = [F.col(n) if n in gold.columns else F.lit(None).cast("string").alias(n) for n in ("provenance", "notes")]
+    g = gold.select(*keys, F.col("grade").alias("gold_grade"), *told, F.lit(True).alias("g"))
     s = silver.select(*keys, F.col("grade").alias("silver_grade"), F.lit(True).alias("s"))
     both = s.join(g, list(keys), "left")
-    only = g.join(s.select(*keys).distinct(), list(keys), "left_anti").select(*keys, F.lit(None).cast("int").alias("silver_grade"), F.lit(None).cast("boolean").alias("s"), "gold_grade", "g")
+    only = g.join(s.select(*keys).distinct(), list(keys), "left_anti").select(*keys, F.lit(None).cast("int").alias("silver_grade"), F.lit(None).cast("boolean").alias("s"), "gold_grade", "provenance", "notes", "g")
     out = both.unionByName(only)
     won = F.coalesce(F.col("g"), F.lit(False))
+    compared = F.when(F.col("s").isNull(), "gold_only").when(F.col("gold_grade").eqNullSafe(F.col("silver_grade")), "gold_agrees").otherwise("gold_overrides")
     return out.select(
         *keys, F.when(won, F.col("gold_grade")).otherwise(F.col("silver_grade")).alias("grade"), F.when(won, "gold").otherwise("silver").alias("label_source"),
-        F.when(~won, "silver").when(F.col("s").isNull(), "gold_only").when(F.col("gold_grade").eqNullSafe(F.col("silver_grade")), "gold_agrees").otherwise("gold_overrides").alias("label_provenance"), "silver_grade", "gold_grade",
+        F.when(won, F.coalesce("provenance", compared)).otherwise(SILVER).alias("label_provenance"), "silver_grade", "gold_grade", F.col("notes").alias("gold_notes"),
     )
 
 
+def merge_errors(merged: DataFrame, allowed: tuple[str, ...], keys=("qid", "id")) -> DataFrame:
+    """(keys, errors) of merged labels that break an invariant: the grade is that of its source, gold rows have a gold grade and an allowed provenance, silver rows have neither."""
+    c, gold, silver = F.col, F.col("label_source").eqNullSafe("gold"), F.col("label_source").eqNullSafe("silver")
+    return errors(
+        merged,
+        {
+            "invalid label_source": ~gold & ~silver, "invalid gold invariant": gold & (c("gold_grade").isNull() | ~c("grade").eqNullSafe(c("gold_grade"))), "invalid gold provenance": gold & ~F.coalesce(c("label_provenance").isin(*allowed), F.lit(False)),
+            "invalid silver invariant": silver & (c("gold_grade").isNotNull() | ~c("grade").eqNullSafe(c("silver_grade"))), "invalid silver provenance": silver & ~c("label_provenance").eqNullSafe(SILVER),
+        },
+    ).where(F.size("errors") > 0).select(*keys, "errors")
+
+
 def gold_only(silver: DataFrame, gold: DataFrame, keys=("qid", "id")) -> DataFrame:
     return gold.join(silver, list(keys), "left_anti")
 
@@ -66,22 +86,33 @@ def assert_empty(df: DataFrame, what: str) -> None:
         raise ValueError(f"{what}: {', '.join(str(r.asDict()) for r in rows)}")
 
 
-def agreement(pairs: DataFrame, incomplete: bool | None = None) -> DataFrame:
-    """Exact and within-one agreement and counts at thresholds 1 and 2; pairs: silver, gold. A missing silver grade counts as -1; all is null while a gold grade lacks."""
+def agreement(pairs: DataFrame) -> DataFrame:
+    """One row: rows, filled, complete, exact and within_1 agreement, rows that differ by 1 and by 2 at least; pairs: silver, gold. A missing silver grade counts as -1; until all gold grades are there the shares are null and the counts 0."""
     s, g = F.coalesce("silver", F.lit(-1)), F.col("gold")
-    complete = F.count_if(g.isNull()) == 0
-    when = lambda c: F.when(complete, c)
-    share = lambda cond: when(F.round(F.avg(F.when(cond, 1.0).otherwise(0.0)), 6))
-    return pairs.agg(F.count("*").alias("n"), F.count_if(g.isNull()).alias("pending"), share(s == g).alias("exact"), share(F.abs(s - g) <= 1).alias("within_one"), *[when(F.count_if((s >= k) == (g >= k))).alias(f"same_at_{k}") for k in (1, 2)])
+    complete = (F.count_if(g.isNull()) == 0) & (F.count("*") > 0)
+    share = lambda cond: F.when(complete, F.round(F.avg(F.when(cond, 1.0).otherwise(0.0)), 6))
+    differ = lambda k: F.when(complete, F.count_if(F.abs(s - g) >= k)).otherwise(0)
+    return pairs.agg(
+        F.count("*").alias("rows_total"), F.count("gold").alias("rows_filled"), (F.count_if(g.isNull()) == 0).alias("complete"), share(s == g).alias("exact"), share(F.abs(s - g) <= 1).alias("within_1"), *[differ(k).alias(f"disagree_ge{k}_count") for k in (1, 2)]
+    )
+
+
+#: fixed values: (grade that is crossed, text for up, text for down)
+CROSSINGS = ((2, "silver<2->gold>=2", "silver>=2->gold<2"), (3, "silver<3->gold==3", "silver==3->gold<3"))
 
 
 def crossings(pairs: DataFrame) -> DataFrame:
-    """Rows whose grade crossed 1 or 2, with what crossed."""
+    """Graded rows whose gold grade is on the other side of relevant or perfect than the silver one, with what crossed."""
     s, g = F.coalesce("silver", F.lit(-1)), F.col("gold")
-    said = [F.when((s < k) & (g >= k), F.lit(f"up over {k}")).when((s >= k) & (g < k), F.lit(f"down under {k}")) for k in (1, 2)]
+    said = [F.when((s < k) & (g >= k), F.lit(up)).when((s >= k) & (g < k), F.lit(down)) for k, up, down in CROSSINGS]
     return pairs.withColumn("crossing", F.concat_ws("; ", *said)).where("crossing <> ''")
 
 
+def filled_by_query(pairs: DataFrame) -> DataFrame:
+    """(qid, filled, changed) of a regrade sheet; pairs: qid, silver, gold."""
+    return pairs.groupBy("qid").agg(F.count("gold").alias("filled"), F.count_if(F.col("gold").isNotNull() & ~F.col("gold").eqNullSafe(F.col("silver"))).alias("changed"))
+
+
 def audit(rows: DataFrame, suspects: list[str], k: int = 5) -> DataFrame:
     """(qid, id, reasons) of labels that a person should look at; rows: qid, id, rank, grade, confidence."""
     best = rows.groupBy("qid", "id").agg(F.min("rank").alias("rank"), F.first("grade").alias("grade"), F.first("confidence").alias("confidence"))
@@ -114,9 +145,11 @@ def sheet_diff(expected: DataFrame, actual: DataFrame, keys: list[str], fields:
     return left.where("problem is not null").unionByName(extra)
 
 
-def pending(todo: DataFrame, log: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows without a graded log entry: what a resumed run has to do."""
-    return todo.join(log.where("grade is not null").select(*keys).distinct(), keys, "left_anti")
+def pending(todo: DataFrame, log: DataFrame, keys: list[str], model: str | None = None) -> DataFrame:
+    """Rows without a graded log entry: what a resumed run has to do. model: entries of other models don't count."""
+    done = log.where("grade is not null")
+    done = done if model is None else done.where(F.col("model") == model)
+    return todo.join(done.select(*keys).distinct(), keys, "left_anti")
 
 
 def parse_gate(rows: DataFrame, order: str, ok: Column, first: int = 20, least: float = 0.95) -> DataFrame:
@@ -135,3 +168,8 @@ def errors(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
     """The rows with `errors`: the messages whose condition is true. Null conditions count as bad."""
     found = F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(True)), F.lit(m)) for m, bad in checks.items()]))
     return df.withColumn("errors", found)
+
+
+def rates(rows: DataFrame, group: str, flags: dict[str, Column]) -> DataFrame:
+    """(group, queries, name ...): the share of rows for which each flag holds, to four digits; null counts as no."""
+    return rows.groupBy(group).agg(F.count("*").alias("queries"), *[F.round(F.avg(F.when(F.coalesce(c, F.lit(False)), 1.0).otherwise(0.0)), 4).alias(n) for n, c in flags.items()])

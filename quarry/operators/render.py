@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.text import collapse
+from quarry.functions.text import collapse, to_double
 
-#: Fixed phrases of praise that say nothing about a row.
+#: fixed values: phrases of praise that say nothing about a row
 GENERIC = ("great movie", "amazing film", "must watch", "must-watch", "critically acclaimed", "highly recommended", "iconic", "masterpiece", "won an oscar", "audiences love", "fans agree", "fans will love", "groundbreaking", "perfectly matches")
 
 
@@ -40,9 +40,31 @@ def numbered(items: Column) -> Column:
     return F.array_join(F.transform(items, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), "\n")
 
 
-def canonical(value: Column) -> Column:
-    """Compact JSON; name fields in sorted order in the struct to get the canonical form. Nulls are written."""
-    return F.to_json(value, {"ignoreNullFields": "false"})
+def _sorted(value: Column, kind) -> Column:
+    """The value with the fields of its structs, at every depth, in order of name."""
+    if kind.typeName() == "struct":
+        return F.when(value.isNotNull(), F.struct(*[_sorted(value[f.name], f.dataType).alias(f.name) for f in sorted(kind, key=lambda f: f.name)]))
+    if kind.typeName() == "array" and kind.elementType.typeName() in ("struct", "array"):
+        return F.transform(value, lambda x: _sorted(x, kind.elementType))
+    return value
+
+
+def ascii_json(json: Column) -> Column:
+    """A JSON text with every character beyond ASCII as \\u escapes, those beyond the basic plane as two."""
+
+    def spelled(ch: Column) -> Column:
+        units = F.lower(F.hex(F.encode(ch, "UTF-16BE")))  # four digits, or eight of a pair
+        escape = lambda at: F.concat(F.lit("\\u"), F.substring(units, at, 4))
+        return F.when(ch.rlike(r"^[\x00-\x7F]$"), ch).otherwise(F.concat(escape(1), F.when(F.length(units) > 4, escape(5)).otherwise("")))
+
+    return F.when(json.rlike(r"^[\x00-\x7F]*$"), json).otherwise(F.array_join(F.transform(F.split(json, ""), spelled), ""))
+
+
+def canonical(df: DataFrame, *fields: str, ascii_only: bool = True) -> Column:
+    """Compact JSON of the fields of df: keys sorted at every depth, nulls written, ASCII only unless told otherwise."""
+    kinds = {f.name: f.dataType for f in df.schema}
+    out = F.to_json(F.struct(*[_sorted(F.col(n), kinds[n]).alias(n) for n in sorted(fields)]), {"ignoreNullFields": "false"})
+    return ascii_json(out) if ascii_only else out
 
 
 def extract_object(text: Column, schema: str) -> Column:
@@ -83,27 +105,34 @@ def unsupported(explanation: Column, overview: Column) -> Column:
 
 
 def health(results: DataFrame, k: int) -> DataFrame:
-    """(qid, mode, problems): too few rows, repeated keys, missing scores. results: qid, mode, movie_key, final_score, rrf_score, rerank_score."""
-    n = results.groupBy("qid", "mode").agg(F.count("*").alias("n"), F.count_distinct("movie_key").alias("keys"), F.count("final_score").alias("finals"), F.count("rrf_score").alias("fused"), F.count("rerank_score").alias("reranked"))
+    """(qid, mode, problems): too few rows, repeated keys, repeated titles of a year, missing scores, generic explanations. results: qid, mode, movie_key, title, year, overview, explanation, final_score, rrf_score, rerank_score."""
+    named = F.concat_ws("|", F.lower(F.trim(F.coalesce("title", F.lit("")))), F.coalesce(F.col("year").cast("string"), F.lit("")))
+    n = results.groupBy("qid", "mode").agg(F.count("*").alias("n"), F.count_distinct("movie_key").alias("keys"), F.count_distinct(named).alias("titles"), F.count_if(unsupported(F.col("explanation"), F.col("overview"))).alias("generic"), F.count("final_score").alias("finals"), F.count("rrf_score").alias("fused"), F.count("rerank_score").alias("reranked"))
     problems = F.array_compact(
         F.array(
-            F.when(F.col("n") < min(k, 3), F.lit("too few")), F.when(F.col("keys") < F.col("n"), F.lit("duplicate keys")), F.when(F.col("finals") < F.col("n"), F.lit("missing final_score")),
-            F.when((F.col("mode") == "hybrid") & (F.col("fused") == 0), F.lit("no rrf_score")), F.when(F.col("mode").isin("advanced", "hybrid") & (F.col("reranked") == 0), F.lit("no rerank_score")),
+            F.when(F.col("n") < min(k, 3), F.lit("too few")), F.when(F.col("keys") < F.col("n"), F.lit("duplicate keys")), F.when(F.col("titles") < F.col("n"), F.lit("duplicate title and year")), F.when(F.col("finals") < F.col("n"), F.lit("missing final_score")),
+            F.when((F.col("mode") == "hybrid") & (F.col("fused") == 0), F.lit("no rrf_score")), F.when(F.col("mode").isin("advanced", "hybrid") & (F.col("reranked") == 0), F.lit("no rerank_score")), F.when(F.col("generic") > 0, F.lit("generic explanation")),
         )
     )
     return n.select("qid", "mode", problems.alias("problems")).where(F.size("problems") > 0)
 
 
-def to_modes(rows: DataFrame, modes: tuple[str, ...]) -> DataFrame:
-    """(qid, id, per_mode): evidence as a map in the fixed order of modes; a missing score is 0."""
+#: fixed values: the scores of a mode's evidence
+SCORES = ("final_score", "rerank_score", "rrf_score", "bm25_score", "semantic_score")
+
+
+def to_modes(rows: DataFrame, modes: tuple[str, ...], scores: tuple[str, ...] = SCORES) -> DataFrame:
+    """(qid, id, per_mode): evidence as a map in the fixed order of modes: the rank and, of `scores`, the columns that rows have. A null score stays null and is left out when the evidence is written as JSON; one that is no finite number is 0."""
+    here = [n for n in scores if n in rows.columns]
+    rows = rows.select(*rows.columns, *[F.when(F.col(n).isNotNull(), to_double(F.col(n))).alias(f"__{n}") for n in here])
     number = F.array_position(F.array(*[F.lit(m) for m in modes]), F.col("mode"))
-    entry = F.struct(number.alias("n"), F.col("mode").alias("key"), F.struct("rank", F.coalesce("score", F.lit(0.0)).alias("score")).alias("value"))
+    entry = F.struct(number.alias("n"), F.col("mode").alias("key"), F.struct("rank", *[F.col(f"__{n}").alias(n) for n in here]).alias("value"))
     return rows.groupBy("qid", "id").agg(F.map_from_entries(F.transform(F.array_sort(F.collect_list(entry)), lambda e: F.struct(e["key"], e["value"]))).alias("per_mode"))
 
 
 def from_modes(rows: DataFrame) -> DataFrame:
     """The long form of to_modes()."""
-    return rows.select("qid", "id", F.explode("per_mode").alias("mode", "v")).select("qid", "id", "mode", "v.rank", "v.score")
+    return rows.select("qid", "id", F.explode("per_mode").alias("mode", "v")).select("qid", "id", "mode", "v.*")
 
 
 def unjudged_top(rows: DataFrame, k: int = 5) -> DataFrame:
@@ -111,8 +140,6 @@ def unjudged_top(rows: DataFrame, k: int = 5) -> DataFrame:
     return rows.where((F.col("rank") < k) & F.col("grade").isNull()).select("qid", "mode", "id")
 
 
-def every_nth(df: DataFrame, order: str, n: int) -> DataFrame:
-    """Rows 1, n + 1, 2n + 1 ... by the order column, for small lists such as query sets. The sampling is the operator's purpose."""
-    from pyspark.sql import Window
-
-    return df.withColumn("__i", F.row_number().over(Window.orderBy(order))).where((F.col("__i") - 1) % n == 0).drop("__i")
+def every_nth(df: DataFrame, number: str, n: int) -> DataFrame:
+    """Rows 1, n + 1, 2n + 1 ... of a list that carries its rows' numbers from 1, as a file's line numbers. The sampling is the operator's purpose."""
+    return df.where((F.col(number) - 1) % n == 0)

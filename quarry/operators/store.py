@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import rules
 from quarry.functions.text import uniform
+from quarry.operators.render import canonical
 
-ERAS = ((1970, 1979), (1980, 1989), (1990, 1999), (2000, 2009), (2010, 2019), (2020, 2029))
+#: fixed values: (label, first year, last year)
+ERAS = (("Before 1980", None, 1979), ("1980s", 1980, 1989), ("1990s", 1990, 1999), ("2000s", 2000, 2009), ("2010s", 2010, 2019), ("2020s", 2020, 2029))
 
 SORTS = {
-    "popularity": ("popularity", "rating", "votes"),
-    "rating": ("rating", "votes", "popularity"),
-    "year": ("year", "popularity", "rating"),
+    "popularity": ("votes", "rating"),
+    "rating": ("rating", "votes"),
+    "year": ("year", "votes"),
 }
 
 
-def browse(df: DataFrame, sort: str, genre: str | None = None, min_year: int | None = None, max_year: int | None = None) -> list[Column]:
-    """Total order of a browse list."""
+def browse(sort: str) -> list[Column]:
+    """Total order of a browse list; ValueError for an unknown sort."""
+    if sort not in SORTS:
+        raise ValueError(f"unsupported sort: {sort}")
     return [F.desc(n) for n in SORTS[sort]] + [F.lower("title"), F.col("id")]
 
 
@@ -57,10 +61,9 @@ def genre_list(df: DataFrame) -> DataFrame:
 
 
 def era_of(year: Column) -> Column:
-    out = None
-    for lo, hi in ERAS:
-        out = F.when(year.between(lo, hi), f"{lo}s") if out is None else out.when(year.between(lo, hi), f"{lo}s")
-    return out
+    """Label of the first era that holds the year; an unknown year counts as 0."""
+    y = F.coalesce(year, F.lit(0))
+    return F.coalesce(*[F.when((y <= last) if first is None else y.between(first, last), label) for label, first, last in ERAS])
 
 
 def recent(df: DataFrame, ts: str, id_: str, k: int = 50) -> DataFrame:
@@ -86,17 +89,22 @@ def fold_events(events: DataFrame, key: list[str], ts: str, id_: str, kind: str)
     return events.groupBy(*key).agg(F.max_by(kind, F.struct(ts, id_)).alias("last")).where("last <> 'delete'").drop("last")
 
 
-def cache_key(*fields: Column) -> Column:
-    """Hash of a canonical rendering of the request."""
-    return F.sha2(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}), 256)
+def cache_key(request: DataFrame, *fields: str) -> Column:
+    """Hash of the canonical rendering of a request's fields: sorted keys at every depth, ASCII only, so that neither the caller's order nor the encoding matters."""
+    return F.sha2(canonical(request, *fields), 256)
 
 
-def live(cache: DataFrame, now: Column, created: str = "created_at", ttl: Column | None = None) -> DataFrame:
-    """Entries that haven't expired; of several writes of a key the last counts."""
+def live(cache: DataFrame, now: Column, keys: list[str], created: str = "created_at", ttl: Column | None = None) -> DataFrame:
+    """Of each key the last write (the greatest row among equal times), if it hasn't expired."""
     seconds = F.lit(rules.CACHE_SECONDS) if ttl is None else ttl
-    return cache.where(F.unix_micros(F.col(created).cast("timestamp")) + seconds * 1_000_000 > F.unix_micros(now.cast("timestamp")))
+    rest = [c for c in cache.columns if c not in keys and c != created]
+    last = cache.groupBy(*keys).agg(F.max(F.struct(created, *rest)).alias("__v")).select(*keys, "__v.*").select(*cache.columns)
+    return last.where(F.unix_micros(F.col(created).cast("timestamp")) + seconds * 1_000_000 > F.unix_micros(now.cast("timestamp")))
 
 
-def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+def watch_filter(which: str, watched: Column) -> Column:
+    """Predicate of a library view: all, watched or unwatched."""
+    views = {"all": F.lit(True), "watched": F.coalesce(watched, F.lit(False)), "unwatched": ~F.coalesce(watched, F.lit(False))}
+    if which not in views:
+        raise ValueError(f"unsupported view: {which}")
+    return views[which]

@@ -28,5 +28,5 @@ bm as (select id, sum(boost * qtf * idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.7
 
 
 def ranked(source: str, score: str, k: int, rank: str, name: str) -> str:
-    """CTE `name`: the k best of source by rounded score and id, ranks from 0."""
-    return f"{name} as (select id, round({score}, 6) as {score}, row_number() over (order by round({score}, 6) desc, id) - 1 as {rank} from {source} qualify row_number() over (order by round({score}, 6) desc, id) <= {k})"
+    """CTE `name`: the k best of source by score at 12 digits and id, ranks from 0."""
+    return f"{name} as (select id, round({score}, 12) as {score}, row_number() over (order by round({score}, 12) desc, id) - 1 as {rank} from {source} qualify row_number() over (order by round({score}, 12) desc, id) <= {k})"

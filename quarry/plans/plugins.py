@@ -14,7 +14,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.text import tokens
+from quarry.functions.text import tokens, utc_stamp
+from quarry.operators import intent, labels, render
+from quarry.operators.vectors import append_batches
 
 
 class Embedder(Protocol):
@@ -26,7 +28,17 @@ class Scorer(Protocol):
 
 
 class Grader(Protocol):
-    def grade(self, query: str, texts: list[str]) -> list[int | None]: ...
+    """Replies to grading prompts: JSON texts with grade, confidence and reason. None stands for a failed call."""
+
+    name: str
+
+    def replies(self, prompts: list[str]) -> list[str | None]: ...
+
+
+class IntentParser(Protocol):
+    """Replies to requests: JSON texts with plot_elements, genres_include and genres_exclude. None stands for a failed call."""
+
+    def replies(self, texts: list[str]) -> list[str | None]: ...
 
 
 class HashingEmbedder:
@@ -68,6 +80,40 @@ def rescore(df: DataFrame, text: str, query: str, scorer: Scorer) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def replied(df: DataFrame, text: str, replies, out: str = "reply") -> DataFrame:
+    """df with a column of a model's replies to its texts, in Arrow batches. A batch whose call raises has null replies: what depends on them falls back."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", {out} string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            try:
+                got = replies([x or "" for x in b[text].to_pylist()])
+            except Exception:  # a model behind a network may fail in any way
+                got = [None] * b.num_rows
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.string())], names=[*b.schema.names, out])
+
+    return df.mapInArrow(run, schema)
+
+
+def parse_intents(texts: DataFrame, words: DataFrame, parser: IntentParser | None = None, text: str = "text", mode: str = "mode") -> DataFrame:
+    """texts with `intent`: the lexicon's reading, whose story fields a parser's reply fills if there is one."""
+    read = intent.parse_tier1(texts, words, text, mode)
+    return read if parser is None else intent.merge_extracted(replied(read, text, parser.replies, "__reply"), "__reply").drop("__reply")
+
+
+def grade(todo: DataFrame, log: DataFrame, grader: Grader, template: str, fields: dict[str, Column], now: Column, keys: tuple[str, ...] = ("qid", "id")) -> DataFrame:
+    """New log rows (keys, grade, confidence, reason, model, ts) for the rows that this model hasn't graded yet; a reply that can't be read is a null grade of low confidence, to be tried again by the next run."""
+    left = labels.pending(todo, log, list(keys), grader.name)
+    asked = left.select(*keys, render.prompt(template, **fields).alias("__prompt"))
+    read = replied(asked, "__prompt", grader.replies, "__reply").withColumn("g", render.grade_reply(F.col("__reply")))
+    return read.select(*keys, "g.grade", "g.confidence", "g.reason", F.lit(grader.name).alias("model"), utc_stamp(now).alias("ts"))
+
+
+def embed_into(df: DataFrame, text: str, embedder: Embedder, id_: str, path: str) -> None:
+    """Embeds and writes vectors to a place that must not hold any yet; rows without text are left out."""
+    append_batches(embed(df.where(F.coalesce(text, F.lit("")) != ""), text, embedder, id_), path)
+
+
 def overlap_score(text: Column, terms: list[str]) -> Column:
     """Stand-in for a cross-encoder, as an expression: the share of the query's terms that the text has."""
     wanted = sorted(set(terms))

@@ -5,40 +5,26 @@ Stand-ins: documents are the catalog (title: first line, overview: text, genre:
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import rules
 from quarry.functions import text as T
 from quarry.operators import catalog, dedup, evaluate, fusion, generate, intent, labels, render, store, vectors
-from quarry.operators.index import TextIndex, query_terms, top
+from quarry.operators.index import TextIndex, expanded, query_terms, top
 from quarry.plans import oracle as O
 from quarry.plans import pipelines
 from quarry.plans.plugins import overlap_score
+from quarry.plans.registry import query
 from quarry.session import table
 
-Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        Q[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 # --- retrieval and ranking ---
 
 ASKED = "there and then ending of the dreams"
-TERMS = query_terms(ASKED)
+TERMS = ["there", "and", "then", "ending", "of", "the", "dream", "lucid", "mind", "subconsciou"]  # query_terms(ASKED), which a test compares
 WORDS = ("idiot", "moron", "clown", "worthless")
-DOCS = "docs as (select doc_id as id, split_part(text, chr(10), 1) as title, text as overview, lang as genres, source as keywords, '' as tagline, n_chars as vote_count from documents)"
+KEY = "trim(regexp_replace(lower(split_part(text, chr(10), 1)), '[^a-z0-9]+', ' ', 'g'))"
+DOCS = f"docs as (select doc_id as id, split_part(text, chr(10), 1) as title, text as overview, coalesce(lang, 'xx') as genres, coalesce(source, 'xx') as keywords, '' as tagline, n_chars as vote_count, (1950 + n_chars % 70)::int as year, 5 + (n_chars % 50) / 10.0::double as vote_average, case when {KEY} <> '' then 'title:' || {KEY} || '|year:' || (1950 + n_chars % 70) else 'id:' || doc_id end as movie_key from documents)"
 FIELDS = {"title": "title", "overview": "overview", "genres": "genres", "keywords": "keywords", "tagline": "tagline"}
 VEC = "q as (select embedding::double[] as q from embeddings where vec_id = 0)"
 SIM = "least(greatest(list_dot_product(embedding::double[], (select q from q)), 0), 1)"
@@ -47,11 +33,26 @@ SEM = f"sem0 as (select vec_id as id, {SIM} as semantic_score from embeddings)"
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents")
-    return d.select(F.col("doc_id").alias("id"), F.split("text", "\n").getItem(0).alias("title"), F.col("text").alias("overview"), F.col("lang").alias("genres"), F.col("source").alias("keywords"), F.lit("").alias("tagline"), F.col("n_chars").alias("vote_count"))
+    lang, source = F.coalesce("lang", F.lit("xx")), F.coalesce("source", F.lit("xx"))
+    return d.select(
+        F.col("doc_id").alias("id"), F.split("text", "\n").getItem(0).alias("title"), F.col("text").alias("overview"), lang.alias("genres"), source.alias("keywords"), F.lit("").alias("tagline"), F.col("n_chars").alias("vote_count"),
+        (1950 + F.col("n_chars") % 70).cast("int").alias("year"), (5 + (F.col("n_chars") % 50) / 10.0).alias("vote_average"),
+    )
+
+
+_indexes: dict[tuple[str, str], TextIndex] = {}
 
 
 def index(spark: SparkSession, sf: str) -> TextIndex:
-    return TextIndex.build(docs(spark, sf), "id", {f: F.col(f) for f in FIELDS})
+    """The stored index of the documents of sf: made once in an application, as a server would, and shared by its queries."""
+    at = (spark.sparkContext.applicationId, sf)
+    if at not in _indexes:
+        _indexes[at] = TextIndex.build(docs(spark, sf), "id", {f: F.col(f) for f in FIELDS}).stored()
+    return _indexes[at]
+
+
+def sources(spark: SparkSession, sf: str) -> pipelines.Sources:
+    return pipelines.Sources(index(spark, sf), table(spark, sf, "embeddings"), docs(spark, sf))
 
 
 def vector(spark: SparkSession, sf: str, vec_id: int) -> list[float]:
@@ -63,19 +64,19 @@ BODY = O.bm25("docs", {"overview": "overview"}, TERMS, {"overview": 1.0})
 FIELDED = O.bm25("docs", FIELDS, TERMS, rules.FIELD_BOOSTS)
 
 
-@query(f"with {DOCS}, {BODY}, {O.ranked('bm', 'bm25_score', 200, 'bm25_rank', 'r')} select * from r")
+@query(f"with {DOCS}, {BODY}, {O.ranked('bm', 'bm25_score', 200, 'bm25_rank', 'r')} select id, round(bm25_score, 6) as bm25_score, bm25_rank from r")
 def bm25_topk(spark, sf):
-    return top(TextIndex.build(docs(spark, sf), "id", {"overview": F.col("overview")}).search(TERMS, {"overview": 1.0}), "bm25_score", "id", 200, "bm25_rank")
+    return six(top(index(spark, sf).search(TERMS, {"overview": 1.0}), "bm25_score", "id", 200, "bm25_rank"))
 
 
-@query(f"with {DOCS}, {FIELDED}, {O.ranked('bm', 'bm25_score', 200, 'bm25_rank', 'r')} select * from r")
+@query(f"with {DOCS}, {FIELDED}, {O.ranked('bm', 'bm25_score', 200, 'bm25_rank', 'r')} select id, round(bm25_score, 6) as bm25_score, bm25_rank from r")
 def bm25_fielded(spark, sf):
-    return pipelines.text(index(spark, sf), ASKED, 200)
+    return six(pipelines.text(index(spark, sf), ASKED, 200))
 
 
 @query(f"with {DOCS}, bt as (select id, {O.tokens('overview')} as toks from docs), p as (select term, count(*) as n_docs from (select distinct id, unnest(toks) as term from bt) group by term), n as (select count(*) as n from docs), r as (select term, n_docs, ln(n - n_docs + 0.5) - ln(n_docs + 0.5) as raw from p, n) select term, n_docs, round(case when raw < 0 then (select 0.25 * avg(raw) from r) else raw end, 6) as idf from r")
 def term_statistics(spark, sf):
-    return TextIndex.build(docs(spark, sf), "id", {"overview": F.col("overview")}).terms.select("term", "n_docs", F.round("idf", 6).alias("idf"))
+    return index(spark, sf).terms.where("field = 'overview'").select("term", "n_docs", F.round("idf", 6).alias("idf"))
 
 
 @query(f"select doc_id, len(x) as n_tokens, md5(array_to_string(x, ' ')) as digest from (select doc_id, {O.tokens('text')} as x from documents)")
@@ -83,14 +84,14 @@ def tokenized(spark, sf):
     return table(spark, sf, "documents").withColumn("x", T.tokens(F.col("text"))).select("doc_id", F.size("x").cast("long").alias("n_tokens"), F.md5(F.array_join("x", " ")).alias("digest"))
 
 
-@query(f"with {VEC}, {SEM}, {O.ranked('sem0', 'semantic_score', 100, 'semantic_rank', 'r')} select * from r")
+@query(f"with {VEC}, {SEM}, {O.ranked('sem0', 'semantic_score', 100, 'semantic_rank', 'r')} select id, round(semantic_score, 6) as semantic_score, semantic_rank from r")
 def cosine_topk(spark, sf):
-    return pipelines.basic(table(spark, sf, "embeddings"), vector(spark, sf, 0), 100)
+    return six(pipelines.semantic(table(spark, sf, "embeddings"), vector(spark, sf, 0), 100))
 
 
-@query(f"with {VEC}, s as (select vec_id as id, {SIM} as semantic_score from embeddings where label between 2 and 5), {O.ranked('s', 'semantic_score', 50, 'semantic_rank', 'r')} select * from r")
+@query(f"with {VEC}, s as (select vec_id as id, {SIM} as semantic_score from embeddings where label between 2 and 5), {O.ranked('s', 'semantic_score', 50, 'semantic_rank', 'r')} select id, round(semantic_score, 6) as semantic_score, semantic_rank from r")
 def cosine_filtered(spark, sf):
-    return vectors.search(table(spark, sf, "embeddings"), vector(spark, sf, 0), 50, fusion.predicate({"label": {"$gte": 2, "$lte": 5}, "unknown": 1}, {"label": F.col("label")}))
+    return six(vectors.search(table(spark, sf, "embeddings"), vector(spark, sf, 0), 50, fusion.predicate({"label": {"$gte": 2, "$lte": 5}, "unknown": 1}, {"label": F.col("label")})))
 
 
 @query("with v as (select vec_id, embedding::double[] as e, label from embeddings), c as (select label as qid, vec_id as q_id, e as q from v qualify row_number() over (partition by label order by vec_id) = 1), s as (select qid, v.vec_id as id, round(least(greatest(list_dot_product(e, q), 0), 1), 6) as semantic_score from c, v) select qid, id, semantic_score, row_number() over (partition by qid order by semantic_score desc, id) - 1 as semantic_rank from s qualify row_number() over (partition by qid order by semantic_score desc, id) <= 20")
@@ -100,53 +101,117 @@ def cosine_many(spark, sf):
     return vectors.search_many(e, first, 20)
 
 
-FUSED = f"{DOCS}, {VEC}, {SEM}, {O.ranked('sem0', 'semantic_score', 1500, 'semantic_rank', 'sem')}, {FIELDED}, {O.ranked('bm', 'bm25_score', 1500, 'bm25_rank', 'txt')}, rrf as (select coalesce(sem.id, txt.id) as id, semantic_score, semantic_rank, bm25_score, bm25_rank, round(coalesce(1.0::double / (15 + semantic_rank + 1), 0) + coalesce(1.0::double / (15 + bm25_rank + 1), 0), 6) as rrf_score, case when sem.id is not null and txt.id is not null then 1.0::double else 0.0::double end as source_agreement from sem full join txt on sem.id = txt.id)"
+FUSED = f"{DOCS}, {VEC}, {SEM}, {O.ranked('sem0', 'semantic_score', 1500, 'semantic_rank', 'sem')}, {FIELDED}, {O.ranked('bm', 'bm25_score', 1500, 'bm25_rank', 'txt')}, rrf as (select coalesce(sem.id, txt.id) as id, semantic_score, semantic_rank, bm25_score, bm25_rank, coalesce(1.0::double / (15 + semantic_rank + 1), 0) + coalesce(1.0::double / (15 + bm25_rank + 1), 0) as rrf_score, case when sem.id is not null and txt.id is not null then 1.0::double else 0.0::double end as source_agreement from sem full join txt on sem.id = txt.id)"
+
+
+def six(df: DataFrame) -> DataFrame:
+    """Scores as reports show them."""
+    return df.withColumns({f.name: F.round(f.name, 6) for f in df.schema if f.dataType.simpleString() == "double"})
 
 
-@query(f"with {FUSED} select * from rrf")
+@query(f"with {FUSED} select id, round(semantic_score, 6) as semantic_score, semantic_rank, round(bm25_score, 6) as bm25_score, bm25_rank, round(rrf_score, 6) as rrf_score, source_agreement from rrf")
 def rrf_hybrid(spark, sf):
-    return fusion.rrf(pipelines.semantic(table(spark, sf, "embeddings"), vector(spark, sf, 0)), pipelines.text(index(spark, sf), ASKED))
+    return six(fusion.rrf(pipelines.semantic(table(spark, sf, "embeddings"), vector(spark, sf, 0)), pipelines.text(index(spark, sf), ASKED)))
 
 
-@query("with q as (select vec_id as qid, embedding::double[] as q from embeddings where vec_id in (0, 1)), s as (select qid, vec_id as id, round(least(greatest(list_dot_product(embedding::double[], q), 0), 1), 6) as s from embeddings, q), r as (select *, row_number() over (partition by qid order by s desc, id) - 1 as r from s qualify row_number() over (partition by qid order by s desc, id) <= 1500), f as (select id, round(sum(1.0::double / (15 + r + 1)), 6) as semantic_rrf, max(s) as semantic_score from r group by id) select *, row_number() over (order by semantic_rrf desc, id) - 1 as semantic_rank from f")
+@query("with q as (select vec_id as qid, embedding::double[] as q from embeddings where vec_id in (0, 1)), s as (select qid, vec_id as id, round(least(greatest(list_dot_product(embedding::double[], q), 0), 1), 12) as s from embeddings, q), r as (select *, row_number() over (partition by qid order by s desc, id) - 1 as r from s qualify row_number() over (partition by qid order by s desc, id) <= 1500), f as (select id, round(sum(1.0::double / (15 + r + 1)), 12) as f, max(s) as s, min(qid * 10000 + r) as o from r group by id) select id, round(f, 6) as semantic_rrf, round(s, 6) as semantic_score, row_number() over (order by f desc, o) - 1 as semantic_rank from f")
 def rrf_two_lists(spark, sf):
     e = table(spark, sf, "embeddings")
-    return fusion.rrf_lists([vectors.search(e, vector(spark, sf, i), rules.RETRIEVE_POOL) for i in (0, 1)])
+    return six(fusion.rrf_lists([vectors.search(e, vector(spark, sf, i), rules.RETRIEVE_POOL) for i in (0, 1)]))
 
 
-WANT = sorted(set(TERMS))
-OVERLAP = f"len(list_intersect({O.tokens('overview')}, {WANT!r})) / {float(len(WANT))}::double"
-BLEND = f"""{FUSED}, cut as (select * from rrf order by rrf_score desc, id limit 100), pool as (select docs.*, semantic_score, bm25_score, rrf_score, {OVERLAP} as rerank_score, ln(1 + greatest(vote_count, 0)::double) as qp, coalesce(nullif(rrf_score, 0), nullif(semantic_score, 0), nullif(bm25_score, 0), 0) as up from docs join cut using (id)),
-blended as (select id, title, rerank_score, coalesce(qp / nullif(max(qp) over (), 0), 0) as quality_prior, coalesce(up / nullif(max(up) over (), 0), 0) as upstream_prior, overview, genres from pool),
-fin as (select id, genres, overview, title, round(rerank_score, 6) as rerank_score, round(quality_prior, 6) as quality_prior, round(upstream_prior, 6) as upstream_prior, round(rerank_score + 0.08 * quality_prior + 0.12 * upstream_prior, 6) as final_score from blended)"""
 DARK = f"regexp_matches(lower(concat_ws(' ', overview, genres)), '(^|[^a-z0-9])({'|'.join(WORDS)})([^a-z0-9]|$)')"
-HYBRID = f"{BLEND}, t as (select *, row_number() over (order by final_score desc, id) - 1 as p from fin qualify row_number() over (order by final_score desc, id) <= 50), saf as (select *, {DARK} as dark, row_number() over (order by {DARK}, p) - 1 as pos from t)"
+SINGULAR = "list_distinct(list_transform(list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda t: length(t) > 2), lambda t: case when right(t,3) = 'ies' and length(t) > 5 then left(t, length(t) - 3) when right(t,2) = 'es' and length(t) > 4 then left(t, length(t) - 2) when right(t,1) = 's' and length(t) > 3 then left(t, length(t) - 1) else t end))"
+
+
+def explain_sql(concepts: list[str], name: str, text: str, genre: str) -> str:
+    """An explanation of a row with a title, a text, and a genre that is no concept."""
+    hits = f"list_sort(list_intersect({SINGULAR.format(text)}, {concepts!r}))"
+    return f"{name} || case when len({hits}) > 0 then ': overview, keywords, or tagline reference terms related to your query (' || array_to_string({hits}[1:5], ', ') || ').' else ': weak match — the overview, keywords, and tagline do not reference your query terms. Genres: ' || {genre} || '.' end"
+
+
+def pipeline_sql(terms: list[str], concepts: list[str], vecs: tuple[int, ...] = (0,), allowed: str = "true", gentle: bool = False, k: int = 50) -> str:
+    """CTEs of a whole pipeline, ending in fin: id, movie_key, scores, dark, pos, explanation and the catalog's columns."""
+    want = sorted(set(terms))
+    one = lambda i: f"""z{i} as (select vec_id as id, round({SIM.replace('from q', f'from q{i}')}, 12) as s from embeddings {'' if allowed == 'true' else f'join docs on docs.id = vec_id and {allowed}'}), y{i} as (select *, row_number() over (order by s desc, id) - 1 as r from z{i} qualify row_number() over (order by s desc, id) <= 1500),
+x{i} as (select movie_key, y{i}.id, s, r, {i} as l from y{i} join docs using (id) qualify row_number() over (partition by movie_key order by r) = 1)"""
+    qs = ", ".join(f"q{i} as (select embedding::double[] as q from embeddings where vec_id = {i})" for i in vecs)
+    if len(vecs) == 1:
+        sem = f"sem as (select movie_key, id, s as semantic_score, r as semantic_rank, null::double as semantic_rrf from x{vecs[0]})"
+    else:
+        sem = f"u as ({' union all '.join(f'select * from x{i}' for i in vecs)}), g as (select movie_key, arg_max(id, s * 10 - l / 1e13) as id, max(s) as semantic_score, round(sum(1.0::double / (16 + r)), 12) as semantic_rrf, min(l * 10000 + r) as o from u group by movie_key), sem as (select movie_key, id, semantic_score, row_number() over (order by semantic_rrf desc, o) - 1 as semantic_rank, semantic_rrf from g)"
+    dark = DARK if gentle else "false"
+    return f"""{DOCS}, {qs}, {', '.join(one(i) for i in vecs)}, {sem}, {O.bm25('docs', FIELDS, terms, rules.FIELD_BOOSTS)},
+hk as (select movie_key, id, round(bm25_score, 12) as bm25_score from bm join docs using (id) where {allowed}), hb as (select * from hk qualify row_number() over (partition by movie_key order by bm25_score desc, id) = 1),
+txt as (select *, row_number() over (order by bm25_score desc, id) - 1 as bm25_rank from hb qualify row_number() over (order by bm25_score desc, id) <= 1500),
+fu as (select coalesce(sem.id, txt.id) as id, movie_key, semantic_score, semantic_rank, semantic_rrf, bm25_score, bm25_rank, round(coalesce(1.0::double / (16 + semantic_rank), 0) + coalesce(1.0::double / (16 + bm25_rank), 0), 12) as rrf_score from sem full join txt using (movie_key)),
+ct as (select *, row_number() over (order by rrf_score desc, semantic_rank nulls last, bm25_rank) - 1 as first from fu qualify row_number() over (order by rrf_score desc, semantic_rank nulls last, bm25_rank) <= 100),
+po as (select ct.*, docs.* exclude (id, movie_key), len(list_intersect({O.tokens('overview')}, {want!r})) / {float(len(want))}::double as rerank_score, ln(1 + greatest(vote_count, 0)::double) as qp from ct join docs using (id)),
+bz as (select *, coalesce(qp / nullif(max(qp) over (), 0), 0) as quality_prior, coalesce(rrf_score / nullif(max(rrf_score) over (), 0), 0) as upstream_prior from po),
+sc as (select *, round(rerank_score + 0.08 * quality_prior + 0.12 * upstream_prior, 12) as final_score from bz),
+tk as (select *, row_number() over (order by final_score desc, first) - 1 as p from sc qualify row_number() over (order by final_score desc, first) <= {k}),
+sa as (select * exclude (p), {dark} as dark, row_number() over (order by {dark}, p) - 1 as pos from tk),
+fin as (select *, case when pos < 3 then {explain_sql(concepts, "case when trim(title) = '' then 'This movie' else trim(title) end", "concat_ws(' ', overview, keywords, tagline)", 'genres')} else '' end as explanation from sa)"""
+
+
+def run_hybrid(spark, sf, asked: str, k: int = 50, imagine=None):
+    src = sources(spark, sf)
+    score = lambda q: overlap_score(F.col("overview"), query_terms(spark, q))
+    embed = lambda text: vector(spark, sf, 1 if text == "imagined" else 0)
+    return pipelines.advanced(src, asked, embed, score, k, imagine=imagine, dark=fusion.is_dark(F.col("overview"), F.col("genres"), phrases=WORDS))
+
+
+PLAIN = ["dream", "ending", "lucid", "nightmare", "subconscious", "then", "there"]  # concepts of ASKED
+SAD, FILTERED = f"I feel sad and want {ASKED}", f"{ASKED}, top rated, from 2010 to 1960"
+FILTERED_TERMS = ["there", "and", "then", "ending", "of", "the", "dream", "top", "rated", "from", "2010", "to", "1960", "lucid", "mind", "subconsciou"]
+HYBRID = pipeline_sql(TERMS, ["feel", "sad", "want", *PLAIN], gentle=True)
+PARTS = "rerank_score, quality_prior, upstream_prior, final_score"
+
+
+@query(f"with {pipeline_sql(TERMS, PLAIN)} select id, movie_key, {', '.join(f'round({c}, 6) as {c}' for c in PARTS.split(', '))}, pos, explanation from fin")
+def hybrid_pipeline(spark, sf):
+    return six(run_hybrid(spark, sf, ASKED).select("id", "movie_key", *PARTS.split(", "), "pos", "explanation"))
+
+
+@query(f"with {HYBRID} select id, round(final_score, 6) as final_score, dark, pos, explanation from fin")
+def hybrid_safety(spark, sf):
+    return six(run_hybrid(spark, sf, SAD).select("id", "final_score", "dark", "pos", "explanation"))
 
 
-def _hybrid(spark, sf, k=50):
-    return pipelines.hybrid(index(spark, sf), table(spark, sf, "embeddings"), docs(spark, sf), ASKED, vector(spark, sf, 0), k, overlap_score(F.col("overview"), TERMS), dark=fusion.is_dark(F.col("overview"), F.col("genres"), phrases=WORDS))
+@query(f"with {pipeline_sql(FILTERED_TERMS, [*PLAIN, '1960', '2010', 'rated', 'top'], allowed='year between 1960 and 2010 and vote_average >= 7.5')} select id, year, round(final_score, 6) as final_score, pos, explanation from fin")
+def hybrid_filtered(spark, sf):
+    return six(run_hybrid(spark, sf, FILTERED).select("id", "year", "final_score", "pos", "explanation"))
 
 
-@query(f"with {BLEND} select id, rerank_score, quality_prior, upstream_prior, final_score from fin")
-def rerank_blend(spark, sf):
-    both = rrf_hybrid(spark, sf).orderBy(F.desc("rrf_score"), "id").limit(100)
-    out = fusion.blend(docs(spark, sf).join(F.broadcast(both), "id").withColumn("rerank_score", overlap_score(F.col("overview"), TERMS)))
-    return out.select("id", *[F.round(c, 6).alias(c) for c in ("rerank_score", "quality_prior", "upstream_prior", "final_score")])
+@query(f"with {pipeline_sql(TERMS, PLAIN, (0, 1))} select id, movie_key, round(semantic_rrf, 6) as semantic_rrf, round(final_score, 6) as final_score, pos, explanation from fin")
+def advanced_pipeline(spark, sf):
+    return six(run_hybrid(spark, sf, ASKED, imagine=lambda q: "imagined").select("id", "movie_key", "semantic_rrf", "final_score", "pos", "explanation"))
 
 
-@query(f"with {HYBRID} select id, final_score, dark, pos from saf")
-def hybrid_safety(spark, sf):
-    return _hybrid(spark, sf).select("id", "final_score", "dark", "pos")
+@query(f"with {DOCS}, q0 as (select embedding::double[] as q from embeddings where vec_id = 0), z as (select vec_id as id, round({SIM.replace('from q', 'from q0')}, 12) as s from embeddings), y as (select *, row_number() over (order by s desc, id) - 1 as r from z qualify row_number() over (order by s desc, id) <= 300) select movie_key, y.id, round(s, 6) as semantic_score, r as semantic_rank from y join docs using (id) qualify row_number() over (partition by movie_key order by r) = 1")
+def basic_pipeline(spark, sf):
+    return six(pipelines.basic(sources(spark, sf), vector(spark, sf, 0), 300).select("movie_key", "id", "semantic_score", "semantic_rank"))
 
 
-TAGS = "list_distinct(list_filter([case when contains(overview, 'idiot') then 'dark' end, case when contains(overview, ' and ') then 'warm' end, case when genres = 'fr' then 'romantic' end], lambda x: x is not null))"
-NUDGE = f"{HYBRID}, g as (select *, {TAGS} as tags from saf), a as (select *, pos - 5 * least(len(list_intersect(tags, ['warm', 'romantic'])), 2) + 8 * least(len(list_intersect(tags, ['dark'])), 2) as adjusted from g)"
+# documents carry labels by movie_key; a row's own tags would win
+TAGGED = "lt as (select movie_key, list_sort(list_distinct(flatten(list([case when contains(overview, 'idiot') then 'dark' else 'warm' end, case when genres = 'fr' then 'romantic' else 'epic' end])))) as tags from docs group by movie_key)"
+REASON = "list_concat(list_filter(['the', 'idiot'], lambda p: contains(lower(concat_ws(' ', title, overview, keywords, genres)), p)), case when genres = 'en' then ['En'] else [] end)"
+NUDGE = f"{HYBRID}, {TAGGED}, ke as (select fin.*, lt.tags, row_number() over (order by pos) - 1 as p2, {REASON} as sig, list_sort(list_intersect(lt.tags, ['warm', 'romantic'])) as mo from fin left join lt using (movie_key) where year >= 1955 and genres in ('en', 'fr', 'de')), a as (select *, p2 - 5 * least(len(list_intersect(tags, ['warm', 'romantic'])), 2) + 8 * least(len(list_intersect(tags, ['dark'])), 2) as adjusted from ke)"
 
 
-@query(f"with {NUDGE} select id, adjusted, row_number() over (order by adjusted, pos) - 1 as pos from a")
+def label_map(spark, sf):
+    d = pipelines.Sources(None, None, docs(spark, sf)).rows()
+    tags = F.array(F.when(F.contains("overview", F.lit("idiot")), "dark").otherwise("warm"), F.when(F.col("genres") == "fr", "romantic").otherwise("epic"))
+    return dedup.tag_union(d.withColumn("tags", tags), "movie_key", "tags", "id", "id").select("movie_key", "tags")
+
+
+@query(f"with {NUDGE} select id, array_to_string(tags, ',') as tags, adjusted, row_number() over (order by adjusted, p2) - 1 as pos, 'matches: ' || case when len(sig) + len(mo) = 0 then 'content relevance' else concat_ws(' · ', case when len(sig) > 0 then array_to_string(sig, ', ') end, case when len(mo) > 0 then array_to_string(mo, ' · ') end) end as match_reason from a")
 def mood_nudge(spark, sf):
-    tags = F.array_compact(F.array(F.when(F.contains("overview", F.lit("idiot")), "dark"), F.when(F.contains("overview", F.lit(" and ")), "warm"), F.when(F.col("genres") == "fr", "romantic")))
-    return pipelines.recommend(_hybrid(spark, sf).withColumn("tags", tags), F.lit(True), ["warm", "romantic"], ["dark"]).select("id", "adjusted", "pos")
+    c = F.col
+    keep = fusion.intent_filter(c("year"), c("vote_average"), F.array("genres"), min_year=1955, include=["EN", "fr", "De"])
+    reason = fusion.match_reason(F.concat_ws(" ", "title", "overview", "keywords", "genres"), F.array("genres"), c("tags"), ["the", "idiot"], ["En"], ["warm", "romantic"])
+    out = pipelines.recommend(run_hybrid(spark, sf, SAD), keep, ["warm", "romantic"], ["dark"], label_map(spark, sf), reason)
+    return out.select("id", F.array_join("tags", ",").alias("tags"), "adjusted", "pos", "match_reason")
 
 
 @query("with s as (select doc_id, list_concat(list_filter(['the', 'idiot'], lambda p: contains(lower(text), p)), case when lower(lang) = 'en' then ['en'] else [] end) as s from documents) select doc_id, 'matches: ' || case when len(s) > 0 then array_to_string(s, ', ') else 'content relevance' end as reason from s")
@@ -161,7 +226,7 @@ def intent_filter(spark, sf):
     return d.where(fusion.intent_filter(F.col("n_chars"), F.lit(7.0), F.array("lang"), min_year=1500, min_rating=6.5, include=["EN", "De"], exclude=["DE"])).select("doc_id", "lang", "n_chars")
 
 
-@query("with t as (select doc_id, list_distinct(list_transform(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: length(t) > 2), lambda t: case when right(t,3) = 'ies' and length(t) > 5 then left(t, length(t) - 3) when right(t,2) = 'es' and length(t) > 4 then left(t, length(t) - 2) when right(t,1) = 's' and length(t) > 3 then left(t, length(t) - 1) else t end)) as x, lang from documents), h as (select *, list_sort(list_intersect(x, ['idiot', 'dream', 'nightmare', 'lucid', 'subconsciou', 'subconscious', 'there'])) as h from t) select doc_id, 'doc ' || doc_id || case when len(h) > 0 then ': overview, keywords, or tagline reference terms related to your query (' || array_to_string(h[1:5], ', ') || ').' else ': weak match — the overview, keywords, and tagline do not reference your query terms. Genres: ' || lang || '.' end as explanation from h")
+@query(f"select doc_id, {explain_sql(['idiot', 'dream', 'nightmare', 'lucid', 'subconscious', 'there'], "'doc ' || doc_id", 'text', 'lang')} as explanation from documents")
 def explanations(spark, sf):
     d = table(spark, sf, "documents")
     none = F.lit("")
@@ -181,7 +246,7 @@ NORM = "lower(trim(text))"
 
 @query(f"select doc_id, source from documents qualify row_number() over (partition by {NORM}, coalesce(lang, '') order by doc_id) = 1")
 def dedup_keep_first(spark, sf):
-    return catalog.keep_first(table(spark, sf, "documents"), [F.lower(F.trim("text")), F.coalesce("lang", F.lit(""))], [F.col("doc_id")]).select("doc_id", "source")
+    return catalog.keep_first(table(spark, sf, "documents"), [F.md5(F.lower(F.trim("text"))), F.coalesce("lang", F.lit(""))], [F.col("doc_id")]).select("doc_id", "source")
 
 
 @query(f"with d as (select doc_id, md5({NORM}) as k, case when doc_id % 2 = 0 then source else '' end as source, n_chars, md5(doc_id::varchar) as pref from documents) select k, arg_max(doc_id, pref) as doc_id, coalesce(arg_max(source, pref) filter (where source <> ''), '') as source, min(doc_id) as pos from d group by k")
@@ -232,14 +297,14 @@ def clean_catalog(spark, sf):
     return catalog.build_catalog(_raw(spark, sf), [F.col("id")]).select("id", "title", "vote_count", "year", "genres_clean", "decade", "adult", "tagline", "popularity")
 
 
-@query(f"with {CLEAN} select id, md5('Title: ' || title || ' (' || year || ')' || chr(10) || 'Genres: ' || genres || chr(10) || 'Overview: ' || overview || chr(10) || 'Keywords: ' || source || chr(10) || 'Decade: ' || (year // 10 * 10) || 's') as document_md5 from cat")
+@query(f"with {CLEAN} select id, md5('Title: ' || title || chr(10) || 'Year: ' || year || ' (' || (year // 10 * 10) || 's)' || chr(10) || 'Genres: ' || genres || chr(10) || 'Plot: ' || overview || chr(10) || 'Themes and topics: ' || source) as document_md5 from cat")
 def document_build(spark, sf):
     return catalog.build_catalog(_raw(spark, sf), [F.col("id")]).select("id", F.md5("document").alias("document_md5"))
 
 
-@query(f"with {CLEAN} select 'tmdb_' || id as vec_key, id as tmdb_id, title[1:200] as title, overview[1:700] as overview, year, vote_count::int as vote_count from cat where id > 0")
+@query(f"with {CLEAN} select 'tmdb_' || id as vec_key, id as tmdb_id, title[1:300] as title, overview[1:700] as overview, (lang || ', ' || source || ',,' || lang)[1:500] as genres, genres[1:300] as genres_clean, source[1:500] as keywords, year, 0 as runtime, vote_count::int as vote_count from cat")
 def vector_metadata(spark, sf):
-    return catalog.metadata(catalog.build_catalog(_raw(spark, sf), [F.col("id")])).select("vec_key", "tmdb_id", "title", "overview", "year", "vote_count")
+    return catalog.metadata(catalog.build_catalog(_raw(spark, sf).where("id > 0"), [F.col("id")])).select("vec_key", "tmdb_id", "title", "overview", "genres", "genres_clean", "keywords", "year", "runtime", "vote_count")
 
 
 @query(f"with {CLEAN} select count(*) as rows, min(vote_count)::int as min_votes, false as rows_ok, coalesce(min(vote_count) >= 50, false) as votes_ok from cat")
@@ -275,33 +340,43 @@ def judged(spark, sf):
     return evaluate.judged(ranked(spark, sf), lab(spark, sf), ("id",))
 
 
-def _metrics_sql(k: int) -> str:
-    return f"""{RANKED}, pool as (select distinct qid, id, grade from rows where grade is not null), ideal as (select qid, sum({GAIN} / log2(n + 1)) as ideal from (select *, row_number() over (partition by qid order by {GAIN} desc, id) as n from pool) where n <= {k} group by qid),
-st as (select qid, mode, min(case when grade >= 1 then rank end) as rel, min(case when grade >= 3 then rank end) as perfect, min(case when grade is null then rank end) as op, sum({GAIN} / log2(rank + 2)) as dcg from rows where rank < {k} group by all),
-m as (select q.qid, mode, case when rel is not null then 1.0::double when op is not null then null else 0.0::double end as hit, case when perfect is not null then 1.0::double when op is not null then null else 0.0::double end as strict_hit,
- round(case when op is not null and (rel is null or op < rel) then null when rel is not null then 1.0::double / (rel + 1) else 0 end, 6) as mrr, round(case when op is not null and (perfect is null or op < perfect) then null when perfect is not null then 1.0::double / (perfect + 1) else 0 end, 6) as strict_mrr,
- case when op is not null or coalesce(ideal <= 0, true) then null else round(coalesce(dcg, 0) / ideal, 6) end as ndcg from (select distinct qid from rows) q cross join modes left join st using (qid, mode) left join ideal using (qid))"""
+def _metrics_sql(ks: tuple[int, ...] = (5, 10, 15)) -> str:
+    """CTEs ending in m: the metrics of every query and mode at each k."""
+    top = max(ks)
+    cols = []
+    for k in ks:
+        rel, perfect, op = (f"case when {c} < {k} then {c} end" for c in ("rel", "perfect", "op"))
+        for name, first in (("", rel), ("strict_", perfect)):
+            cols.append(f"case when {first} is not null then 1.0::double when {op} is not null then null else 0.0::double end as {name}hit_{k}")
+            cols.append(f"round(case when {op} is not null and ({first} is null or op < {first}) then null when {first} is not null then 1.0::double / ({first} + 1) else 0 end, 6) as {name}mrr_{k}")
+        cols.append(f"case when {op} is not null or coalesce(ideal_{k} <= 0, true) then null else round(coalesce(dcg_{k}, 0) / ideal_{k}, 6) end as ndcg_{k}")
+    return f"""{RANKED}, pool as (select distinct qid, id, grade from rows where grade is not null), ideal as (select qid, {', '.join(f'sum({GAIN} / log2(n + 1)) filter (where n <= {k}) as ideal_{k}' for k in ks)} from (select *, row_number() over (partition by qid order by {GAIN} desc, id) as n from pool) group by qid),
+st as (select qid, mode, min(case when grade >= 2 then rank end) as rel, min(case when grade = 3 then rank end) as perfect, min(case when grade is null then rank end) as op, {', '.join(f'sum({GAIN} / log2(rank + 2)) filter (where rank < {k}) as dcg_{k}' for k in ks)} from rows where rank < {top} group by all),
+m as (select q.qid, mode, {', '.join(cols)}, coalesce(op < {top}, false) as excluded_null, coalesce(op, 1000) >= {ks[0]} and coalesce(ideal_{ks[0]} <= 0, true) as ideal_zero from (select distinct qid from rows) q cross join modes left join st using (qid, mode) left join ideal using (qid))"""
+
+
+FAMILY_KS = [f"{n}_{k}" for k in evaluate.KS for n in evaluate.FAMILIES]
 
 
-@query(f"with {_metrics_sql(5)} select * from m")
+@query(f"with {_metrics_sql()} select qid, mode, {', '.join(FAMILY_KS)}, excluded_null, ideal_zero from m")
 def metrics_per_query(spark, sf):
-    return evaluate.metrics(judged(spark, sf), 5)
+    return evaluate.metrics_at(judged(spark, sf))
 
 
-@query(f"with {_metrics_sql(10)} select mode, count(*) as queries, round(coalesce(avg(hit), 0), 6) as hit, round(coalesce(avg(strict_hit), 0), 6) as strict_hit, round(coalesce(avg(mrr), 0), 6) as mrr, round(coalesce(avg(strict_mrr), 0), 6) as strict_mrr, round(avg(ndcg), 6) as ndcg, count(ndcg) as ndcg_defined, count(hit) as hit_defined from m group by mode")
+@query(f"with {_metrics_sql()} select mode, count(*) as queries, {', '.join(f'round(avg({c}), 6) as {c}' if c.startswith('ndcg') else f'round(coalesce(avg({c}), 0), 6) as {c}' for c in FAMILY_KS)}, count(*) filter (where excluded_null) as queries_excluded_null, count(*) filter (where ideal_zero) as queries_with_ideal_zero from m group by mode")
 def metrics_by_mode(spark, sf):
-    return evaluate.by_mode(evaluate.metrics(judged(spark, sf), 10))
+    return evaluate.by_mode(evaluate.metrics_at(judged(spark, sf)))
 
 
-@query(f"with {_metrics_sql(5)}, tags as (select qid, list_sort(list(distinct lang)) as langs, [case when length(qid) > 4 then 'long' else 'short' end] as size from base group by qid), l as (select qid, 'lang' as axis, unnest(langs) as bucket from tags union all select qid, 'size', unnest(size) from tags union all select qid, 'mood', 'none' from tags) select axis, bucket, mode, count(*) as n, round(coalesce(avg(hit), 0), 6) as hit, round(coalesce(avg(mrr), 0), 6) as mrr, round(avg(ndcg), 6) as ndcg, count(*) < 5 as low_sample from m join l using (qid) group by all")
+@query(f"with {_metrics_sql()}, tags as (select qid, list_sort(list(distinct lang)) as langs, [case when length(qid) > 4 then 'long' else 'short' end] as size from base group by qid), l as (select qid, 'lang' as axis, unnest(langs) as bucket from tags union all select qid, 'size', unnest(size) from tags union all select qid, 'mood', 'none' from tags union all select qid, 'direction', case when length(qid) > 4 then 'unknown' else 'known' end from tags) select axis, bucket, mode, round(coalesce(avg(hit_5), 0), 6) as hit_5, round(coalesce(avg(hit_10), 0), 6) as hit_10, round(coalesce(avg(hit_15), 0), 6) as hit_15, count(hit_5) as n, count(hit_5) < 5 as low_sample from m join l using (qid) group by all")
 def metrics_by_axis(spark, sf):
     d = table(spark, sf, "documents").join(table(spark, sf, "labels").select("doc_id"), "doc_id")
     tags = d.groupBy(F.col("source").alias("qid")).agg(F.collect_set("lang").alias("langs"))
-    axes = {"lang": F.col("langs"), "size": F.array(F.when(F.length("qid") > 4, "long").otherwise("short")), "mood": F.lit(None).cast("array<string>")}
-    return evaluate.by_axis(evaluate.metrics(judged(spark, sf), 5), tags, axes)
+    axes = {"lang": F.col("langs"), "size": F.array(F.when(F.length("qid") > 4, "long").otherwise("short")), "mood": F.lit(None).cast("array<string>"), "direction": F.array(F.when(F.length("qid") <= 4, "known"))}
+    return evaluate.by_axis(evaluate.metrics_at(judged(spark, sf)), tags, axes)
 
 
-@query(f"with {_metrics_sql(15)} select qid, round(ideal, 6) as ideal from ideal")
+@query(f"with {_metrics_sql((15,))} select qid, round(ideal_15, 6) as ideal from ideal")
 def ideal_dcg(spark, sf):
     return evaluate.ideal(judged(spark, sf), 15).select("qid", F.round("ideal", 6).alias("ideal"))
 
@@ -322,20 +397,37 @@ def key_conflicts(spark, sf):
     return evaluate.key_conflicts(d).withColumn("keys", F.array_join("keys", ","))
 
 
-@query(f"with {RANKED} select qid, mode, array_to_string(list_transform(list_sort(list((rank, id, grade))), lambda x: (x[1] + 1) || ':' || x[2] || ':' || coalesce(x[3]::varchar, '-')), ' ') as top, min(case when grade >= 1 then rank + 1 end) as first_relevant_rank, min(case when grade >= 3 then rank + 1 end) as first_perfect_rank, count(*) filter (where grade is null) as null_grades from rows where rank < 5 group by qid, mode".replace("list((rank, id, grade))", "list(row(rank, id, grade))"))
+@query(f"with {RANKED} select qid, mode, array_to_string(list_transform(list_sort(list((rank, id, grade))), lambda x: (x[1] + 1) || ':' || x[2] || ':' || coalesce(x[3]::varchar, '-')), ' ') as top, min(case when grade >= 2 then rank + 1 end) as first_relevant_rank, min(case when grade = 3 then rank + 1 end) as first_perfect_rank, count(*) filter (where grade is null) as null_grades from rows where rank < 5 group by qid, mode".replace("list((rank, id, grade))", "list(row(rank, id, grade))"))
 def error_report(spark, sf):
     out = evaluate.error_report(judged(spark, sf), 5)
     return out.withColumn("top", F.array_join(F.transform("top", lambda x: F.concat_ws(":", x["rank"].cast("string"), x["id"].cast("string"), F.coalesce(x["grade"].cast("string"), F.lit("-")))), " "))
 
 
-@query(f"with {_metrics_sql(5)} select qid, array_to_string(list_sort(list(mode)), ',') as missed_in, count(*) = 3 as all_miss, count(*) = 1 and min(mode) = 'hybrid' as only_last_miss from m where hit = 0 group by qid")
+MISSES = f"""{_metrics_sql((5,))}, ms as (select qid, list_sort(list(mode) filter (where hit_5 = 0)) as a, list_sort(list(mode) filter (where strict_hit_5 = 0)) as b, count(*) filter (where hit_5 = 1 and mode <> 'hybrid') as others from m group by qid) select qid, coalesce(array_to_string(a, ','), '') as missed_in, coalesce(array_to_string(b, ','), '') as strict_missed_in, coalesce(len(a), 0) > 0 as any_miss, coalesce(len(a), 0) = 3 as all_miss, coalesce(list_contains(a, 'hybrid'), false) and others = 2 as only_last_miss from ms where len(a) > 0 or len(b) > 0"""
+
+
+@query(f"with {MISSES}")
 def miss_lists(spark, sf):
     return evaluate.miss_lists(evaluate.metrics(judged(spark, sf), 5))
 
 
-@query(f"with {RANKED}, b as (select qid, mode, min(case when grade >= 2 then rank end) as r from rows group by all) select mode, count(*) filter (where r < 1) as top1, count(*) filter (where r < 3) as top3, count(*) filter (where r < 10) as top10, count(*) filter (where r is null or r >= 10) as miss from b group by mode")
+@query(f"with {MISSES}".replace("left join lab l on r.id = l.id)", "left join (select coalesce(l.id, g.id) as id, coalesce(g.grade, l.grade) as grade from lab l full join (select doc_id as id, (n_chars % 4)::int as grade from documents where contains(text, 'idiot')) g on g.id = l.id) l on r.id = l.id)"))
+def miss_lists_gold(spark, sf):
+    """miss_lists over the merged labels, gold over silver."""
+    merged = labels.gold_over_silver(lab(spark, sf), gold(spark, sf), ("id",)).select("id", "grade")
+    return evaluate.miss_lists(evaluate.metrics(evaluate.judged(ranked(spark, sf), merged, ("id",)), 5))
+
+
+@query(f"with {RANKED}, b as (select qid, mode, min(case when grade >= 3 then rank end) as r, bool_or(length(qid) > 4) as may from rows group by all) select mode, count(*) filter (where r < 1) as top1, count(*) filter (where r < 3) as top3, count(*) filter (where r < 10) as top10, count(*) filter (where r is null and not may) as miss, count(*) filter (where r is null and may) as expected_miss, count(*) as total from b group by mode")
 def smoke_counts(spark, sf):
-    return evaluate.smoke(judged(spark, sf), F.col("grade") >= 2)
+    return evaluate.smoke(judged(spark, sf), F.col("grade") >= 3, F.length("qid") > 4)
+
+
+@query(f"with {RANKED}, t as (select doc_id as id, case when lang = 'fr' then ['romantic', 'dark'] when lang = 'de' then ['tense'] else [] end as tags from documents), j as (select qid, id, case when len(list_intersect(tags, ['romantic', 'warm'])) > 0 then 1 else 0 end as hit from ranked join t using (id) where mode = 'hybrid' and rank < 10) select qid, count(*) as results, sum(hit)::bigint as tagged, sum(hit) > 0 as ok from j group by qid")
+def mood_top10(spark, sf):
+    tags = F.when(F.col("lang") == "fr", F.array(F.lit("romantic"), F.lit("dark"))).when(F.col("lang") == "de", F.array(F.lit("tense"))).otherwise(F.array().cast("array<string>"))
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), tags.alias("tags"))
+    return evaluate.mood_hits(ranked(spark, sf).where("mode = 'hybrid'").join(d, "id").withColumn("desired", F.array(F.lit("romantic"), F.lit("warm"))))
 
 
 @query("with x as (select doc_id, list_distinct(regexp_extract_all(text, '[a-z]{7,}')) as p, list_distinct(regexp_extract_all(text, '[a-z]{7,8}')) as g from documents), y as (select 'words' as field, p, g from x union all select 'lang', [lang], case when n_chars % 2 = 0 then [lang] else ['xx'] end from documents), n as (select field, sum(len(list_intersect(p, g)))::bigint as tp, sum(len(list_filter(p, lambda e: not list_contains(g, e))))::bigint as fp, sum(len(list_filter(g, lambda e: not list_contains(p, e))))::bigint as fn from y group by field), z as (select *, case when tp + fp = 0 then 1.0::double else tp / (tp + fp) end as p, case when tp + fn = 0 then 1.0::double else tp / (tp + fn) end as r from n) select field, tp, fp, fn, round(p, 6) as precision, round(r, 6) as recall, round(case when p + r = 0 then 0 else 2 * p * r / (p + r) end, 6) as f1 from z")
@@ -351,7 +443,7 @@ def latency_summary(spark, sf):
     return evaluate.latency(table(spark, sf, "events"), "event_type", "value")
 
 
-@query(f"with {_metrics_sql(5)}, nu as (select mode, qid, ndcg, row_number() over (partition by mode order by qid) as i, count(*) over (partition by mode) as n from m where ndcg is not null), dr as (select mode, r.r, ('0x' || substr(md5('42|' || mode || '|' || r.r || '|' || i), 1, 8))::bigint % n + 1 as i from nu, (select unnest(range(1, 201)) as r) r), me as (select d.mode, d.r, avg(nu.ndcg) as m from dr d join nu on nu.mode = d.mode and nu.i = d.i group by all), e as (select mode, (quantile_cont(m, 0.975) - quantile_cont(m, 0.025)) / 2 as half_width from me group by mode) select mode, n, round(mean, 6) as mean, round(half_width, 6) as half_width from (select mode, count(*) as n, avg(ndcg) as mean from nu group by mode) join e using (mode)")
+@query(f"with {_metrics_sql((5,))}, nu as (select mode, qid, ndcg_5 as ndcg, row_number() over (partition by mode order by qid) as i, count(*) over (partition by mode) as n from m where ndcg_5 is not null), dr as (select mode, r.r, ('0x' || substr(md5('42|' || mode || '|' || r.r || '|' || i), 1, 8))::bigint % n + 1 as i from nu, (select unnest(range(1, 201)) as r) r), me as (select d.mode, d.r, avg(nu.ndcg) as m from dr d join nu on nu.mode = d.mode and nu.i = d.i group by all), e as (select mode, (quantile_cont(m, 0.975) - quantile_cont(m, 0.025)) / 2 as half_width from me group by mode) select mode, n, round(mean, 6) as mean, round(half_width, 6) as half_width from (select mode, count(*) as n, avg(ndcg) as mean from nu group by mode) join e using (mode)")
 def bootstrap_interval(spark, sf):
     return evaluate.bootstrap(evaluate.metrics(judged(spark, sf), 5), "mode", "qid", "ndcg", 200)
 
@@ -369,7 +461,7 @@ def gold(spark, sf):
     return table(spark, sf, "documents").where(F.contains("text", F.lit("idiot"))).select(F.col("doc_id").alias("id"), F.col("source").alias("qid"), (F.col("n_chars") % 4).cast("int").alias("grade"))
 
 
-@query(f"with {SG} select coalesce(s.qid, g.qid) as qid, coalesce(s.id, g.id) as id, coalesce(g.grade, s.grade) as grade, case when g.id is null then 'silver' else 'gold' end as label_source, case when g.id is null then 'silver' when s.id is null then 'gold_only' when g.grade is not distinct from s.grade then 'gold_agrees' else 'gold_overrides' end as label_provenance, s.grade as silver_grade, g.grade as gold_grade from s full join g on s.id = g.id and s.qid = g.qid")
+@query(f"with {SG} select coalesce(s.qid, g.qid) as qid, coalesce(s.id, g.id) as id, coalesce(g.grade, s.grade) as grade, case when g.id is null then 'silver' else 'gold' end as label_source, case when g.id is null then 'silver_llm_pregrade' when s.id is null then 'gold_only' when g.grade is not distinct from s.grade then 'gold_agrees' else 'gold_overrides' end as label_provenance, s.grade as silver_grade, g.grade as gold_grade, null::varchar as gold_notes from s full join g on s.id = g.id and s.qid = g.qid")
 def gold_over_silver(spark, sf):
     return labels.gold_over_silver(silver(spark, sf), gold(spark, sf))
 
@@ -391,16 +483,21 @@ def pairs(spark, sf):
     return gold(spark, sf).withColumnRenamed("grade", "gold").join(silver(spark, sf).withColumnRenamed("grade", "silver"), ["qid", "id"], "left")
 
 
-@query(f"with {PAIRS}, c as (select coalesce(silver, -1) as s, gold as g from pr) select count(*) as n, count(*) filter (where g is null) as pending, round(avg(case when s = g then 1.0 else 0.0 end), 6) as exact, round(avg(case when abs(s - g) <= 1 then 1.0 else 0.0 end), 6) as within_one, count(*) filter (where (s >= 1) = (g >= 1)) as same_at_1, count(*) filter (where (s >= 2) = (g >= 2)) as same_at_2 from c")
+@query(f"with {PAIRS}, c as (select coalesce(silver, -1) as s, gold as g from pr) select count(*) as rows_total, count(g) as rows_filled, count(g) = count(*) as complete, round(avg(case when s = g then 1.0 else 0.0 end), 6) as exact, round(avg(case when abs(s - g) <= 1 then 1.0 else 0.0 end), 6) as within_1, count(*) filter (where abs(s - g) >= 1) as disagree_ge1_count, count(*) filter (where abs(s - g) >= 2) as disagree_ge2_count from c")
 def agreement(spark, sf):
     return labels.agreement(pairs(spark, sf))
 
 
-@query(f"with {PAIRS}, c as (select qid, id, silver, gold, coalesce(silver, -1) as s from pr), x as (select qid, id, silver, gold, concat_ws('; ', case when s < 1 and gold >= 1 then 'up over 1' when s >= 1 and gold < 1 then 'down under 1' end, case when s < 2 and gold >= 2 then 'up over 2' when s >= 2 and gold < 2 then 'down under 2' end) as crossing from c) select * from x where crossing <> ''")
+@query(f"with {PAIRS}, x as (select qid, id, silver, gold, concat_ws('; ', case when coalesce(silver >= 2, false) <> (gold >= 2) then case when gold >= 2 then 'silver<2->gold>=2' else 'silver>=2->gold<2' end end, case when coalesce(silver = 3, false) <> (gold = 3) then case when gold = 3 then 'silver<3->gold==3' else 'silver==3->gold<3' end end) as crossing from pr) select * from x where crossing <> ''")
 def threshold_crossings(spark, sf):
     return labels.crossings(pairs(spark, sf))
 
 
+@query(f"with {PAIRS} select qid, count(gold) as filled, count(*) filter (where gold is distinct from silver) as changed from pr group by qid")
+def regrade_by_query(spark, sf):
+    return labels.filled_by_query(pairs(spark, sf))
+
+
 @query(f"with {RANKED}, b as (select qid, id, min(rank) as rank, any_value(grade) as grade, case when id % 9 = 0 then 'low' else 'high' end as confidence from rows group by qid, id), x as (select qid, id, concat_ws(',', case when qid in ('src1', 'src2') then 'qid_listed' end, case when confidence = 'low' then 'low_confidence' end, case when grade = 1 and rank < 5 then 'grade_1_in_top' end, case when grade is null then 'null_grade' end) as reasons from b) select * from x where reasons <> ''")
 def audit_flags(spark, sf):
     rows = judged(spark, sf).withColumn("confidence", F.when(F.col("id") % 9 == 0, "low").otherwise("high"))
@@ -499,16 +596,22 @@ def browse_rows(spark, sf):
     return out.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.split("p_type", " ").alias("genres"), (1950 + F.col("p_size")).alias("year"), F.col("p_retailprice").alias("rating"), votes.alias("votes"), votes.alias("popularity"))
 
 
-@query(f"with {BROWSE} select id, title, year, votes from b where year between 1960 and 1980 order by popularity desc, rating desc, votes desc, lower(title), id limit 48 offset 0")
+@query(f"with {BROWSE} select id, title, year, votes from b where year between 1960 and 1980 order by votes desc, rating desc, lower(title), id limit 48 offset 0")
 def browse_popularity(spark, sf):
     rows = browse_rows(spark, sf).where(store.browse_filter(min_year=1960, max_year=1980))
-    return store.page(rows, store.browse(rows, "popularity"), 1, 48).select("id", "title", "year", "votes")
+    return store.page(rows, store.browse("popularity"), 1, 48).select("id", "title", "year", "votes")
 
 
-@query(f"with {BROWSE} select id, title, rating from b order by rating desc, votes desc, popularity desc, lower(title), id limit 24 offset 48")
+@query(f"with {BROWSE} select id, title, rating from b order by rating desc, votes desc, lower(title), id limit 24 offset 48")
 def browse_rating_page(spark, sf):
     rows = browse_rows(spark, sf)
-    return store.page(rows, store.browse(rows, "rating"), 3, 24).select("id", "title", "rating")
+    return store.page(rows, store.browse("rating"), 3, 24).select("id", "title", "rating")
+
+
+@query(f"with {BROWSE} select id, year, votes from b where list_contains(list_transform(genres, lambda g: lower(g)), 'brass') order by year desc, votes desc, lower(title), id limit 24")
+def browse_year(spark, sf):
+    rows = browse_rows(spark, sf).where(store.browse_filter("Brass"))
+    return store.page(rows, store.browse("year"), 1, 24).select("id", "year", "votes")
 
 
 @query("select distinct unnest(string_split(p_type, ' ')) as genre from part")
@@ -516,7 +619,7 @@ def genre_list(spark, sf):
     return store.genre_list(browse_rows(spark, sf))
 
 
-@query(f"with {BROWSE} select era, count(*) as n from (select case when year between 1970 and 1979 then '1970s' when year between 1980 and 1989 then '1980s' when year between 1990 and 1999 then '1990s' when year between 2000 and 2009 then '2000s' end as era from b) group by era")
+@query(f"with {BROWSE} select era, count(*) as n from (select case when year <= 1979 then 'Before 1980' when year between 1980 and 1989 then '1980s' when year between 1990 and 1999 then '1990s' when year between 2000 and 2009 then '2000s' when year between 2010 and 2019 then '2010s' when year between 2020 and 2029 then '2020s' end as era from b) group by era")
 def era_buckets(spark, sf):
     return browse_rows(spark, sf).groupBy(store.era_of(F.col("year")).alias("era")).agg(F.count("*").alias("n"))
 
@@ -550,21 +653,24 @@ def library_keys(spark, sf):
     return store.fold_events(e, ["user_id"], "ts", "event_id", "kind")
 
 
-@query("with n as (select max(ts) as now from events) select event_id from events, n where epoch_us(ts) + 3600 * 24 * 1000000::bigint > epoch_us(now)")
+@query("with n as (select max(ts) as now from events), l as (select user_id, event_type, max(row(ts, event_id)) as v from events group by all) select user_id, event_type, v[2] as event_id from l, n where epoch_us(v[1]) + 3600 * 24 * 1000000::bigint > epoch_us(now)")
 def cache_live(spark, sf):
-    e = table(spark, sf, "events")
+    e = table(spark, sf, "events").select("user_id", "event_type", "ts", "event_id")
     now = F.lit(e.agg(F.max("ts")).first()[0])
-    return store.live(e, now, "ts", F.lit(3600 * 24).cast("long")).select("event_id")
+    return store.live(e, now, ["user_id", "event_type"], "ts", F.lit(3600 * 24).cast("long")).select("user_id", "event_type", "event_id")
 
 
-@query("""select event_id, sha256('{"event_type":' || coalesce('"' || event_type || '"', 'null') || ',"user_id":' || user_id || '}') as key from events""")
+@query("""select event_id, sha256('{"intent":{"era":{"max_year":null,"min_year":' || user_id || '},"mode":' || coalesce('"caf\\u00e9 ' || event_type || ' \\ud83c\\udfac"', 'null') || '},"page_size":24}') as key from events""")
 def cache_keys(spark, sf):
-    return table(spark, sf, "events").select("event_id", store.cache_key(F.col("event_type"), F.col("user_id")).alias("key"))
+    mode = F.when(F.col("event_type").isNotNull(), F.concat(F.lit("café "), F.col("event_type"), F.lit(" 🎬")))
+    era = F.struct(F.col("user_id").alias("min_year"), F.lit(None).cast("int").alias("max_year"))
+    e = table(spark, sf, "events").select("event_id", F.lit(24).alias("page_size"), F.struct(mode.alias("mode"), era.alias("era")).alias("intent"))
+    return e.select("event_id", store.cache_key(e, "page_size", "intent").alias("key"))
 
 
 # --- intent ---
 
-ASKS = ["best thrillers from 1990 to 1995", "something newer than 2010", "80s action", "movies before 1980", "a 1970s western since 1975", "top rated sci-fi", "an 1880s story", "I'm feeling sad, want something warm and funny", "the 90s", "between 2005 and 2001 rated above 7.5", ""]
+ASKS = ["best thrillers from 1990 to 1995", "something newer than 2010", "80s action", "shows before 1980", "a 1970s western since 1975", "top rated sci-fi", "an 1880s story", "I'm feeling sad, want something warm and funny", "the 90s", "between 2005 and 2001 rated above 7.5", ""]
 ASK_SQL = "a(text) as (values " + ", ".join("('" + t.replace("'", "''") + "')" for t in ASKS) + ")"
 
 
@@ -599,12 +705,18 @@ def mood_map_fields(spark, sf):
     return both.withColumn("m", intent.mood_fields(F.array("c1", "c2"))).select("c1", "c2", F.array_join("m.desired", ",").alias("desired"), F.array_join("m.avoid", ",").alias("avoid"))
 
 
-@query("select doc_id, case when lang = 'fr' then trim(source || ' warm hopeful') else trim(source) end as query_text from documents")
+@query("select doc_id, case when lang = 'fr' then trim(case when doc_id % 2 = 0 then source when doc_id % 3 = 0 then '' else 'free ' || source end || ' warm hopeful') else case when doc_id % 2 = 0 then source when doc_id % 3 = 0 then '' else 'free ' || source end end as query_text, 1990 as min_year, null::int as max_year, 6.5::double as min_rating, 'War' as genres_exclude, 'bleak' as avoid from documents")
 def intent_queries(spark, sf):
     d = table(spark, sf, "documents")
     strings = lambda *x: F.array(*[F.lit(v) for v in x]).cast("array<string>")
-    it = F.struct(F.when(F.col("lang") == "fr", "mood").otherwise("content").alias("mode"), F.when(F.col("doc_id") % 2 == 0, F.array("source")).otherwise(strings()).alias("plot_elements"), F.concat(F.lit(" "), F.col("source")).alias("free_text_query"), strings("warm", "hopeful").alias("desired_film_moods"), strings("bleak").alias("avoid_film_moods"))
-    return d.withColumn("i", it).select("doc_id", intent.intent_query(F.col("i"))["query_text"].alias("query_text"))
+    blank = F.array(F.lit(" "), F.lit(""))
+    it = F.struct(
+        F.when(F.col("lang") == "fr", "mood").otherwise("content").alias("mode"), F.when(F.col("doc_id") % 2 == 0, F.array(F.lit(" "), F.concat("source", F.lit(" ")))).otherwise(blank).alias("plot_elements"),
+        F.when(F.col("doc_id") % 3 == 0, " ").otherwise(F.concat(F.lit(" free "), F.col("source"))).alias("free_text_query"), strings("warm", "hopeful").alias("desired_film_moods"), strings("bleak").alias("avoid_film_moods"), strings().alias("genres_include"), strings("War").alias("genres_exclude"),
+        F.struct(F.lit(1990).alias("min_year"), F.lit(None).cast("int").alias("max_year")).alias("era"), F.struct(F.lit(6.5).alias("min_rating")).alias("constraints"), F.struct(F.lit(0.0).alias("darkness"), F.lit(0.0).alias("intensity")).alias("tone"),
+    )
+    q = d.select("doc_id", intent.intent_query(it).alias("q"))
+    return q.select("doc_id", "q.query_text", "q.filters.min_year", "q.filters.max_year", "q.filters.min_rating", F.array_join("q.filters.genres_exclude", ",").alias("genres_exclude"), F.array_join("q.boosts.avoid_film_moods", ",").alias("avoid"))
 
 
 @query(f"with {ASK_SQL}, x as (select trim(regexp_replace(text, '\\s+', ' ', 'g')) as t from a), y as (select t from x union all select 'a poor family in a rich house' union all select 'robots  on earth' union all select 'astronaut stranded in space') select t as text, t || case t when 'a poor family in a rich house' then ' unemployed wealthy family working class class differences social satire con artist' when 'robots on earth' then ' garbage compacting robot abandoned earth environmental science fiction' when 'astronaut stranded in space' then ' astronaut accidentally left behind mars survival rescue mission science fiction' else '' end as expanded from (select trim(regexp_replace(t, '\\s+', ' ', 'g')) as t from y)")
@@ -617,7 +729,12 @@ VOCAB = [("despair_sad", "sad"), ("fear", "anxious"), ("stressed_tense", "anxiou
 TOLD = [("i'm sad and anxious", None), ("feeling calm and caring", None), ("a tense thriller", None), ("on edge", "mood"), ("i feel optimistic want a robot heist in space", None), ("guilty", "mood"), ("sad", "category")]
 
 
-@query()
+#: what the lexicon finds in TOLD, known by hand: mode, categories
+FOUND = [("mood", "despair_sad,fear"), ("mood", "tender"), ("content", ""), ("mood", "stressed_tense"), ("hybrid", "hopeful"), ("mood", "guilt"), ("category", "")]
+
+
+@query(f"""with {MAP}, t(text, resolved, user_moods, genres) as (values {", ".join("('" + t.replace("'", "''") + f"', '{m}', '{c}', {int('thriller' in t)})" for (t, _), (m, c) in zip(TOLD, FOUND))}), x as (select text, list_distinct(flatten(list(desired))) as d, list_distinct(flatten(list(avoid))) as a from t join mm on list_contains(string_split(user_moods, ','), category) group by text)
+select text, resolved, user_moods, coalesce(array_to_string(list_sort(d), ','), '') as desired, coalesce(array_to_string(list_sort(list_filter(a, lambda m: not list_contains(d, m))), ','), '') as avoid, case when user_moods <> '' or genres = 1 then 0.9::double else 0.3::double end as confidence, '' as errors from t left join x using (text)""")
 def intent_tier1(spark, sf):
     words = intent.lexicon(spark.createDataFrame(VOCAB, "category string, word string"))
     out = intent.parse_tier1(spark.createDataFrame(TOLD, "text string, mode string"), words)
@@ -630,12 +747,6 @@ def mood_intents(spark, sf):
     return rows.select("conv_id", "turn", "m.current_emotion", "m.desired_direction", F.array_join("m.desired_movie_tone", ",").alias("tones"), "m.energy_level", "m.safety_sensitivity", "m.cleaned_query")
 
 
-@query()
-def advanced_pipeline(spark, sf):
-    out = pipelines.advanced(index(spark, sf), table(spark, sf, "embeddings"), docs(spark, sf), ASKED, vector(spark, sf, 0), vector(spark, sf, 1), 50, overlap_score(F.col("overview"), TERMS), dark=fusion.is_dark(F.col("overview"), F.col("genres"), phrases=WORDS))
-    return out.select("id", "semantic_rrf", "final_score", "dark", "pos")
-
-
 # --- rendering and checks ---
 
 
@@ -653,7 +764,8 @@ def prompts(spark, sf):
 
 @query("""select doc_id, '{"lang":"' || lang || '","n_chars":' || n_chars || ',"source":"' || source || '"}' as line from documents""")
 def canonical_json(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", render.canonical(F.struct("lang", "n_chars", "source")).alias("line"))
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", render.canonical(d, "source", "lang", "n_chars").alias("line"))
 
 
 REPLIES = [(1, '{"grade": 2, "confidence": "high", "reason": " good  fit "}'), (2, "no json"), (3, "[1]"), (4, '{"grade": 7, "confidence": "high", "reason": "x"}'), (5, '{"grade": 1, "confidence": "sure", "reason": "x"}'), (6, '{"grade": 1, "confidence": "low"}'), (7, 'Sure: {"grade": 1, "confidence": "low", "reason": "ok"} done'), (8, '{"grade": true, "confidence": "low", "reason": "x"}')]
@@ -681,15 +793,20 @@ def generic_explanations(spark, sf):
     return table(spark, sf, "documents").select("doc_id", render.unsupported(F.lit("A great movie with their then reason"), F.trim("text")).alias("unsupported"))
 
 
-@query(f"with {RANKED}, n as (select qid, mode, count(*) as n, count(distinct id // 2) as k, count(case when id % 3 > 0 then 1 end) as f from ranked group by all) select qid, mode, concat_ws(',', case when n < 3 then 'too few' end, case when k < n then 'duplicate keys' end, case when f < n then 'missing final_score' end, case when mode = 'hybrid' then 'no rrf_score' end) as problems from n where n < 3 or k < n or f < n or mode = 'hybrid'")
+@query(f"with {RANKED}, n as (select qid, mode, count(*) as n, count(distinct id // 2) as k, count(distinct id // 5) as t, count(case when id % 3 > 0 then 1 end) as f, count(*) filter (where id % 7 = 0) as g from ranked group by all) select qid, mode, concat_ws(',', case when n < 3 then 'too few' end, case when k < n then 'duplicate keys' end, case when t < n then 'duplicate title and year' end, case when f < n then 'missing final_score' end, case when mode = 'hybrid' then 'no rrf_score' end, case when g > 0 then 'generic explanation' end) as problems from n where n < 3 or k < n or t < n or f < n or mode = 'hybrid' or g > 0")
 def result_health(spark, sf):
-    rows = ranked(spark, sf).select("qid", "mode", F.expr("cast(id div 2 as string)").alias("movie_key"), F.when(F.col("id") % 3 > 0, 1.0).alias("final_score"), F.lit(None).cast("double").alias("rrf_score"), F.lit(1.0).alias("rerank_score"))
+    c, half = F.col, F.expr("id div 10")
+    rows = ranked(spark, sf).select(
+        "qid", "mode", F.expr("cast(id div 2 as string)").alias("movie_key"), F.concat(F.lit(" T"), F.expr("id div 5").cast("string")).alias("title"), half.cast("int").alias("year"), F.lit("an overview of things").alias("overview"), F.when(c("id") % 7 == 0, "A masterpiece").alias("explanation"),
+        F.when(c("id") % 3 > 0, 1.0).alias("final_score"), F.lit(None).cast("double").alias("rrf_score"), F.lit(1.0).alias("rerank_score"),
+    )
     return render.health(rows, 10).withColumn("problems", F.array_join("problems", ","))
 
 
-@query(f"with {RANKED} select qid, id, mode, rank, case when rank % 2 = 0 then rank / 10.0::double else 0.0::double end as score from ranked")
+@query(f"with {RANKED} select qid, id, mode, rank, case when rank % 2 = 0 then rank / 10.0::double end as final_score, case when rank % 3 > 0 then 0.5::double else 0 end as rrf_score from ranked")
 def evidence_round_trip(spark, sf):
-    rows = ranked(spark, sf).withColumn("score", F.when(F.col("rank") % 2 == 0, F.col("rank") / 10.0))
+    c = F.col
+    rows = ranked(spark, sf).withColumns({"final_score": F.when(c("rank") % 2 == 0, c("rank") / 10.0), "rrf_score": F.when(c("rank") % 3 > 0, "0.5").otherwise("inf")})
     return render.from_modes(render.to_modes(rows, evaluate.MODES))
 
 
@@ -698,12 +815,17 @@ def unjudged_top(spark, sf):
     return render.unjudged_top(judged(spark, sf))
 
 
-@query("with v(category, w1, w2) as (values ('despair_sad', 'blue', 'low'), ('fear', 'afraid', 'scared'), ('hopeful', 'bright', 'keen')), m(category, d1, d2) as (values ('despair_sad', 'warm', 'heartwarming'), ('fear', 'warm', 'lighthearted'), ('hopeful', 'inspiring', 'uplifting')), p(category, plot) as (values ('despair_sad', 'a heist'), ('fear', 'a trip'), ('hopeful', 'a duel')) select 'feeling ' || w1 || ' and ' || w2 || ', want something ' || d1 || ' and ' || d2 as query, 'mood' as mode, category as categories from v join m using (category) union all select 'feeling ' || w1 || ', in the mood for ' || plot, 'hybrid', category from v join p using (category) union all values ('feeling blue but also afraid', 'mood', 'despair_sad,fear'), ('feeling afraid but also bright', 'mood', 'fear,hopeful')")
+@query(f"""with {MAP}, v(category, i, w1, w2, plot) as (values ('despair_sad', 0, 'blue', 'low', 'a heist'), ('fear', 1, 'afraid', 'scared', 'a trip'), ('hopeful', 2, 'bright', 'keen', 'a duel')),
+x as (select 0 as part, i, 'feeling ' || w1 || ' and ' || w2 || ', want something ' || desired[1] || ' and ' || desired[2] as query, 'mood' as mode, [category] as c from v join mm using (category) union all select 1, i, 'feeling ' || w1 || ', in the mood for ' || plot, 'hybrid', [category] from v
+union all select 2, a.i, 'feeling ' || a.w1 || ' but also ' || b.w1, 'mood', [a.category, b.category] from v a join v b on b.i = a.i + 1),
+y as (select part, i, query, mode, c, list_distinct(flatten(list(desired))) as d, list_distinct(flatten(list(avoid))) as a from x join mm on list_contains(c, category) group by all)
+select 'mq' || lpad((row_number() over (order by part, i))::varchar, 2, '0') as qid, query, mode, array_to_string(c, ',') as categories, array_to_string(list_sort(d), ',') as desired, array_to_string(list_sort(list_filter(a, lambda m: not list_contains(d, m))), ',') as avoid from y""")
 def mood_queries(spark, sf):
     vocab = spark.createDataFrame([("despair_sad", 0, "blue"), ("despair_sad", 1, "low"), ("fear", 0, "afraid"), ("fear", 1, "scared"), ("hopeful", 0, "bright"), ("hopeful", 1, "keen")], "category string, n int, word string")
     moods = spark.createDataFrame([(k, list(v[0])) for k, v in rules.MOOD_MAP.items()], "category string, desired array<string>")
     plots = spark.createDataFrame([(0, "a heist"), (1, "a trip"), (2, "a duel")], "i int, plot string")
-    return generate.mood_queries(vocab, moods, plots).withColumn("categories", F.array_join("categories", ","))
+    out = generate.mood_queries(vocab, moods, plots)
+    return out.select("qid", "query", "mode", *[F.array_join(n, ",").alias(n) for n in ("categories", "desired", "avoid")])
 
 
 @query("with w(category, word) as (values ('fear', 'icy'), ('stressed_tense', 'knotted'), ('stressed_tense', 'tense'), ('tender', 'achy')) select category, word, 'my whole body feels ' || word as text from w where word in ('knotted', 'achy') union all select category, word, 'an ' || word || ' feeling under my skin' from w where word = 'icy' union all select category, word, 'my back feels ' || word from w where word = 'knotted'")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quarry.functions import rules
 from quarry.functions import text as T
 from quarry.operators import catalog, dedup, evaluate, fusion, generate, intent, labels, store
-from quarry.operators.index import TextIndex, query_terms, stem_word
+from quarry.operators.index import TextIndex, query_terms
 from quarry.plans import plugins
 
 
@@ -26,10 +26,10 @@ def test_text_functions(spark):
     assert column(spark, T.fold, ["Éàü ñ", "日本x", None]) == ["eau n", "x", ""]
     assert column(spark, T.fold_exact, ["ﬁn ½"]) == ["fin 12"]
     words = ["running", "stories", "tried", "boxes", "cats", "is", "painters", "thing"]
-    assert column(spark, T.stem, words) == [stem_word(w) for w in words] == ["runn", "story", "tried", "boxe", "cats", "is", "paint", "thing"]
-    assert column(spark, lambda c: T.to_int(c), ["3.9", "x", None]) == [3, 0, 0]
-    assert column(spark, lambda c: T.decade(T.year_of(c)), ["1994-05-06", "bad", None]) == ["1990s", None, None]
-    assert column(spark, T.loose_list, ["['a', 'b']", "a|b;c,a"]) == [["a", "b"], ["a", "b", "c"]]
+    assert column(spark, T.stem, words) == ["runn", "story", "tried", "boxe", "cats", "is", "paint", "thing"]
+    assert column(spark, lambda c: T.to_int(c), ["3.9", "x", None, "nan", "1e30"]) == [3, 0, 0, 0, 0]
+    assert column(spark, lambda c: T.decade(T.year_of(c)), ["1994-05-06", "2003-1-2", "bad", None]) == ["1990s", "2000s", "", ""]
+    assert column(spark, T.loose_list, ["['a', 'b']", "a|b;c,a", "[1, x y]", "[]", " ", None]) == [["a", "b"], ["a", "b", "c", "a"], ["1", "x y"], [], [], []]
 
 
 def test_bm25_by_hand(spark):
@@ -40,7 +40,10 @@ def test_bm25_by_hand(spark):
     want = 2 * idf * 2 * 2.5 / (2 + 1.5 * (0.25 + 0.75 * 3 / avg))
     assert set(got) == {1} and got[1] == pytest.approx(want)
     assert ix.search([]).count() == 0
-    assert "hitman" in query_terms("an assassin") and query_terms("", True) == []
+    assert "hitman" in query_terms(spark, "an assassin") and query_terms(spark, "", True) == []
+    from quarry.plans import queries
+
+    assert query_terms(spark, queries.ASKED) == queries.TERMS and query_terms(spark, queries.FILTERED) == queries.FILTERED_TERMS
 
 
 def test_index_round_trip(spark, tmp_path):
@@ -54,9 +57,15 @@ def test_index_round_trip(spark, tmp_path):
 def test_catalog(spark):
     base = dict(vote_average="7", vote_count="60", status="Released", release_date="2001-02-03", runtime="x", adult="False", homepage="", original_language="en", original_title="T", overview="o" * 50, popularity="1", poster_path="", tagline="none", genres="Drama, War,Drama", production_companies="", spoken_languages="", keywords="k")
     rows = [base | {"id": "1", "title": " T "}, base | {"id": "2", "title": "t"}, base | {"id": "3", "title": "U", "overview": "o" * 49}, base | {"id": "4", "title": "V", "vote_count": "49"}, base | {"id": "5", "title": "W", "adult": "1"}, base | {"id": "6", "title": "X", "release_date": "?"}]
-    out = {r["id"]: r for r in catalog.build_catalog(spark.createDataFrame(rows), [F.col("id")]).collect()}
+    built = catalog.build_catalog(spark.createDataFrame(rows), [F.col("id")])
+    out = {r["id"]: r for r in built.collect()}
     assert set(out) == {1, 6}
-    assert out[1]["document"].split("\n") == ["Title: T (2001)", "Genres: Drama, War", "Overview: " + "o" * 50, "Keywords: k", "Decade: 2000s"]
+    assert out[1]["document"].split("\n") == ["Title: T", "Year: 2001 (2000s)", "Genres: Drama, War", "Plot: " + "o" * 50, "Themes and topics: k"]
+    assert (out[1]["genres"], out[1]["genres_clean"]) == ("Drama, War,Drama", "Drama, War")
+    flat = catalog.metadata(built).orderBy("tmdb_id").first()
+    assert (flat["vec_key"], flat["genres"], flat["runtime"], flat["year"]) == ("tmdb_1", "Drama, War,Drama", 0, 2001)
+    with pytest.raises(Exception, match="positive id"):
+        catalog.metadata(built.withColumn("id", F.lit(0))).collect()
     assert out[6]["year"] is None and out[6]["document"].startswith("Title: X\nOriginal title: T")
     with pytest.raises(ValueError):
         catalog.require(spark.range(1), ["title"])
@@ -69,7 +78,8 @@ def metric_rows(spark, rows):
 @pytest.mark.parametrize(
     "rows, want",
     [
-        ([(0, 0), (1, 1), (4, 2)], {"hit": 1.0, "mrr": 0.5}),
+        ([(0, 0), (1, 1), (4, 2)], {"hit": 1.0, "mrr": 0.2, "strict_hit": 0.0}),
+        ([(0, 1), (1, 1)], {"hit": 0.0, "mrr": 0.0}),
         ([(0, 3), (1, None), (2, 0)], {"hit": 1.0, "mrr": 1.0, "ndcg": None}),
         ([(0, 0), (1, None), (2, 0)], {"hit": None, "mrr": None}),
         ([(0, None), (1, 3)], {"hit": 1.0, "mrr": None, "strict_hit": 1.0}),
@@ -101,8 +111,8 @@ def test_labels(spark):
     assert merged == {1: (3, "gold_overrides"), 2: (2, "gold_agrees"), 3: (0, "gold_overrides"), 4: (1, "gold_overrides"), 9: (2, "gold_only")}
     pairs = spark.createDataFrame([(1, 3), (2, 2), (1, 0), (3, 1)], "silver int, gold int")
     a = labels.agreement(pairs).first()
-    assert (a["exact"], a["within_one"], a["same_at_1"], a["same_at_2"]) == (0.25, 0.5, 3, 2)
-    assert labels.crossings(pairs).count() == 3
+    assert (a["exact"], a["within_1"], a["disagree_ge1_count"], a["disagree_ge2_count"]) == (0.25, 0.5, 3, 2)
+    assert sorted((r["silver"], r["gold"], r["crossing"]) for r in labels.crossings(pairs).collect()) == [(1, 3, "silver<2->gold>=2; silver<3->gold==3"), (3, 1, "silver>=2->gold<2; silver==3->gold<3")]
     assert labels.agreement(spark.createDataFrame([(1, None)], "silver int, gold int")).first()["exact"] is None
     with pytest.raises(ValueError):
         labels.assert_empty(labels.missing_matches(g, s, ["qid", "id"]), "gold without silver")
@@ -163,6 +173,7 @@ def test_mood_intent(spark, text, emotion, safety, direction):
 
 def test_predicates_and_state(spark):
     df = spark.createDataFrame([(1, "5"), (2, "x"), (3, "9")], "id int, v string")
+    assert [r["id"] for r in df.where(fusion.predicate({"v": "x"}, {"v": F.col("v")})).collect()] == [r["id"] for r in df.where(fusion.predicate({"v": {"$eq": "x"}}, {"v": F.col("v")})).collect()] == [2]
     assert [r["id"] for r in df.where(fusion.predicate({"v": {"$gt": 4, "$lt": 9}, "none": 1}, {"v": F.col("v")})).collect()] == [1]
     e = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, "c", 3)], "id int, v string, o int")
     assert sorted(map(tuple, store.upsert(e.where("o < 2"), e.where("o >= 2"), "id", "o", ()).select("id", "v").collect())) == [(1, "b"), (2, "c")]
@@ -175,7 +186,11 @@ def test_bootstrap_seeded():
     import random
 
     assert evaluate.bootstrap_seeded([0.5] * 10, random.Random(42)) == 0
-    assert evaluate.bootstrap_seeded([1.0], random.Random(42)) is None
+    one, same = random.Random(42), random.Random(42)
+    assert evaluate.bootstrap_seeded([1.0], one) == 0 and evaluate.bootstrap_seeded([], one) == 0
+    for _ in range(1000):
+        same.randrange(1)
+    assert one.random() == same.random()  # one value draws, none doesn't
     assert 0 < evaluate.bootstrap_seeded([0.0, 1.0] * 5, random.Random(42)) < 0.5
 
 
@@ -192,11 +207,74 @@ def test_files(spark, tmp_path):
     files.write_new(str(tmp_path / "n.txt"), "x")
     with pytest.raises(FileExistsError):
         files.write_new(str(tmp_path / "n.txt"), "x")
-    assert files.latest_run(["2026-01-02-a", "2026-02-01-b", "x"]) == "2026-02-01-b"
+    with pytest.raises(TypeError):
+        files.write_small(str(tmp_path / "r" / "bad.json"), {"x": object()})
+    assert [p.name for p in (tmp_path / "r").iterdir()] == ["m.json"]
+    lines = files.numbered_lines(spark, str(tmp_path / "b.jsonl")).orderBy("line").collect()
+    assert [(r["line"], r["value"]) for r in lines] == [(1, '{"a": 1}'), (2, ""), (3, "[1]"), (4, '{"a": "x"')]
+    (tmp_path / "l.jsonl").write_text('{"movie_key": "k", "film_mood_tags": ["a"]}\n{"movie_key": "k", "film_mood_tags": ["b"]}\n\n{"movie_key": "j"}\n')
+    assert {r["movie_key"]: r["tags"] for r in files.read_labels(spark, str(tmp_path / "l.jsonl")).collect()} == {"k": ["b"], "j": []}
+    assert files.read_labels(spark, str(tmp_path / "none.jsonl")).count() == 0
+    df = spark.createDataFrame([(1, 'x, "y"\nz')], "a int, b string")
+    files.write_csv(df, str(tmp_path / "csv"))
+    assert files.read_csv(spark, str(tmp_path / "csv"), ["a", "b"]).first()["b"] == 'x, "y"\nz'
+    files.append_log(df, str(tmp_path / "log"))
+    files.append_log(df, str(tmp_path / "log"))
+    assert spark.read.parquet(str(tmp_path / "log")).count() == 2
+    (tmp_path / "d.json").write_text('{"a": {"b": [1, 2]}}')
+    assert files.read_json(spark, str(tmp_path / "d.json")).first()["a"]["b"] == [1, 2]
+
+
+def test_lines_are_numbered_across_splits(spark, tmp_path):
+    from quarry.sources import files
+
+    (tmp_path / "f.txt").write_text("".join(f"line {i}\n" for i in range(1, 5001)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = files.numbered_lines(spark, str(tmp_path / "f.txt"))
+        assert rows.where("value <> concat('line ', line)").count() == 0 and rows.count() == 5000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_runs(tmp_path):
+    import datetime
+
+    from quarry.sources import files
+
+    runs, at = files.Runs(str(tmp_path / "runs")), datetime.datetime(2026, 6, 7, 8, 9, 10)
+    with pytest.raises(FileNotFoundError):
+        runs.latest()
+    assert files.new_run(at) == "2026-06-07-0809-nogit" and files.stamp(at) == "2026-06-07T08:09:10Z"
+    made = runs.start("2026-06-07-0809-nogit", {"LLM_MODEL": "m"}, now=at, rng_seed=7)
+    assert made["rng_seed"] == 7 and made["llm_model"] == "m" and made["timestamps"]["start"] == "2026-06-07T08:09:10Z" and made["timestamps"]["silver_done"] is None
+    assert runs.warn(made["run_id"], "low")["warnings"] == ["low"]
+    assert runs.done(made["run_id"], "silver_done", at)["timestamps"]["silver_done"] == "2026-06-07T08:09:10Z"
+    with pytest.raises(ValueError):
+        runs.done(made["run_id"], "lunch")
+    for bad in ("../x", "", "a/b", "a..b"):
+        with pytest.raises(ValueError):
+            runs.folder(bad)
+    assert runs.settings(made["run_id"], rules)["RRF_K"] == 15
+    runs.ensure("2026-06-08-0000")
+    runs.ensure("zzz")
+    assert runs.latest() == "2026-06-08-0000"
+    files.write_small(str(tmp_path / "runs" / "current_run.txt"), made["run_id"])
+    assert runs.latest() == made["run_id"]
+    took = {}
+    with pytest.raises(KeyError), files.timed("s", took):
+        raise KeyError
+    assert took["s"] >= 0
+
+
+def test_snapshot():
+    from quarry.sources import files
+
     assert files.snapshot(rules)["RRF_K"] == 15
 
 
-def test_plugins(spark):
+def test_plugins(spark, tmp_path):
     df = spark.createDataFrame([(1, "red fox"), (2, None)], "id long, t string")
     got = plugins.embed(df, "t", plugins.HashingEmbedder(8), "id").collect()
     assert len(got) == 2 and sum(x * x for x in got[0]["embedding"]) == pytest.approx(1)
@@ -205,6 +283,32 @@ def test_plugins(spark):
         def score(self, query, texts):
             return [float(len(t)) for t in texts]
 
+    class Model:
+        name = "m2"
+
+        def replies(self, prompts):
+            if any("boom" in p for p in prompts):
+                raise OSError
+            return ['{"grade": 2, "confidence": "high", "reason": "fits"}' if "fox" in p else None for p in prompts]
+
+    class Parser:
+        def replies(self, texts):
+            return ['{"plot_elements": ["heist"]}' for _ in texts]
+
+    todo = spark.createDataFrame([("q", 1, "red fox"), ("q", 2, "sky"), ("q", 3, "blue fox")], "qid string, id long, t string")
+    log = spark.createDataFrame([("q", 1, 3, "m2"), ("q", 3, 1, "m1"), ("q", 2, None, "m2")], "qid string, id long, grade int, model string")
+    graded = {r["id"]: r for r in plugins.grade(todo, log, Model(), "Text: {t}", {"t": F.col("t")}, F.timestamp_seconds(F.lit(1_700_000_000))).collect()}
+    assert {k: (r["grade"], r["confidence"], r["model"]) for k, r in graded.items()} == {2: (None, "low", "m2"), 3: (2, "high", "m2")} and graded[3]["ts"] == "2023-11-14T22:13:20Z"
+    failed = plugins.replied(todo.withColumn("t", F.lit("boom")), "t", Model().replies)
+    assert failed.where("reply is null").count() == 3
+    words = intent.lexicon(spark.createDataFrame([("fear", "afraid")], "category string, word string"))
+    asked = spark.createDataFrame([("a quiet story", None)], "text string, mode string")
+    assert plugins.parse_intents(asked, words, Parser()).first()["intent"]["plot_elements"] == ["heist"] and plugins.parse_intents(asked, words).first()["intent"]["plot_elements"] == []
+    plugins.embed_into(df, "t", plugins.HashingEmbedder(8), "id", str(tmp_path / "vectors"))
+    assert spark.read.parquet(str(tmp_path / "vectors")).count() == 1
+    with pytest.raises(Exception, match="already exists"):
+        plugins.embed_into(df, "t", plugins.HashingEmbedder(8), "id", str(tmp_path / "vectors"))
+
     assert {r["id"]: r["rerank_score"] for r in plugins.rescore(df, "t", "q", Length()).collect()} == {1: 7.0, 2: 0.0}
 
 

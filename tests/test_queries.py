@@ -5,7 +5,10 @@ import os
 import duckdb
 import pytest
 
-from quarry.plans.queries import SQL, Q
+from quarry.plans import registry
+from quarry.plans.registry import SQL, Q
+
+registry.load()
 
 SF = os.environ.get("QUARRY_TEST_SF", "/root/testdata/sf0.001")
 
