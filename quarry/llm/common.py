@@ -76,3 +76,11 @@ def sample_by_hash(df: DataFrame, group: str, key: str, per_group: int) -> DataF
             rate = F.when(F.col(group) == F.lit(value), F.lit(min(1.0, per_group / n))).otherwise(rate)
     u = F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(1 << 24)) / float(1 << 24)
     return df.where(u < rate)
+
+
+def join_counted(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str, share: int = 1000) -> DataFrame:
+    """Inner join of rows with a table that has one row for each key and in `count` how many of rows have it. Keys of at least one row in `share` go by broadcast: there are `share` of them at most; all others by shuffle."""
+    total = keyed.agg(F.sum(count)).first()[0] or 0
+    often = F.col(count) * share >= F.lit(int(total))
+    hot, cold = F.broadcast(keyed.where(often)), keyed.where(~often)
+    return rows.join(hot, keys).unionByName(rows.join(F.broadcast(keyed.where(often).select(*keys)), keys, "left_anti").join(cold, keys))

@@ -3,7 +3,7 @@
 1. One pass over the texts: every document's shingle set (64-bit shingle hashes), a 128-bit key of the whole set, 384 minima; of the minima the low 4 bits are packed into 24 longs, and the full minima are hashed into 64 bands of 6 rows.
 2. Documents with the same set are one class; only a class's smallest id goes on.
 3. Candidates: within a band bucket every class meets one class of the bucket, chosen at random by bucket, so a bucket of n classes gives n - 1 pairs. The packed bits' collision-corrected similarity drops the clearly different ones; the rest are confirmed on the full sets.
-4. Components of these links. Buckets that then hold classes of more than one component are finished exactly: every class outside the bucket's largest component meets the bucket's classes of other components. Classes of one component need no further test, as they are linked already; so no link between different components is lost, and no pairs are made within a group of copies.
+4. Components of these links. Buckets that then hold classes of more than one component are finished exactly, without laying out their pairs: between() compares each class with a pivot and lets two classes meet only where what they don't share with the pivot makes a link possible. Classes of one component need no further test, as they are linked already; so no link between different components is lost.
 
 With 64 bands of 6 rows, a pair at similarity 0.75 shares no bucket with probability 4e-6, at 0.8 with 5e-9; the bits drop it with probability 7e-6, at 0.8 with less than 1e-9.
 The full sets are computed for documents in candidate pairs only; a bit table of fixed greatest size keeps most other texts from being hashed and shuffled again.
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import map_batches
+from quarry.llm.common import join_counted, map_batches
 from quarry.llm.components import components
 from quarry.llm.kernel import Kernel, mix, shingles, slices
 from quarry.session import stored
@@ -26,6 +26,7 @@ HASHES, BANDS, ROWS, BITS = 384, 64, 6, 4
 LONGS = HASHES * BITS // 64
 BLOOM_BITS = 27  # of the bit table, at most
 THRESHOLD = 75  # per cent
+GROUP = 1024  # classes that are compared with a copy of their group's pivot
 SLACK = 0.10  # a pair whose estimate is as far under the threshold is not confirmed: over 4 standard deviations at the threshold
 
 
@@ -136,13 +137,10 @@ def near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
-def confirmed(pairs: DataFrame, documents: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
-    near = stored(pairs)
-    wanted = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
-    sets = stored(shingle_sets(documents, stored(wanted)))
+def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the threshold. sets: doc_id, set."""
     shared = (
-        near.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), "a")
+        pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), "a")
         .join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y")), "b")
         .withColumn("common", F.size(F.array_intersect("x", "y")))
     )
@@ -151,41 +149,83 @@ def confirmed(pairs: DataFrame, documents: DataFrame) -> DataFrame:
 
 def groups(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
+    key = ["set_a", "set_b", "n_shingles"]
     feats = stored(features(documents))
     filled = feats.where("n_shingles > 0")
-    classes = filled.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"))
+    classes = stored(filled.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")))
+    same = stored(join_counted(filled.select("doc_id", *key), classes, key, "size").select("doc_id", "rep"))
     # a doc_id with several rows may stand for several sets: rep + set key names a class
-    nodes = stored(filled.join(classes.withColumn("doc_id", F.col("rep")), ["doc_id", "set_a", "set_b", "n_shingles"]).dropDuplicates(["rep", "set_a", "set_b"]).select("rep", F.col("n_shingles").alias("n"), "sig", "bands"))
-    members = stored(nodes.select(F.col("rep").alias("d"), F.explode("bands").alias("key")).distinct())
-    buckets = members.groupBy("key").agg(F.expr("min(struct(xxhash64(d, key) as h, d as d)).d").alias("lead"), F.count("*").alias("size")).where("size > 1")
-    crowded = stored(members.join(buckets, "key"))
-    star = stored(crowded.where("d <> lead").select(F.least("lead", "d").alias("a"), F.greatest("lead", "d").alias("b")).distinct())
-    links = stored(confirmed(near(star, nodes), documents))
-    first = components(links)
-    # what stands in one bucket but not in one component
-    placed = stored(crowded.where("size > 2").join(first.withColumnRenamed("node", "d"), "d", "left").select("key", "d", "lead", F.coalesce("component", "d").alias("c")))
-    by_component = placed.groupBy("key", "c").agg(F.count("*").alias("n"))
-    largest = by_component.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("big"), F.count("*").alias("parts")).where("parts > 1")
-    # sizes, bits and bands travel with the rows, so that pairs that differ clearly, and those that met in an earlier band, never leave the join
-    open_ = placed.join(largest, "key").join(nodes.select(F.col("rep").alias("d"), "n", "sig", "bands"), "d")
-    small = open_.where("c <> big").select("key", F.col("d").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), F.col("sig").alias("sx"), F.col("bands").alias("bx"))
-    every = open_.select("key", F.col("d").alias("y"), F.col("c").alias("cy"), "big", "lead", F.col("n").alias("ny"), F.col("sig").alias("sy"), F.col("bands").alias("by"))
-    meet = (small["key"] == every["key"]) & F.expr("cx <> cy and (cy = big or x < y) and x <> lead and y <> lead") & near_enough("nx", "ny", "sx", "sy") & (F.expr("get(filter(zip_with(bx, by, (p, q) -> if(p = q, p, null)), k -> k is not null), 0)") == small["key"])
-    cross = small.join(every, meet).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    rest = stored(confirmed(cross.join(star, ["a", "b"], "left_anti"), documents))
-    same = filled.join(classes, ["set_a", "set_b", "n_shingles"]).select("doc_id", "rep").where("doc_id <> rep").distinct()
+    nodes = stored(filled.join(classes.select(*key, F.col("rep").alias("doc_id")), ["doc_id", *key]).dropDuplicates(["doc_id", "set_a", "set_b"]).select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "sig", "bands"))
+    members = stored(nodes.select(F.col("rep").alias("d"), F.explode(F.array_distinct("bands")).alias("key")))
+    buckets = stored(members.groupBy("key").agg(F.expr("min(struct(xxhash64(d, key) as h, d as d)).d").alias("lead"), F.count("*").alias("size")).where("size > 1"))
+    crowded = stored(join_counted(members, buckets, ["key"], "size"))
+    star = crowded.where("d <> lead").select(F.least("lead", "d").alias("a"), F.greatest("lead", "d").alias("b")).distinct()
+    near_pairs = stored(near(star, nodes))
+    links = stored(linked(near_pairs, shingle_sets(documents, ends(near_pairs))))
+    first = stored(components(links))
+    rest = stored(between(crowded, first, nodes, documents))
     several = feats.groupBy("doc_id").count().where("count > 1")
-    repeated = same.join(several, "doc_id", "left_semi").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))  # one id, several sets
+    repeated = same.where("doc_id <> rep").join(several, "doc_id", "left_semi").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))  # one id, several sets
     final = components(links.union(rest).union(repeated))
     label = (
-        filled.join(classes, ["set_a", "set_b", "n_shingles"]).select("doc_id", "rep").distinct()
-        .join(final.withColumnRenamed("node", "rep"), "rep", "left")
+        same.join(final.withColumnRenamed("node", "rep"), "rep", "left")
         .select("doc_id", F.coalesce("component", "rep").alias("c")).groupBy("doc_id").agg(F.min("c").alias("c"))
     )
     out = feats.select("doc_id", "n_shingles").join(label, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def ends(pairs: DataFrame) -> DataFrame:
+    """(doc_id) of both ends, stored."""
+    return stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+
+
+def mixed(placed: DataFrame) -> DataFrame:
+    """The rows (key, d, lead, c) of buckets that hold several components, with each bucket's largest (big)."""
+    parts = placed.groupBy("key", "c").agg(F.count("*").alias("n"))
+    largest = parts.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("big"), F.count("*").alias("parts"), F.sum("n").alias("size")).where("parts > 1")
+    return join_counted(placed, largest, ["key"], "size").select("key", "d", "lead", "c", "big")
+
+
+def between(crowded: DataFrame, first: DataFrame, nodes: DataFrame, documents: DataFrame) -> DataFrame:
+    """Links (a, b) between classes of one bucket and different components, beyond those with the bucket's lead.
+
+    Buckets with the same largest component g are one group; its pivot is the class of g that stands in most of these buckets, the set P. Of every class x of a group, a = |x and P| and the rest E = x without P are counted exactly. Linked means 7 |x and y| >= 3 (|x| + |y|), and |x and y| is at most min(a(x), a(y)) + |E(x) and E(y)|. So of two classes
+    - both linked with P are in one component by that;
+    - otherwise they have t = ceil((3 (|x| + |y|) - 7 a(x)) / 7) elements of E in common. Where t is positive, they meet in a join on elements of E, to which each class brings all but its t - 1 most frequent ones (those that nobody shares are the rarest, and need not go);
+    - where t isn't positive, y is so much smaller that 3 |y| <= 7 a(x) - 3 |x|, and they meet in a join on sizes.
+    Classes that differ from the pivot in elements of their own thus meet nobody, and no pairs are made within a group of copies.
+    """
+    placed = crowded.where("size > 2").join(first.withColumnRenamed("node", "d"), "d", "left").select("key", "d", "lead", F.coalesce("component", "d").alias("c"))
+    attached = stored(mixed(placed).groupBy(F.col("big").alias("g"), "d", "c").agg(F.count("*").alias("times")))
+    wanted = stored(attached.select(F.col("d").alias("doc_id")).distinct())
+    sets = stored(shingle_sets(documents, wanted).join(wanted, "doc_id", "left_semi"))
+    sized = attached.join(sets.groupBy(F.col("doc_id").alias("d")).agg(F.min(F.size("set")).alias("n")), "d")
+    of = stored(sized.groupBy("g").agg(F.max_by("d", F.when(F.col("c") == F.col("g"), F.struct("times", -F.col("n"), -F.col("d")))).alias("p"), F.min("n").alias("least"), F.count("*").alias("size")))
+    # a group's pivot set is laid out once for every GROUP of its classes, so that a large group fills many tasks
+    parts = F.ceil(F.col("size") / GROUP).cast("int")
+    pivots = of.join(sets.select(F.col("doc_id").alias("p"), F.col("set").alias("pivot")), "p").dropDuplicates(["g"]).select("g", "p", "least", "pivot", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    dealt = join_counted(attached, of.select("g", "size"), ["g"], "size").select("g", "d", "c", F.pmod(F.xxhash64("d"), parts).cast("int").alias("part"))
+    rows = dealt.join(sets.select(F.col("doc_id").alias("d"), "set"), "d").join(pivots, ["g", "part"])
+    rows = rows.select("g", "d", "c", "p", "least", F.size("pivot").alias("np"), F.size("set").alias("n"), F.array_except("set", "pivot").alias("own")).withColumn("a", F.col("n") - F.size("own"))
+    rows = rows.withColumn("low", F.greatest("least", F.ceil(F.col("n") * THRESHOLD / 100)).cast("int")).withColumn("near", F.expr("7 * a >= 3 * (n + np)")).withColumn("t", F.expr("cast(ceil((3 * (n + low) - 7 * a) / 7) as int)"))
+    rows = stored(rows.drop("np"))
+    direct = rows.where("near and c <> g and d <> p").select(F.least("p", "d").alias("a"), F.greatest("p", "d").alias("b"))
+    # elements of E that two classes share, and those of each class that it brings
+    single = rows.select("g", "d", "c", F.monotonically_increasing_id().alias("row"), F.expr("size(own) - greatest(t, 1) + 1").alias("k"), F.size("own").alias("of"), F.explode("own").alias("e"))
+    single = stored(single.where("k > 0"))
+    often = stored(single.groupBy("g", "e").agg(F.count("*").alias("df"), F.count_if(F.col("c") != F.col("g")).alias("out")).where("df > 1 and out > 0"))
+    shared = join_counted(single, often.select("g", "e", "df"), ["g", "e"], "df")
+    brings = shared.groupBy("g", "d", "c", "row", "k", "of").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("s"))
+    brings = stored(brings.select("g", "d", "c", F.explode(F.expr("slice(s, 1, greatest(0, k - (of - size(s))))")).alias("s")).select("g", "d", "c", "s.e"))
+    y = brings.select("g", "e", F.col("d").alias("y"), F.col("c").alias("cy"))
+    pair = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
+    by_element = brings.where("c <> g").select("g", "e", F.col("d").alias("x"), F.col("c").alias("cx")).join(y, ["g", "e"]).where("cx <> cy and (cy = g or x < y)").select(*pair)
+    small = rows.where("not near").withColumn("high", F.expr("least(cast(floor((7 * a - 3 * n) / 3) as int), n * 4 div 3)")).where("high >= low").select("g", F.col("d").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), F.explode(F.sequence("low", "high")).alias("n"))
+    by_size = small.join(rows.select("g", "n", F.col("d").alias("y"), F.col("c").alias("cy"), F.col("a").alias("ay")), ["g", "n"]).where("cx <> cy and 7 * ay - 3 * n >= 3 * nx").select(*pair)
+    return direct.union(linked(stored(near(by_element.union(by_size).distinct(), nodes)), sets)).distinct()
+
+
 def dedup(documents: DataFrame) -> DataFrame:
     """The rows, whole, of one document of each group: that of the smallest id."""
     gone = groups(documents).where("not kept").select("doc_id").distinct()
