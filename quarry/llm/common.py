@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -79,8 +80,11 @@ def sample_by_hash(df: DataFrame, group: str, key: str, per_group: int) -> DataF
 
 
 def join_counted(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str, share: int = 1000) -> DataFrame:
-    """Inner join of rows with a table that has one row for each key and in `count` how many of rows have it. Keys of at least one row in `share` go by broadcast: there are `share` of them at most; all others by shuffle."""
-    total = keyed.agg(F.sum(count)).first()[0] or 0
-    often = F.col(count) * share >= F.lit(int(total))
-    hot, cold = F.broadcast(keyed.where(often)), keyed.where(~often)
-    return rows.join(hot, keys).unionByName(rows.join(F.broadcast(keyed.where(often).select(*keys)), keys, "left_anti").join(cold, keys))
+    """Inner join of rows with a table that has one row for each key and in `count` how many of rows have it. Keys of at least one row in `share`, and the most frequent one, go by broadcast: there are share + 1 of them at most; all others by shuffle."""
+    total, top = keyed.agg(F.sum(count), F.max_by(F.struct(*keys), F.struct(count, *keys))).first()
+    if top is None:
+        return rows.join(keyed, keys)
+    most = reduce(lambda x, y: x & y, (F.col(k) == F.lit(top[k]) for k in keys))
+    often = (F.col(count) * share >= F.lit(int(total))) | most
+    hot, cold = keyed.where(often), keyed.where(~often)
+    return rows.join(F.broadcast(hot), keys).unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys))
