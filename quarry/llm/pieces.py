@@ -3,9 +3,9 @@
 1. Texts are cut into segments wherever no piece of the vocabulary holds the two neighbouring bytes; no piece spans such a cut, so segments are encoded independently.
 2. The distinct segments' substrings, as long as the longest piece at most, are exploded and equi-joined with the piece table; the edges found are grouped by segment.
 3. A higher-order aggregate folds each segment's edges. For unigram models it is Viterbi: the best path to each position. For byte-pair models, whose scores are merge ranks and no log probabilities, a path of greatest score isn't the model's encoding; there the fold takes edges in order of rank and merges two symbols where an edge covers exactly these. That replays the merges exactly if every piece's own derivation uses pieces of better rank only, which is checked when the model is read.
-4. Documents look their segments up: the most frequent ones (HOT at most, by a threshold over a histogram) in a broadcast table, all others through a join.
+4. Documents look their segments up: the most frequent ones (a table of HOT bytes at most, by a threshold over a histogram) in a broadcast table, all others through a join.
 
-Normalisation is the model's: identity only, with its dummy prefix; other normalisers are refused. Characters without a piece become bytes.
+Normalisation is the model's: identity only, with its dummy prefix; other normalisers are refused. Characters without a piece become bytes; in a model without byte pieces a run of them is one unknown id.
 Defined cases: null and empty texts have no ids; repeated rows are encoded each; an empty table gives no rows; other columns are not read; texts and segments may be of any length.
 """
 
@@ -28,10 +28,12 @@ from quarry.llm.common import map_batches
 from quarry.llm.kernel import Kernel, Table, buffers, slices
 from quarry.session import stored
 
-HOT = 1 << 22
+HOT = 64 << 20  # bytes of the segment table that is broadcast
+TASK = 1 << 15  # segments whose lattice one task folds, about
 LONG = 62  # characters that a segment's boundaries may have in one long
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # types of pieces
 UNIGRAM, BPE = 1, 2
+UNIT = 1 << 20  # costs of unigram models are whole numbers of 1 / UNIT, so that equal sums are equal in any order
 NONE = (1 << 17) - 1  # id of a character without a piece
 HUGE = 1 << 12  # characters of a segment beyond which no lattice is laid out: it would be one huge row
 
@@ -83,6 +85,10 @@ class Model:
         together[:, 0x80:0xC0] = True  # never inside a character
         self.together = together
 
+    def worst(self) -> int:
+        """An unknown character's cost in unigram models."""
+        return round((max(-x[1] for x in self.pieces if x[2] == NORMAL) + 10.0) * UNIT)
+
     def merged(self, text: str) -> tuple[list[tuple[int, int]], list[float]]:
         """Byte-pair encoding of a text by repeated best merges: spans, and the ranks merged."""
         starts, ranks = list(range(len(text))), []
@@ -219,11 +225,10 @@ def lattice(segments: DataFrame, model: Model) -> DataFrame:
     sized = segments.withColumn("n", F.char_length("s"))
     spans = sized.select("s", "c", "n", F.explode(F.sequence(F.lit(0), F.when(F.col("n") > HUGE, 0).otherwise(F.col("n") - 1))).alias("b")).select("s", "c", "n", "b", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), F.col("n") - F.col("b")))).alias("len"))
     found = spans.withColumn("piece", F.expr("substring(s, b + 1, len)")).join(F.broadcast(piece_table(segments.sparkSession, model)), "piece", "left").where("id is not null or len = 1")
-    worst = max(-x[1] for x in model.pieces if x[2] == NORMAL) + 10.0  # an unknown character's cost in unigram models
     if model.kind == BPE:
         edge = F.expr(f"shiftleft(if(len = 1, 0L, rank), 45) | shiftleft(cast(b as bigint), 23) | shiftleft(cast(len as bigint), 17) | cast(coalesce(id, {NONE}) as bigint)")
     else:
-        edge = F.expr(f"named_struct('cost', coalesce(cost, {worst!r}D), 'b', b, 'e', b + len, 'id', coalesce(id, {NONE}))")
+        edge = F.expr(f"named_struct('cost', coalesce(cast(round(cost * {UNIT}) as bigint), {model.worst()}L), 'b', b, 'e', b + len, 'id', coalesce(id, {NONE}))")
     return found.groupBy("s", "c", "n").agg(F.collect_list(edge).alias("edges"))
 
 
@@ -291,14 +296,14 @@ def whole_ids(s: str, model: Model) -> list[int]:
     if model.kind == BPE:
         spans = model.merged(s)[0]
     else:
-        worst = max(-x[1] for x in model.pieces if x[2] == NORMAL) + 10.0
-        best: list[tuple[float, int]] = [(0.0, 0)] + [(float("inf"), 0)] * len(s)
+        worst = model.worst()
+        best: list[tuple[int, int]] = [(0, 0)] + [(1 << 62, 0)] * len(s)
         for e in range(1, len(s) + 1):
             for b in range(max(0, e - model.longest), e):
                 one = model.ids.get(s[b:e])
                 if one is None and e - b > 1:
                     continue
-                total = best[b][0] + (worst if one is None else -model.pieces[one][1])
+                total = best[b][0] + (worst if one is None else round(-model.pieces[one][1] * UNIT))
                 if total < best[e][0]:
                     best[e] = (total, b)
         spans, e = [], len(s)
@@ -316,7 +321,7 @@ def whole_ids(s: str, model: Model) -> list[int]:
 def viterbi_fold(lat: DataFrame, model: Model) -> DataFrame:
     """(s, c, ids, edges: null) by the path of least cost; the state is the best way to reach each position, ties go to the longer last piece."""
     reach = f"named_struct('cost', x.cost + best[x.b].cost, 'b', x.b, 'p', shiftleft(cast(x.b as bigint), 17) | x.id)"
-    start = f"transform(sequence(0, n), i -> named_struct('cost', if(i = 0, 0D, double('infinity')), 'b', 0, 'p', {NONE}L))"
+    start = f"transform(sequence(0, n), i -> named_struct('cost', if(i = 0, 0L, {1 << 62}L), 'b', 0, 'p', {NONE}L))"
     ordered = "array_sort(edges, (l, r) -> case when l.e <> r.e then l.e - r.e else l.b - r.b end)"
     best = f"aggregate({ordered}, {start}, (best, x) -> if(best[x.b].cost + x.cost < best[x.e].cost, transform(best, (v, i) -> if(i = x.e, {reach}, v)), best))"
     walked = "aggregate(sequence(1, n), named_struct('at', n, 'path', cast(array() as array<bigint>)), (w, i) -> if(w.at = 0, w, named_struct('at', best[w.at].b, 'path', concat(array(best[w.at].p), w.path))), w -> w.path)"
@@ -325,7 +330,9 @@ def viterbi_fold(lat: DataFrame, model: Model) -> DataFrame:
 
 def dictionary(texts: DataFrame, model: Model) -> DataFrame:
     """(key, c, ids) of every distinct segment, stored; key is the segment's hash."""
-    folded = (merge_fold if model.kind == BPE else viterbi_fold)(lattice(distinct_segments(texts, model), model), model)
+    segments = stored(distinct_segments(texts, model))
+    segments = segments.repartition(max(1, min(1 << 15, -(-segments.count() // TASK))), "s")  # small tasks: a segment has tens of edges
+    folded = (merge_fold if model.kind == BPE else viterbi_fold)(lattice(segments, model), model)
 
     def make():
         kernel = Kernel(lower=False)
@@ -351,33 +358,36 @@ class Lookup:
     ids: np.ndarray
 
     @staticmethod
-    def of(rows: pa.Table, small: bool) -> Lookup:
-        keys = rows["key"].to_numpy().view(np.uint64)
-        kind = np.uint16 if small else np.int32
-        parts = rows["ids"].chunks or [pa.array([], pa.list_(pa.int32()))]
-        n = np.concatenate([np.diff(p.offsets.to_numpy()).astype(np.int32) for p in parts])
-        flat = np.concatenate([p.flatten().to_numpy(zero_copy_only=False).astype(kind) for p in parts])
-        del rows, parts
-        order = np.argsort(keys).astype(np.int32)
-        at = np.zeros(len(n) + 1, np.int32)  # fewer than 2^31 ids: bounded by the number of segments and their length
-        np.cumsum(n, out=at[1:])
-        n = n[order]
-        first = np.zeros(len(n) + 1, np.int32)
+    def of(words: DataFrame, small: bool, ranges: int = 8) -> Lookup:
+        """From rows (key, ids), collected one range of keys after the other, so that the driver holds little beside the table itself."""
+        keys, sizes, flat = [], [], []
+        top = F.shiftrightunsigned("key", 61)
+        for i in range(ranges):
+            rows = words.where((top * ranges / 8).cast("int") == i).select("key", F.col("ids").cast("array<int>").alias("ids")).toArrow()
+            parts = rows["ids"].chunks or [pa.array([], pa.list_(pa.int32()))]
+            n = np.concatenate([np.diff(p.offsets.to_numpy()).astype(np.int32) for p in parts])
+            own = np.concatenate([p.flatten().to_numpy(zero_copy_only=False).astype(np.uint16 if small else np.int32) for p in parts])
+            k = rows["key"].to_numpy().view(np.uint64)
+            del rows, parts
+            order = np.argsort(k)
+            at = np.append(0, np.cumsum(n))
+            keys.append(k[order]), sizes.append(n[order]), flat.append(gather(at, own, order)[0])
+        n = np.concatenate(sizes)
+        first = np.zeros(len(n) + 1, np.int32)  # fewer than 2^31 ids: bounded by the table's bytes
         np.cumsum(n, out=first[1:])
-        where = np.repeat(at[:-1][order] - first[:-1], n)
-        where += np.arange(len(where), dtype=np.int32)
-        return Lookup(Table(keys[order]), first, flat[where])
+        return Lookup(Table(np.concatenate(keys)), first, np.concatenate(flat))
 
 
 def hot_lookup(words: DataFrame, small: bool, most: int = HOT) -> tuple[Lookup, int | None]:
-    """The most frequent segments, at most `most`, and the least count that is in (None: all are)."""
-    histogram = words.groupBy(F.floor(F.log2("c")).cast("int").alias("b")).count().collect()  # 64 rows at most
+    """A table of the most frequent segments, of `most` bytes at most, and the least count that is in (None: all are)."""
+    size = F.sum(F.lit(16) + F.size("ids") * (2 if small else 4))  # key, offset, directory, ids
+    histogram = words.groupBy(F.floor(F.log2("c")).cast("int").alias("b")).agg(size.alias("n")).collect()  # 64 rows at most
     kept, least = 0, None
     for b, k in sorted(((r[0], r[1]) for r in histogram), reverse=True):
         if kept + k > most:
-            return Lookup.of(words.where(F.col("c") >= (least or 1 << 62)).select("key", "ids").toArrow(), small), least or 1 << 62
+            return Lookup.of(words.where(F.col("c") >= (least or 1 << 62)), small), least or 1 << 62
         kept, least = kept + k, 1 << b
-    return Lookup.of(words.select("key", "ids").toArrow(), small), None
+    return Lookup.of(words, small), None
 
 
 def gather(first: np.ndarray, flat: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -388,6 +398,16 @@ def gather(first: np.ndarray, flat: np.ndarray, places: np.ndarray) -> tuple[np.
     return flat[np.repeat(first[places] - at[:-1], n) + np.arange(at[-1])], at
 
 
+def joined(ids: np.ndarray, rows: np.ndarray, unknown: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids with the unknown ids that follow another one in their row left out, as the library does, and the rows' offsets; unknown: None if the model spells unknown characters as bytes."""
+    if unknown is None or not len(ids):
+        return ids, rows
+    again = np.zeros(len(ids), bool)
+    again[1:] = (ids[1:] == unknown) & (ids[:-1] == unknown)
+    again[rows[rows < len(ids)]] = False
+    return ids[~again], np.append(0, np.cumsum(~again))[rows]
+
+
 class Decoder:
     """Texts of id sequences: flat piece bytes, gathered."""
 
@@ -435,6 +455,7 @@ def _encoded(documents: DataFrame, model: Model, make_emit, schema: str, most: i
     """What emit(doc ids, ids of all rows, their offsets) makes of the rows, slice by slice."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     spark, together, prefix = docs.sparkSession, model.together, model.prefix
+    unknown = model.unknown if model.byte0 is None else None
     words = dictionary(docs, model)
     hot, least = hot_lookup(words, len(model.pieces) <= 1 << 16, most)
     shared = spark.sparkContext.broadcast(hot)
@@ -481,7 +502,7 @@ def _encoded(documents: DataFrame, model: Model, make_emit, schema: str, most: i
                     more = np.concatenate([hot.first, hot.first[-1] + np.cumsum([len(e) for e in extra])])
                     place[cold] = len(hot.first) - 1 + np.arange(len(cold))
                     ids, at = gather(more, flat, place)
-                yield emit(batch["doc_id"].slice(lo, hi - lo), ids.astype(np.int32), at[first])
+                yield emit(batch["doc_id"].slice(lo, hi - lo), *joined(ids.astype(np.int32), at[first], unknown))
 
         return step
 
