@@ -68,6 +68,24 @@ class Kernel:
         step[0] = back[0] = 1
         self.power, self.inverse = np.cumprod(step, dtype=np.uint64), np.cumprod(back, dtype=np.uint64)
 
+    def points(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A value for every character (code point), 0 for separators, and the rows' offsets among the characters."""
+        v = np.where(self.sep[data], np.uint64(0), self.value[data])
+        if not len(data) or data.max() < 0x80:
+            return v, offsets
+        start = (data & 0xC0) != 0x80
+        at = np.flatnonzero(start)
+        out = v[at]
+        wide = np.flatnonzero(data[at] >= 0xC0)
+        lead = at[wide]
+        code, more = data[lead].astype(np.uint64), np.ones(len(lead), bool)
+        for j in range(1, 4):  # the bytes that go on with the character
+            here = np.minimum(lead + j, len(data) - 1)
+            more &= (lead + j < len(data)) & ~start[here]
+            code = np.where(more, (code << np.uint64(8)) | data[here], code)
+        out[wide] = code  # two bytes at least, above all single ones
+        return out, np.searchsorted(at, offsets)
+
     def prefix(self, data: np.ndarray) -> np.ndarray:
         """Prefix sums of a polynomial hash, for spans()."""
         if len(data) >= len(self.power):
@@ -98,6 +116,19 @@ class Kernel:
         return self.spans(self.prefix(data), starts, ends), first
 
 
+def ngrams(v: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, hash, place) of every run of n values inside a row."""
+    m = len(v) - n + 1
+    if m <= 0:
+        return np.zeros(0, np.int32), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    row = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
+    packed = v[:m] * _MULS[0]
+    for j in range(1, n):
+        packed += v[j : j + m] * _MULS[j]
+    ok = np.flatnonzero(row[:m] == row[n - 1 :])
+    return row[ok], mix(packed[ok] + _seed(n)), ok
+
+
 def shingles(hashes: np.ndarray, first: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all k-word shingles row by row, and the first of each row; a row with 1 to k-1 words has its whole sequence as one."""
     n = np.diff(first)

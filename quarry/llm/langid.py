@@ -1,7 +1,7 @@
 """Language identification by language-bitmask n-gram filters (bit-sliced Bloom filters).
 
 One Bloom filter per language, sliced by bit position: slot i of the table is a mask with a bit for each language whose filter has bit i set. The AND of an n-gram's k slots is the mask of all languages that contain it.
-For each document the languages' bits are counted over its n-grams, each count is corrected for the filter's false positives, and the language of the highest corrected share wins.
+N-grams are of characters (code points). For each document the languages' bits are counted over its n-grams, each count is corrected for the filter's false positives, and the language of the highest corrected share wins.
 
 Only text and lang of training rows are used for learning; a prediction sees the text only.
 Defined cases: null text or text without a letter is `und` with score 0; ties go to the language with the most training rows; repeated rows get equal results; an empty table gives no rows, no training rows give `und` throughout; other columns are not read.
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import crc_mod, filter_batches, map_batches, sample_by_hash
-from quarry.llm.kernel import Kernel, mix, slices
+from quarry.llm.kernel import Kernel, ngrams, slices
 
 SLOT_BITS = 22
 FEW = 20  # training rows
@@ -27,19 +27,14 @@ _SPREAD = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 
 def grams(data: np.ndarray, offsets: np.ndarray, kernel: Kernel, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of every n-gram of n bytes, white space and ASCII symbols folded to one mark, no n-gram of marks only."""
-    if len(data) < n:
-        return np.zeros(0, np.int32), np.zeros(0, np.uint64)
-    v = np.where(kernel.sep[data], np.uint64(0), kernel.value[data])
-    row = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
-    m = len(v) - n + 1
-    packed = v[:m].copy()
-    marks = (v[:m] == 0).astype(np.int8)
-    for j in range(1, n):
-        packed |= v[j : j + m] << np.uint64(8 * j)
-        marks += v[j : j + m] == 0
-    ok = (row[:m] == row[n - 1 :]) & (marks <= 1)
-    return row[:m][ok], mix(packed[ok] + np.uint64(n << 56))
+    """(row, hash) of every n-gram of n characters (code points, A-Z lower-cased), white space and ASCII symbols folded to one mark, with one mark at most."""
+    v, at = kernel.points(data, offsets)
+    row, h, place = ngrams(v, at, n)
+    if not len(h):
+        return row, h
+    marks = np.append(0, np.cumsum(v == 0, dtype=np.int32))
+    ok = marks[place + n] - marks[place] <= 1
+    return row[ok], h[ok]
 
 
 def slots(h: np.ndarray) -> list[np.ndarray]:
