@@ -8,9 +8,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from quarry.session import stored
+
 
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of the id as decimal text, mod n (null ids: of the empty text)."""
@@ -88,3 +90,23 @@ def join_counted(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str,
     often = (F.col(count) * share >= F.lit(int(total))) | most
     hot, cold = keyed.where(often), keyed.where(~often)
     return rows.join(F.broadcast(hot), keys).unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys))
+
+
+def labelled(labels: DataFrame, label: str, held_out_mod: int, held_out_rest: int) -> DataFrame:
+    """(doc_id, y) of the ids that are labelled 0 or 1 and aren't held out; where an id has both labels it is 1. Null ids are left out."""
+    known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
+    return known.where(crc_mod("doc_id", held_out_mod) != held_out_rest).groupBy("doc_id").agg(F.max("y").alias("y"))
+
+
+def bounded_rows(rows: DataFrame, columns: list[str], most: int) -> Iterator[Row]:
+    """The rows of a bounded sample, one after the other, as long as their columns have `most` bytes together; which ones those are goes by a hash of doc_id. rows: as few as the sample allows."""
+    kept = stored(rows)
+    sizes = kept.select("doc_id", F.xxhash64("doc_id", F.lit(29)).alias("h"), sum((F.length(c) for c in columns), F.lit(0)).alias("n")).collect()
+    total, wanted = 0, []
+    for r in sorted(sizes, key=lambda r: (r["h"], r["doc_id"])):
+        total += r["n"]
+        if total <= most:
+            wanted.append(r["doc_id"])
+    if len(wanted) < len(sizes):
+        kept = kept.where(F.col("doc_id").isin(wanted))
+    return kept.toLocalIterator()

@@ -16,38 +16,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import crc_mod, filter_batches, map_batches, sample_by_hash
-from quarry.llm.kernel import Kernel, slices
+from quarry.llm.common import bounded_rows, crc_mod, filter_batches, labelled, map_batches, sample_by_hash
+from quarry.llm.kernel import Kernel, ngrams, slices
 
 BUCKET_BITS = 20
 
 
 def ngram_buckets(data: np.ndarray, offsets: np.ndarray, kernel: Kernel, sizes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """(row, bucket) of every character n-gram (over UTF-8 bytes, white space folded), with repeats."""
-    if not len(data):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    v = np.where(kernel.sep[data], np.uint64(33), kernel.value[data])
-    row = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
-    rows, buckets = [], []
-    for n in sizes:
-        m = len(v) - n + 1
-        if m <= 0:
-            continue
-        packed = np.zeros(m, np.uint64)
-        for j in range(n):
-            packed |= v[j : j + m] << np.uint64(8 * j) if n <= 8 else np.uint64(0)
-        h = (packed + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        same = row[:m] == row[n - 1 :]
-        rows.append(row[:m][same])
-        buckets.append((h >> np.uint64(64 - BUCKET_BITS))[same].astype(np.int64))
-    return (np.concatenate(rows), np.concatenate(buckets)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    """(row, bucket) of every character n-gram (code points, white space folded), with repeats."""
+    v, at = kernel.points(data, offsets)
+    parts = [ngrams(v, at, n)[:2] for n in sizes]
+    return np.concatenate([r for r, _ in parts]), np.concatenate([(h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64) for _, h in parts])
 
 
 @dataclass
 class ToxicityModel:
-    """weights: by bucket, 0 for buckets left out; sizes: n-gram lengths in bytes."""
+    """weights: by bucket, 0 for buckets left out; sizes: n-gram lengths in characters."""
 
     weights: np.ndarray
     bias: float
@@ -107,7 +91,7 @@ def fit_arrays(docs: list[np.ndarray], y: np.ndarray, sizes: tuple[int, ...], ke
 
 
 def features(df: DataFrame, text: str, label: str, sizes: tuple[int, ...]) -> DataFrame:
-    """(label, distinct buckets as little-endian int32) of labelled rows."""
+    """(doc_id, label, distinct buckets as little-endian int32) of labelled rows."""
 
     def make():
         kernel = Kernel()
@@ -119,20 +103,20 @@ def features(df: DataFrame, text: str, label: str, sizes: tuple[int, ...]) -> Da
                 pairs = np.unique((rows.astype(np.int64) << BUCKET_BITS) | buckets)
                 at = np.searchsorted(pairs >> BUCKET_BITS, np.arange(hi - lo + 1))
                 out += [(pairs[at[i] : at[i + 1]] & ((1 << BUCKET_BITS) - 1)).astype(np.int32).tobytes() for i in range(hi - lo)]
-            return {"label": batch[label].cast(pa.int32()), "buckets": pa.array(out, pa.binary())}
+            return {"doc_id": batch["doc_id"], "label": batch[label].cast(pa.int32()), "buckets": pa.array(out, pa.binary())}
 
         return step
 
-    return map_batches(df.select(text, label), make, "label int, buckets binary")
+    return map_batches(df.select(F.col("doc_id").cast("long").alias("doc_id"), text, label), make, "doc_id long, label int, buckets binary")
 
 
-def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", held_out_mod: int = 5, held_out_rest: int = 0, per_class: int = 1500, sizes: tuple[int, ...] = (4, 6)) -> ToxicityModel:
-    """Learns from about per_class labelled rows of each class (the documented bound) that aren't held out."""
-    known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where("y in (0, 1)").where(crc_mod("doc_id", held_out_mod) != held_out_rest).dropDuplicates(["doc_id"])
+def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", held_out_mod: int = 5, held_out_rest: int = 0, per_class: int = 1500, sizes: tuple[int, ...] = (4, 6), most_bytes: int = 1 << 28) -> ToxicityModel:
+    """Learns from about per_class labelled rows of each class that aren't held out, and from no more of them than have most_bytes of features (the documented bounds). Of several labels of one id 1 wins."""
+    known = labelled(labels, label, held_out_mod, held_out_rest)
     chosen = sample_by_hash(known, "y", "doc_id", per_class)
     rows = features(documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "text", "y", sizes)  # at most about 2 * per_class ids
     docs, y = [], []
-    for r in rows.toLocalIterator():
+    for r in bounded_rows(rows, ["buckets"], most_bytes):
         docs.append(np.frombuffer(r["buckets"], np.int32))
         y.append(r["label"])
     if not docs:
