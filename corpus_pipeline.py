@@ -1,7 +1,7 @@
 """The corpus pipeline: toxicity, language, near duplicates, benchmark passages, SentencePiece ids.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept; what it rejects is gone for the next. All stages but the last return the columns of docs.
-Empty input gives empty output in every stage; null texts have no letter, so the language stage rejects them.
+Empty input gives empty output in every stage; null texts have no letter, so the language stage rejects them. Rows that repeat a doc_id are judged each, but near-dedup keeps or drops an id's rows together; rows without a doc_id are no copies of others. Columns beside doc_id and text pass through, whatever their names; very long texts are read in slices.
 """
 
 from __future__ import annotations
@@ -46,7 +46,7 @@ STAGES = [
     ("sentencepiece", to_pieces),
 ]
 
-#: SQL can't express the learned stages; tests/llm compare each stage with a brute-force version.
+#: SQL can't express the learned stages; tests/llm compare near-dedup and decontamination with brute force, the classifiers with plain versions of their scores, and SentencePiece with the library.
 ORACLE_SQL = None
 
 

@@ -10,6 +10,7 @@ Defined cases: null or empty texts and items match nothing; repeated rows get eq
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -139,17 +140,16 @@ def build(items: list[tuple[int, str]]) -> Index:
     return Index(masks, keys[order], item[order], place[order], tokens, first, np.array([i for i, _ in items], dtype=np.int64), bloom)
 
 
-def blocks(benchmark: DataFrame, chars: int = 8_000_000) -> list[Index]:
-    """Indexes of the benchmark in blocks of about so many characters; each block's size is checked by its sum of lengths before it is read."""
+def blocks(benchmark: DataFrame, chars: int = 8_000_000) -> Iterator[tuple[Index, bool]]:
+    """Indexes of the benchmark in blocks of about so many characters, one after the other, and whether it is the last; how many blocks there are comes from the sum of the lengths before any is read."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = -(-total // chars)
-    out = []
-    for i in range(n):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i).collect()  # one block
-        if rows:
-            out.append(build(sorted((r[0], r[1]) for r in rows)))
-    return out
+    n = max(1, -(-total // chars))
+    numbered = items.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(n)))
+    numbers = sorted(r[0] for r in numbered.select("block").distinct().collect())  # a number for each block
+    for number in numbers:
+        rows = numbered.where(F.col("block") == number).select("item_id", "text").collect()  # one block
+        yield build(sorted((r[0], r[1]) for r in rows)), number == numbers[-1]
 
 
 def _per_document(index: Index, column: pa.Array, kernel: Kernel) -> tuple[list, np.ndarray]:
@@ -166,37 +166,34 @@ def _per_document(index: Index, column: pa.Array, kernel: Kernel) -> tuple[list,
     return [sorted(set(x)) for x in items], best
 
 
-def scan(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, contaminated, items, best_share for every row."""
-    ids = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = []
-    for index in blocks(benchmark):
+def scan(documents: DataFrame, benchmark: DataFrame, chars: int = 8_000_000) -> DataFrame:
+    """doc_id, contaminated, items, best_share for every row. Each block of the benchmark is a pass over the rows; only the last one leaves the texts behind."""
+    none = F.array().cast("array<long>")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", none.alias("items"), F.lit(0.0).alias("best_share"))
+    for index, last in blocks(benchmark, chars):
         shared = documents.sparkSession.sparkContext.broadcast(index)
+        del index
 
-        def make(shared=shared):
+        def make(shared=shared, last=last):
             kernel = Kernel(extra_separators=True)
 
             def step(batch: pa.RecordBatch) -> dict:
                 items, best = _per_document(shared.value, batch["text"], kernel)
-                return {"doc_id": batch["doc_id"], "items": pa.array(items, pa.list_(pa.int64())), "best_share": pa.array(best)}
+                items = [sorted({*old, *new}) for old, new in zip(batch["items"].to_pylist(), items)]
+                out = {"doc_id": batch["doc_id"], "items": pa.array(items, pa.list_(pa.int64())), "best_share": pa.array(np.maximum(best, batch["best_share"].to_numpy()))}
+                return out if last else {"doc_id": batch["doc_id"], "text": batch["text"]} | out
 
             return step
 
-        parts.append(map_batches(ids, make, "doc_id long, items array<long>, best_share double"))
-    if not parts:
-        return ids.select("doc_id", F.lit(False).alias("contaminated"), F.array().cast("array<long>").alias("items"), F.lit(0.0).alias("best_share"))
-    out = parts[0]
-    if len(parts) > 1:
-        for p in parts[1:]:
-            out = out.union(p)
-        out = out.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("best_share").alias("best_share"))
-    return out.select("doc_id", (F.size("items") > 0).alias("contaminated"), "items", "best_share")
+        rows = map_batches(rows, make, "doc_id long, items array<long>, best_share double" if last else "doc_id long, text string, items array<long>, best_share double")
+    return rows.select("doc_id", (F.size("items") > 0).alias("contaminated"), "items", "best_share")
 
 
-def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows, whole, that hold no benchmark passage."""
-    for index in blocks(benchmark):
+def clean(documents: DataFrame, benchmark: DataFrame, chars: int = 8_000_000) -> DataFrame:
+    """The rows, whole, that hold no benchmark passage; each block is a pass over the rows that are left."""
+    for index, _ in blocks(benchmark, chars):
         shared = documents.sparkSession.sparkContext.broadcast(index)
+        del index
 
         def make(shared=shared):
             kernel = Kernel(extra_separators=True)
