@@ -1,6 +1,6 @@
 """Quality: supervised subword embeddings (hashed words and character n-grams, averaged, softmax), trained by numpy SGD.
 
-A document's features are its words and the character n-grams of its whole text, all hashed into one table of vectors; their mean goes through a softmax layer.
+A document's features are its words, pairs of neighbouring words and the character n-grams of its whole text, all hashed into one table of vectors; their mean goes through a softmax layer.
 Because the layer is linear, softmax(W mean(E)) needs only the scalar (w1 - w0) . E[f] of every bucket at scoring time; that table is what the workers hold, and its size is a parameter.
 
 Defined cases: null and empty texts have no features and get the bias's probability; repeated rows get equal scores; an empty table gives no rows; with no labels the score is 0.5; other columns are not read.
@@ -15,41 +15,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import crc_mod, map_batches, sample_by_hash
-from quarry.llm.kernel import Kernel, slices
+from quarry.llm.common import bounded_rows, crc_mod, labelled, map_batches, sample_by_hash
+from quarry.llm.kernel import Kernel, ngrams, slices
 
 BITS = 19
 
 
 def feature_buckets(data: np.ndarray, offsets: np.ndarray, kernel: Kernel, sizes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """(row, bucket) of every word and character n-gram, with repeats."""
+    """(row, bucket) of every word, pair of neighbouring words and character n-gram (code points, white space folded), with repeats."""
     rows, buckets = [], []
     if len(data):
         h, first = kernel.word_hashes(data, offsets)
         rows.append(np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(first)))
         buckets.append((h >> np.uint64(64 - BITS)).astype(np.int32))
-        # word n-grams by pattern: does a word repeat the one before it, or the one before that?
-        for back, bucket in ((1, 1), (2, 3)):
-            if len(h) > back:
-                of = rows[0][back:]
-                same = of == rows[0][:-back]
-                rows.append(of[same])
-                buckets.append((bucket + (h[back:] == h[:-back])[same]).astype(np.int32))
-        v = np.where(kernel.sep[data], np.uint64(33), kernel.value[data])
-        row = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
-        for n in sizes:
-            m = len(v) - n + 1
-            if m <= 0:
-                continue
-            packed = v[:m].copy()
-            for j in range(1, n):
-                packed |= v[j : j + m] << np.uint64(8 * j)
-            packed = (packed + np.uint64(n << 56)) * np.uint64(0x9E3779B97F4A7C15)
-            packed ^= packed >> np.uint64(31)
-            packed *= np.uint64(0x94D049BB133111EB)
-            same = row[:m] == row[n - 1 :]
-            rows.append(row[:m][same])
-            buckets.append((packed >> np.uint64(64 - BITS))[same].astype(np.int32))
+        pairs = ngrams(h, first, 2)
+        v, at = kernel.points(data, offsets)
+        for row, grams, _ in (pairs, *(ngrams(v, at, n) for n in sizes)):
+            rows.append(row)
+            buckets.append((grams >> np.uint64(64 - BITS)).astype(np.int32))
     if not rows:
         return np.zeros(0, np.int32), np.zeros(0, np.int32)
     return np.concatenate(rows), np.concatenate(buckets)
@@ -72,8 +55,8 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(out + self.bias, -40, 40)))
 
 
-def fit_arrays(docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, sizes: tuple[int, ...], dim: int = 8, epochs: int = 12, rate: float = 0.5, seed: int = 7) -> QualityModel:
-    """docs: (distinct buckets, their shares of the document's features). Plain SGD over documents, the rate falling to 0."""
+def fit_arrays(docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, sizes: tuple[int, ...], dim: int = 8, epochs: int = 12, rate: float = 1.0, seed: int = 7) -> QualityModel:
+    """docs: (distinct buckets, their shares of the document's features). Plain SGD over documents, the rate falling to 0, errors weighted so that both classes count alike."""
     if not len(y):
         return QualityModel(np.zeros(1 << BITS, np.float32), 0.0, sizes)
     rng = np.random.default_rng(seed)
@@ -84,6 +67,7 @@ def fit_arrays(docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, sizes:
     layer, bias = rng.uniform(-1, 1, (2, dim)).astype(np.float32), np.zeros(2, np.float32)
     docs = [(place[b], s) for b, s in docs]
     steps, t = epochs * len(docs), 0
+    weight = [len(y) / (2 * max(1, int((y == c).sum()))) for c in (0, 1)]  # both classes move the model as far
     for _ in range(epochs):
         for i in rng.permutation(len(docs)):
             at, share = docs[i]
@@ -94,6 +78,7 @@ def fit_arrays(docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, sizes:
             p = np.exp(z - z.max())
             p /= p.sum()
             p[int(y[i])] -= 1
+            p *= weight[int(y[i])]
             back = layer.T @ p
             layer -= lr * np.outer(p, mean)
             bias -= lr * 0.1 * p
@@ -106,7 +91,7 @@ def fit_arrays(docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, sizes:
 
 
 def features(df: DataFrame, text: str, label: str, sizes: tuple[int, ...]) -> DataFrame:
-    """(label, distinct buckets as int32, counts as int32) of labelled rows."""
+    """(doc_id, label, distinct buckets as int32, counts as int32) of labelled rows."""
 
     def make():
         kernel = Kernel()
@@ -120,19 +105,19 @@ def features(df: DataFrame, text: str, label: str, sizes: tuple[int, ...]) -> Da
                 for i in range(hi - lo):
                     ids.append((pairs[at[i] : at[i + 1]] & ((1 << BITS) - 1)).astype(np.int32).tobytes())
                     counts.append(n[at[i] : at[i + 1]].astype(np.int32).tobytes())
-            return {"label": batch[label].cast(pa.int32()), "buckets": pa.array(ids, pa.binary()), "counts": pa.array(counts, pa.binary())}
+            return {"doc_id": batch["doc_id"], "label": batch[label].cast(pa.int32()), "buckets": pa.array(ids, pa.binary()), "counts": pa.array(counts, pa.binary())}
 
         return step
 
-    return map_batches(df.select(text, label), make, "label int, buckets binary, counts binary")
+    return map_batches(df.select(F.col("doc_id").cast("long").alias("doc_id"), text, label), make, "doc_id long, label int, buckets binary, counts binary")
 
 
-def train(documents: DataFrame, labels: DataFrame, label: str = "quality", held_out_mod: int = 3, held_out_rest: int = 1, per_class: int = 1200, sizes: tuple[int, ...] = (3, 5)) -> QualityModel:
-    """Learns from about per_class labelled rows of each class (the documented bound) that aren't held out."""
-    known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where("y in (0, 1)").where(crc_mod("doc_id", held_out_mod) != held_out_rest).dropDuplicates(["doc_id"])
+def train(documents: DataFrame, labels: DataFrame, label: str = "quality", held_out_mod: int = 3, held_out_rest: int = 1, per_class: int = 1200, sizes: tuple[int, ...] = (4, 6), most_bytes: int = 1 << 28) -> QualityModel:
+    """Learns from about per_class labelled rows of each class that aren't held out, and from no more of them than have most_bytes of features (the documented bounds). Of several labels of one id 1 wins."""
+    known = labelled(labels, label, held_out_mod, held_out_rest)
     chosen = sample_by_hash(known, "y", "doc_id", per_class)
     rows = []
-    for r in features(documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "text", "y", sizes).toLocalIterator():
+    for r in bounded_rows(features(documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "text", "y", sizes), ["buckets", "counts"], most_bytes):
         rows.append((r["label"], r["buckets"], r["counts"]))
     rows.sort()
     docs = [(np.frombuffer(b, np.int32), np.frombuffer(c, np.int32) / np.float32(max(1, np.frombuffer(c, np.int32).sum()))) for _, b, c in rows]
