@@ -17,6 +17,7 @@ from __future__ import annotations
 import os
 import sys
 import types
+import uuid
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -24,11 +25,11 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.kernel import Kernel, Table, slices
-from quarry.session import stored
+from quarry.session import scratch, stored
 
 BLOCK = 2048
 SHARD = 4096 * BLOCK  # ids, about
@@ -261,22 +262,48 @@ def pack_shard(doc_ids: list, lengths: np.ndarray, ids: np.ndarray) -> bytes:
     return body + np.array([zlib.crc32(body)], "<u4").tobytes()
 
 
+class Shard:
+    """The header of a shard: doc_ids, lengths, the order-0 table and the index of its blocks; ids() and block() decode."""
+
+    def __init__(self, data: bytes) -> None:
+        if data[:4] != b"QTK1" or len(data) < 28:
+            raise ValueError("not a shard")
+        self.data = data
+        docs, lanes, self.size, bits, entries = (int(x) for x in np.frombuffer(data, "<u4", 5, 4))
+        at = 24
+        doc_ids = np.frombuffer(data, "<i8", docs, at)
+        marked = np.frombuffer(data, "<u8", docs, at + 8 * docs)
+        at += 16 * docs
+        distinct = np.frombuffer(data, "<u4", entries, at).astype(np.int64)
+        freq = np.frombuffer(data, "<u4", entries, at + 4 * entries).astype(np.int64)
+        at += 8 * entries
+        self.table = (distinct, freq, bits)
+        self.index = np.frombuffer(data, "<u4", 3 * lanes, at).astype(np.int64).reshape(lanes, 3)  # ids, words, checksum
+        self.at = at + 12 * lanes
+        null = (marked >> np.uint64(63)).astype(bool)
+        self.doc_ids = [None if x else int(i) for x, i in zip(null, doc_ids)]
+        self.lengths = (marked & np.uint64((1 << 63) - 1)).astype(np.int64)
+
+    def check(self) -> None:
+        """ValueError if the file is damaged."""
+        if zlib.crc32(self.data[:-4]) != int(np.frombuffer(self.data[-4:], "<u4")[0]):
+            raise ValueError("not a whole shard")
+
+    def block(self, number: int) -> np.ndarray:
+        """The ids of one block: only its own words are read, and its own checksum is tested."""
+        begin = self.at + 2 * int(self.index[:number, 1].sum())
+        own = self.index[number : number + 1]
+        return decode_ids(self.data[begin : begin + 2 * int(own[0, 1])], own[:, 1], own[:, 0], own[:, 2], self.table)
+
+    def ids(self) -> np.ndarray:
+        return decode_ids(self.data[self.at : -4], self.index[:, 1], self.index[:, 0], self.index[:, 2], self.table)
+
+
 def unpack_shard(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     """(doc ids, lengths, ids) of a shard; ValueError if it is damaged."""
-    if data[:4] != b"QTK1" or zlib.crc32(data[:-4]) != int(np.frombuffer(data[-4:], "<u4")[0]):
-        raise ValueError("not a whole shard")
-    docs, lanes, _, bits, entries = (int(x) for x in np.frombuffer(data, "<u4", 5, 4))
-    at = 24
-    doc_ids = np.frombuffer(data, "<i8", docs, at)
-    marked = np.frombuffer(data, "<u8", docs, at + 8 * docs)
-    at += 16 * docs
-    distinct = np.frombuffer(data, "<u4", entries, at).astype(np.int64)
-    freq = np.frombuffer(data, "<u4", entries, at + 4 * entries).astype(np.int64)
-    at += 8 * entries
-    index = np.frombuffer(data, "<u4", 3 * lanes, at).astype(np.int64).reshape(lanes, 3)
-    ids = decode_ids(data[at + 12 * lanes : -4], index[:, 1], index[:, 0], index[:, 2], (distinct, freq, bits))
-    null = (marked >> np.uint64(63)).astype(bool)
-    return [None if x else int(i) for x, i in zip(null, doc_ids)], (marked & np.uint64((1 << 63) - 1)).astype(np.int64), ids
+    shard = Shard(data)
+    shard.check()
+    return shard.doc_ids, shard.lengths, shard.ids()
 
 
 class Encoder:
@@ -397,20 +424,37 @@ def worker_encoder(path: str) -> Encoder:
     return kept[path]
 
 
-def write(documents: DataFrame, path: str, end: int = 2) -> DataFrame:
-    """The stored shards: part, seq, n_docs, n_tokens, data; (part, seq) ascend with doc_id."""
+def save(folder: str, name: str, data: bytes) -> None:
+    """Writes a file of a folder that the cluster shares, whole or not at all: a task that is run again replaces it by the same bytes."""
+    from pyarrow import fs
+
+    where, root = fs.FileSystem.from_uri(folder)
+    temporary = f"{root}/_{uuid.uuid4().hex}"
+    with where.open_output_stream(temporary) as f:
+        f.write(data)
+    where.move(temporary, f"{root}/{name}")
+
+
+def write(documents: DataFrame, path: str, end: int = 2, folder: str | None = None) -> str:
+    """Writes the shards as files <part>-<number>.qtk, whose names ascend with doc_id, and returns their folder: a new one under the shared scratch folder unless one is named. path: the tokenizer's file."""
+    from pyarrow import fs
+
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    spark = docs.sparkSession
+    folder = folder or scratch(spark)
+    where, root = fs.FileSystem.from_uri(folder)
+    where.create_dir(root, recursive=True)
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = docs.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seq = worker_encoder(path), TaskContext.get().partitionId(), 0
+        encoder, part, number = worker_encoder(path), TaskContext.get().partitionId(), 0
         ids, lengths, tokens, held = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
             flat, size = np.concatenate(tokens), np.concatenate(lengths)
-            data = pack_shard(ids, size, flat)
-            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "n_docs": pa.array([len(ids)], pa.int64()), "n_tokens": pa.array([len(flat)], pa.int64()), "data": pa.array([data], pa.binary())})
+            save(folder, f"{part:06d}-{number:06d}.qtk", pack_shard(ids, size, flat))
+            return pa.RecordBatch.from_pydict({"n_docs": pa.array([len(ids)], pa.int64()), "n_tokens": pa.array([len(flat)], pa.int64())})
 
         for batch in batches:
             names = batch["doc_id"].to_pylist()
@@ -420,25 +464,45 @@ def write(documents: DataFrame, path: str, end: int = 2) -> DataFrame:
                 held += len(flat)
                 if held >= SHARD:
                     yield flush()
-                    ids, lengths, tokens, held, seq = [], [], [], 0, seq + 1
+                    ids, lengths, tokens, held, number = [], [], [], 0, number + 1
         if ids:
             yield flush()
 
-    return stored(ordered.mapInArrow(run, "part int, seq int, n_docs long, n_tokens long, data binary"))
+    ordered.mapInArrow(run, "n_docs long, n_tokens long").agg(F.sum("n_docs"), F.sum("n_tokens")).collect()  # one row
+    return folder
+
 
+def read(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every document, from the files of a folder: a task for each file. A file's first place comes from the lengths in the headers of those before it, which are read first."""
+    paths = spark.read.format("binaryFile").option("pathGlobFilter", "*.qtk").load(folder).select("path")  # names only, no contents
 
-def read(shards: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, from stored shards."""
-    starts = shards.select("part", "seq", F.coalesce(F.sum("n_tokens").over(Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))  # a row for each shard
-    placed = shards.select("part", "seq", "data").join(F.broadcast(starts), ["part", "seq"])
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            n = []
+            for path in batch["path"].to_pylist():
+                where, name = fs.FileSystem.from_uri(path)
+                with where.open_input_file(name) as f:
+                    docs = int(np.frombuffer(f.read(24), "<u4", 1, 4)[0])
+                    f.seek(24 + 8 * docs)
+                    n.append(int((np.frombuffer(f.read(8 * docs), "<u8") & np.uint64((1 << 63) - 1)).sum()))
+            yield pa.RecordBatch.from_pydict({"path": batch["path"], "n": pa.array(n, pa.int64())})
+
+    before = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+    starts = stored(paths.mapInArrow(sizes, "path string, n long").select("path", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")))  # a row for each file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
         for batch in batches:
-            for start, data in zip(batch["start"].to_pylist(), batch["data"]):
-                doc_ids, lengths, ids = unpack_shard(data.as_py())
+            for path, start in zip(batch["path"].to_pylist(), batch["start"].to_pylist()):
+                where, name = fs.FileSystem.from_uri(path)
+                with where.open_input_file(name) as f:
+                    doc_ids, lengths, ids = unpack_shard(f.read())
                 at = np.append(0, np.cumsum(lengths))
                 flat = ids.astype("<u4")
                 crc = [zlib.crc32(flat[i:j].tobytes()) for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc_ids, pa.int64()), "start": pa.array(start + at[:-1]), "n_tokens": pa.array(lengths), "ids_crc32": pa.array(crc, pa.int64())})
 
-    return placed.select("start", "data").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return starts.repartitionByRange(max(1, starts.count()), "path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
