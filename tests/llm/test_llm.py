@@ -163,13 +163,31 @@ def test_token_files(spark, documents, odd, none):
     library = Tokenizer.from_file(path)
     docs = documents.select("doc_id", "text").union(odd.selectExpr("doc_id + 5000", "text").where("doc_id <> 10")).union(spark.createDataFrame([(9000, "it's  a\n\nb \nc d 'tis x1.5 don't'"), (9001, "a\r\nb é\nè ' s")], "doc_id long, text string"))
     want, start = texts(docs), 0
-    got = {r["doc_id"]: r for r in token_files.read(token_files.write(docs, path)).collect()}
+    got = {r["doc_id"]: r for r in token_files.read(spark, token_files.write(docs, path)).collect()}
     assert len(got) == len(want)
     for k in sorted(want):
         ids = library.encode(want[k] or "", add_special_tokens=False).ids + [2]
         assert (got[k]["start"], got[k]["n_tokens"], got[k]["ids_crc32"]) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), k
         start += len(ids)
-    assert token_files.read(token_files.write(none, path)).count() == 0
+    assert token_files.read(spark, token_files.write(none, path)).count() == 0
+    twice = documents.select("doc_id", "text").limit(3).union(odd.select("doc_id", "text")).union(odd.where("doc_id = 10").selectExpr("cast(null as long)", "text"))
+    rows = token_files.read(spark, token_files.write(twice, path)).orderBy("start").collect()
+    assert collections.Counter(r["doc_id"] for r in rows) == collections.Counter(r["doc_id"] for r in twice.collect()) and rows[0]["doc_id"] is None
+    assert [r["start"] for r in rows] == np.append(0, np.cumsum([r["n_tokens"] for r in rows]))[:-1].tolist()
+
+
+def test_one_block_alone():
+    rng = np.random.default_rng(9)
+    x = rng.zipf(1.3, 3 * token_files.BLOCK + 77).clip(0, 50_000).astype(np.int32)
+    shard = token_files.Shard(token_files.pack_shard([1], np.array([len(x)]), x))
+    for number in (3, 0, 2):
+        assert (shard.block(number) == x[number * token_files.BLOCK : (number + 1) * token_files.BLOCK]).all()
+    other = token_files.Shard(shard.data)
+    other.index = shard.index.copy()
+    other.index[1, 2] ^= 1
+    assert len(other.block(0)) == token_files.BLOCK
+    with pytest.raises(ValueError):
+        other.block(1)
 
 
 def test_added_tokens_are_not_cut():
@@ -341,6 +359,9 @@ def test_decontamination(spark, documents, odd, none):
     assert want[9001] == [0] and want[9002] == [98] and want[9003] == []
     assert {r["doc_id"]: r["items"] for r in decontam.scan(docs, bench).collect()} == want
     assert set(texts(decontam.clean(docs, bench))) == {k for k, v in want.items() if not v}
+    small = decontam.scan(docs.union(docs.limit(2)), bench, 10_000)  # several blocks, and rows that repeat
+    assert small.count() == len(want) + 2 and {r["doc_id"]: r["items"] for r in small.collect()} == want
+    assert set(texts(decontam.clean(docs, bench, 10_000))) == {k for k, v in want.items() if not v}
     assert decontam.scan(odd, bench).count() == len(ODD) and decontam.scan(none, bench).count() == 0
     assert decontam.scan(odd, bench.limit(0)).where("contaminated").count() == 0
     assert decontam.clean(odd, bench).columns == odd.columns
