@@ -117,10 +117,9 @@ def basic(src: Sources, vector: list[float], k: int) -> DataFrame:
 
 
 def rerank(fused: DataFrame, score: Column, k: int, pool: int) -> DataFrame:
-    """The first `pool` rows scored and blended, the k best with `pos` from 0; equals keep their order."""
-    cut = distinct(fused.where(F.col("first") < pool).withColumn("final_score", F.col("rrf_score")), "final_score", "first")
-    out = distinct(fusion.blend(cut.withColumn("rerank_score", score)), "final_score", "first")
-    return top(out, "final_score", "first", k, "pos")
+    """The first `pool` rows of a fused list scored and blended, the k best with `pos` from 0; equals keep their order. A fused list has one row for each movie_key, so nothing is left to deduplicate."""
+    cut = fused.where(F.col("first") < pool).withColumn("final_score", F.col("rrf_score"))
+    return top(fusion.blend(cut.withColumn("rerank_score", score)), "final_score", "first", k, "pos")
 
 
 def finish(ranked: DataFrame, query: str, reading: Reading, dark: Column, explain: bool) -> DataFrame:
