@@ -18,13 +18,14 @@ class TextIndex:
 
     @staticmethod
     def build(df: DataFrame, id_: str, fields: dict[str, Column]) -> TextIndex:
-        """Indexes the given text of each field. Words are counted inside their row, so a document's words are tokenised once and never shuffled; the counted rows are stored, since three tables come from them."""
-        named = df.select(F.col(id_).alias("id"), F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.sort_array(tokens(c)).alias("toks")) for n, c in fields.items()])).alias("f")).select("id", "f.field", "f.toks")
-        # in the sorted words a term's count is the distance between the starts of two runs
-        runs = named.withColumn("dl", F.size("toks")).withColumn("at", F.expr("filter(transform(toks, (t, i) -> if(i = 0 or t <> toks[i - 1], i, null)), i -> i is not null)"))
-        counted = stored(runs.select("field", "id", "dl", F.expr("transform(at, (b, i) -> named_struct('term', toks[b], 'tf', cast(coalesce(get(at, i + 1), dl) - b as bigint)))").alias("counts")))
-        postings = counted.select("field", "id", "dl", F.explode("counts").alias("c")).select("field", "c.term", "id", "dl", "c.tf")
-        stats = counted.groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+        """Indexes the given text of each field. Texts are tokenised once, for the postings, which are stored; all statistics come from these and from the number of rows."""
+        named = df.select(F.col(id_).alias("id"), F.explode(F.array(*[F.struct(F.lit(n).alias("field"), tokens(c).alias("toks")) for n, c in fields.items()])).alias("f")).select("id", "f.field", "f.toks")
+        words = named.select("field", "id", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
+        postings = stored(words.groupBy("field", "term", "id", "dl").agg(F.count("*").alias("tf")))
+        rows = df.agg(F.count("*").alias("n"))
+        frame = rows.select(F.explode(F.array(*[F.lit(n) for n in fields])).alias("field"), "n")
+        lengths = postings.groupBy("field").agg(F.sum("tf").alias("total"))
+        stats = frame.join(lengths, "field", "left").where("n > 0").select("field", "n", (F.coalesce("total", F.lit(0)) / F.col("n")).alias("avgdl"))
         terms = postings.groupBy("field", "term").agg(F.count("*").alias("n_docs")).join(F.broadcast(stats.select("field", "n")), "field")
         terms = terms.withColumn("raw", F.log(F.col("n") - F.col("n_docs") + 0.5) - F.log(F.col("n_docs") + 0.5))
         floor = terms.groupBy("field").agg((F.lit(rules.EPSILON) * F.avg("raw")).alias("floor"))

@@ -56,12 +56,11 @@ class Reading:
 
 def read(spark: SparkSession, query: str, rewrite: Callable[[str], str] | None = None) -> Reading:
     """Mood, filters and expansion of a query. Filters are read from the query itself; where it tells a feeling, retrieval goes by the rest of it. rewrite: a model's rewriting of the retrieval text, whose empty answer is ignored."""
-    row = intent.mood_intent(spark.sql("select 1").select(F.lit(query or "").alias("q")), "q", "m").withColumn("f", intent.parse_filters(F.col("q"))).select("q", "m.*", "f.*").first()
+    given = lambda x: spark.createDataFrame([(x,)], "q string")  # noqa: E731  a row, not a literal: folding these expressions takes the optimizer longer than running them
+    row = intent.mood_intent(given(query or ""), "q", "m").withColumn("f", intent.parse_filters(F.col("q"))).select("q", "m.*", "f.*").first()
     wanted = row["cleaned_query"] if row["current_emotion"] is not None else row["q"]
-    one = lambda c: spark.sql("select 1").select(c).first()[0]
-    plain = one(collapse(F.lit(wanted)))
-    expanded = one(intent.expand_query(F.lit(plain)))
-    retrieval = one(intent.expand_query(F.lit(rewrite(plain) or plain))) if rewrite and plain else expanded
+    plain, expanded = given(wanted).select(collapse(F.col("q")), intent.expand_query(F.col("q"))).first()
+    retrieval = given(rewrite(plain) or plain).select(intent.expand_query(F.col("q"))).first()[0] if rewrite and plain else expanded
     return Reading(retrieval if plain else "", expanded if plain else "", row["year_min"], row["year_max"], row["min_rating"], row["safety_sensitivity"] == "safe_hopeful")
 
 
