@@ -50,12 +50,16 @@ def scratch(spark: SparkSession) -> str:
     return path
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Deletes the scratch tables of this application; results that still read them are void then."""
     for path in _made.pop(spark.sparkContext.applicationId, []):
         try:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, path)
         except Exception:  # the session may be gone
             return
 
@@ -66,7 +70,14 @@ def stored(df: DataFrame) -> DataFrame:
     path = scratch(spark)
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def drop_stored(df: DataFrame) -> None:
+    """Deletes the table of a DataFrame that stored() returned, once nothing that is still to run reads it."""
+    _delete(df.sparkSession, df.scratch_path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
