@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import decontam, fingerprint, langid, neardup, pieces, quality, suffix_tree, token_files, toxicity, url_filter
+from quarry.llm import ball_kmeans, decontam, fingerprint, langid, neardup, pieces, quality, quality_rules, resampling, suffix_tree, token_files, toxicity, url_filter
 from quarry.session import table
 
 
@@ -64,6 +64,18 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op11_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_kmeans.report(table(spark, sf_dir, "embeddings")).drop("compared")
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_token_files": op2_token_files,
@@ -75,6 +87,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_url_filter": op10_url_filter,
+    "op11_ball_kmeans": op11_ball_kmeans,
+    "op12_quality_rules": op12_quality_rules,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
-ORACLES: dict[str, str] = {"op10_url_filter": url_filter.ORACLE, "op4_minhash_near_dedup": neardup.ORACLE}
+ORACLES: dict[str, str] = {"op10_url_filter": url_filter.ORACLE, "op11_ball_kmeans": ball_kmeans.ORACLE, "op13_importance_resampling": resampling.ORACLE, "op4_minhash_near_dedup": neardup.ORACLE}
