@@ -1 +1,8 @@
 
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of the library travel to executors by value: the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

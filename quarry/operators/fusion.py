@@ -50,22 +50,23 @@ def upstream() -> Column:
     return F.coalesce(*[F.nullif(F.col(n), F.lit(0.0)) for n in ("rrf_score", "semantic_rrf", "semantic_score", "bm25_score", "final_score")], F.lit(0.0))
 
 
-def blend(pool: DataFrame, scored: str = "rerank_score", votes: str = "vote_count") -> DataFrame:
-    """Final score of a pool that has been cut already: rerank score plus shares of votes and of the upstream score, each relative to the pool's greatest."""
+def blend(pool: DataFrame, scored: str = "rerank_score", votes: str = "vote_count", by: tuple[str, ...] = ()) -> DataFrame:
+    """Final score of a pool (one for each `by`) that has been cut already: rerank score plus shares of votes and of the upstream score, each relative to the pool's greatest."""
     names = set(pool.columns)
     for n in UPSTREAM:
         if n not in names:
             pool = pool.withColumn(n, F.lit(None).cast("double"))
-    whole = Window.partitionBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    whole = Window.partitionBy(*(by or (F.lit(0),))).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     out = pool.withColumns({"quality_prior": F.log1p(F.greatest(F.coalesce(F.col(votes), F.lit(0)), F.lit(0)).cast("double")), "upstream_prior": upstream()})
     out = out.withColumns({n: F.coalesce(F.col(n) / F.nullif(F.max(n).over(whole), F.lit(0.0)), F.lit(0.0)) for n in ("quality_prior", "upstream_prior")})
     final = F.col(scored) + rules.VOTES_WEIGHT * F.col("quality_prior") + rules.UPSTREAM_WEIGHT * F.col("upstream_prior") + rules.AGREEMENT_BONUS * F.coalesce("source_agreement", F.lit(0.0))
     return out.withColumn("final_score", F.round(final, DIGITS)).drop(*(set(UPSTREAM) - {"final_score"} - names))
 
 
-def demote(df: DataFrame, pos: str, dark: Column) -> DataFrame:
-    """A permutation of a cut list: dark rows last, both parts in their order; new positions from 0 in `pos`."""
-    return df.withColumn("dark", F.coalesce(dark, F.lit(False))).withColumn(pos, F.row_number().over(Window.orderBy("dark", pos)) - 1)
+def demote(df: DataFrame, pos: str, dark: Column, by: tuple[str, ...] = ()) -> DataFrame:
+    """A permutation of a cut list (one for each `by`): dark rows last, both parts in their order; new positions from 0 in `pos`."""
+    w = Window.partitionBy(*by) if by else Window.partitionBy()
+    return df.withColumn("dark", F.coalesce(dark, F.lit(False))).withColumn(pos, F.row_number().over(w.orderBy("dark", pos)) - 1)
 
 
 def is_dark(*texts: Column, phrases=rules.DARK_PHRASES) -> Column:
@@ -148,14 +149,16 @@ def concepts(query: str) -> dict[str, str]:
     return {w: c for w, c in spellings if _singular(w) == c and len(w) > 2 and w not in rules.EXPLAIN_STOPWORDS}
 
 
-def explanation(query: str, title: Column, genres: Column, overview: Column, keywords: Column, tagline: Column) -> Column:
-    """Deterministic explanation from the row's own fields. The query's concepts are found once; a row only intersects its words with their spellings."""
-    table = concepts(query)
+def explanation(query: str | Column, title: Column, genres: Column, overview: Column, keywords: Column, tagline: Column) -> Column:
+    """Deterministic explanation from the row's own fields. The query's concepts are found once; a row only intersects its words with their spellings. query: a text, or a column with the concepts() of each row's query."""
+    table = concepts(query) if isinstance(query, str) else {}
     blank = lambda c: F.trim(F.coalesce(c, F.lit("")))
     if table:
         spelled = F.array(*[F.lit(w) for w in sorted(table)])
         named = F.create_map(*[F.lit(x) for kv in sorted(table.items()) for x in kv])
         found = lambda c: F.array_sort(F.array_distinct(F.transform(F.array_intersect(_words(c), spelled), lambda w: F.element_at(named, w))))
+    elif not isinstance(query, str):
+        found = lambda c: F.array_sort(F.array_distinct(F.transform(F.array_intersect(_words(c), F.map_keys(query)), lambda w: F.element_at(query, w))))
     else:
         found = lambda c: F.array().cast("array<string>")
     plot, kinds = found(F.concat_ws(" ", overview, keywords, tagline)), found(genres)

@@ -80,7 +80,10 @@ def query_terms(spark: SparkSession, text: str, expand: bool = True) -> list[str
     return list(spark.sql("select 1").select(expanded(c) if expand else tokens(c)).first()[0])
 
 
-def top(df: DataFrame, score: str, key: str, k: int, rank: str) -> DataFrame:
-    """The k best rows by score, then key, with contiguous ranks from 0. Only the k rows meet in one task."""
+def top(df: DataFrame, score: str, key: str, k: int, rank: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """The k best rows (of each `by`) by score, then key, with contiguous ranks from 0. Only k rows of a task meet in one task."""
+    if by:
+        w = Window.partitionBy(*by).orderBy(F.desc(score), key)
+        return df.withColumn(score, F.round(score, DIGITS)).withColumn(rank, F.row_number().over(w) - 1).where(F.col(rank) < k)
     best = df.withColumn(score, F.round(score, DIGITS)).orderBy(F.desc(score), key).limit(k)
     return best.withColumn(rank, F.row_number().over(Window.orderBy(F.desc(score), key)) - 1)

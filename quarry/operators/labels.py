@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,34 +12,55 @@ from pyspark.sql import functions as F
 SILVER = "silver_llm_pregrade"
 
 
-def rule_tags(catalog: DataFrame, rules: DataFrame, id_: str, genres: Column, text: Column, few: int = 2000) -> DataFrame:
-    """(id, tags) for every row: sorted distinct tags of all rules that fit. rules: match_type ('genre': one of the row's genres, 'keyword': contained in its text), pattern, add.
+def rule_tags(catalog: DataFrame, rules: DataFrame, id_: str, genres: Column, text: Column, few: int = 64, most: int = 1_000_000) -> DataFrame:
+    """(id, tags) for every row: sorted distinct tags of all rules that fit. rules: match_type ('genre': one of the row's genres, 'keyword': contained in its text), pattern, add. Rules without a pattern fit nothing; an empty keyword fits every text.
 
-    Up to `few` rules (they are counted) travel as one literal array and are tested in the row: no shuffle. More rules are joined: genre rules on the exploded genre, keyword rules on their first word.
+    Up to `few` rules travel as one literal array and are tested in the row. More go into an automaton with failure links, which finds all patterns in one pass over a text, however many they are; one automaton holds `most` rules, further ones follow in the same tasks.
     """
-    head = rules.select("match_type", "pattern", "add").limit(few + 1).collect()
+    rules = rules.where("pattern is not null").select("match_type", "pattern", F.coalesce("add", F.array().cast("array<string>")).alias("add"))
+    head = rules.limit(few + 1).collect()
+    own = catalog.select(id_, F.transform(genres, lambda g: F.lower(F.trim(g))).alias("__g"), F.lower(F.coalesce(text, F.lit(""))).alias("__t"))
     if len(head) <= few:
         strings = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
         table = lambda kind: F.array(*[F.struct(F.lit(r["pattern"]).alias("pattern"), strings(r["add"]).alias("add")) for r in head if r["match_type"] == kind]).cast("array<struct<pattern:string,add:array<string>>>")
-        own = catalog.select(id_, F.transform(genres, lambda g: F.lower(F.trim(g))).alias("__g"), F.lower(F.coalesce(text, F.lit(""))).alias("__t"))
-        hits = F.concat(F.filter(table("genre"), lambda r: F.array_contains(F.col("__g"), r["pattern"])), F.filter(table("keyword"), lambda r: F.contains(F.col("__t"), r["pattern"])))
+        hits = F.concat(F.filter(table("genre"), lambda r: F.coalesce(F.array_contains(F.col("__g"), r["pattern"]), F.lit(False))), F.filter(table("keyword"), lambda r: F.contains(F.col("__t"), r["pattern"])))
         return own.select(id_, F.array_sort(F.array_distinct(F.flatten(F.transform(hits, lambda r: r["add"])))).alias("tags"))
-    return _joined_tags(catalog, rules, id_, genres, text)
-
-
-def _joined_tags(catalog: DataFrame, rules: DataFrame, id_: str, genres: Column, text: Column) -> DataFrame:
-    """rule_tags() for many rules. A pattern may begin inside a word, so every part of a word that is as long as some rule's first word is looked up; the whole pattern is compared after that."""
-    g = catalog.select(id_, F.explode(F.transform(genres, lambda x: F.lower(F.trim(x)))).alias("pattern")).distinct()
-    by_genre = g.join(rules.where("match_type = 'genre'").select("pattern", "add"), "pattern").select(id_, F.explode("add").alias("tag"))
-    heads = rules.where("match_type = 'keyword'").select("pattern", "add", F.regexp_extract("pattern", "[a-z0-9]+", 0).alias("w")).withColumn("k", F.length("w"))
-    lengths = sorted(r[0] for r in heads.select("k").distinct().collect())  # lengths of words: few
-    low = catalog.select(id_, F.lower(F.coalesce(text, F.lit(""))).alias("t"))
-    words = low.select(id_, "t", F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit("[a-z0-9]+"), F.lit(0)))).alias("word"))
-    parts = F.flatten(F.transform(F.array(*[F.lit(k) for k in lengths]).cast("array<int>"), lambda k: F.when(F.length("word") >= k, F.transform(F.sequence(F.lit(1), F.length("word") - k + 1), lambda i: F.substring("word", i, k))).otherwise(F.array().cast("array<string>"))))
-    starts = words.select(id_, "t", F.explode(F.array_distinct(parts)).alias("w")).distinct()
-    by_word = starts.join(heads, "w").where(F.expr("contains(t, pattern)")).select(id_, F.explode("add").alias("tag"))
-    tags = by_genre.union(by_word).distinct().groupBy(id_).agg(F.array_sort(F.collect_list("tag")).alias("tags"))
-    return catalog.select(id_).distinct().join(tags, id_, "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
+    out, held = own.withColumn("tags", F.array().cast("array<string>")), []
+    for r in rules.toLocalIterator():
+        held.append((r["match_type"], r["pattern"], r["add"]))
+        if len(held) == most:
+            out, held = _searched(out, held), []
+    if held:
+        out = _searched(out, held)
+    return out.select(id_, "tags")
+
+
+def _searched(rows: DataFrame, rules: list[tuple]) -> DataFrame:
+    """rows whose tags are joined by those of these rules; rows: __g, __t, tags and any others."""
+    shared, place = rows.sparkSession.sparkContext.broadcast(rules), rows.columns.index("tags")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        by_word, by_genre, always = {}, {}, set()
+        for kind, pattern, add in shared.value:
+            if kind == "keyword" and not pattern:
+                always.update(add)
+            elif kind in ("keyword", "genre"):
+                (by_word if kind == "keyword" else by_genre).setdefault(pattern, set()).update(add)
+        automaton = ahocorasick.Automaton()
+        for pattern, add in by_word.items():
+            automaton.add_word(pattern, (pattern, add))
+        if by_word:
+            automaton.make_automaton()
+        for b in batches:
+            tags = []
+            for genres, text, before in zip(b["__g"].to_pylist(), b["__t"].to_pylist(), b["tags"].to_pylist()):
+                found = {p: add for _, (p, add) in automaton.iter(text)} if by_word else {}
+                tags.append(sorted(always.union(before, *found.values(), *(by_genre.get(g, ()) for g in genres or ()))))
+            yield b.set_column(place, "tags", pa.array(tags, pa.list_(pa.string())))
+
+    return rows.mapInArrow(run, rows.schema)
 
 
 def gold_over_silver(silver: DataFrame, gold: DataFrame, keys=("qid", "id")) -> DataFrame:
@@ -113,16 +137,13 @@ def filled_by_query(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("qid").agg(F.count("gold").alias("filled"), F.count_if(F.col("gold").isNotNull() & ~F.col("gold").eqNullSafe(F.col("silver"))).alias("changed"))
 
 
-def audit(rows: DataFrame, suspects: list[str], k: int = 5) -> DataFrame:
-    """(qid, id, reasons) of labels that a person should look at; rows: qid, id, rank, grade, confidence."""
+def audit(rows: DataFrame, suspects: list[str], k: int = 5, include_rules: bool = True) -> DataFrame:
+    """(qid, id, reasons) of labels that a person should look at; rows: qid, id, rank, grade, confidence. include_rules: also by confidence and grade, not by the list of queries alone."""
     best = rows.groupBy("qid", "id").agg(F.min("rank").alias("rank"), F.first("grade").alias("grade"), F.first("confidence").alias("confidence"))
-    reasons = F.array_compact(
-        F.array(
-            F.when(F.col("qid").isin(*suspects), F.lit("qid_listed")) if suspects else F.lit(None).cast("string"), F.when(F.col("confidence") == "low", F.lit("low_confidence")),
-            F.when((F.col("grade") == 1) & (F.col("rank") < k), F.lit("grade_1_in_top")), F.when(F.col("grade").isNull(), F.lit("null_grade")),
-        )
-    )
-    return best.withColumn("reasons", reasons).where(F.size("reasons") > 0).select("qid", "id", "reasons")
+    found = [F.when(F.col("qid").isin(*suspects), F.lit("qid_in_audit_list")) if suspects else F.lit(None).cast("string")]
+    if include_rules:
+        found += [F.when(F.col("confidence") == "low", F.lit("silver_confidence_low")), F.when((F.col("grade") == 1) & (F.col("rank") < k), F.lit(f"silver_grade_1_in_top_{k}")), F.when(F.col("grade").isNull(), F.lit("silver_grade_null"))]
+    return best.withColumn("reasons", F.array_compact(F.array(*found))).where(F.size("reasons") > 0).select("qid", "id", "reasons")
 
 
 def top_modes(rows: DataFrame, k: int = 5) -> DataFrame:

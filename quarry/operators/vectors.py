@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.text import DIGITS
 from quarry.operators.index import top
 
 
@@ -29,49 +35,43 @@ def search(vectors: DataFrame, query: list[float], k: int, where: Column | None
 def search_many(vectors: DataFrame, queries: DataFrame, k: int, block: int = 1024) -> DataFrame:
     """(qid, id, semantic_score, semantic_rank) for a stated set of query vectors (qid, q), by blocks: each worker multiplies its vectors with a block of queries and keeps k for each query before the shuffle.
 
-    Queries are broadcast block by block, so memory is bounded by the block.
+    Queries are broadcast block by block, so memory is bounded by the block; every block reads all vectors. blocks.VectorBlocks reads those that can be among the k only.
     """
-    import numpy as np
-    import pyarrow as pa
-    from pyspark.sql import Window
-
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = to_arrow_type(queries.schema["qid"].dataType)
-    rows = queries.select("qid", "q").orderBy("qid")
-    parts, held = [], []
+    schema = f"qid {queries.schema['qid'].dataType.simpleString()}, id long, semantic_score double"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v")).where("v is not null")
 
     def part(block_rows: list) -> DataFrame:
-        ids, matrix = [r[0] for r in block_rows], np.array([r[1] for r in block_rows], dtype=np.float64)
-        shared = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
+        shared = vectors.sparkSession.sparkContext.broadcast(([r[0] for r in block_rows], np.array([r[1] for r in block_rows], dtype=np.float64)))
 
-        def run(batches):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, m = shared.value
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                v = np.array(batch["embedding"].to_pylist(), dtype=np.float64)
-                s = np.clip(m @ v.T, 0, 1).round(6)
-                keys = np.array(batch["id"].to_pylist())
-                out = [(n, keys[i], s[j, i]) for j, n in enumerate(names) for i in np.lexsort((keys, -s[j]))[:k]]
-                yield pa.RecordBatch.from_pydict({"qid": pa.array([o[0] for o in out], kind), "id": pa.array([int(o[1]) for o in out], pa.int64()), "semantic_score": pa.array([float(o[2]) for o in out])})
+                v = batch["v"].flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                s, keys = np.clip(m @ v.T, 0, 1).round(DIGITS), batch["id"].to_numpy()
+                best = [np.lexsort((keys, -s[j]))[:k] for j in range(len(names))]
+                yield pa.RecordBatch.from_pydict({
+                    "qid": pa.array([n for n, at in zip(names, best) for _ in at], kind), "id": pa.array(np.concatenate([keys[at] for at in best])), "semantic_score": pa.array(np.concatenate([s[j, at] for j, at in enumerate(best)])),
+                })
 
-        return vectors.select(F.col("vec_id").cast("long").alias("id"), "embedding").where("embedding is not null").mapInArrow(run, f"qid {queries.schema['qid'].dataType.simpleString()}, id long, semantic_score double")
+        return rows.mapInArrow(run, schema)
 
-    for r in rows.toLocalIterator():
+    parts, held = [], []
+    for r in queries.select("qid", "q").orderBy("qid").toLocalIterator():
         held.append(r)
         if len(held) == block:
             parts.append(part(held))
             held = []
-    if held or not parts:
-        parts.append(part(held)) if held else None
+    if held:
+        parts.append(part(held))
     if not parts:
-        return vectors.sparkSession.createDataFrame([], f"qid {queries.schema['qid'].dataType.simpleString()}, id long, semantic_score double, semantic_rank int")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
+        return vectors.sparkSession.createDataFrame([], schema + ", semantic_rank int")
     w = Window.partitionBy("qid").orderBy(F.desc("semantic_score"), "id")
-    return out.withColumn("semantic_rank", F.row_number().over(w) - 1).where(F.col("semantic_rank") < k)
+    return reduce(DataFrame.unionByName, parts).withColumn("semantic_rank", F.row_number().over(w) - 1).where(F.col("semantic_rank") < k)
 
 
 def append_batches(df: DataFrame, path: str) -> None:

@@ -114,8 +114,11 @@ def embed_into(df: DataFrame, text: str, embedder: Embedder, id_: str, path: str
     append_batches(embed(df.where(F.coalesce(text, F.lit("")) != ""), text, embedder, id_), path)
 
 
-def overlap_score(text: Column, terms: list[str]) -> Column:
-    """Stand-in for a cross-encoder, as an expression: the share of the query's terms that the text has."""
+def overlap_score(text: Column, terms: list[str] | Column) -> Column:
+    """Stand-in for a cross-encoder, as an expression: the share of the query's terms (given, or a column) that the text has."""
+    if isinstance(terms, Column):
+        own = F.array_distinct(terms)
+        return F.when(F.size(own) > 0, F.size(F.array_intersect(own, tokens(text))) / F.size(own)).otherwise(0.0)
     wanted = sorted(set(terms))
     if not wanted:
         return F.lit(0.0)

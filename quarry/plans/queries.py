@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 from quarry.functions import rules
 from quarry.functions import text as T
 from quarry.operators import catalog, dedup, evaluate, fusion, generate, intent, labels, render, store, vectors
+from quarry.operators.blocks import VectorBlocks
 from quarry.operators.index import TextIndex, expanded, query_terms, top
+from quarry.plans import batch, pipelines
 from quarry.plans import oracle as O
-from quarry.plans import pipelines
 from quarry.plans.plugins import overlap_score
 from quarry.plans.registry import query
-from quarry.session import table
+from quarry.session import stored, table
 
 # --- retrieval and ranking ---
 
@@ -94,11 +95,26 @@ def cosine_filtered(spark, sf):
     return six(vectors.search(table(spark, sf, "embeddings"), vector(spark, sf, 0), 50, fusion.predicate({"label": {"$gte": 2, "$lte": 5}, "unknown": 1}, {"label": F.col("label")})))
 
 
-@query("with v as (select vec_id, embedding::double[] as e, label from embeddings), c as (select label as qid, vec_id as q_id, e as q from v qualify row_number() over (partition by label order by vec_id) = 1), s as (select qid, v.vec_id as id, round(least(greatest(list_dot_product(e, q), 0), 1), 6) as semantic_score from c, v) select qid, id, semantic_score, row_number() over (partition by qid order by semantic_score desc, id) - 1 as semantic_rank from s qualify row_number() over (partition by qid order by semantic_score desc, id) <= 20")
+@query("with v as (select vec_id, embedding::double[] as e, label from embeddings), c as (select label as qid, vec_id as q_id, e as q from v qualify row_number() over (partition by label order by vec_id) = 1), s as (select qid, v.vec_id as id, round(least(greatest(list_dot_product(e, q), 0), 1), 12) as semantic_score from c, v) select qid, id, round(semantic_score, 6) as semantic_score, row_number() over (partition by qid order by semantic_score desc, id) - 1 as semantic_rank from s qualify row_number() over (partition by qid order by semantic_score desc, id) <= 20")
 def cosine_many(spark, sf):
     e = table(spark, sf, "embeddings")
     first = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("q")).select(F.col("label").alias("qid"), "q")
-    return vectors.search_many(e, first, 20)
+    return six(vectors.search_many(e, first, 20))
+
+
+@query("with v as (select vec_id, embedding::double[] as e, label from embeddings), c as (select label as qid, e as q, case when label % 2 = 0 then 2 else 0 end as least from v qualify row_number() over (partition by label order by vec_id) = 1), s as (select qid, v.vec_id as id, round(least(greatest(list_dot_product(e, q), 0), 1), 12) as semantic_score from c join v on label >= c.least) select qid, id, round(semantic_score, 6) as semantic_score, row_number() over (partition by qid order by semantic_score desc, id) - 1 as semantic_rank from s qualify row_number() over (partition by qid order by semantic_score desc, id) <= 20")
+def cosine_blocks(spark, sf):
+    """cosine_many with a filter for some queries, reading only the blocks of vectors that can hold results."""
+    e = table(spark, sf, "embeddings")
+    first = e.groupBy("label").agg(F.min_by("embedding", "vec_id").cast("array<double>").alias("q")).select(F.col("label").alias("qid"), "q", F.when(F.col("label") % 2 == 0, 2).alias("label_min"))
+    return six(VectorBlocks.build(e, attributes=("label",)).search(stored(first), 20)[0])
+
+
+@query(f"with {DOCS}, {FIELDED}, {O.ranked('bm', 'bm25_score', 20, 'bm25_rank', 'r')} select id, round(bm25_score, 6) as bm25_score, bm25_rank from r")
+def bm25_blocks(spark, sf):
+    """bm25_fielded, reading only the blocks of postings that can hold results."""
+    terms = stored(table(spark, sf, "documents").limit(1).select(F.lit(0).alias("qid"), F.explode(F.array(*[F.lit(t) for t in TERMS])).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf")))
+    return six(top(batch_sources(spark, sf).blocks.search(terms, 20)[0].select("id", "bm25_score"), "bm25_score", "id", 20, "bm25_rank"))
 
 
 FUSED = f"{DOCS}, {VEC}, {SEM}, {O.ranked('sem0', 'semantic_score', 1500, 'semantic_rank', 'sem')}, {FIELDED}, {O.ranked('bm', 'bm25_score', 1500, 'bm25_rank', 'txt')}, rrf as (select coalesce(sem.id, txt.id) as id, semantic_score, semantic_rank, bm25_score, bm25_rank, coalesce(1.0::double / (15 + semantic_rank + 1), 0) + coalesce(1.0::double / (15 + bm25_rank + 1), 0) as rrf_score, case when sem.id is not null and txt.id is not null then 1.0::double else 0.0::double end as source_agreement from sem full join txt on sem.id = txt.id)"
@@ -239,6 +255,79 @@ def grounded_evidence(spark, sf):
     return d.select("doc_id", fusion.grounded(F.lit("the overview holds the wanted phrase "), F.lit("The and"), F.lit("Strong"), F.lit("something else"), F.col("text")).alias("accepted"))
 
 
+# --- tables of queries: every benchmark text is a query, its vector that of its number; the next vector stands for an imagined document ---
+
+def stems(words) -> str:
+    """SQL: the sorted distinct stems of some words."""
+    return f"list_sort(list_distinct(list_transform({sorted(words)!r}, lambda t: {O.STEM})))"
+
+
+#: what expand_query() and expanded() do to a text that tells no feeling and no years
+EXPANSION_SQL = ", ".join("case when " + " and ".join(f"len(list_intersect(x0, {stems(g)})) > 0" for g in groups) + f" then '{text}' end" for groups, text in rules.EXPANSIONS)
+SYNONYM_SQL = ", ".join(f"case when len(list_intersect(x, {stems(words)})) >= {least} then list_filter({stems(words)}, lambda w: not list_contains(x, w)) else [] end" for least, words in rules.SYNONYMS)
+
+
+def batch_sql(k: int = 50, retrieve: int = 1500, pool: int = 100) -> str:
+    """CTEs ending in bat: qid, mode, pos, id, movie_key, score. All queries at once, every document scored."""
+    return f"""{DOCS}, bx as materialized (select item_id as qid, text, {O.tokens('text')} as x0, case when regexp_matches(lower(text), 'highly rated|top rated|critically acclaimed|best') then 7.5 else 0 end as least from benchmark),
+bok as materialized (select qid, docs.id from bx join docs on vote_average >= least),
+bw as materialized (select qid, {O.tokens(f"concat_ws(' ', text, {EXPANSION_SQL})")} as x from bx),
+bt0 as materialized (select qid, unnest(flatten([x, {SYNONYM_SQL}])) as term from bw), bterms as materialized (select qid, term, count(*) as qtf from bt0 group by all),
+bq0 as (select qid, a.embedding::double[] as q, b.embedding::double[] as q2 from bx join embeddings a on a.vec_id = qid left join embeddings b on b.vec_id = qid + 1),
+bsem0 as materialized (select qid, vec_id as id, round(least(greatest(list_dot_product(embedding::double[], q), 0), 1), 12) as s, round(least(greatest(list_dot_product(embedding::double[], q2), 0), 1), 12) as s2 from embeddings, bq0),
+ball as (select bsem0.* from bsem0 join bx using (qid) left join bok using (qid, id) where least = 0 or bok.id is not null),
+bl as (select qid, 0 as l, id, s, row_number() over (partition by qid order by s desc, id) - 1 as r from ball union all select qid, 1, id, s2, row_number() over (partition by qid order by s2 desc, id) - 1 from ball where s2 is not null),
+bk as materialized (select qid, l, movie_key, bl.id, s, r from bl join docs using (id) where r < {retrieve} qualify row_number() over (partition by qid, l, movie_key order by r) = 1),
+bplain as (select qid, movie_key, id, s, r from (select qid, id, s, row_number() over (partition by qid order by s desc, id) - 1 as r from bsem0) join docs using (id) where r < {k} qualify row_number() over (partition by qid, movie_key order by r) = 1),
+bg as (select qid, movie_key, arg_max(id, s * 10 - l / 1e13) as id, max(s) as s, round(sum(1.0::double / (16 + r)), 12) as f, min(l * 10000 + r) as o from bk group by all),
+bs as materialized (select qid, 'hybrid' as mode, movie_key, id, r as semantic_rank from bk where l = 0 union all select qid, 'advanced', movie_key, id, row_number() over (partition by qid order by f desc, o) - 1 from bg),
+bu as ({' union all '.join(f"select id, '{f}' as field, {O.tokens(c)} as toks from docs" for f, c in FIELDS.items())}),
+bp as materialized (select id, field, len(toks) as dl, unnest(toks) as term from bu), bp2 as materialized (select id, field, term, dl, count(*) as tf from bp group by all),
+bn as (select field, count(*) as n, avg(len(toks)) as avgdl from bu group by field), br as (select field, term, ln(n - nd + 0.5) - ln(nd + 0.5) as raw from (select field, term, count(*) as nd from bp2 group by all) join bn using (field)),
+bi as (select field, term, case when raw < 0 then floor else raw end as idf from br join (select field, 0.25 * avg(raw) as floor from br group by field) using (field)), bb(field, boost) as (values {', '.join(f"('{f}', {b})" for f, b in rules.FIELD_BOOSTS.items())}),
+bm1 as materialized (select term, id, round(1e9 * sum(boost * idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))))::bigint as u from bp2 join bi using (field, term) join bn using (field) join bb using (field) where term in (select term from bterms) group by all),
+bh as (select qid, id, sum(qtf * u)::bigint as u from bm1 join bterms using (term) join bok using (qid, id) group by all having sum(qtf * u) > 0),
+bhb as (select qid, movie_key, bh.id, u from bh join docs using (id) qualify row_number() over (partition by qid, movie_key order by u desc, bh.id) = 1),
+bx2 as (select *, row_number() over (partition by qid order by u desc, id) - 1 as bm25_rank from bhb qualify row_number() over (partition by qid order by u desc, id) <= {retrieve}), bx3 as (select *, unnest(['hybrid', 'advanced']) as mode from bx2),
+bf as (select coalesce(bs.id, bx3.id) as id, qid, mode, movie_key, semantic_rank, bm25_rank, round(coalesce(1.0::double / (16 + semantic_rank), 0) + coalesce(1.0::double / (16 + bm25_rank), 0), 12) as rrf_score from bs full join bx3 using (qid, mode, movie_key)),
+bc as (select *, row_number() over (partition by qid, mode order by rrf_score desc, semantic_rank nulls last, bm25_rank) - 1 as first from bf qualify row_number() over (partition by qid, mode order by rrf_score desc, semantic_rank nulls last, bm25_rank) <= {pool}),
+bd as (select qid, list_distinct(list(term)) as want from bt0 group by qid), bo as (select id, {O.tokens('overview')} as toks, ln(1 + greatest(vote_count, 0)::double) as qp from docs),
+bpool as (select bc.*, len(list_intersect(toks, want)) / len(want)::double as rerank_score, qp from bc join bo using (id) join bd using (qid)),
+bz as (select *, coalesce(qp / nullif(max(qp) over (partition by qid, mode), 0), 0) as a, coalesce(rrf_score / nullif(max(rrf_score) over (partition by qid, mode), 0), 0) as b from bpool),
+bsc as (select *, round(rerank_score + 0.08 * a + 0.12 * b, 12) as score from bz),
+bat as materialized (select qid, mode, row_number() over (partition by qid, mode order by score desc, first) - 1 as pos, id, movie_key, score from bsc qualify row_number() over (partition by qid, mode order by score desc, first) <= {k}
+union all select qid, 'basic', row_number() over (partition by qid order by r) - 1, id, movie_key, s from bplain)"""
+
+
+_batch_sources: dict[tuple[str, str], batch.Sources] = {}
+
+
+def batch_sources(spark, sf) -> batch.Sources:
+    """The blocks of the index and of the vectors of sf, made once in an application."""
+    at = (spark.sparkContext.applicationId, sf)
+    if at not in _batch_sources:
+        rows = pipelines.Sources(None, None, docs(spark, sf)).rows()
+        _batch_sources[at] = batch.Sources.build(index(spark, sf), table(spark, sf, "embeddings"), rows, ["genres", "id"])
+    return _batch_sources[at]
+
+
+def batch_rows(spark, sf, k: int = 50):
+    """(qid, mode, pos, id, ...) of every benchmark text as a query."""
+    e = table(spark, sf, "embeddings")
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+    q = asked.join(e.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")), "qid").join(e.select((F.col("vec_id") - 1).alias("qid"), F.col("embedding").alias("q2")), "qid", "left")
+    return batch.run(batch_sources(spark, sf), batch.readings(q), k, overlap_score)
+
+
+@query(f"with {batch_sql()} select qid, mode, pos, id, movie_key, round(score, 6) as score from bat")
+def batch_pipelines(spark, sf):
+    return six(batch_rows(spark, sf).select("qid", "mode", "pos", "id", "movie_key", "score"))
+
+
+BATCH_RANKED = """lab as (select doc_id as id, case when substr(md5(doc_id::varchar), 1, 1) = '0' then null else 2 * toxic + (1 - quality) end as grade from labels),
+base as (select qid from bx), ranked as (select qid, id, mode, pos as rank from bat), rows as (select r.*, l.grade from ranked r left join lab l on r.id = l.id), modes(mode) as (values ('basic'), ('advanced'), ('hybrid'))"""
+
+
 # --- dedup ---
 
 NORM = "lower(trim(text))"
@@ -391,6 +480,23 @@ def candidate_union(spark, sf):
     return evaluate.candidate_union(ranked(spark, sf)).withColumn("in_modes", F.array_join("in_modes", ","))
 
 
+def batch_ranked(spark, sf):
+    return batch_rows(spark, sf, 15).select("qid", "id", "mode", F.col("pos").cast("int").alias("rank"))
+
+
+@query(f"with {batch_sql(15)}, {UNION.replace(RANKED, BATCH_RANKED)} select * from un")
+def batch_union(spark, sf):
+    """The candidates of every benchmark text from its three pipelines, as a judge would get them."""
+    return evaluate.candidate_union(batch_ranked(spark, sf)).withColumn("in_modes", F.array_join("in_modes", ","))
+
+
+@query(f"with {batch_sql(15)}, {_metrics_sql().replace(RANKED, BATCH_RANKED)} select mode, count(*) as queries, {', '.join(f'round(avg({c}), 6) as {c}' if c.startswith('ndcg') else f'round(coalesce(avg({c}), 0), 6) as {c}' for c in FAMILY_KS)}, count(*) filter (where excluded_null) as queries_excluded_null, count(*) filter (where ideal_zero) as queries_with_ideal_zero from m group by mode")
+def batch_metrics(spark, sf):
+    """From a table of queries to the report of its modes."""
+    rows = evaluate.judged(batch_ranked(spark, sf), lab(spark, sf), ("id",))
+    return evaluate.by_mode(evaluate.metrics_at(rows, queries=table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"))))
+
+
 @query("select source as qid, n_chars as id, array_to_string(list_sort(list(distinct lang)), ',') as keys from documents group by all having count(distinct lang) > 1")
 def key_conflicts(spark, sf):
     d = table(spark, sf, "documents").select(F.col("source").alias("qid"), F.col("n_chars").alias("id"), F.col("lang").alias("movie_key"))
@@ -498,7 +604,7 @@ def regrade_by_query(spark, sf):
     return labels.filled_by_query(pairs(spark, sf))
 
 
-@query(f"with {RANKED}, b as (select qid, id, min(rank) as rank, any_value(grade) as grade, case when id % 9 = 0 then 'low' else 'high' end as confidence from rows group by qid, id), x as (select qid, id, concat_ws(',', case when qid in ('src1', 'src2') then 'qid_listed' end, case when confidence = 'low' then 'low_confidence' end, case when grade = 1 and rank < 5 then 'grade_1_in_top' end, case when grade is null then 'null_grade' end) as reasons from b) select * from x where reasons <> ''")
+@query(f"with {RANKED}, b as (select qid, id, min(rank) as rank, any_value(grade) as grade, case when id % 9 = 0 then 'low' else 'high' end as confidence from rows group by qid, id), x as (select qid, id, concat_ws(',', case when qid in ('src1', 'src2') then 'qid_in_audit_list' end, case when confidence = 'low' then 'silver_confidence_low' end, case when grade = 1 and rank < 5 then 'silver_grade_1_in_top_5' end, case when grade is null then 'silver_grade_null' end) as reasons from b) select * from x where reasons <> ''")
 def audit_flags(spark, sf):
     rows = judged(spark, sf).withColumn("confidence", F.when(F.col("id") % 9 == 0, "low").otherwise("high"))
     return labels.audit(rows, ["src1", "src2"]).withColumn("reasons", F.array_join("reasons", ","))
@@ -539,6 +645,18 @@ def rule_tags(spark, sf):
     return labels.rule_tags(d, made, "id", F.array("genres"), F.col("overview")).select("id", F.array_join("tags", ",").alias("tags"))
 
 
+#: every title-like word pair of the benchmark's texts is a keyword rule: thousands of patterns
+PAIRS = "regexp_extract_all(lower(text), '[^ ,.]{4,} [^ ,.]{4,}')"
+
+
+@query(f"with r as (select distinct unnest({PAIRS}) as pattern from benchmark), t as (select doc_id as id, left(pattern, 2) as tag from documents, r where contains(lower(text), pattern) union select doc_id, 'src' from documents where lower(lang) = 'en') select d.doc_id as id, coalesce(array_to_string(list_sort(list(distinct tag)), ','), '') as tags from documents d left join t on t.id = d.doc_id group by d.doc_id")
+def many_rules(spark, sf):
+    pairs = table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[^ ,.]{4,} [^ ,.]{4,}"), F.lit(0))).alias("pattern")).distinct()
+    made = pairs.select(F.lit("keyword").alias("match_type"), "pattern", F.array(F.substring("pattern", 1, 2)).alias("add"))
+    made = made.unionByName(spark.createDataFrame([("genre", "en", ["src"])], "match_type string, pattern string, add array<string>"))
+    return labels.rule_tags(docs(spark, sf), made, "id", F.array("genres"), F.col("overview")).select("id", F.array_join("tags", ",").alias("tags"))
+
+
 @query("select doc_id, concat_ws(',', case when n_chars < 100 then 'short' end, case when lang not in ('en', 'de', 'fr') then 'lang' end, case when not regexp_matches(source, '^src[0-9]$') then 'source' end) as errors from documents")
 def validate_rows(spark, sf):
     d = table(spark, sf, "documents")

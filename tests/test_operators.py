@@ -330,14 +330,29 @@ def test_streaming(spark, tmp_path):
     assert spark.table("act").count() >= 1
 
 
-def test_rule_tags_by_literal_and_by_join(spark):
-    df = spark.createDataFrame([(1, ["Drama "], "An IDIOTS' tale"), (2, ["War"], None), (3, None, "the heist and the andes")], "id long, genres array<string>, text string")
-    made = spark.createDataFrame([("genre", "drama", ["warm"]), ("keyword", "idiot", ["dark", "funny"]), ("keyword", "heist and", ["tense"]), ("keyword", "e an", ["epic"])], "match_type string, pattern string, add array<string>")
-    want = {1: ["dark", "funny", "warm"], 2: [], 3: ["epic", "tense"]}
-    want[3] = ["epic", "tense"] if "e an" in "the heist and the andes" else ["tense"]
-    for few in (2000, 0):
-        got = {r["id"]: r["tags"] or [] for r in labels.rule_tags(df, made, "id", F.coalesce("genres", F.array().cast("array<string>")), F.col("text"), few).collect()}
-        assert got == want
+def test_rule_tags_by_literal_and_by_automaton(spark):
+    texts = [(1, ["Drama "], "An IDIOTS' tale"), (2, ["War"], None), (3, None, "the heist and the andes"), (4, ["drama", None], "日本語のテキスト"), (5, ["ÉTÉ"], "L'ÉTÉ meurtrier…"), (5, ["war"], "idiot"), (6, [], "")]
+    made = [("genre", "drama", ["warm"]), ("genre", "été", ["warm"]), ("keyword", "idiot", ["dark", "funny"]), ("keyword", "diot", ["odd"]), ("keyword", "heist and", ["tense"]), ("keyword", "e an", ["epic"]), ("keyword", "日本", ["far"]), ("keyword", "été m", ["hot"]), ("keyword", "…", ["open"]), ("keyword", None, ["no"]), ("other", "idiot", ["no"])]
+    df = spark.createDataFrame(texts, "id long, genres array<string>, text string")
+
+    def plain(rules):
+        out = []
+        for i, genres, text in texts:
+            g = [x.strip().lower() for x in genres or [] if x]
+            out.append((i, sorted({t for kind, p, add in rules if p is not None and (kind == "genre" and p in g or kind == "keyword" and p in (text or "").lower()) for t in add})))
+        return sorted(out)
+
+    many = made + [("keyword", f"zz{i}", ["no"]) for i in range(20_000)] + [("keyword", "", ["all"])]
+    for rules, few, most in ((made, 100, 10), (made, 0, 10**6), (made, 0, 3), (many, 64, 10**6), (many, 64, 7_000)):
+        table_ = spark.createDataFrame(rules, "match_type string, pattern string, add array<string>")
+        got = labels.rule_tags(df, table_, "id", F.coalesce("genres", F.array().cast("array<string>")), F.col("text"), few, most)
+        assert sorted((r["id"], r["tags"]) for r in got.collect()) == plain(rules)
+
+
+def test_audit_by_list_alone(spark):
+    rows = spark.createDataFrame([("a", 1, 0, 1, "low"), ("b", 2, 0, None, "low"), ("b", 3, 9, 1, "high")], "qid string, id long, rank int, grade int, confidence string")
+    assert {(r["qid"], r["id"]): r["reasons"] for r in labels.audit(rows, ["a"]).collect()} == {("a", 1): ["qid_in_audit_list", "silver_confidence_low", "silver_grade_1_in_top_5"], ("b", 2): ["silver_confidence_low", "silver_grade_null"]}
+    assert {r["id"]: r["reasons"] for r in labels.audit(rows, ["a"], include_rules=False).collect()} == {1: ["qid_in_audit_list"]}
 
 
 def test_latency_of_large_and_small_groups(spark):
