@@ -11,7 +11,8 @@ from quarry.functions import rules
 from quarry.functions import text as T
 from quarry.operators import catalog, generate, intent, labels, records, regrade, render, store
 from quarry.operators.index import expanded
-from quarry.plans.queries import MAP, RANKED, asks, gold, lab, ranked
+from quarry.plans import oracle as O
+from quarry.plans.queries import ASK_SQL, MAP, RANKED, SYNONYM_SQL, VOCAB_SQL, asks, genre_sql, gold, lab, ranked, vocabulary
 from quarry.plans.registry import query
 from quarry.session import table
 
@@ -53,8 +54,24 @@ LABELS = [
 ]
 
 
-@query(known(LABELS))
+@query("""with r as (select doc_id, source, n_chars % 7 as g, ['high', 'low', 'sure', 'medium'][doc_id % 4 + 1] as c, text, n_chars % 5 as t, doc_id % 11 as k from documents) select doc_id, concat_ws('; ', case when k = 3 then 'silver record has unexpected keys: lang' end, case when k = 5 then 'tmdb_id must be an integer' end, case when g in (4, 5) then 'grade must be one of: 0, 1, 2, 3, None' end, case when c = 'sure' then 'confidence must be one of: high, low, medium' end, case when g = 6 and c in ('high', 'medium') then 'confidence must be "low" when grade is None' end,
+case when length(text) > 240 then 'reason must be <= 240 characters' end, case when k = 7 then 'model is required' end, case when t = 0 then 'ts must be ISO-8601 UTC second precision ending in Z' when t = 1 then 'ts must be parseable ISO-8601' end) as errors from r where source is not null and text is not null""")
 def label_records(spark, sf):
+    """A label made of every document's columns."""
+    c, d = F.col, table(spark, sf, "documents").where("source is not null and text is not null")
+    k, t, g = c("doc_id") % 11, c("n_chars") % 5, c("n_chars") % 7
+    text = lambda x: F.to_json(F.struct(x.alias("x"))).substr(F.lit(6), F.length(F.to_json(F.struct(x.alias("x")))) - 6)  # noqa: E731  a JSON string
+    day = F.when(t == 0, "2024-05-06T07:08:09").when(t == 1, "2024-13-06T07:08:09Z").otherwise("2024-05-06T07:08:09Z")
+    sure = F.element_at(F.array(*[F.lit(x) for x in ("high", "low", "sure", "medium")]), (c("doc_id") % 4 + 1).cast("int"))
+    line = F.concat(
+        F.lit('{"qid":'), text(c("source")), F.lit(',"tmdb_id":'), F.when(k == 5, F.concat(F.lit('"'), c("doc_id").cast("string"), F.lit('"'))).otherwise(c("doc_id").cast("string")), F.lit(',"grade":'), F.when(g == 6, "null").otherwise(g.cast("string")), F.lit(',"confidence":"'), sure, F.lit('","reason":'), text(c("text")),
+        F.when(k == 3, F.concat(F.lit(',"lang":'), text(F.coalesce("lang", F.lit(""))))).otherwise(""), F.when(k == 7, "").otherwise(',"model":"m"'), F.lit(',"ts":"'), day, F.lit('"}'),
+    )
+    return d.select("doc_id", F.array_join(records.label_errors(line), "; ").alias("errors"))
+
+
+@query(known(LABELS))
+def label_templates(spark, sf):
     return found(spark, sf, LABELS, records.label_errors)
 
 
@@ -144,13 +161,20 @@ def tag_lines(spark, sf):
     return records.tag_errors(rows).withColumn("errors", F.array_join("errors", "; "))
 
 
-@query("select * from (values ('film_mood_vocab: duplicate moods'), ('user_mood_vocab: empty category calm'), ('user_mood_vocab: non-lowercase word in fear'), ('user_mood_vocab: body sensation ''cold'' -> unknown category ''ice'''), ('user_mood_map: categories mismatch (missing: calm)'), ('user_mood_map: categories mismatch (extra: rage)'), ('user_mood_map: rage.avoid tag ''soft'' not in film enum'), ('user_mood_map: fear has tags in both desired and avoid: dark')) t(error)")
+@query("""with f as (select lang as mood from documents where doc_id % 3 = 0 and lang is not null), w as (select lang as category, max(case when doc_id % 4 > 0 and lang <> 'de' then case when source = 'src1' then upper(source) else source end end) as word, source from documents where lang is not null group by all), n as (select source as sensation, case when n_chars % 50 = 0 then 'ice' else lang end as category from documents where lang is not null),
+m as (select distinct case when n_chars % 40 = 0 then 'rage' else lang end as category, case when doc_id % 2 = 0 then 'desired' else 'avoid' end as side, source as tag from documents where lang is not null), dup as (select count(*) as n from (select mood from f group by mood having count(*) > 1))
+select 'film_mood_vocab: duplicate moods' as error from dup where n > 0 union all select 'user_mood_vocab: empty category ' || category from w group by category having count(word) = 0 union all select distinct 'user_mood_vocab: non-lowercase word in ' || category from w where word <> lower(word)
+union all select 'user_mood_vocab: body sensation ' || chr(39) || sensation || chr(39) || ' -> unknown category ' || chr(39) || category || chr(39) from n where category not in (select category from w) union all select distinct 'user_mood_map: categories mismatch (missing: ' || category || ')' from w where category not in (select category from m) union all select distinct 'user_mood_map: categories mismatch (extra: ' || category || ')' from m where category not in (select category from w)
+union all select 'user_mood_map: ' || category || '.' || side || ' tag ' || chr(39) || tag || chr(39) || ' not in film enum' from m where tag not in (select mood from f) union all select 'user_mood_map: ' || category || ' has tags in both desired and avoid: ' || string_agg(tag, ', ' order by tag) from (select category, tag from m group by all having count(distinct side) = 2) group by category""")
 def vocabulary_errors(spark, sf):
-    f = lambda rows, schema: spark.createDataFrame(rows, schema)
-    return records.vocabulary_errors(
-        f([("dark",), ("warm",), ("warm",)], "mood string"), f([("fear", "Afraid"), ("fear", "scared"), ("calm", None)], "category string, word string"), f([("cold", "ice"), ("tight", "fear")], "sensation string, category string"),
-        f([("fear", "desired", "warm"), ("fear", "desired", "dark"), ("fear", "avoid", "dark"), ("rage", "avoid", "soft")], "category string, side string, tag string"),
-    )
+    """A vocabulary made of languages (categories) and sources (words, sensations, tags), with faults where numbers say so."""
+    c, d = F.col, table(spark, sf, "documents").where("lang is not null")
+    films = d.where("doc_id % 3 = 0").select(c("lang").alias("mood"))
+    word = F.when((c("doc_id") % 4 > 0) & (c("lang") != "de"), F.when(c("source") == "src1", F.upper("source")).otherwise(c("source")))
+    words = d.groupBy(c("lang").alias("category"), "source").agg(F.max(word).alias("word")).select("category", "word")
+    sensations = d.select(c("source").alias("sensation"), F.when(c("n_chars") % 50 == 0, "ice").otherwise(c("lang")).alias("category"))
+    moods = d.select(F.when(c("n_chars") % 40 == 0, "rage").otherwise(c("lang")).alias("category"), F.when(c("doc_id") % 2 == 0, "desired").otherwise("avoid").alias("side"), c("source").alias("tag")).distinct()
+    return records.vocabulary_errors(films, words, sensations, moods)
 
 
 @query("with a as (select distinct upper(lang) as v from documents where n_chars % 2 = 0 and lang is not null), b as (select distinct case when lang = 'en' then 'XX' else upper(lang) end as v from documents where lang is not null) select v as value, 'missing' as side from a where v not in (select v from b) union all select v, 'extra' from b where v not in (select v from a)")
@@ -255,28 +279,14 @@ def sampled_list(spark, sf):
 
 # --- query side ---
 
-EXPANDED = {
-    "best thrillers from 1990 to 1995": "best thrill from 1990 to 1995", "something newer than 2010": "someth newer than 2010", "80s action": "80s action", "shows before 1980": "show before 1980", "a 1970s western since 1975": "a 1970 western since 1975", "top rated sci-fi": "top rated sci fi",
-    "an 1880s story": "an 1880 story", "I'm feeling sad, want something warm and funny": "i m feel sad want someth warm and funny", "the 90s": "the 90s", "between 2005 and 2001 rated above 7.5": "between 2005 and 2001 rated above 7 5", "": "", "poor kids on mars": "poor kids on mars astronaut cosmo nasa planet space",
-    "a rich family and its robot": "a rich family and its robot android automation machine household poor wealthy work", "virtual heists": "virtual heist espionage robbery steal thief",
-}
-
-
-@query("select * from (values " + ", ".join("('" + k.replace("'", "''") + f"', '{v}')" for k, v in EXPANDED.items()) + ") t(text, terms)")
+@query(f"with {ASK_SQL}, x as (select conv_id, turn, {O.tokens('text')} as x from a) select conv_id, turn, array_to_string(flatten([x, {SYNONYM_SQL}]), ' ') as terms from x")
 def query_expansion(spark, sf):
-    more = spark.createDataFrame([(t,) for t in ("poor kids on mars", "a rich family and its robot", "virtual heists")], "text string")
-    return asks(spark).union(more).select("text", F.array_join(expanded(F.col("text")), " ").alias("terms"))
+    return asks(spark, sf).select("conv_id", "turn", F.array_join(expanded(F.col("text")), " ").alias("terms"))
 
 
-WORDS = [("despair_sad", "blue"), ("despair_sad", "low"), ("despair_sad", "sad"), ("fear", "afraid"), ("fear", "anxious"), ("tender", "calm")]
-VOCAB = "v(category, n, word) as (values " + ", ".join(f"('{c}', {sum(x == c for x, _ in WORDS[:i])}, '{w}')" for i, (c, w) in enumerate(WORDS)) + ")"
 FILMS = "f(i, mood) as (values " + ", ".join(f"({i}, '{m}')" for i, m in enumerate(sorted(rules.FILM_MOODS))) + ")"
 
 
-def vocab(spark):
-    return spark.createDataFrame([(c, sum(x == c for x, _ in WORDS[:i]), w) for i, (c, w) in enumerate(WORDS)], "category string, n int, word string")
-
-
 def films(spark):
     return spark.createDataFrame(list(enumerate(sorted(rules.FILM_MOODS))), "i int, mood string")
 
@@ -285,24 +295,24 @@ def flat(df):
     return df.withColumns({n: F.array_join(n, ",") for n in ("desired", "avoid")})
 
 
-@query(f"with {VOCAB}, f(form) as (values ('{{w1}} and {{w2}}'), ('both {{w1}}, {{w2}}')) select a.category, a.word as w1, b.word as w2, replace(replace(form, '{{w1}}', a.word), '{{w2}}', b.word) as text from v a join v b on a.category = b.category and a.n < b.n, f")
+@query(f"with {VOCAB_SQL}, f(form) as (values ('{{w1}} and {{w2}}'), ('both {{w1}}, {{w2}}')) select a.category, a.word as w1, b.word as w2, replace(replace(form, '{{w1}}', a.word), '{{w2}}', b.word) as text from v a join v b on a.category = b.category and a.n < b.n, f")
 def word_pairs(spark, sf):
-    return generate.word_pairs(vocab(spark), ["{w1} and {w2}", "both {w1}, {w2}"])
+    return generate.word_pairs(vocabulary(spark, sf), ["{w1} and {w2}", "both {w1}, {w2}"])
 
 
-@query(f"with {MAP}, {VOCAB} select a.category as c1, b.category as c2, a.word || ' and ' || b.word as text, array_to_string(list_sort(list_distinct(list_concat(x.desired, y.desired))), ',') as desired, array_to_string(list_sort(list_filter(list_distinct(list_concat(x.avoid, y.avoid)), lambda m: not list_contains(list_concat(x.desired, y.desired), m))), ',') as avoid from v a join v b on a.category < b.category and a.n < 2 and b.n < 2 join mm x on x.category = a.category join mm y on y.category = b.category")
+@query(f"with {MAP}, {VOCAB_SQL} select a.category as c1, b.category as c2, a.word || ' and ' || b.word as text, array_to_string(list_sort(list_distinct(list_concat(x.desired, y.desired))), ',') as desired, array_to_string(list_sort(list_filter(list_distinct(list_concat(x.avoid, y.avoid)), lambda m: not list_contains(list_concat(x.desired, y.desired), m))), ',') as avoid from v a join v b on a.category < b.category and a.n < 2 and b.n < 2 join mm x on x.category = a.category join mm y on y.category = b.category")
 def category_pairs(spark, sf):
-    return flat(generate.category_pairs(vocab(spark), "{w1} and {w2}", 2))
+    return flat(generate.category_pairs(vocabulary(spark, sf), "{w1} and {w2}", 2))
 
 
-@query(f"with {MAP}, {VOCAB}, {FILMS}, x as (select category, word, mood, list_distinct(list_append(desired, mood)) as d, avoid from v join mm using (category), f where n < 2) select category, case (length(word) + length(mood)) % 2 when 0 then word || ', want ' || case when substr(mood, 1, 1) in ('a', 'e', 'i', 'o', 'u') then 'an ' else 'a ' end || mood || ' one' else word || ' but ' || mood end as text, array_to_string(list_sort(d), ',') as desired, array_to_string(list_sort(list_filter(avoid, lambda m: not list_contains(d, m))), ',') as avoid from x")
+@query(f"with {MAP}, {VOCAB_SQL}, {FILMS}, x as (select category, word, mood, list_distinct(list_append(desired, mood)) as d, avoid from v join mm using (category), f where n < 2) select category, case (length(word) + length(mood)) % 2 when 0 then word || ', want ' || case when substr(mood, 1, 1) in ('a', 'e', 'i', 'o', 'u') then 'an ' else 'a ' end || mood || ' one' else word || ' but ' || mood end as text, array_to_string(list_sort(d), ',') as desired, array_to_string(list_sort(list_filter(avoid, lambda m: not list_contains(d, m))), ',') as avoid from x")
 def word_moods(spark, sf):
-    return flat(generate.word_moods(vocab(spark), films(spark), ["{w}, want {am} one", "{w} but {m}"], 2))
+    return flat(generate.word_moods(vocabulary(spark, sf), films(spark), ["{w}, want {am} one", "{w} but {m}"], 2))
 
 
-@query(f"with {MAP}, {VOCAB}, {FILMS}, x as (select v.category, word, a.mood as m, b.mood as l, list_filter(list_distinct(list_append(desired, a.mood)), lambda t: t <> b.mood) as d, list_distinct(list_append(avoid, b.mood)) as v from v join mm using (category), f a, f b where n < 2 and a.i % 3 = 0 and b.i % 4 = 1 and a.mood <> b.mood) select category, case (length(word) + length(l)) % 3 when 0 then word || ' + ' || m || ' - ' || l when 1 then word || ': ' || m || ', no ' || l else 'not ' || l || ' but ' || m || ' (' || word || ')' end as text, array_to_string(list_sort(d), ',') as desired, array_to_string(list_sort(list_filter(v, lambda t: not list_contains(d, t))), ',') as avoid from x")
+@query(f"with {MAP}, {VOCAB_SQL}, {FILMS}, x as (select v.category, word, a.mood as m, b.mood as l, list_filter(list_distinct(list_append(desired, a.mood)), lambda t: t <> b.mood) as d, list_distinct(list_append(avoid, b.mood)) as v from v join mm using (category), f a, f b where n < 2 and a.i % 3 = 0 and b.i % 4 = 1 and a.mood <> b.mood) select category, case (length(word) + length(l)) % 3 when 0 then word || ' + ' || m || ' - ' || l when 1 then word || ': ' || m || ', no ' || l else 'not ' || l || ' but ' || m || ' (' || word || ')' end as text, array_to_string(list_sort(d), ',') as desired, array_to_string(list_sort(list_filter(v, lambda t: not list_contains(d, t))), ',') as avoid from x")
 def wish_triples(spark, sf):
-    return flat(generate.wishes(vocab(spark), films(spark), ["{w} + {m} - {a}", "{w}: {m}, no {a}", "not {a} but {m} ({w})"], 2))
+    return flat(generate.wishes(vocabulary(spark, sf), films(spark), ["{w} + {m} - {a}", "{w}: {m}, no {a}", "not {a} but {m} ({w})"], 2))
 
 
 @query("with t as (select doc_id::int as i, 'a ' || source as shown, source || doc_id as gold from documents where doc_id >= 0) select a.gold as g1, b.gold as g2, case (a.i + b.i - a.i - 1) % 2 when 0 then a.shown || ' and ' || b.shown else b.shown || ' with ' || a.shown end as text from t a join t b on b.i > a.i and b.i <= a.i + 8")
@@ -311,17 +321,26 @@ def topic_neighbours(spark, sf):
     return generate.neighbours(d, ["{a} and {b}", "{b} with {a}"])
 
 
-@query("select * from (values ('courtroom', 'Drama', 'a courtroom drama'), ('courtroom,heist', 'Drama', 'a courtroom drama about the heist'), ('office', 'Comedy', 'an office comedy'), ('office,duel', 'Comedy', 'an office comedy about a duel'), ('office,robot', 'Comedy', 'an office comedy about robots')) t(plot, genre, text)")
+AN = "case when {0}[1] in ('a', 'e', 'i', 'o', 'u') then 'an ' else 'a ' end || {0}"
+
+
+@query(f"with {VOCAB_SQL}, p as (select category, max(word) filter (n = 0) as place from v group by category), h as (select place, {AN.format("(place || ' drama')")} as head, category from p) select place as plot, 'Drama' as genre, head as text from h union all select place || ',' || word, 'Drama', head || ' about the ' || word from h join v using (category) where n in (1, 2)")
 def place_compounds(spark, sf):
-    p = spark.createDataFrame([("courtroom", "drama", "Drama", [("the heist", "heist")]), ("office", "comedy", "Comedy", [("a duel", "duel"), ("robots", "robot")])], "place string, word string, genre string, objects array<struct<shown:string,gold:string>>")
+    v = vocabulary(spark, sf)
+    objects = v.where("n in (1, 2)").groupBy("category").agg(F.collect_list(F.struct(F.concat(F.lit("the "), "word").alias("shown"), F.col("word").alias("gold"))).alias("objects"))
+    p = v.where("n = 0").select("category", F.col("word").alias("place")).join(objects, "category").select("place", F.lit("drama").alias("word"), F.lit("Drama").alias("genre"), "objects")
     return generate.compounds(p, "{head}", "{head} about {o}").withColumn("plot", F.array_join("plot", ","))
 
 
-@query("select * from (values ('road-trip', 'where friends drive for days', false), ('road-trip', 'friends drive for days, a story', false), ('heist', 'a gang plans a Heist', true), ('time loop', 'about a loop that never ends', true)) t(concept, text, leaks)")
+IMPLIED_FORMS = [(0, "where {ph}"), (0, "{ph}, a story"), (1, "{ph}"), (2, "about {ph}")]
+
+
+@query(f"with {VOCAB_SQL}, f(kind, form) as (values {', '.join(f"({k}, '{f}')" for k, f in IMPLIED_FORMS)}), x as (select a.word || '-' || b.word as concept, replace(form, '{{ph}}', 'the ' || a.word || ' of a ' || c.word) as text from v a join v b on b.category = a.category and b.n = a.n + 1 join v c on c.category = a.category and c.n = (a.n + 2) % 6 join f on f.kind = a.n % 3) select concept, text, contains(lower(text), concept) or len(list_intersect(string_split(replace(lower(text), '-', ' '), ' '), list_filter(string_split(replace(concept, '-', ' '), ' '), lambda w: length(w) > 2))) > 0 as leaks from x")
 def implied_concepts(spark, sf):
-    p = spark.createDataFrame([("road-trip", "full", "friends drive for days"), ("heist", "part", "a gang plans a Heist"), ("time loop", "bare", "a loop that never ends")], "concept string, kind string, phrase string")
-    f = spark.createDataFrame([("full", "where {ph}"), ("full", "{ph}, a story"), ("part", "{ph}"), ("bare", "about {ph}")], "kind string, form string")
-    return generate.implied(p, f)
+    v = vocabulary(spark, sf)
+    a, b, c = (v.select("category", F.col("n").alias(f"n{i}"), F.col("word").alias(f"w{i}")) for i in "abc")
+    p = a.join(b, "category").where("nb = na + 1").join(c, "category").where("nc = (na + 2) % 6").select(F.concat_ws("-", "wa", "wb").alias("concept"), (F.col("na") % 3).alias("kind"), F.concat(F.lit("the "), "wa", F.lit(" of a "), "wc").alias("phrase"))
+    return generate.implied(p, spark.createDataFrame(IMPLIED_FORMS, "kind int, form string"))
 
 
 @query("select doc_id, case when contains(' ' || regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g') || ' ', ' warm ') then 'warm' else '' end as mixed from documents")
@@ -336,18 +355,16 @@ def outside_vocabulary(spark, sf):
     return generate.outside(d, {"lang": ("en", "de"), "source": ("src1",)})
 
 
-TOLD = [
-    ("a slow burn heist in winter", '{"plot_elements": [" heist ", "", "winter"], "genres_include": ["Thriller", "Noir"], "genres_exclude": ["Horror"]}'), ("a western duel", '{"plot_elements": ["duel"], "genres_include": ["Western", "War"]}'), ("a quiet drama", "no json"), ("an old war story", '{"plot_elements": "war"}'), ("a crime story", None),
-    ("many things", '{"plot_elements": ["1", "2", "3", "4", "5", "6", "7", "8", "9"]}'),
-]
-
-
-@query("select * from (values ('a slow burn heist in winter', 'heist,winter', 'Thriller', 'Horror'), ('a western duel', 'duel', 'Western,War', ''), ('a quiet drama', '', 'Drama', ''), ('an old war story', '', 'War', ''), ('a crime story', '', 'Crime', ''), ('many things', '1,2,3,4,5,6,7,8', '', '')) t(text, plot, include, exclude)")
+#: a model's replies made of each turn's columns
+@query(f"with {ASK_SQL}, r as (select a.conv_id, a.turn, a.text, c.role, a.turn % 4 as k from a join conversations c on a.conv_id = c.conv_id and a.turn = c.turn), x as (select *, {genre_sql('text')} as g from r) select conv_id, turn, case when k in (0, 1) then concat_ws(',', role, 'turn ' || turn, 'x1', 'x2', 'x3', 'x4', 'x5', 'x6') else '' end as plot, array_to_string(case when k = 0 then list_concat(g, list_filter(['Thriller', 'War'], lambda w: not list_contains(g, w))) else g end, ',') as include, case when k = 0 then 'Horror' else '' end as exclude from x")
 def intent_tier2(spark, sf):
     words = intent.lexicon(spark.createDataFrame([("fear", "afraid")], "category string, word string"))
-    rows = spark.createDataFrame([(t, None, r) for t, r in TOLD], "text string, mode string, reply string")
+    k = F.col("turn") % 4
+    plot = F.concat(F.lit('"plot_elements": [" '), "role", F.lit(' ", "", "turn '), F.col("turn").cast("string"), F.lit('", "x1", "x2", "x3", "x4", "x5", "x6", "x7"]'))
+    reply = F.when(k == 0, F.concat(F.lit("{"), plot, F.lit(', "genres_include": ["Thriller", "Noir", "War"], "genres_exclude": ["Horror"]}'))).when(k == 1, F.concat(F.lit("{"), plot, F.lit("}"))).when(k == 2, F.concat(F.lit('{"plot_elements": "'), "role", F.lit('"}')))
+    rows = asks(spark, sf).join(table(spark, sf, "conversations").select("conv_id", "turn", "role"), ["conv_id", "turn"]).withColumn("reply", reply).withColumn("mode", F.lit(None).cast("string"))
     out = intent.merge_extracted(intent.parse_tier1(rows, words), "reply")
-    return out.select("text", *[F.array_join(f"intent.{c}", ",").alias(n) for n, c in (("plot", "plot_elements"), ("include", "genres_include"), ("exclude", "genres_exclude"))])
+    return out.select("conv_id", "turn", *[F.array_join(f"intent.{c}", ",").alias(n) for n, c in (("plot", "plot_elements"), ("include", "genres_include"), ("exclude", "genres_exclude"))])
 
 
 READINGS = [
@@ -360,7 +377,10 @@ def literal(x) -> str:
     return "null" if x is None else "'" + x.replace("'", "''") + "'"
 
 
-@query("select * from (values " + ", ".join("(" + ", ".join(literal(x) for x in row) + ")" for row in READINGS) + ") t(text, emotion, safety, direction)")
+@query("with k(i, emotion, safety, direction) as (values " + ", ".join(f"({i}, " + ", ".join(literal(x) for x in row[1:]) + ")" for i, row in enumerate(READINGS)) + f") select doc_id, emotion, safety, direction from documents join k on i = doc_id % {len(READINGS)} where contains('0123456789', source[4])")
 def mood_readings(spark, sf):
-    rows = intent.mood_intent(spark.createDataFrame([(r[0],) for r in READINGS], "text string"), "text", "m")
-    return rows.select("text", F.col("m.current_emotion").alias("emotion"), F.col("m.safety_sensitivity").alias("safety"), F.col("m.desired_direction").alias("direction"))
+    """What people say before the name of each document's source, which tells no mood."""
+    said = F.element_at(F.array(*[F.lit(r[0]) for r in READINGS]), (F.col("doc_id") % len(READINGS) + 1).cast("int"))
+    d = table(spark, sf, "documents").where("contains('0123456789', substring(source, 4, 1))")
+    rows = intent.mood_intent(d.select("doc_id", F.concat_ws(" ", said, F.lit("/"), "source").alias("text")), "text", "m")
+    return rows.select("doc_id", F.col("m.current_emotion").alias("emotion"), F.col("m.safety_sensitivity").alias("safety"), F.col("m.desired_direction").alias("direction"))

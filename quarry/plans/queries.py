@@ -666,6 +666,20 @@ def validate_rows(spark, sf):
 # --- generator ---
 
 
+#: a vocabulary counted from the documents: the six most frequent words of each language, a category each
+LANGS = {"en": "despair_sad", "fr": "fear", "de": "tender", "es": "hopeful"}
+VOCAB_SQL = "vw as (select case lang " + " ".join(f"when '{k}' then '{v}'" for k, v in LANGS.items()) + " else 'stressed_tense' end as category, word, count(*) as c from (select lang, doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}'))) as word from documents) group by all), v as materialized (select category, row_number() over (partition by category order by c desc, word) - 1 as n, word from vw qualify n < 6)"
+
+
+def vocabulary(spark, sf):
+    """(category, n, word)."""
+    category = F.lit("stressed_tense")
+    for k, v in LANGS.items():
+        category = F.when(F.col("lang") == k, v).otherwise(category)
+    words = table(spark, sf, "documents").select(category.alias("category"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0)))).alias("word")).groupBy("category", "word").agg(F.count("*").alias("c"))
+    return words.withColumn("n", F.row_number().over(Window.partitionBy("category").orderBy(F.desc("c"), "word")) - 1).where("n < 6").select("category", "n", "word")
+
+
 @query("select doc_id from documents d where lower(trim(text)) not in (select lower(trim(text)) from benchmark)")
 def heldout_texts(spark, sf):
     return generate.held_out(table(spark, sf, "documents"), table(spark, sf, "benchmark").select("text")).select("doc_id")
@@ -683,12 +697,9 @@ def template_cross(spark, sf):
     return generate.templates(words, spark.createDataFrame([("feeling {}",), ("a {} evening",)], "form string"))
 
 
-MOODS = ", ".join(f"('{m}')" for m in rules.FILM_MOODS)
-
-
-@query(f"with m(mood) as (values {MOODS}) select a.mood as want, b.mood as avoid from m a, m b where a.mood <> b.mood")
+@query(f"with {VOCAB_SQL} select a.word as want, b.word as avoid from (select distinct word from v) a, (select distinct word from v) b where a.word <> b.word")
 def mood_pairs(spark, sf):
-    return generate.mood_pairs(spark.createDataFrame([(m,) for m in rules.FILM_MOODS], "mood string"))
+    return generate.mood_pairs(vocabulary(spark, sf).select(F.col("word").alias("mood")).distinct())
 
 
 @query("with w as (select distinct lang as category, unnest(regexp_extract_all(text, '[A-Za-z]+')) as word from documents) select word, min(category) as category from w group by word having count(distinct category) = 1")
@@ -788,39 +799,60 @@ def cache_keys(spark, sf):
 
 # --- intent ---
 
-ASKS = ["best thrillers from 1990 to 1995", "something newer than 2010", "80s action", "shows before 1980", "a 1970s western since 1975", "top rated sci-fi", "an 1880s story", "I'm feeling sad, want something warm and funny", "the 90s", "between 2005 and 2001 rated above 7.5", ""]
-ASK_SQL = "a(text) as (values " + ", ".join("('" + t.replace("'", "''") + "')" for t in ASKS) + ")"
+#: what people ask, added to every turn of the conversations in turn
+ASKS = ["best thrillers from 1990 to 1995", "something newer than 2010", "80s action", "shows before 1980", "a 1970s western since 1975", "top rated sci-fi", "an 1880s story", "I'm feeling sad, want something warm and funny", "the 90s", "between 2005 and 2001 rated above 7.5", "", "a poor family in a rich house", "robots  on earth", "astronaut stranded in space", "poor kids on mars", "a rich family and its robot", "virtual heists", "science fiction, war"]
 
 
-def asks(spark):
-    return spark.createDataFrame([(t,) for t in ASKS], "text string")
+def sql_list(xs) -> str:
+    return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]"
 
 
-@query(f"""with {ASK_SQL}, l as (select text, lower(text) as q from a), x as (select text, q, nullif(regexp_extract(q, '(?:from|between)\\s*([0-9]{{4}})\\s*(?:to|and|-)\\s*([0-9]{{4}})', 1), '')::int as y1, nullif(regexp_extract(q, '(?:from|between)\\s*([0-9]{{4}})\\s*(?:to|and|-)\\s*([0-9]{{4}})', 2), '')::int as y2, nullif(regexp_extract(q, '(?:after|since|from|newer than)\\s*([0-9]{{4}})', 1), '')::int as af, nullif(regexp_extract(q, '(?:before|until|older than)\\s*([0-9]{{4}})', 1), '')::int as be, nullif(regexp_extract(q, '\\b(19[2-9]0|20[0-2]0)s\\b', 1), '')::int as de, case when contains(q, '80s') then 1980 when contains(q, '90s') then 1990 when contains(q, '2000s') then 2000 end as sh from l)
-select text, coalesce(sh, de, case when y1 is not null then least(y1, y2) else af end) as year_min, coalesce(coalesce(sh, de) + 9, be, case when y1 is not null then greatest(y1, y2) end) as year_max, case when regexp_matches(q, 'highly rated|top rated|critically acclaimed|best') then 7.5::double end as min_rating from x""")
+ASK_SQL = f"a as materialized (select conv_id, turn, {sql_list(ASKS)}[(conv_id + 5 * turn) % {len(ASKS)} + 1] || ' ' || coalesce(text, '') as text from conversations)"
+
+
+def asks(spark, sf):
+    """(conv_id, turn, text): every turn with one of ASKS before it."""
+    said = F.element_at(F.array(*[F.lit(t) for t in ASKS]), ((F.col("conv_id") + 5 * F.col("turn")) % len(ASKS) + 1).cast("int"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.concat_ws(" ", said, F.coalesce("text", F.lit(""))).alias("text"))
+
+
+@query(f"""with {ASK_SQL}, l as (select conv_id, turn, lower(text) as q from a), x as (select conv_id, turn, q, nullif(regexp_extract(q, '(?:from|between)\\s*([0-9]{{4}})\\s*(?:to|and|-)\\s*([0-9]{{4}})', 1), '')::int as y1, nullif(regexp_extract(q, '(?:from|between)\\s*([0-9]{{4}})\\s*(?:to|and|-)\\s*([0-9]{{4}})', 2), '')::int as y2, nullif(regexp_extract(q, '(?:after|since|from|newer than)\\s*([0-9]{{4}})', 1), '')::int as af, nullif(regexp_extract(q, '(?:before|until|older than)\\s*([0-9]{{4}})', 1), '')::int as be, nullif(regexp_extract(q, '\\b(19[2-9]0|20[0-2]0)s\\b', 1), '')::int as de, case when contains(q, '80s') then 1980 when contains(q, '90s') then 1990 when contains(q, '2000s') then 2000 end as sh from l)
+select conv_id, turn, coalesce(sh, de, case when y1 is not null then least(y1, y2) else af end) as year_min, coalesce(coalesce(sh, de) + 9, be, case when y1 is not null then greatest(y1, y2) end) as year_max, case when regexp_matches(q, 'highly rated|top rated|critically acclaimed|best') then 7.5::double end as min_rating from x""")
 def parse_filters(spark, sf):
-    return asks(spark).withColumn("f", intent.parse_filters(F.col("text"))).select("text", "f.*")
+    return asks(spark, sf).withColumn("f", intent.parse_filters(F.col("text"))).select("conv_id", "turn", "f.*")
 
 
-@query(f"""with {ASK_SQL}, x as (select text, lower(text) as q, regexp_extract(lower(text), '\\b((?:19|20)[0-9][0-9])\\s*(?:-|to|through)\\s*((?:19|20)[0-9][0-9])\\b', ['a', 'b']) as r from a), y as (select text, nullif(r.a, '')::int as a, nullif(r.b, '')::int as b, nullif(regexp_extract(q, '\\b(?:the\\s+)?((?:19|20)[0-9]0)s\\b', 1), '')::int as de, nullif(regexp_extract(q, '\\b(?:the\\s+)?([0-9]0)s\\b', 1), '')::int as te, nullif(regexp_extract(q, '\\bbefore\\s+((?:19|20)[0-9][0-9])\\b', 1), '')::int as be, nullif(regexp_extract(q, '\\b(?:after|since|from)\\s+((?:19|20)[0-9][0-9])\\b', 1), '')::int as af, nullif(regexp_extract(q, '\\brat(?:ed|ing)\\s+(?:above|over|at least)\\s+([0-9](?:\\.[0-9])?)\\b', 1), '')::double as rating from x), z as (select *, coalesce(de, te + case when te >= 30 then 1900 else 2000 end) as s from y)
-select text, case when a is not null then a when s is not null then s else af end as min_year, case when a is not null then b when s is not null then s + 9 else be - 1 end as max_year, rating from z""")
+@query(f"""with {ASK_SQL}, x as (select conv_id, turn, lower(text) as q, regexp_extract(lower(text), '\\b((?:19|20)[0-9][0-9])\\s*(?:-|to|through)\\s*((?:19|20)[0-9][0-9])\\b', ['a', 'b']) as r from a), y as (select conv_id, turn, nullif(r.a, '')::int as a, nullif(r.b, '')::int as b, nullif(regexp_extract(q, '\\b(?:the\\s+)?((?:19|20)[0-9]0)s\\b', 1), '')::int as de, nullif(regexp_extract(q, '\\b(?:the\\s+)?([0-9]0)s\\b', 1), '')::int as te, nullif(regexp_extract(q, '\\bbefore\\s+((?:19|20)[0-9][0-9])\\b', 1), '')::int as be, nullif(regexp_extract(q, '\\b(?:after|since|from)\\s+((?:19|20)[0-9][0-9])\\b', 1), '')::int as af, nullif(regexp_extract(q, '\\brat(?:ed|ing)\\s+(?:above|over|at least)\\s+([0-9](?:\\.[0-9])?)\\b', 1), '')::double as rating from x), z as (select *, coalesce(de, te + case when te >= 30 then 1900 else 2000 end) as s from y)
+select conv_id, turn, case when a is not null then a when s is not null then s else af end as min_year, case when a is not null then b when s is not null then s + 9 else be - 1 end as max_year, rating from z""")
 def parse_era(spark, sf):
-    return asks(spark).withColumn("f", intent.parse_era(F.col("text"))).withColumn("rating", intent.parse_rating(F.col("text"))).select("text", "f.*", "rating")
+    return asks(spark, sf).withColumn("f", intent.parse_era(F.col("text"))).withColumn("rating", intent.parse_rating(F.col("text"))).select("conv_id", "turn", "f.*", "rating")
+
+
+def genre_sql(text: str) -> str:
+    """SQL list of the genres named in a text: the synonyms' first, then in the list's order."""
+    named = lambda w: f"regexp_matches(lower({text}), '\\b{w}\\b')"
+    synonym = "(" + " or ".join(named(w) for w, _ in rules.GENRE_SYNONYMS) + ")"
+    each = [f"case when {synonym} then 'Science Fiction' end"] + [f"case when {named(g.lower())}{f' and not {synonym}' if g == 'Science Fiction' else ''} then '{g}' end" for g in rules.GENRES]
+    return f"list_filter([{', '.join(each)}], lambda g: g is not null)"
 
 
-@query(f"with {ASK_SQL} select text, concat_ws(',', case when regexp_matches(lower(text), '\\b(sci-fi|scifi|science fiction)\\b') then 'Science Fiction' end, case when regexp_matches(lower(text), '\\baction\\b') then 'Action' end, case when regexp_matches(lower(text), '\\bwestern\\b') then 'Western' end) as genres from a")
+@query(f"with {ASK_SQL} select conv_id, turn, array_to_string({genre_sql('text')}, ',') as genres from a")
 def parse_genres(spark, sf):
-    return asks(spark).select("text", F.array_join(intent.parse_genres(F.col("text")), ",").alias("genres"))
+    return asks(spark, sf).select("conv_id", "turn", F.array_join(intent.parse_genres(F.col("text")), ",").alias("genres"))
 
 
 MAP = "mm(category, desired, avoid) as (values " + ", ".join(f"('{k}', {list(d)!r}::varchar[], {list(a)!r}::varchar[])" for k, (d, a) in rules.MOOD_MAP.items()) + ")"
 
 
-@query(f"with {MAP}, p as (select a.category as c1, b.category as c2, list_distinct(list_concat(a.desired, b.desired)) as d, list_distinct(list_concat(a.avoid, b.avoid)) as v from mm a, mm b) select c1, c2, array_to_string(list_sort(d), ',') as desired, array_to_string(list_sort(list_filter(v, lambda x: not list_contains(d, x))), ',') as avoid from p")
+CATEGORIES = sorted(rules.MOOD_MAP)
+
+
+@query(f"with {MAP}, p as (select doc_id, a.category as c1, b.category as c2, list_distinct(list_concat(a.desired, b.desired)) as d, list_distinct(list_concat(a.avoid, b.avoid)) as v from documents join mm a on a.category = {CATEGORIES!r}[doc_id % {len(CATEGORIES)} + 1] join mm b on b.category = {CATEGORIES!r}[n_chars % {len(CATEGORIES)} + 1]) select doc_id, c1, c2, array_to_string(list_sort(d), ',') as desired, array_to_string(list_sort(list_filter(v, lambda x: not list_contains(d, x))), ',') as avoid from p")
 def mood_map_fields(spark, sf):
-    names = spark.createDataFrame([(k,) for k in rules.MOOD_MAP], "c string")
-    both = names.select(F.col("c").alias("c1")).crossJoin(names.select(F.col("c").alias("c2")))
-    return both.withColumn("m", intent.mood_fields(F.array("c1", "c2"))).select("c1", "c2", F.array_join("m.desired", ",").alias("desired"), F.array_join("m.avoid", ",").alias("avoid"))
+    """The moods of two categories of each document."""
+    name = lambda c: F.element_at(F.array(*[F.lit(x) for x in CATEGORIES]), (F.col(c) % len(CATEGORIES) + 1).cast("int"))
+    both = table(spark, sf, "documents").select("doc_id", name("doc_id").alias("c1"), name("n_chars").alias("c2"))
+    return both.withColumn("m", intent.mood_fields(F.array("c1", "c2"))).select("doc_id", "c1", "c2", F.array_join("m.desired", ",").alias("desired"), F.array_join("m.avoid", ",").alias("avoid"))
 
 
 @query("select doc_id, case when lang = 'fr' then trim(case when doc_id % 2 = 0 then source when doc_id % 3 = 0 then '' else 'free ' || source end || ' warm hopeful') else case when doc_id % 2 = 0 then source when doc_id % 3 = 0 then '' else 'free ' || source end end as query_text, 1990 as min_year, null::int as max_year, 6.5::double as min_rating, 'War' as genres_exclude, 'bleak' as avoid from documents")
@@ -837,26 +869,42 @@ def intent_queries(spark, sf):
     return q.select("doc_id", "q.query_text", "q.filters.min_year", "q.filters.max_year", "q.filters.min_rating", F.array_join("q.filters.genres_exclude", ",").alias("genres_exclude"), F.array_join("q.boosts.avoid_film_moods", ",").alias("avoid"))
 
 
-@query(f"with {ASK_SQL}, x as (select trim(regexp_replace(text, '\\s+', ' ', 'g')) as t from a), y as (select t from x union all select 'a poor family in a rich house' union all select 'robots  on earth' union all select 'astronaut stranded in space') select t as text, t || case t when 'a poor family in a rich house' then ' unemployed wealthy family working class class differences social satire con artist' when 'robots on earth' then ' garbage compacting robot abandoned earth environmental science fiction' when 'astronaut stranded in space' then ' astronaut accidentally left behind mars survival rescue mission science fiction' else '' end as expanded from (select trim(regexp_replace(t, '\\s+', ' ', 'g')) as t from y)")
+@query(f"with {ASK_SQL}, x as (select conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) as t, {O.tokens('text')} as x0 from a) select conv_id, turn, concat_ws(' ', t, {EXPANSION_SQL}) as expanded from x")
 def expand_query(spark, sf):
-    more = spark.createDataFrame([("a poor family in a rich house",), ("robots  on earth",), ("astronaut stranded in space",)], "text string")
-    return asks(spark).union(more).select(T.collapse(F.col("text")).alias("text"), intent.expand_query(F.col("text")).alias("expanded"))
+    return asks(spark, sf).select("conv_id", "turn", intent.expand_query(F.col("text")).alias("expanded"))
 
 
 VOCAB = [("despair_sad", "sad"), ("fear", "anxious"), ("stressed_tense", "anxious"), ("stressed_tense", "on edge"), ("tender", "calm"), ("tender", "caring"), ("connected_loving", "caring"), ("accepting_open", "calm"), ("hopeful", "optimistic")]
-TOLD = [("i'm sad and anxious", None), ("feeling calm and caring", None), ("a tense thriller", None), ("on edge", "mood"), ("i feel optimistic want a robot heist in space", None), ("guilty", "mood"), ("sad", "category")]
-
-
-#: what the lexicon finds in TOLD, known by hand: mode, categories
-FOUND = [("mood", "despair_sad,fear"), ("mood", "tender"), ("content", ""), ("mood", "stressed_tense"), ("hybrid", "hopeful"), ("mood", "guilt"), ("category", "")]
-
-
-@query(f"""with {MAP}, t(text, resolved, user_moods, genres) as (values {", ".join("('" + t.replace("'", "''") + f"', '{m}', '{c}', {int('thriller' in t)})" for (t, _), (m, c) in zip(TOLD, FOUND))}), x as (select text, list_distinct(flatten(list(desired))) as d, list_distinct(flatten(list(avoid))) as a from t join mm on list_contains(string_split(user_moods, ','), category) group by text)
-select text, resolved, user_moods, coalesce(array_to_string(list_sort(d), ','), '') as desired, coalesce(array_to_string(list_sort(list_filter(a, lambda m: not list_contains(d, m))), ','), '') as avoid, case when user_moods <> '' or genres = 1 then 0.9::double else 0.3::double end as confidence, '' as errors from t left join x using (text)""")
+FEELINGS = ["i'm sad and anxious", "feeling calm and caring", "a tense thriller", "on edge", "i feel optimistic want a robot heist in space", "guilty", "sad"]
+TOLD_SQL = f"t as materialized (select conv_id, turn, lower({sql_list(FEELINGS)}[(conv_id + turn) % {len(FEELINGS)} + 1] || '. ' || coalesce(text, '')) as text, case turn % 4 when 1 then 'mood' when 3 then 'category' end as mode from conversations)"
+LEXICON = sorted({*VOCAB, *((c, part) for c, _ in VOCAB for part in c.split("_")), ("guilt", "guilty"), ("aliveness_joy", "joyful")})
+
+
+def cover_sql(rounds: int = 6) -> str:
+    """CTEs: picked(conv_id, turn, category) by the greedy cover of the words (conv_id, turn, word, category) in w0, round by round."""
+    out = []
+    for i in range(rounds):
+        out.append(f"p{i} as (select conv_id, turn, arg_min(category, row(-n, category)) as category from (select conv_id, turn, category, count(*) as n from w{i} group by all) group by all), w{i + 1} as (select w{i}.* from w{i} where not exists (select 1 from w{i} o join p{i} using (conv_id, turn, category) where o.conv_id = w{i}.conv_id and o.turn = w{i}.turn and o.word = w{i}.word))")
+    return ", ".join(out) + f", picked as ({' union all '.join(f'select * from p{i}' for i in range(rounds))})"
+
+
+@query(f"""with {MAP}, lex(category, word) as (values {', '.join(f"('{c}', '{w}')" for c, w in LEXICON)}), {TOLD_SQL},
+f as (select *, regexp_replace(text, '(?s){rules.DESIRE}.*$', '') as feeling, coalesce(mode, '') = 'mood' or regexp_matches(text, '{rules.FEELING.replace("'", "''")}') as feels from t),
+g as (select *, feels and regexp_matches(feeling, '\\bon edge\\b') as edge, case when regexp_matches(feeling, '\\bon edge\\b') then replace(feeling, 'on edge', ' ') else feeling end as remaining from f),
+m as (select distinct conv_id, turn, unnest(list_filter(regexp_extract_all(remaining, '[a-z][a-z''-]*'), lambda x: feels)) as word from g union select conv_id, turn, 'on edge' from g where edge),
+w0 as materialized (select conv_id, turn, word, category from m join lex using (word)), {cover_sql()},
+c as (select conv_id, turn, list_sort(list(distinct unnest_)) as used from (select conv_id, turn, unnest(string_split(word, ' ')) as unnest_ from w0) group by all),
+l as (select g.*, len(list_filter(regexp_extract_all(text, '[a-z][a-z''-]*'), lambda x: not list_contains({list(rules.INTENT_STOPWORDS)!r}, x) and not list_contains(coalesce(used, []), x) and not list_contains({list(rules.FILM_MOODS)!r}, x))) as rest, {genre_sql('text')} as genres from g left join c using (conv_id, turn)),
+u as (select conv_id, turn, list_sort(list(category)) as cats from picked group by all), d as (select conv_id, turn, list_distinct(flatten(list(desired))) as d, list_distinct(flatten(list(avoid))) as v from picked join mm using (category) group by all)
+select conv_id, turn, case when mode = 'category' then mode when cats is not null and rest >= 3 then 'hybrid' when cats is not null then 'mood' else coalesce(mode, 'content') end as resolved, coalesce(array_to_string(cats, ','), '') as user_moods, coalesce(array_to_string(list_sort(d), ','), '') as desired, coalesce(array_to_string(list_sort(list_filter(v, lambda x: not list_contains(d, x))), ','), '') as avoid, case when cats is not null or len(genres) > 0 then 0.9::double else 0.3::double end as confidence, '' as errors from l left join u using (conv_id, turn) left join d using (conv_id, turn)""")
 def intent_tier1(spark, sf):
+    """Every turn of the conversations after a feeling, read with a small lexicon; the categories by name."""
     words = intent.lexicon(spark.createDataFrame(VOCAB, "category string, word string"))
-    out = intent.parse_tier1(spark.createDataFrame(TOLD, "text string, mode string"), words)
-    return out.select("text", F.col("intent.mode").alias("resolved"), F.array_join("intent.user_moods", ",").alias("user_moods"), F.array_join("intent.desired_film_moods", ",").alias("desired"), F.array_join("intent.avoid_film_moods", ",").alias("avoid"), "intent.confidence", F.array_join(intent.intent_errors(F.col("intent")), ",").alias("errors"))
+    c = F.col
+    said = F.element_at(F.array(*[F.lit(t) for t in FEELINGS]), ((c("conv_id") + c("turn")) % len(FEELINGS) + 1).cast("int"))
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", F.lower(F.concat(said, F.lit(". "), F.coalesce("text", F.lit("")))).alias("text"), F.when(c("turn") % 4 == 1, "mood").when(c("turn") % 4 == 3, "category").alias("mode"))
+    out = intent.parse_tier1(rows, words)
+    return out.select("conv_id", "turn", c("intent.mode").alias("resolved"), F.array_join(F.array_sort("intent.user_moods"), ",").alias("user_moods"), F.array_join("intent.desired_film_moods", ",").alias("desired"), F.array_join("intent.avoid_film_moods", ",").alias("avoid"), "intent.confidence", F.array_join(intent.intent_errors(c("intent")), ",").alias("errors"))
 
 
 @query()
@@ -886,19 +934,28 @@ def canonical_json(spark, sf):
     return d.select("doc_id", render.canonical(d, "source", "lang", "n_chars").alias("line"))
 
 
-REPLIES = [(1, '{"grade": 2, "confidence": "high", "reason": " good  fit "}'), (2, "no json"), (3, "[1]"), (4, '{"grade": 7, "confidence": "high", "reason": "x"}'), (5, '{"grade": 1, "confidence": "sure", "reason": "x"}'), (6, '{"grade": 1, "confidence": "low"}'), (7, 'Sure: {"grade": 1, "confidence": "low", "reason": "ok"} done'), (8, '{"grade": true, "confidence": "low", "reason": "x"}')]
+#: a grader's replies made of each document's columns: objects with odd grades, confidences and reasons, and replies that are no objects
+REPLY_SQL = """r as (select doc_id, n_chars % 6 as g, case when n_chars % 4 = 0 then 'sure' else case n_chars % 3 when 0 then 'high' when 1 then 'medium' else 'low' end end as c, doc_id % 7 as k, ' ' || source || '  is  ' || lang || ' ' as reason from documents)"""
+
+
+def replies(spark, sf):
+    c = F.col
+    sure = F.when(c("n_chars") % 4 == 0, "sure").otherwise(F.when(c("n_chars") % 3 == 0, "high").when(c("n_chars") % 3 == 1, "medium").otherwise("low"))
+    grade = (c("n_chars") % 6).cast("string")
+    reason = F.concat(F.lit(" "), "source", F.lit("  is  "), "lang", F.lit(" "))
+    whole = F.concat(F.lit('{"grade": '), grade, F.lit(', "confidence": "'), sure, F.lit('", "reason": "'), reason, F.lit('"}'))
+    k = c("doc_id") % 7
+    return table(spark, sf, "documents").select("doc_id", F.when(k == 1, F.concat(F.lit("Sure: "), whole, F.lit(" done"))).when(k == 2, F.concat(F.lit("["), grade, F.lit("]"))).when(k == 3, F.concat(F.lit('{"grade": '), grade, F.lit(', "confidence": "'), sure, F.lit('"}'))).when(k == 4, c("source")).otherwise(whole).alias("reply"))
 
 
-@query("select * from (values (1, 2, 'high', 'good fit', true), (2, null, 'low', 'json_parse_error', true), (3, null, 'low', 'json_parse_error: response is not an object', true), (4, null, 'low', 'invalid grade', true), (5, null, 'low', 'invalid confidence', true), (6, null, 'low', 'invalid reason', true), (7, null, 'low', 'json_parse_error', true), (8, null, 'low', 'invalid grade', true)) t(id, grade, confidence, reason, ok)")
+@query(f"with {REPLY_SQL}, x as (select *, case when k in (1, 4) then 'json_parse_error' when k = 2 then 'json_parse_error: response is not an object' when g > 3 then 'invalid grade' when c = 'sure' then 'invalid confidence' when k = 3 then 'invalid reason' end as failure from r) select doc_id, case when failure is null then g end::int as grade, case when failure is null then c else 'low' end as confidence, coalesce(failure, trim(regexp_replace(reason, '\\s+', ' ', 'g'))) as reason from x")
 def grade_replies(spark, sf):
-    df = spark.createDataFrame(REPLIES, "id int, reply string").withColumn("g", render.grade_reply(F.col("reply")))
-    return df.select("id", "g.grade", "g.confidence", "g.reason", (F.col("g.failure").isNull() == F.col("g.grade").isNotNull()).alias("ok"))
+    return replies(spark, sf).withColumn("g", render.grade_reply(F.col("reply"))).select("doc_id", "g.grade", "g.confidence", "g.reason")
 
 
-@query("select * from (values (1, 2), (2, null), (3, null), (4, 7), (5, 1), (6, 1), (7, 1), (8, null)) t(id, grade)")
+@query(f"with {REPLY_SQL} select doc_id, case when k not in (2, 4) then g end::int as grade from r")
 def extracted_objects(spark, sf):
-    df = spark.createDataFrame(REPLIES, "id int, reply string")
-    return df.select("id", render.extract_object(F.col("reply"), "grade int")["grade"].alias("grade"))
+    return replies(spark, sf).select("doc_id", render.extract_object(F.col("reply"), "grade int")["grade"].alias("grade"))
 
 
 @query("select doc_id, case when length(trim(text)) between 30 and 800 then trim(text) else '' end as document from documents")
@@ -933,24 +990,26 @@ def unjudged_top(spark, sf):
     return render.unjudged_top(judged(spark, sf))
 
 
-@query(f"""with {MAP}, v(category, i, w1, w2, plot) as (values ('despair_sad', 0, 'blue', 'low', 'a heist'), ('fear', 1, 'afraid', 'scared', 'a trip'), ('hopeful', 2, 'bright', 'keen', 'a duel')),
-x as (select 0 as part, i, 'feeling ' || w1 || ' and ' || w2 || ', want something ' || desired[1] || ' and ' || desired[2] as query, 'mood' as mode, [category] as c from v join mm using (category) union all select 1, i, 'feeling ' || w1 || ', in the mood for ' || plot, 'hybrid', [category] from v
-union all select 2, a.i, 'feeling ' || a.w1 || ' but also ' || b.w1, 'mood', [a.category, b.category] from v a join v b on b.i = a.i + 1),
+@query(f"""with {MAP}, {VOCAB_SQL}, vq as (select category, row_number() over (order by category) - 1 as i, max(word) filter (n = 0) as w1, max(word) filter (n = 1) as w2 from v group by category), pl as (select item_id as i, 'a ' || split_part(text, ' ', 1) as plot from benchmark),
+x as (select 0 as part, i, 'feeling ' || w1 || ' and ' || w2 || ', want something ' || desired[1] || ' and ' || desired[2] as query, 'mood' as mode, [category] as c from vq join mm using (category) union all select 1, i, 'feeling ' || w1 || ', in the mood for ' || plot, 'hybrid', [category] from vq join pl using (i)
+union all select 2, a.i, 'feeling ' || a.w1 || ' but also ' || b.w1, 'mood', [a.category, b.category] from vq a join vq b on b.i = a.i + 1),
 y as (select part, i, query, mode, c, list_distinct(flatten(list(desired))) as d, list_distinct(flatten(list(avoid))) as a from x join mm on list_contains(c, category) group by all)
 select 'mq' || lpad((row_number() over (order by part, i))::varchar, 2, '0') as qid, query, mode, array_to_string(c, ',') as categories, array_to_string(list_sort(d), ',') as desired, array_to_string(list_sort(list_filter(a, lambda m: not list_contains(d, m))), ',') as avoid from y""")
 def mood_queries(spark, sf):
-    vocab = spark.createDataFrame([("despair_sad", 0, "blue"), ("despair_sad", 1, "low"), ("fear", 0, "afraid"), ("fear", 1, "scared"), ("hopeful", 0, "bright"), ("hopeful", 1, "keen")], "category string, n int, word string")
+    words = vocabulary(spark, sf)
     moods = spark.createDataFrame([(k, list(v[0])) for k, v in rules.MOOD_MAP.items()], "category string, desired array<string>")
-    plots = spark.createDataFrame([(0, "a heist"), (1, "a trip"), (2, "a duel")], "i int, plot string")
-    out = generate.mood_queries(vocab, moods, plots)
+    plots = table(spark, sf, "benchmark").select(F.col("item_id").cast("int").alias("i"), F.concat(F.lit("a "), F.split_part("text", F.lit(" "), F.lit(1))).alias("plot"))
+    out = generate.mood_queries(words, moods, plots)
     return out.select("qid", "query", "mode", *[F.array_join(n, ",").alias(n) for n in ("categories", "desired", "avoid")])
 
 
-@query("with w(category, word) as (values ('fear', 'icy'), ('stressed_tense', 'knotted'), ('stressed_tense', 'tense'), ('tender', 'achy')) select category, word, 'my whole body feels ' || word as text from w where word in ('knotted', 'achy') union all select category, word, 'an ' || word || ' feeling under my skin' from w where word = 'icy' union all select category, word, 'my back feels ' || word from w where word = 'knotted'")
+PLACES = ["that", "with", "des", "und"]
+
+
+@query(f"with {VOCAB_SQL}, w as (select category, word from v where not contains(translate(lower(category), '_-', '  '), word) and not list_contains({list(rules.FILM_MOODS)!r}, word)) select category, word, 'my whole body feels ' || word as text from w where word not in {tuple(PLACES)!r} union all select category, word, case when word[1] in ('a', 'e', 'i', 'o', 'u') then 'an ' else 'a ' end || word || ' feeling under my skin' from w where word in {tuple(PLACES)!r} union all select category, word, 'my back feels ' || word from w where word in ('the', 'las', 'en')")
 def body_sentences(spark, sf):
-    words = spark.createDataFrame([("fear", "icy"), ("stressed_tense", "knotted"), ("stressed_tense", "tense"), ("tender", "achy")], "category string, word string")
     forms = {"*whole": "my whole body feels {}", "skin": "{an} feeling under my skin", "back": "my back feels {}"}
-    return generate.body_sentences(words, {"*whole": ["icy"], "skin": ["icy"], "back": ["knotted"]}, forms)
+    return generate.body_sentences(vocabulary(spark, sf).select("category", "word"), {"*whole": PLACES, "skin": PLACES, "back": ["the", "las", "en"]}, forms)
 
 
 @query("select doc_id, array_to_string(list_filter(['idiot', 'the and', 'clown'], lambda t: contains(' ' || regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g') || ' ', ' ' || t || ' ')), ',') as leaked from documents")
