@@ -99,9 +99,10 @@ def labelled(labels: DataFrame, label: str, held_out_mod: int, held_out_rest: in
 
 
 def bounded_rows(rows: DataFrame, columns: list[str], most: int) -> Iterator[Row]:
-    """The rows of a bounded sample, one after the other, as long as their columns have `most` bytes together; which ones those are goes by a hash of doc_id. rows: as few as the sample allows."""
-    kept = stored(rows)
-    sizes = kept.select("doc_id", F.xxhash64("doc_id", F.lit(29)).alias("h"), sum((F.length(c) for c in columns), F.lit(0)).alias("n")).collect()
+    """The rows of a bounded sample, one for each doc_id, as long as their columns have `most` bytes together; which ones those are goes by hashes of doc_id and, of an id's several rows, of the rows. rows: as few ids as the sample allows, each with a doc_id."""
+    one = rows.groupBy("doc_id").agg(F.min_by(F.struct(*rows.columns), F.struct(F.xxhash64(*rows.columns), *columns)).alias("r")).select("r.*")  # ids of a bounded sample; a task keeps one row of each
+    kept = stored(one)
+    sizes = kept.select("doc_id", F.xxhash64("doc_id", F.lit(29)).alias("h"), sum((F.length(c) for c in columns), F.lit(0)).alias("n")).collect()  # a row for each id
     total, wanted = 0, []
     for r in sorted(sizes, key=lambda r: (r["h"], r["doc_id"])):
         total += r["n"]

@@ -113,7 +113,7 @@ def features(df: DataFrame, text: str, label: str, sizes: tuple[int, ...]) -> Da
 
 
 def train(documents: DataFrame, labels: DataFrame, label: str = "quality", held_out_mod: int = 3, held_out_rest: int = 1, per_class: int = 1200, sizes: tuple[int, ...] = (4, 6), most_bytes: int = 1 << 28) -> QualityModel:
-    """Learns from about per_class labelled rows of each class that aren't held out, and from no more of them than have most_bytes of features (the documented bounds). Of several labels of one id 1 wins."""
+    """Learns from about per_class labelled rows of each class that aren't held out, and from no more of them than have most_bytes of features (the documented bounds). Of several labels of one id 1 wins, of several texts one is taken by hash."""
     known = labelled(labels, label, held_out_mod, held_out_rest)
     chosen = sample_by_hash(known, "y", "doc_id", per_class)
     rows = []

@@ -49,7 +49,7 @@ class ToxicityModel:
 
 
 def fit_arrays(docs: list[np.ndarray], y: np.ndarray, sizes: tuple[int, ...], keep: int = 1 << 14, alpha: float = 1.0, l2: float = 1e-3, steps: int = 300) -> ToxicityModel:
-    """Fits on distinct buckets of each document."""
+    """Fits on distinct buckets of each document. Both classes weigh alike, whatever their numbers in the sample: the threshold doesn't move with the size of the table."""
     m = 1 << BUCKET_BITS
     weights = np.zeros(m, np.float32)
     if not len(y):
@@ -76,12 +76,13 @@ def fit_arrays(docs: list[np.ndarray], y: np.ndarray, sizes: tuple[int, ...], ke
     kept = [p[p >= 0] for p in (place[d] for d in docs)]  # only the chosen buckets of each document
     r, c = np.repeat(np.arange(len(docs)), [len(k) for k in kept]), np.concatenate(kept)
     x = ratio[chosen][c]
-    beta, bias = np.zeros(len(chosen)), float(np.log(share / (1 - share)))
+    each = np.where(y == 1, len(y) / (2 * n1), len(y) / (2 * n0))
+    beta, bias = np.zeros(len(chosen)), 0.0
     # each document's features are weighted as x * r; Adam on the full batch
     m1, m2, b1, b2 = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1), 0.9, 0.999
     for t in range(1, steps + 1):
         logit = bias + np.bincount(r, x * beta[c], len(docs))
-        g = 1 / (1 + np.exp(-np.clip(logit, -40, 40))) - y
+        g = (1 / (1 + np.exp(-np.clip(logit, -40, 40))) - y) * each
         grad = np.append(np.bincount(c, x * g[r], len(chosen)) / len(docs) + l2 * beta, g.mean())
         m1, m2 = b1 * m1 + (1 - b1) * grad, b2 * m2 + (1 - b2) * grad * grad
         step = 0.05 * (m1 / (1 - b1**t)) / (np.sqrt(m2 / (1 - b2**t)) + 1e-8)
@@ -111,7 +112,7 @@ def features(df: DataFrame, text: str, label: str, sizes: tuple[int, ...]) -> Da
 
 
 def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", held_out_mod: int = 5, held_out_rest: int = 0, per_class: int = 1500, sizes: tuple[int, ...] = (4, 6), most_bytes: int = 1 << 28) -> ToxicityModel:
-    """Learns from about per_class labelled rows of each class that aren't held out, and from no more of them than have most_bytes of features (the documented bounds). Of several labels of one id 1 wins."""
+    """Learns from about per_class labelled rows of each class that aren't held out, and from no more of them than have most_bytes of features (the documented bounds). Of several labels of one id 1 wins, of several texts one is taken by hash."""
     known = labelled(labels, label, held_out_mod, held_out_rest)
     chosen = sample_by_hash(known, "y", "doc_id", per_class)
     rows = features(documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "text", "y", sizes)  # at most about 2 * per_class ids

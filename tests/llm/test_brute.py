@@ -317,3 +317,28 @@ def test_pipeline_on_odd_and_empty_tables(spark, tmp_path):
         spark.createDataFrame([(1, None), (2, ""), (3, "The five words are here the five words are here the five")] if rows else [], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
         out = cp.run(spark, folder)
         assert out.count() <= len({r[0] for r in rows}) and (rows or out.count() == 0)
+
+
+# --- bounds of samples and weights of classes ---
+
+
+def test_repeated_ids_keep_the_bound(spark):
+    from quarry.llm.common import bounded_rows
+
+    rows = [(1, b"x" * 1000 + bytes([i])) for i in range(50)] + [(2, b"y" * 400), (3, b"z" * 400)]
+    df = spark.createDataFrame(rows, "doc_id long, f binary").repartition(4)
+    for most in (300, 900, 1500, 10_000):
+        got = list(bounded_rows(df, ["f"], most))
+        assert sum(len(r["f"]) for r in got) <= most and len({r["doc_id"] for r in got}) == len(got)
+    assert sorted(r["doc_id"] for r in got) == [1, 2, 3]
+    again = list(bounded_rows(df.repartition(7), ["f"], 10_000))
+    assert sorted((r["doc_id"], bytes(r["f"])) for r in again) == sorted((r["doc_id"], bytes(r["f"])) for r in got)
+
+
+def test_the_threshold_does_not_move_with_the_share_of_a_class():
+    """Four times the clean rows of the same kind leave the verdicts as they are."""
+    toxic, clean = [np.array([1, 2, 9], np.int32)] * 40, [np.array([3, 4, 9], np.int32)] * 60
+    few = toxicity.fit_arrays(toxic + clean, np.repeat([1.0, 0.0], [40, 60]), (4, 6))
+    many = toxicity.fit_arrays(toxic + clean * 4, np.repeat([1.0, 0.0], [40, 240]), (4, 6))
+    for d in (toxic[0], clean[0]):
+        assert (few.weights[d].sum() + few.bias > 0) == (many.weights[d].sum() + many.bias > 0)
