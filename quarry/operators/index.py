@@ -10,6 +10,13 @@ from quarry.functions.text import DIGITS, stem, tokens
 from quarry.session import scratch, stored
 
 
+def postings_of(df: DataFrame, id_: str, fields: dict[str, Column]) -> DataFrame:
+    """(field, term, id, dl, tf) of the given text of each field."""
+    named = df.select(F.col(id_).alias("id"), F.explode(F.array(*[F.struct(F.lit(n).alias("field"), tokens(c).alias("toks")) for n, c in fields.items()])).alias("f")).select("id", "f.field", "f.toks")
+    words = named.select("field", "id", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
+    return words.groupBy("field", "term", "id", "dl").agg(F.count("*").alias("tf"))
+
+
 class TextIndex:
     """postings(field, term, id, tf, dl), fields(field, n, avgdl), terms(field, term, n_docs, idf). Statistics are global: filters at query time don't change them."""
 
@@ -19,14 +26,16 @@ class TextIndex:
     @staticmethod
     def build(df: DataFrame, id_: str, fields: dict[str, Column]) -> TextIndex:
         """Indexes the given text of each field. Texts are tokenised once, for the postings, which are stored; all statistics come from these and from the number of rows."""
-        named = df.select(F.col(id_).alias("id"), F.explode(F.array(*[F.struct(F.lit(n).alias("field"), tokens(c).alias("toks")) for n, c in fields.items()])).alias("f")).select("id", "f.field", "f.toks")
-        words = named.select("field", "id", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
-        postings = stored(words.groupBy("field", "term", "id", "dl").agg(F.count("*").alias("tf")))
-        rows = df.agg(F.count("*").alias("n"))
-        frame = rows.select(F.explode(F.array(*[F.lit(n) for n in fields])).alias("field"), "n")
-        lengths = postings.groupBy("field").agg(F.sum("tf").alias("total"))
-        stats = frame.join(lengths, "field", "left").where("n > 0").select("field", "n", (F.coalesce("total", F.lit(0)) / F.col("n")).alias("avgdl"))
-        terms = postings.groupBy("field", "term").agg(F.count("*").alias("n_docs")).join(F.broadcast(stats.select("field", "n")), "field")
+        postings = stored(postings_of(df, id_, fields))
+        frame = df.agg(F.count("*").alias("n")).select(F.explode(F.array(*[F.lit(n) for n in fields])).alias("field"), "n")
+        lengths = frame.join(postings.groupBy("field").agg(F.sum("tf").alias("total")), "field", "left")
+        return TextIndex.counted(postings, lengths, postings.groupBy("field", "term").agg(F.count("*").alias("n_docs")))
+
+    @staticmethod
+    def counted(postings: DataFrame, lengths: DataFrame, counts: DataFrame) -> TextIndex:
+        """An index from its counts. lengths: field, n (rows), total (of their tokens); counts: field, term, n_docs."""
+        stats = lengths.where("n > 0").select("field", "n", (F.coalesce("total", F.lit(0)) / F.col("n")).alias("avgdl"))
+        terms = counts.join(F.broadcast(stats.select("field", "n")), "field")
         terms = terms.withColumn("raw", F.log(F.col("n") - F.col("n_docs") + 0.5) - F.log(F.col("n_docs") + 0.5))
         floor = terms.groupBy("field").agg((F.lit(rules.EPSILON) * F.avg("raw")).alias("floor"))
         terms = terms.join(F.broadcast(floor), "field").select("field", "term", "n_docs", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))

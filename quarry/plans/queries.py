@@ -13,11 +13,13 @@ from quarry.functions import text as T
 from quarry.operators import catalog, dedup, evaluate, fusion, generate, intent, labels, render, store, vectors
 from quarry.operators.blocks import VectorBlocks
 from quarry.operators.index import TextIndex, expanded, query_terms, top
+from quarry.operators.segments import SegmentedIndex
 from quarry.plans import batch, pipelines
 from quarry.plans import oracle as O
 from quarry.plans.plugins import overlap_score
 from quarry.plans.registry import query
-from quarry.session import stored, table
+from quarry.session import scratch, stored, table
+from quarry.sources.versioned import MergedTable
 
 # --- retrieval and ranking ---
 
@@ -80,6 +82,17 @@ def term_statistics(spark, sf):
     return index(spark, sf).terms.where("field = 'overview'").select("term", "n_docs", F.round("idf", 6).alias("idf"))
 
 
+@query(f"with {DOCS}, bt as (select id, {O.tokens('overview')} as toks from docs where id % 10 <> 3), p as (select term, count(*) as n_docs from (select distinct id, unnest(toks) as term from bt) group by term), n as (select count(*) as n from bt), r as (select term, n_docs, ln(n - n_docs + 0.5) - ln(n_docs + 0.5) as raw from p, n) select term, n_docs, round(case when raw < 0 then (select 0.25 * avg(raw) from r) else raw end, 6) as idf from r")
+def grown_index(spark, sf):
+    """term_statistics of an index that grew by segments: half of the rows, all rows of the other half and some again, then a list of deletions."""
+    d = docs(spark, sf).select("id", "overview")
+    grown = SegmentedIndex(spark, scratch(spark), {"overview": F.col("overview")})
+    grown.add(d.where("id % 2 = 0"))
+    grown.add(d.where("id % 2 = 1 or id % 8 = 0"))
+    grown.delete(d.where("id % 10 = 3"))
+    return grown.index().terms.select("term", "n_docs", F.round("idf", 6).alias("idf"))
+
+
 @query(f"select doc_id, len(x) as n_tokens, md5(array_to_string(x, ' ')) as digest from (select doc_id, {O.tokens('text')} as x from documents)")
 def tokenized(spark, sf):
     return table(spark, sf, "documents").withColumn("x", T.tokens(F.col("text"))).select("doc_id", F.size("x").cast("long").alias("n_tokens"), F.md5(F.array_join("x", " ")).alias("digest"))
@@ -771,6 +784,18 @@ def favorites_upsert(spark, sf):
     return store.upsert(e.where(half), e.where(~half), "user_id", "o", ("id",)).drop("o")
 
 
+@query("select user_id, min(event_id) as id, arg_max(event_type, event_id) as event_type, arg_max(value, event_id) as value from (select *, max(case when event_type = 'refund' then event_id end) over (partition by user_id) as gone from events) where gone is null or event_id > gone group by user_id".replace("refund", "purchase"))
+def favorites_merged(spark, sf):
+    """favorites_upsert into a stored table: views are its base, then two deltas; a purchase deletes the user's row."""
+    e = table(spark, sf, "events").select("user_id", F.col("event_id").alias("id"), "event_type", "value")
+    t = MergedTable(spark, scratch(spark), ["user_id"], ("id",))
+    t.create(e.limit(0))
+    half = F.col("user_id") % 2 == 0
+    for part in (half, ~half):
+        t.merge(e.where(part), F.col("id"), F.col("event_type") == "purchase")
+    return t.read()
+
+
 @query("select user_id, event_type, count(*) % 2 = 1 as watched, case when count(*) % 2 = 1 then max(ts) end as watched_at from events group by all")
 def watch_toggle(spark, sf):
     return store.toggled(table(spark, sf, "events"), ["user_id", "event_type"], "ts")
