@@ -8,7 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.session import stored
@@ -36,6 +36,12 @@ def trim() -> None:
         pass
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets the driver give back what it has done with: Python's free memory, the JVM's plans of queries that are over, and the files of their shuffles, which Spark drops once its garbage has been collected."""
+    trim()
+    spark.sparkContext._jvm.System.gc()
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict | Iterator[dict] | None]], schema: str) -> DataFrame:
     """mapInArrow with state per task: make() runs once in each task and returns a function from a batch to columns, or to several parts of columns one after the other."""
 

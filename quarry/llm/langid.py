@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import crc_mod, filter_batches, map_batches, sample_by_hash
+from quarry.llm.common import crc_mod, filter_batches, map_batches, sample_by_hash, tidy
 from quarry.llm.kernel import Kernel, ngrams, slices
 
 SLOT_BITS = 22
@@ -135,6 +135,8 @@ def train(documents: DataFrame, held_out_mod: int = 4, held_out_rest: int = 2, p
     for i in range(len(languages)):
         for at in slots(gram[language == i]):
             table[i // 64, at] |= np.uint64(1 << (i % 64))  # repeated places set the same bit
+    del rows, language, gram
+    tidy(documents.sparkSession)
     noise = np.array([(((table[i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean()) ** PROBES for i in range(len(languages))])
     return LanguageModel(languages, table, noise, np.array([seen[x] for x in languages]) / sum(seen.values()), n)
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import join_counted, map_batches
+from quarry.llm.common import join_counted, map_batches, tidy
 from quarry.llm.components import components
 from quarry.llm.kernel import Kernel, mix, shingles, slices
 from quarry.session import stored
@@ -163,7 +163,9 @@ def groups(documents: DataFrame) -> DataFrame:
     near_pairs = stored(near(star, nodes))
     links = stored(linked(near_pairs, shingle_sets(documents, ends(near_pairs))))
     first = stored(components(links))
+    tidy(documents.sparkSession)
     rest = stored(between(crowded, first, nodes, documents))
+    tidy(documents.sparkSession)
     several = feats.groupBy("doc_id").count().where("count > 1")
     repeated = same.where("doc_id <> rep").join(several, "doc_id", "left_semi").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))  # one id, several sets
     final = components(links.union(rest).union(repeated))
@@ -201,6 +203,7 @@ def between(crowded: DataFrame, first: DataFrame, nodes: DataFrame, documents: D
     wanted = stored(attached.select(F.col("d").alias("doc_id")).distinct())
     sets = stored(shingle_sets(documents, wanted).join(wanted, "doc_id", "left_semi"))
     sized = attached.join(sets.groupBy(F.col("doc_id").alias("d")).agg(F.min(F.size("set")).alias("n")), "d")
+    tidy(documents.sparkSession)
     of = stored(sized.groupBy("g").agg(F.max_by("d", F.when(F.col("c") == F.col("g"), F.struct("times", -F.col("n"), -F.col("d")))).alias("p"), F.min("n").alias("least"), F.count("*").alias("size")))
     # a group's pivot set is laid out once for every GROUP of its classes, so that a large group fills many tasks
     parts = F.ceil(F.col("size") / GROUP).cast("int")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bounded_rows, crc_mod, labelled, map_batches, sample_by_hash
+from quarry.llm.common import bounded_rows, crc_mod, labelled, map_batches, sample_by_hash, tidy
 from quarry.llm.kernel import Kernel, ngrams, slices
 
 BITS = 19
@@ -121,7 +121,10 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality", held_
         rows.append((r["label"], r["buckets"], r["counts"]))
     rows.sort()
     docs = [(np.frombuffer(b, np.int32), np.frombuffer(c, np.int32) / np.float32(max(1, np.frombuffer(c, np.int32).sum()))) for _, b, c in rows]
-    return fit_arrays([(b, c.astype(np.float32)) for b, c in docs], np.array([x[0] for x in rows]), sizes)
+    model = fit_arrays([(b, c.astype(np.float32)) for b, c in docs], np.array([x[0] for x in rows]), sizes)
+    del docs, rows
+    tidy(documents.sparkSession)
+    return model
 
 
 def score(documents: DataFrame, model: QualityModel, held_out_mod: int = 3, held_out_rest: int = 1) -> DataFrame:

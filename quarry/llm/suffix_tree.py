@@ -12,7 +12,6 @@ Defined cases: null and empty texts are one end mark; with no training documents
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
@@ -24,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import crc_mod, map_batches, trim
+from quarry.llm.common import crc_mod, map_batches, tidy, trim
 from quarry.llm.kernel import Kernel, Table, mix, slices
 from quarry.session import stored
 
@@ -358,20 +357,14 @@ def weights(documents: DataFrame, counts: DataFrame, stats: dict, depth: int = D
     level = level.unionByName(start)
     for length in range(2, depth + 2) if n else ():
         rows = stored(pair_counts(documents, Filter(level), length, least))
-        free_shuffles(spark)
+        tidy(spark)
         done = stored(judged(with_lower(rows, level, length), level))
-        free_shuffles(spark)
+        tidy(spark)
         level = done.where("q >= 0").select("key", "c", "q")
         parts.append(done.where("w <> 0").select("key", "c", "w"))
     return stored(reduce(DataFrame.unionByName, parts).groupBy("key").agg(F.max("c").alias("c"), F.sum("w").alias("w")))
 
 
-def free_shuffles(spark) -> None:
-    """Lets Spark drop the files of shuffles that are over: it does so once the driver's JVM has collected its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def hot_from(counts: DataFrame, most: int = HOT) -> int:
     """The least count with at most `most` rows from there on."""
     histogram = counts.groupBy(F.floor(F.log2("c")).cast("int").alias("b")).count().collect()  # 64 rows at most
@@ -400,7 +393,7 @@ def score(documents: DataFrame, held_out_mod: int = 7, held_out_rest: int = 2, d
     weighted = weights(trained, counts, stats, depth, p_min)
     hot_h, hot_c = hot_rows(counts, hot_from(counts, hot), "c")
     common = hot_from(weighted, hot)
-    free_shuffles(spark)
+    tidy(spark)
     shared = spark.sparkContext.broadcast((hot_h, hot_c, *hot_rows(weighted, common, "w"), Filter(weighted)))
     n, v, u = stats["n"], stats["v"], stats["u"]
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bounded_rows, crc_mod, filter_batches, labelled, map_batches, sample_by_hash
+from quarry.llm.common import bounded_rows, crc_mod, filter_batches, labelled, map_batches, sample_by_hash, tidy
 from quarry.llm.kernel import Kernel, ngrams, slices
 
 BUCKET_BITS = 20
@@ -123,7 +123,10 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", held_ou
     if not docs:
         return fit_arrays([], np.zeros(0), sizes)
     order = sorted(range(len(docs)), key=lambda i: (y[i], docs[i].tobytes()))  # the same model whatever the partitioning
-    return fit_arrays([docs[i] for i in order], np.array([y[i] for i in order], dtype=float), sizes)
+    model = fit_arrays([docs[i] for i in order], np.array([y[i] for i in order], dtype=float), sizes)
+    del docs, r
+    tidy(documents.sparkSession)
+    return model
 
 
 def score(documents: DataFrame, model: ToxicityModel, held_out_mod: int = 5, held_out_rest: int = 0) -> DataFrame:
