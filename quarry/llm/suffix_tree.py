@@ -226,13 +226,18 @@ def sequences(h: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.nd
 
 
 class Filter:
-    """Bit table of a stored table's keys: has() is true for all of them, and for few others while they are fewer than its bits."""
+    """Bit table of keys: has() is true for all of them, and for few others while they are fewer than its bits. words: word (its place), bits; one row for each place at most."""
 
-    def __init__(self, keys: DataFrame) -> None:
-        bit = F.shiftrightunsigned("key", 64 - FILTER_BITS)
-        words = keys.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))).alias("bits")).toArrow()  # at most 2^(FILTER_BITS - 6) rows
+    def __init__(self, words: DataFrame) -> None:
+        got = words.toArrow()  # at most 2^(FILTER_BITS - 6) rows
         self.words = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-        self.words[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+        self.words[got["word"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
+
+    @classmethod
+    def of(cls, keys: DataFrame) -> Filter:
+        """The keys of a stored table."""
+        bit = F.shiftrightunsigned("key", 64 - FILTER_BITS)
+        return cls(keys.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))).alias("bits")))
 
     def has(self, keys: np.ndarray) -> np.ndarray:
         bit = keys >> np.uint64(64 - FILTER_BITS)
@@ -261,9 +266,71 @@ def joined_key(prefix: np.ndarray, suffix: np.ndarray, length: int) -> np.ndarra
     return mix(prefix.view(np.uint64) * np.uint64(0x9FB21C651E98DF25) + mix(suffix.view(np.uint64) + np.uint64(length)))
 
 
+def candidates(slices_: Iterator, length: int, shorter: Filter) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Keys, prefixes and suffixes of the sequences of this length whose parts may be in the tree, by slices."""
+    for _, _, h, at in slices_:
+        _, key, prefix, suffix = next(islice(sequences(h, at), length - 1, None))
+        ok = shorter.has(prefix)
+        ok[ok] = shorter.has(suffix[ok])
+        yield key[ok], prefix[ok], suffix[ok]
+
+
+def repeated(documents: DataFrame, shorter: Filter, length: int) -> Filter:
+    """A filter of the sequences of this length that may occur twice: it lets through all that do.
+
+    Tasks send 32 bits of each key that they see, sorted and by ranges of keys, with those that they see twice marked; a range's bits meet, and those that come twice or are marked set their place in the filter. Equal bits of different keys let more through, never less.
+    """
+    spark = documents.sparkSession
+    shared = spark.sparkContext.broadcast(shorter)
+    bits = min(16, max(1, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()))  # of a range's number
+
+    def make():
+        kernel = Kernel()
+
+        def sent(parts: list) -> dict:
+            key, c = np.unique(np.concatenate(parts), return_counts=True)
+            cut = np.searchsorted(key >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+            short = ((key << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
+            own = [i for i in range(1 << bits) if cut[i + 1] > cut[i]]
+            pick = lambda i, m: short[cut[i] : cut[i + 1]][m[cut[i] : cut[i + 1]]].tobytes()
+            return {"range": pa.array(own, pa.int32()), "once": pa.array([pick(i, c == 1) for i in own], pa.binary()), "more": pa.array([pick(i, c > 1) for i in own], pa.binary())}
+
+        def step(batch: pa.RecordBatch) -> Iterator[dict]:
+            parts, held = [], 0
+            for key, _, _ in candidates(tokens(batch["text"], kernel), length, shared.value):
+                parts.append(key)
+                held += len(key)
+                if held > 1 << 21:
+                    yield sent(parts)
+                    parts, held = [], 0
+            if held:
+                yield sent(parts)
+
+        return step
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
+        by_range: dict[int, list] = {}
+        for b in batches:
+            for i, once, more in zip(b["range"].to_pylist(), b["once"].to_pylist(), b["more"].to_pylist()):
+                by_range.setdefault(i, []).append((once, more))
+        for i, blobs in by_range.items():
+            once = np.sort(np.concatenate([np.frombuffer(x, np.uint32) for x, _ in blobs]))
+            marked = np.unique(np.concatenate([once[1:][once[1:] == once[:-1]], *(np.frombuffer(x, np.uint32) for _, x in blobs)]))
+            top = (np.uint64(i) << np.uint64(64 - bits)) | (marked.astype(np.uint64) << np.uint64(32 - bits))
+            bit = np.unique(top >> np.uint64(64 - FILTER_BITS))
+            word, start = np.unique(bit >> np.uint64(6), return_index=True)
+            if len(word):
+                yield pa.RecordBatch.from_pydict({"word": pa.array(word.astype(np.int64)), "bits": pa.array(np.bitwise_or.reduceat(np.uint64(1) << (bit & np.uint64(63)), start).view(np.int64))})
+        trim()
+
+    rows = map_batches(documents.select("text"), make, "range int, once binary, more binary")
+    return Filter(rows.repartition(1 << bits, "range").mapInArrow(met, "word long, bits long"))
+
+
 def pair_counts(documents: DataFrame, shorter: Filter, length: int, least: float) -> DataFrame:
-    """(prefix, suffix, c) of the sequences of this length that occur so often and whose parts are in the tree."""
-    shared = documents.sparkSession.sparkContext.broadcast(shorter)
+    """(prefix, suffix, c) of the sequences of this length that occur so often and whose parts are in the tree. Most of those that occur once are left out before the shuffle by repeated()."""
+    shared = documents.sparkSession.sparkContext.broadcast((shorter, repeated(documents, shorter, length)))
 
     def make():
         kernel = Kernel()
@@ -275,10 +342,9 @@ def pair_counts(documents: DataFrame, shorter: Filter, length: int, least: float
 
         def step(batch: pa.RecordBatch) -> Iterator[dict]:
             parts, held = [], 0
-            for _, _, h, at in tokens(batch["text"], kernel):
-                _, key, prefix, suffix = next(islice(sequences(h, at), length - 1, None))
-                ok = shared.value.has(prefix)
-                ok[ok] = shared.value.has(suffix[ok])
+            shorter, often = shared.value
+            for key, prefix, suffix in candidates(tokens(batch["text"], kernel), length, shorter):
+                ok = often.has(key)
                 parts.append((key[ok], prefix[ok], suffix[ok]))
                 held += len(parts[-1][0])
                 if held > 1 << 21:
@@ -356,7 +422,7 @@ def weights(documents: DataFrame, counts: DataFrame, stats: dict, depth: int = D
     start = spark.createDataFrame([(int(START.view(np.int64)), documents.count(), 1.0)], "key long, c long, q double")
     level = level.unionByName(start)
     for length in range(2, depth + 2) if n else ():
-        rows = stored(pair_counts(documents, Filter(level), length, least))
+        rows = stored(pair_counts(documents, Filter.of(level), length, least))
         tidy(spark)
         done = stored(judged(with_lower(rows, level, length), level))
         tidy(spark)
@@ -394,7 +460,7 @@ def score(documents: DataFrame, held_out_mod: int = 7, held_out_rest: int = 2, d
     hot_h, hot_c = hot_rows(counts, hot_from(counts, hot), "c")
     common = hot_from(weighted, hot)
     tidy(spark)
-    shared = spark.sparkContext.broadcast((hot_h, hot_c, *hot_rows(weighted, common, "w"), Filter(weighted)))
+    shared = spark.sparkContext.broadcast((hot_h, hot_c, *hot_rows(weighted, common, "w"), Filter.of(weighted)))
     n, v, u = stats["n"], stats["v"], stats["u"]
 
     def make():
