@@ -325,7 +325,11 @@ def repeated(documents: DataFrame, shorter: Filter, length: int) -> Filter:
         trim()
 
     rows = map_batches(documents.select("text"), make, "range int, once binary, more binary")
-    return Filter(rows.repartition(1 << bits, "range").mapInArrow(met, "word long, bits long"))
+    out = Filter(rows.repartition(1 << bits, "range").mapInArrow(met, "word long, bits long"))
+    shared.unpersist()
+    del rows
+    tidy(spark)  # the shuffle's files go before the counts' are written
+    return out
 
 
 def pair_counts(documents: DataFrame, shorter: Filter, length: int, least: float) -> DataFrame:
