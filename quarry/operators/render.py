@@ -88,9 +88,10 @@ def grade_reply(text: Column) -> Column:
     return F.struct(F.when(ok, whole).alias("grade"), F.when(ok, get("confidence")).otherwise("low").alias("confidence"), F.when(ok, F.substring(collapse(get("reason")), 1, 240)).otherwise(failure).alias("reason"), failure.alias("failure"))
 
 
-def hypothetical(reply: Column, least: int = 30, most: int = 800) -> Column:
-    """A prose reply without its quotes if its length is plausible, else ''."""
-    t = F.trim(F.regexp_replace(F.trim(F.coalesce(reply, F.lit(""))), '^"+|"+$', ""))
+def hypothetical(reply: Column, least: int = 30, most: int = 800, quoted: bool = True) -> Column:
+    """A prose reply without its quotes if its length is plausible, else ''. quoted=False: quotes at the ends belong to the text."""
+    t = F.trim(F.coalesce(reply, F.lit("")))
+    t = F.trim(F.regexp_replace(t, '^"+|"+$', "")) if quoted else t
     return F.when(F.length(t).between(least, most), t).otherwise("")
 
 

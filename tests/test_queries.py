@@ -39,6 +39,14 @@ def test_query(name, spark, duck):
         assert len(mine) > 0
 
 
+def test_a_text_keeps_quotes_that_are_its_own(spark, tmp_path):
+    texts = ['said at the end: token = "9f14a7029c8514df"', '"So it begins," said nobody to no one in there', '  ' + "x" * 28 + '""  ', '"' + "y" * 799 + '"', "short", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert rows(Q["hypothetical_documents"](spark, str(tmp_path)).toPandas()) == rows(con.sql(SQL["hypothetical_documents"]).df())
+
+
 def test_entry(spark):
     import __spark_entry__
 
