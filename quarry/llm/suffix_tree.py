@@ -5,7 +5,7 @@ A context is retained if a divergence test finds that its next-symbol distributi
 A token is scored in the longest retained state of its past.
 
 All suffixes and prefixes of a sequence in the tree are in the tree, so a document's score is a sum over its sequences: the root's log P of each token, and for each sequence x in the tree a weight, log P(x) - log P(suffix of x) - B(prefix of x) if its prefix is retained, plus B(x), the log weight of the suffix in x if x is retained as a context.
-Counts and weights are stored tables that meet documents in joins by key, 64-bit hashes of the sequences. Counts of the K most frequent tokens and weights of the K most frequent sequences are broadcast (K = 2^22 at most, by a threshold over a histogram of 64 numbers), and a bit table of fixed size, which spares sequences that can't be in a table the shuffle.
+Counts and weights are stored tables that meet documents in joins by key, 64-bit hashes of the sequences. Counts of the K most frequent tokens and weights of the K most frequent sequences are broadcast (K = 2^22 at most, by a threshold over a histogram of 128 numbers), and a bit table of fixed size, which spares sequences that can't be in a table the shuffle.
 
 Defined cases: null and empty texts are one end mark; with no training documents every token is unknown with probability 1; repeated rows are scored each; an empty table gives no rows; other columns are not read.
 """
@@ -15,17 +15,17 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.common import crc_mod, map_batches, tidy, trim
 from quarry.llm.kernel import Kernel, Table, mix, slices
-from quarry.session import stored
+from quarry.session import drop_stored, stored
 
 END = np.uint64(0x5851F42D4C957F2D)
 START = np.uint64(0x14057B7EF767814F)
@@ -33,6 +33,7 @@ LEAST = 2
 DEPTH = 3
 FILTER_BITS = 27
 HOT = 1 << 22
+FINE = 64  # counts below are told apart where HOT cuts
 COST = 3.0  # nats that each parameter of a retained context must save
 
 
@@ -244,21 +245,79 @@ class Filter:
         return (self.words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) > 0
 
 
-def together(df: DataFrame, keys: list[str], make: Callable[[dict], dict], schema: str) -> DataFrame:
-    """make() of the columns of all rows of a partition, after rows with equal keys have been brought together."""
+def kind(column: str) -> type:
+    """What a column's values are while they are bytes."""
+    return np.float64 if column in ("q", "w") else np.int64
+
+
+def range_bits(spark: SparkSession) -> int:
+    """Bits of a range's number: about as many ranges as shuffle partitions."""
+    return min(16, max(1, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()))
+
+
+def deal(rows: dict[str, np.ndarray], by: np.ndarray, bits: int) -> dict:
+    """Columns as bytes, one row for each range of the hash `by`, sorted by it: a shuffle moves few rows, and equal hashes compress."""
+    by = by.view(np.uint64)
+    order = np.argsort(by)
+    cut = np.searchsorted(by[order] >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+    own = np.flatnonzero(np.diff(cut))
+    out = {"range": pa.array(own.astype(np.int32))}
+    for name, v in rows.items():
+        v = v[order].view(kind(name))
+        out[name] = pa.array([v[cut[i] : cut[i + 1]].tobytes() for i in own], pa.binary())
+    return out
+
+
+def dealt_schema(columns: list[str]) -> str:
+    return ", ".join(["range int", *(f"{c} binary" for c in columns)])
+
+
+def dealt(df: DataFrame, by: str, bits: int) -> DataFrame:
+    """The rows of a table as deal() packs them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in chain(batches, (None,)):
+            if batch is not None:
+                held.append(batch)
+                n += batch.num_rows
+            if n and (batch is None or n > 1 << 20):
+                rows = pa.Table.from_batches(held)
+                yield pa.RecordBatch.from_pydict(deal({c: rows[c].to_numpy() for c in rows.column_names}, rows[by].to_numpy(), bits))
+                held, n = [], 0
+        trim()
+
+    return df.mapInArrow(run, dealt_schema(df.columns))
+
+
+def met(df: DataFrame, make: Callable[[dict], dict], out: str, by: str | None, bits: int) -> DataFrame:
+    """make() of the columns of all rows of each range. out: the schema of what it gives, which is packed again by ranges of the column `by`, or given as rows without one."""
+    names, columns = [c.split()[0] for c in out.split(", ")], df.columns[1:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trim()
-        parts = [b for b in batches if b.num_rows]
-        if parts:
-            rows = pa.Table.from_batches(parts)
-            del parts
-            out = pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in make({x: rows[x].to_numpy() for x in rows.column_names}).items()})
-            del rows
-            yield from (out.slice(i, 1 << 16) for i in range(0, out.num_rows, 1 << 16))
+        ranges: dict[int, list] = {}
+        for b in batches:
+            for r in b.to_pylist():
+                ranges.setdefault(r.pop("range"), []).append(r)
+        held, n = [], 0
+        while ranges or n:
+            if ranges:
+                parts = ranges.popitem()[1]
+                held.append(make({c: np.concatenate([np.zeros(0, kind(c)), *(np.frombuffer(p[c], kind(c)) for p in parts if p[c] is not None)]) for c in columns}))
+                n += len(held[-1][names[0]])
+                del parts
+            if n and (not ranges or n > 1 << 20):
+                rows = {c: np.concatenate([x[c] for x in held]) for c in names}
+                held, n = [], 0
+                if by is not None:
+                    yield pa.RecordBatch.from_pydict(deal(rows, rows[by], bits))
+                else:
+                    batch = pa.RecordBatch.from_pydict({c: pa.array(v) for c, v in rows.items()})
+                    yield from (batch.slice(i, 1 << 16) for i in range(0, batch.num_rows, 1 << 16))
         trim()
 
-    return df.repartition(*keys).mapInArrow(run, schema)
+    return df.repartition("range").mapInArrow(run, out if by is None else dealt_schema(names))
 
 
 def joined_key(prefix: np.ndarray, suffix: np.ndarray, length: int) -> np.ndarray:
@@ -282,7 +341,7 @@ def repeated(documents: DataFrame, shorter: Filter, length: int) -> Filter:
     """
     spark = documents.sparkSession
     shared = spark.sparkContext.broadcast(shorter)
-    bits = min(16, max(1, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()))  # of a range's number
+    bits = range_bits(spark)
 
     def make():
         kernel = Kernel()
@@ -308,7 +367,7 @@ def repeated(documents: DataFrame, shorter: Filter, length: int) -> Filter:
 
         return step
 
-    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trim()
         by_range: dict[int, list] = {}
         for b in batches:
@@ -325,7 +384,7 @@ def repeated(documents: DataFrame, shorter: Filter, length: int) -> Filter:
         trim()
 
     rows = map_batches(documents.select("text"), make, "range int, once binary, more binary")
-    out = Filter(rows.repartition(1 << bits, "range").mapInArrow(met, "word long, bits long"))
+    out = Filter(rows.repartition("range").mapInArrow(marks, "word long, bits long"))
     shared.unpersist()
     del rows
     tidy(spark)  # the shuffle's files go before the counts' are written
@@ -333,16 +392,18 @@ def repeated(documents: DataFrame, shorter: Filter, length: int) -> Filter:
 
 
 def pair_counts(documents: DataFrame, shorter: Filter, length: int, least: float) -> DataFrame:
-    """(prefix, suffix, c) of the sequences of this length that occur so often and whose parts are in the tree. Most of those that occur once are left out before the shuffle by repeated()."""
-    shared = documents.sparkSession.sparkContext.broadcast((shorter, repeated(documents, shorter, length)))
+    """Packed (at, prefix, c), by ranges of at, the suffix: the sequences of this length that occur so often and whose parts are in the tree. Most of those that occur once are left out before the shuffle by repeated()."""
+    spark = documents.sparkSession
+    bits = range_bits(spark)
+    shared = spark.sparkContext.broadcast((shorter, repeated(documents, shorter, length)))
 
     def make():
         kernel = Kernel()
 
         def counted(parts: list) -> dict:
             key, prefix, suffix = (np.concatenate(x) for x in zip(*parts))
-            _, first, c = np.unique(key, return_index=True, return_counts=True)
-            return {"prefix": pa.array(prefix[first].view(np.int64)), "suffix": pa.array(suffix[first].view(np.int64)), "c": pa.array(c)}
+            key, first, c = np.unique(key, return_index=True, return_counts=True)
+            return deal({"prefix": prefix[first], "suffix": suffix[first], "c": c}, key, bits)
 
         def step(batch: pa.RecordBatch) -> Iterator[dict]:
             parts, held = [], 0
@@ -362,43 +423,42 @@ def pair_counts(documents: DataFrame, shorter: Filter, length: int, least: float
     def summed(rows: dict) -> dict:
         key = joined_key(rows["prefix"], rows["suffix"], length)
         order = np.argsort(key)
-        start = np.flatnonzero(np.append(True, np.diff(key[order]) != 0))
-        c = np.add.reduceat(rows["c"][order], start)
+        start = np.flatnonzero(np.append(True, np.diff(key[order]) != 0)) if len(key) else np.zeros(0, np.int64)
+        c = np.add.reduceat(rows["c"][order], start) if len(key) else rows["c"]
         often = np.flatnonzero(c >= least)
         at = order[start[often]]
-        return {"prefix": rows["prefix"][at], "suffix": rows["suffix"][at], "c": c[often]}
+        return {"at": rows["suffix"][at], "prefix": rows["prefix"][at], "c": c[often]}
+
+    return met(map_batches(documents.select("text"), make, dealt_schema(["prefix", "suffix", "c"])), summed, "at long, prefix long, c long", "at", bits)
 
-    schema = "prefix long, suffix long, c long"
-    return together(map_batches(documents.select("text"), make, schema), ["prefix", "suffix"], summed, schema)
 
+def with_level(rows: DataFrame, level: DataFrame, value: str, bits: int) -> DataFrame:
+    """Packed rows and beside them packed (k, the value) of the level's sequences, by ranges of their keys."""
+    return rows.unionByName(dealt(level.select(F.col("key").alias("k"), value), "k", bits), allowMissingColumns=True)
 
-def with_lower(rows: DataFrame, level: DataFrame, length: int) -> DataFrame:
-    """(at, key, c, q): prefix, key and count of each sequence, and P of its last symbol after its suffix's past."""
+
+def with_lower(rows: DataFrame, level: DataFrame, length: int, bits: int) -> DataFrame:
+    """Packed (at, key, c, q), by ranges of at: prefix, key and count of each sequence, and P of its last symbol after its suffix's past."""
 
     def found(rows: dict) -> dict:
-        own = rows["c"] > 0
-        known = np.flatnonzero(~own)
-        known = known[np.argsort(rows["at"][known])]
-        at = lookup(rows["at"][known], rows["at"][own])
-        own = np.flatnonzero(own)[at >= 0]  # all but those that only the filter let through
+        order = np.argsort(rows["k"])
+        at = lookup(rows["k"][order], rows["at"])
+        own = np.flatnonzero(at >= 0)  # all but those that only the filter let through
         prefix = rows["prefix"][own]
-        return {"at": prefix, "key": joined_key(prefix, rows["at"][own], length).view(np.int64), "c": rows["c"][own], "q": rows["q"][known[at[at >= 0]]]}
+        return {"at": prefix, "key": joined_key(prefix, rows["at"][own], length).view(np.int64), "c": rows["c"][own], "q": rows["q"][order[at[own]]]}
 
-    both = rows.select(F.col("suffix").alias("at"), "prefix", "c", F.lit(-1.0).alias("q")).unionByName(level.select(F.col("key").alias("at"), F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("c"), "q"))
-    return together(both, ["at"], found, "at long, key long, c long, q double")
+    return met(with_level(rows, level, "q", bits), found, "at long, key long, c long, q double", "at", bits)
 
 
-def judged(rows: DataFrame, level: DataFrame) -> DataFrame:
+def judged(rows: DataFrame, level: DataFrame, bits: int) -> DataFrame:
     """(key, c, q, w): the sequences with P of their last symbol and their weights; and the retained contexts with q = -1."""
 
     def test(rows: dict) -> dict:
-        own = rows["q"] >= 0
-        at, n = rows["at"][~own], rows["c"][~own]
-        order = np.argsort(at)
-        at, n = at[order], n[order].astype(float)
-        of = lookup(at, rows["at"][own])
-        own = np.flatnonzero(own)[of >= 0]
-        of = of[of >= 0]
+        order = np.argsort(rows["k"])
+        at, n = rows["k"][order], rows["n"][order].astype(float)
+        of = lookup(at, rows["at"])
+        own = np.flatnonzero(of >= 0)
+        of = of[own]
         c, lower = rows["c"][own], rows["q"][own]
         kept, kinds = np.bincount(of, c, len(at)), np.bincount(of, minlength=len(at)).astype(float)
         back = (np.maximum(n - kept, 0) + kinds) / np.maximum(n + kinds, 1)
@@ -413,36 +473,39 @@ def judged(rows: DataFrame, level: DataFrame) -> DataFrame:
             "q": np.concatenate([np.where(retained[of], p, lower), np.full(retained.sum(), -1.0)]), "w": np.concatenate([w, log_back[retained]]),
         }
 
-    both = rows.unionByName(level.select(F.col("key").alias("at"), F.lit(0).cast("long").alias("key"), "c", F.lit(-1.0).alias("q")))
-    return together(both, ["at"], test, "key long, c long, q double, w double")
+    return met(with_level(rows, level.withColumnRenamed("c", "n"), "n", bits), test, "key long, c long, q double, w double", None, bits)
 
 
 def weights(documents: DataFrame, counts: DataFrame, stats: dict, depth: int = DEPTH, p_min: float = 0.0) -> DataFrame:
     """Stored (key, c, w): count and weight of every sequence of the tree whose weight isn't 0. documents: the training rows."""
     spark, n = documents.sparkSession, stats["n"]
-    parts = [spark.createDataFrame([], "key long, c long, w double")]
+    parts, tables, bits = [spark.createDataFrame([], "key long, c long, w double")], [], range_bits(spark)
     least = max(LEAST, p_min * n)
     level = counts.where((F.col("c") >= least) | (F.col("key") == F.lit(int(END.view(np.int64))))).select("key", "c", (F.col("c") * F.lit((1 - stats["u"]) / max(n, 1))).alias("q"))
     start = spark.createDataFrame([(int(START.view(np.int64)), documents.count(), 1.0)], "key long, c long, q double")
     level = level.unionByName(start)
     for length in range(2, depth + 2) if n else ():
-        rows = stored(pair_counts(documents, Filter.of(level), length, least))
-        tidy(spark)
-        done = stored(judged(with_lower(rows, level, length), level))
-        tidy(spark)
+        done = stored(judged(with_lower(pair_counts(documents, Filter.of(level), length, least), level, length, bits), level, bits))
+        tables.append(done)
+        tidy(spark)  # the files of its shuffles
         level = done.where("q >= 0").select("key", "c", "q")
         parts.append(done.where("w <> 0").select("key", "c", "w"))
-    return stored(reduce(DataFrame.unionByName, parts).groupBy("key").agg(F.max("c").alias("c"), F.sum("w").alias("w")))
+    out = stored(reduce(DataFrame.unionByName, parts).groupBy("key").agg(F.max("c").alias("c"), F.sum("w").alias("w")))
+    for done in tables:
+        drop_stored(done)
+    tidy(spark)
+    return out
 
 
 def hot_from(counts: DataFrame, most: int = HOT) -> int:
     """The least count with at most `most` rows from there on."""
-    histogram = counts.groupBy(F.floor(F.log2("c")).cast("int").alias("b")).count().collect()  # 64 rows at most
+    low = F.when(F.col("c") < FINE, F.col("c")).otherwise(F.expr("shiftleft(1L, cast(floor(log2(c)) as int))"))
+    histogram = counts.groupBy(low.alias("b")).count().collect()  # FINE + 64 rows at most
     kept, least = 0, 1 << 62
     for b, k in sorted(((r[0], r[1]) for r in histogram), reverse=True):
         if kept + k > most:
             break
-        kept, least = kept + k, 1 << b
+        kept, least = kept + k, b
     return least
 
 
@@ -454,6 +517,29 @@ def hot_rows(counts: DataFrame, least: int, value: str) -> tuple[np.ndarray, np.
     return h[order], c[order]
 
 
+def rare_sums(scored: DataFrame, weighted: DataFrame) -> DataFrame:
+    """(row, w): sums of the weights of rows' keys (row, grams), a few for each row. Keys and weights meet by ranges of keys."""
+    bits = range_bits(scored.sparkSession)
+
+    def make():
+        def step(batch: pa.RecordBatch) -> dict | None:
+            grams = batch["grams"]
+            row = np.repeat(batch["row"].to_numpy(), grams.value_lengths().to_numpy())
+            key = grams.flatten().to_numpy()
+            return deal({"row": row, "key": key}, key, bits) if len(key) else None
+
+        return step
+
+    def summed(rows: dict) -> dict:
+        order = np.argsort(rows["k"])
+        at = lookup(rows["k"][order], rows["key"])
+        own = np.flatnonzero(at >= 0)
+        row, to = np.unique(rows["row"][own], return_inverse=True)
+        return {"row": row, "w": np.bincount(to, rows["w"][order[at[own]]], len(row))}
+
+    return met(with_level(map_batches(scored.select("row", "grams"), make, dealt_schema(["row", "key"])), weighted, "w", bits), summed, "row long, w double", None, bits)
+
+
 def score(documents: DataFrame, held_out_mod: int = 7, held_out_rest: int = 2, depth: int = DEPTH, p_min: float = 0.0, hot: int = HOT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
     spark = documents.sparkSession
@@ -515,7 +601,7 @@ def score(documents: DataFrame, held_out_mod: int = 7, held_out_rest: int = 2, d
         F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 1)).alias("more_base"),
         F.sum(F.col("times") * F.when(F.col("c").isNull(), F.lit(float(np.log10(u)))).otherwise(F.log10(F.col("c") * F.lit((1 - u) / max(n, 1)) + F.lit(0.0)))).alias("more_model"),
     )
-    rare = scored.select("row", F.explode("grams").alias("key")).join(weighted.where(F.col("c") < common), "key").groupBy("row").agg((F.sum("w") / float(np.log(10))).alias("rare_model"))
+    rare = rare_sums(scored, weighted.where(F.col("c") < common)).groupBy("row").agg((F.sum("w") / float(np.log(10))).alias("rare_model"))
     none = F.lit(0)
     return scored.drop("tail", "grams").join(rest, "row", "left").join(rare, "row", "left").select(
         "doc_id",

@@ -278,6 +278,19 @@ def brute_language_model(train, depth=suffix_tree.DEPTH, least=suffix_tree.LEAST
     return score
 
 
+def test_weights_leave_one_table(spark):
+    import os
+
+    from quarry.session import checkpoint_root
+
+    folder = checkpoint_root(spark).removeprefix("file://")
+    docs = spark.createDataFrame([(i, "a b c d a b c d e f") for i in range(20)], "doc_id long, text string")
+    counts, stats = suffix_tree.root(docs)
+    before = set(os.listdir(folder))
+    out = suffix_tree.weights(docs, counts, stats)
+    assert set(os.listdir(folder)) - before == {os.path.basename(out.scratch_path)} and out.count() > 0
+
+
 def test_language_model_scores(spark):
     rng = np.random.default_rng(11)
     rows = [(i, " ".join(("a b c" if rng.random() < 0.6 else "d E") if rng.random() < 0.7 else f"u{rng.integers(0, 40)}" for _ in range(int(rng.integers(0, 40))))) for i in range(150)]
