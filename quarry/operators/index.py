@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,10 +15,35 @@ from quarry.session import scratch, stored
 
 
 def postings_of(df: DataFrame, id_: str, fields: dict[str, Column]) -> DataFrame:
-    """(field, term, id, dl, tf) of the given text of each field."""
-    named = df.select(F.col(id_).alias("id"), F.explode(F.array(*[F.struct(F.lit(n).alias("field"), tokens(c).alias("toks")) for n, c in fields.items()])).alias("f")).select("id", "f.field", "f.toks")
-    words = named.select("field", "id", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
-    return words.groupBy("field", "term", "id", "dl").agg(F.count("*").alias("tf"))
+    """(field, term, id, dl, tf) of the given text of each field. A row's terms are counted where it is read; only ids that repeat meet by a shuffle."""
+    named = df.select(F.col(id_).alias("id"), *[tokens(c).alias(n) for n, c in fields.items()])
+    schema = f"field string, term string, id {named.schema['id'].dataType.simpleString()}, dl int, tf long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.schema.names[1:]:
+                size = batch[name].value_lengths().fill_null(0).to_numpy()
+                words = batch[name].flatten().dictionary_encode()
+                if not len(words):
+                    continue
+                kinds = len(words.dictionary)
+                key, tf = np.unique(np.repeat(np.arange(len(size)), size) * kinds + words.indices.to_numpy(), return_counts=True)
+                for i in range(0, len(key), 1 << 16):
+                    row, code = np.divmod(key[i : i + (1 << 16)], kinds)
+                    yield pa.RecordBatch.from_pydict({"field": pa.array([name]).take(pa.array(np.zeros(len(row), np.int64))), "term": words.dictionary.take(pa.array(code)), "id": batch["id"].take(pa.array(row)), "dl": pa.array(size[row].astype(np.int32)), "tf": pa.array(tf[i : i + (1 << 16)])})
+
+    postings = named.mapInArrow(run, schema)
+    if df.groupBy(F.col(id_)).count().where("count > 1").isEmpty():
+        return postings
+    return postings.groupBy("field", "term", "id", "dl").agg(F.sum("tf").alias("tf"))
+
+
+SPREAD = 16  # tasks of a frequent term
+
+
+def laid(postings: DataFrame) -> DataFrame:
+    """Postings as they are stored: dealt by term, a frequent term to several tasks, and sorted by term, so that a query's terms prune pages."""
+    return postings.repartition("term", F.pmod(F.xxhash64("id"), F.lit(SPREAD))).sortWithinPartitions("term")
 
 
 class TextIndex:
@@ -26,7 +55,7 @@ class TextIndex:
     @staticmethod
     def build(df: DataFrame, id_: str, fields: dict[str, Column]) -> TextIndex:
         """Indexes the given text of each field. Texts are tokenised once, for the postings, which are stored; all statistics come from these and from the number of rows."""
-        postings = stored(postings_of(df, id_, fields))
+        postings = stored(laid(postings_of(df, id_, fields)))
         frame = df.agg(F.count("*").alias("n")).select(F.explode(F.array(*[F.lit(n) for n in fields])).alias("field"), "n")
         lengths = frame.join(postings.groupBy("field").agg(F.sum("tf").alias("total")), "field", "left")
         return TextIndex.counted(postings, lengths, postings.groupBy("field", "term").agg(F.count("*").alias("n_docs")))
@@ -42,8 +71,8 @@ class TextIndex:
         return TextIndex(postings, stats, terms)
 
     def write(self, path: str) -> None:
-        """Postings are dealt and sorted by ranges of (term, id): a query's terms prune files and row groups, and a frequent term fills several tasks."""
-        self.postings.repartitionByRange("term", "id").sortWithinPartitions("term").write.parquet(f"{path}/postings")
+        """Postings are laid() out, terms sorted: a query's terms prune what is read, and a frequent term fills several tasks."""
+        laid(self.postings).write.parquet(f"{path}/postings")
         self.fields.write.parquet(f"{path}/fields")
         self.terms.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/terms")
 
@@ -52,7 +81,9 @@ class TextIndex:
         return TextIndex(*(spark.read.parquet(f"{path}/{n}") for n in ("postings", "fields", "terms")))
 
     def stored(self) -> TextIndex:
-        """The index as tables in the shared scratch folder, to be queried many times."""
+        """The index as tables in the shared scratch folder, to be queried many times. Postings that build() has stored there are not written again."""
+        if hasattr(self.postings, "scratch_path"):
+            return TextIndex(self.postings, stored(self.fields), stored(self.terms.repartitionByRange("term").sortWithinPartitions("term")))
         path = scratch(self.postings.sparkSession)
         self.write(path)
         return TextIndex.read(self.postings.sparkSession, path)

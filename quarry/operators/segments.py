@@ -11,8 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.operators.index import TextIndex, postings_of
-from quarry.session import stored
+from quarry.operators.index import TextIndex, laid, postings_of
 from quarry.sources.versioned import Versions
 
 
@@ -39,8 +38,8 @@ class SegmentedIndex:
         return self.versions.commit(last, {"log": [*self.versions.read(last).get("log", []), entry]})
 
     def _segment(self, ids: DataFrame, postings: DataFrame, path: str) -> None:
-        kept = stored(postings)
-        kept.repartitionByRange("term", "id").sortWithinPartitions("term").write.parquet(f"{path}/postings")
+        laid(postings).write.parquet(f"{path}/postings")
+        kept = self.spark.read.parquet(f"{path}/postings")
         ids.write.parquet(f"{path}/ids")
         kept.groupBy("field", "term").agg(F.count("*").alias("n_docs"), F.sum("tf").alias("total")).write.parquet(f"{path}/counts")
 

@@ -364,3 +364,17 @@ def test_latency_of_large_and_small_groups(spark):
     for r in evaluate.latency(df, "g", "ms").collect():
         v = np.sort(groups[r["g"]])
         assert (r["n"], r["median"], r["p95"], r["least"], r["most"]) == (len(v), pytest.approx(np.median(v), abs=1e-6), pytest.approx(v[round(0.95 * (len(v) - 1))], abs=1e-6), pytest.approx(v[0], abs=1e-6), pytest.approx(v[-1], abs=1e-6))
+
+
+def test_postings_are_counted_where_rows_are_read(spark):
+    from quarry.operators.index import postings_of
+
+    def got(df):
+        return sorted(tuple(r) for r in postings_of(df, "id", {"t": F.col("t"), "u": F.lit("z")}).select("field", "term", "id", "dl", "tf").collect())
+
+    rows = [(1, "a b a"), (2, None), (3, "b")]
+    df = spark.createDataFrame(rows, "id int, t string")
+    assert got(df) == [("t", "a", 1, 3, 2), ("t", "b", 1, 3, 1), ("t", "b", 3, 1, 1), ("u", "z", 1, 1, 1), ("u", "z", 2, 1, 1), ("u", "z", 3, 1, 1)]
+    assert "Exchange" not in postings_of(df, "id", {"t": F.col("t")})._jdf.queryExecution().executedPlan().toString()
+    again = got(spark.createDataFrame([*rows, (1, "a b a")], "id int, t string"))
+    assert ("t", "a", 1, 3, 4) in again and ("u", "z", 1, 1, 2) in again and len(again) == 6
