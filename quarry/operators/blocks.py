@@ -2,7 +2,7 @@
 
 Rows are dealt to blocks of bounded size in an order that the caller names (rows that share words should be neighbours). A term's postings in a block are one stored row with the greatest score they can give. A query's bound in a block is the sum of its terms' greatest scores there, and no row of the block scores more.
 
-A search takes two passes. The first scores, for each query, the blocks of greatest bound, and finds the k-th best score so far. The second scores what is left with a bound of that score at least. Rows of all other blocks score less than k rows do that are known already, so the result is that of scoring everything. Both passes score whole blocks of many queries in one job; what is shuffled are the postings of the chosen blocks.
+A search takes three passes. The first scores, for each query, the blocks of greatest bound, and finds the k-th best score so far; the second does the same with more blocks. The third scores what is left with a bound of that score at least. Rows of all other blocks score less than k rows do that are known already, so the result is that of scoring everything. A pass scores whole blocks of many queries in one job, a block in one place: what is shuffled are the packed postings of the chosen blocks, and of the rows those that reach the score found before.
 
 Vectors go the same way: a block is a run of vectors near one pivot, with a centre and a radius, and no vector v of it has a product with q above q.centre + |q| radius.
 """
@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 from quarry.functions import rules
 from quarry.functions.text import DIGITS
 from quarry.operators.index import TextIndex
-from quarry.session import scratch, stored
+from quarry.session import stored
 
 SLACK = 1e-9  # vectors: bounds and products round differently
+MORE = 8  # how many times more blocks the second pass reads
 UNIT = 10**9  # text scores are added in whole billionths, so that sums don't depend on their order
 
 
@@ -55,48 +56,108 @@ class BlockIndex:
         """rows: id and the columns to keep. Scores are those of TextIndex.search() with these boosts, all fields of a term summed."""
         spark = rows.sparkSession
         dealt = numbered(rows, order, size)
-        table = spark.createDataFrame(list((boosts or rules.FIELD_BOOSTS).items()), "field string, boost double")
-        fields = index.fields.join(F.broadcast(table), "field")  # a row for each field
-        known = index.postings.join(F.broadcast(fields), "field").join(index.terms.select("field", "term", "idf"), ["field", "term"])
-        part = F.col("boost") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-        one = known.groupBy("term", "id").agg(F.round(F.sum(part) * UNIT).cast("long").alias("score")).join(dealt.select("id", "block"), "id")
-        packed = one.groupBy("term", "block").agg(F.array_sort(F.collect_list(F.struct("id", "score"))).alias("p"), F.max("score").alias("most"))  # `size` rows in a group at most
-        path = scratch(spark)
-        sorted_ = packed.select("term", "block", "most", F.size("p").alias("n"), F.col("p.id").alias("ids"), F.col("p.score").alias("scores")).repartitionByRange("term", "block").sortWithinPartitions("term", "block")
-        sorted_.write.parquet(f"{path}/impacts")
-        return BlockIndex(spark.read.parquet(f"{path}/impacts"), dealt)
+        boosts = boosts or rules.FIELD_BOOSTS
+        fields = [(r["field"], boosts[r["field"]], r["avgdl"]) for r in index.fields.collect() if r["field"] in boosts]  # a row for each field
+        if not fields:
+            return BlockIndex(stored(spark.createDataFrame([], "term string, block long, most long, n int, ids array<long>, scores array<long>")), dealt)
+        number = F.create_map(*[F.lit(x) for i, f in enumerate(fields) for x in (f[0], i)])[F.col("field")]
+        own = index.postings.where(number.isNotNull()).select(F.col("id").cast("long").alias("id"), "term", number.alias("f"), F.col("tf").cast("int").alias("tf"), F.col("dl").cast("int").alias("dl")).join(dealt.select("id", "block"), "id")
+
+        def pack(key: tuple, rows: pa.Table) -> pa.Table:
+            """Of a block, one row for each term: its postings by id and field."""
+            words = rows["term"].combine_chunks().dictionary_encode()
+            code = words.indices.to_numpy()
+            at = np.lexsort((rows["f"].to_numpy(), rows["id"].to_numpy(), code))
+            start = np.flatnonzero(np.append(True, np.diff(code[at]) != 0))
+            cut = pa.array(np.append(start, len(at)).astype(np.int32))
+            lists = {f"{c}s": pa.ListArray.from_arrays(cut, pa.array(rows[c].to_numpy()[at])) for c in ("id", "f", "tf", "dl")}
+            return pa.table({"term": words.dictionary.take(pa.array(code[at[start]])), "block": pa.array(np.full(len(start), key[0].as_py())), **lists})
+
+        packed = own.groupBy("block").applyInArrow(pack, "term string, block long, ids array<long>, fs array<int>, tfs array<int>, dls array<int>")
+        idfs = index.terms.groupBy("term").agg(*[F.max(F.when(F.col("field") == f[0], F.col("idf"))).alias(f"idf{i}") for i, f in enumerate(fields)])
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            boost, mean = np.array([f[1] for f in fields], float), np.array([f[2] for f in fields], float)
+            for x in batches:
+                if not x.num_rows:
+                    continue
+                row = np.repeat(np.arange(x.num_rows), x["ids"].value_lengths().to_numpy())
+                ids, f, tf, dl = (x[c].flatten().to_numpy() for c in ("ids", "fs", "tfs", "dls"))
+                idf = np.stack([x[f"idf{i}"].to_numpy(zero_copy_only=False).astype(float) for i in range(len(fields))], axis=1)[row, f]
+                part = boost[f] * idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / mean[f]))
+                start = np.flatnonzero(np.append(True, (np.diff(row) != 0) | (np.diff(ids) != 0)))
+                total = np.add.reduceat(part, start) * UNIT
+                total = np.trunc(total + np.copysign(0.5, total)).astype(np.int64)
+                first = np.flatnonzero(np.append(True, np.diff(row[start]) != 0))
+                cut = pa.array(np.append(first, len(start)).astype(np.int32))
+                yield pa.RecordBatch.from_pydict({"term": x["term"], "block": x["block"], "most": pa.array(np.maximum.reduceat(total, first)), "n": pa.array(np.diff(np.append(first, len(start))).astype(np.int32)), "ids": pa.ListArray.from_arrays(cut, pa.array(ids[start])), "scores": pa.ListArray.from_arrays(cut, pa.array(total))})
+
+        scored = packed.join(idfs, "term").mapInArrow(score, "term string, block long, most long, n int, ids array<long>, scores array<long>")
+        return BlockIndex(stored(scored.sortWithinPartitions("term", "block")), dealt)
 
     def bounds(self, terms: DataFrame) -> DataFrame:
         """(qid, block, bound, n): every block with a term of the query. terms: qid, term, qtf."""
         hit = self.impacts.select("term", "block", "most", "n").join(terms, "term")
         return hit.groupBy("qid", "block").agg(F.sum(F.col("qtf") * F.greatest("most", F.lit(0).cast("long"))).alias("bound"), F.max("n").alias("n"))
 
-    def scored(self, terms: DataFrame, blocks: DataFrame, ids: DataFrame | None = None) -> DataFrame:
-        """(qid, id, bm25_score) of all rows of these blocks (qid, block) that score above 0; ids (qid, id): of these only."""
-        chosen = self.impacts.select("term", "block", "ids", "scores").join(terms, "term").join(blocks.select("qid", "block"), ["qid", "block"])
-        each = chosen.select("qid", "qtf", F.explode(F.arrays_zip("ids", "scores")).alias("p")).select("qid", F.col("p.ids").alias("id"), (F.col("qtf") * F.col("p.scores")).alias("s"))
-        if ids is not None:
-            each = each.join(ids, ["qid", "id"], "left_semi")
-        return each.groupBy("qid", "id").agg(F.sum("s").alias("s")).where("s > 0").select("qid", "id", (F.col("s") / UNIT).alias("bm25_score"))
+    def scored(self, terms: DataFrame, blocks: DataFrame, least: DataFrame | None = None) -> DataFrame:
+        """(qid, id, bm25_score) of all rows of these blocks (qid, block) that score above 0; of the named rows only, if blocks has `id`; with `least` (qid, least), of those that score so much at least."""
+        kind = terms.schema["qid"].dataType.simpleString()
+        named = "id" in blocks.columns
+        wants = blocks.groupBy("qid", "block").agg(F.collect_list("id").alias("only")) if named else blocks.select("qid", "block")  # a block's rows at most
+        wants = wants.join(terms.groupBy("qid").agg(F.collect_list("term").alias("terms"), F.collect_list("qtf").alias("times")), "qid")  # a query's terms
+        wants = wants.withColumn("least", F.lit(0.0)) if least is None else wants.join(least, "qid", "left").withColumn("least", F.coalesce("least", F.lit(0.0)))
+        chosen = self.impacts.join(terms.select("term").distinct(), "term", "left_semi").join(blocks.select("block").distinct(), "block", "left_semi").select("block", "term", "ids", "scores")
+
+        def run(chosen: pa.Table, wants: pa.Table) -> pa.Table:
+            out_at, out_id, out_s = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            if chosen.num_rows and wants.num_rows:
+                place = {t: i for i, t in enumerate(chosen["term"].to_pylist())}
+                ids, where = np.unique(flatten(chosen["ids"]), return_inverse=True)
+                own = np.zeros((len(place), len(ids)))
+                own[np.repeat(np.arange(len(place)), lengths(chosen["ids"])), where] = flatten(chosen["scores"])
+                enough = np.rint(wants["least"].to_numpy() * UNIT)
+                for lo in range(0, wants.num_rows, 256):  # whole numbers below 2^53: exact in doubles
+                    part = wants.slice(lo, 256)
+                    row = np.repeat(np.arange(part.num_rows), lengths(part["terms"]))
+                    code = np.array([place.get(t, -1) for t in flatten(part["terms"])], np.int64)
+                    asks = np.zeros((part.num_rows, len(place)))
+                    np.add.at(asks, (row[code >= 0], code[code >= 0]), flatten(part["times"])[code >= 0])
+                    s = asks @ own
+                    keep = (s > 0) & (s >= enough[lo : lo + 256, None])
+                    if named:
+                        for i, only in enumerate(part["only"].to_pylist()):
+                            keep[i] &= np.isin(ids, only)
+                    i, j = np.nonzero(keep)
+                    out_at.append(lo + i)
+                    out_id.append(ids[j])
+                    out_s.append(s[i, j].astype(np.int64))
+            return pa.table({"qid": wants["qid"].take(pa.array(np.concatenate(out_at))), "id": pa.array(np.concatenate(out_id)), "s": pa.array(np.concatenate(out_s))})
+
+        found = chosen.groupBy("block").cogroup(wants.groupBy("block")).applyInArrow(run, f"qid {kind}, id long, s long")
+        return found.select("qid", "id", (F.col("s") / UNIT).alias("bm25_score"))
 
     def search(self, terms: DataFrame, k: int, key: str = "id", allowed: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
-        """Stored (qid, id, the columns of rows, bm25_score) of at least all rows that are, of their key, among the k best keys of the query; and stored (qid, blocks, read), how many blocks have a term of the query and how many were read.
+        """Stored (qid, id, the columns of rows, bm25_score) of at least the best row of each of the k best keys of the query; and stored (qid, blocks, read), how many blocks have a term of the query and how many were read.
 
         terms: qid, term, qtf, a stored table. allowed: keeps of rows with qid the ones that a query admits, before the cut.
         """
         bounds = stored(self.bounds(terms))
-        first = stored(leading(bounds, "qid", [F.desc("bound"), F.col("block")], 2 + 2 * k // max(1, self._usual(bounds))))
-
-        def found(blocks: DataFrame) -> DataFrame:
-            got = self.scored(terms, blocks).join(self.rows, "id")
-            return got if allowed is None else allowed(got)
-
-        near = stored(found(first))
-        best = near.groupBy("qid", key).agg(F.max("bm25_score").alias("s"))
-        rest = bounds.join(kth(best, "qid", "s", k), "qid", "left").where(F.coalesce(F.col("bound") >= F.round(F.col("least") * UNIT).cast("long"), F.lit(True)))
-        rest = stored(rest.join(first.select("qid", "block"), ["qid", "block"], "left_anti").select("qid", "block"))
-        read = first.select("qid", "block").union(rest).groupBy("qid").agg(F.count("*").alias("read"))
-        return stored(near.unionByName(found(rest))), stored(bounds.groupBy("qid").agg(F.count("*").alias("blocks")).join(read, "qid"))
+        few = 2 + 2 * k // max(1, self._usual(bounds))
+        hits, seen, least = None, None, None
+        for most in (few, few * MORE, None):
+            left = bounds
+            if seen is not None:
+                left = left.join(least, "qid", "left").where(F.coalesce(F.col("bound") >= F.round(F.col("least") * UNIT).cast("long"), F.lit(True))).join(seen, ["qid", "block"], "left_anti")
+            now = stored((left if most is None else leading(left, "qid", [F.desc("bound"), F.col("block")], most)).select("qid", "block"))
+            got = self.scored(terms, now, least).join(self.rows, "id")
+            got = stored(got if allowed is None else allowed(got))
+            hits = got if hits is None else hits.unionByName(got)
+            seen = now if seen is None else seen.unionByName(now)
+            if most is not None:
+                least = stored(kth(hits.groupBy("qid", key).agg(F.max("bm25_score").alias("s")), "qid", "s", k))
+        read = seen.groupBy("qid").agg(F.count("*").alias("read"))
+        return hits, stored(bounds.groupBy("qid").agg(F.count("*").alias("blocks")).join(read, "qid"))
 
     @staticmethod
     def _usual(bounds: DataFrame) -> int:
@@ -104,6 +165,15 @@ class BlockIndex:
         return int(bounds.agg(F.avg("n")).first()[0] or 1)
 
 
+def flatten(column: pa.ChunkedArray) -> np.ndarray:
+    """Values of a column of arrays, one after the other."""
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+
+
+def lengths(column: pa.ChunkedArray) -> np.ndarray:
+    return column.combine_chunks().value_lengths().to_numpy()
+
+
 def flat(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     """Rows of a column of arrays of one length, from its flat buffer."""
     if isinstance(column, pa.ChunkedArray):
@@ -169,11 +239,12 @@ class VectorBlocks:
 
         return self.centres.groupBy("pack").cogroup(asked.groupBy("pack")).applyInArrow(run, f"qid {kind}, block long, bound double, n int")
 
-    def scored(self, queries: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
-        """(qid, id, semantic_score): of each block (qid, block) the k most similar vectors that the query admits. queries may have <attribute>_min and <attribute>_max; null is no limit, and a vector without the attribute passes no limit."""
+    def scored(self, queries: DataFrame, blocks: DataFrame, k: int, least: DataFrame | None = None) -> DataFrame:
+        """(qid, id, semantic_score): of each block (qid, block) the k most similar vectors that the query admits; with `least` (qid, least), of those that score so much at least. queries may have <attribute>_min and <attribute>_max; null is no limit, and a vector without the attribute passes no limit."""
         kind = queries.schema["qid"].dataType.simpleString()
         ends = [f"{a}_{e}" for a in self.attributes for e in ("min", "max") if f"{a}_{e}" in queries.columns]
         wants = blocks.select("qid", "block").join(queries.select("qid", "q", *[F.col(e).cast("double").alias(e) for e in ends]), "qid")
+        wants = wants.withColumn("least", F.lit(0.0)) if least is None else wants.join(least, "qid", "left").withColumn("least", F.coalesce("least", F.lit(0.0)))
         rows = self.rows.join(blocks.select("block").distinct(), "block", "left_semi")
 
         def run(rows: pa.Table, wants: pa.Table) -> pa.Table:
@@ -181,7 +252,7 @@ class VectorBlocks:
             if rows.num_rows and wants.num_rows:
                 s = np.clip(flat(wants["q"]) @ flat(rows["v"]).T, 0, 1).round(DIGITS)
                 own = rows["id"].to_numpy()
-                fits = np.ones(s.shape, bool)
+                fits = s >= wants["least"].to_numpy()[:, None]
                 for e in ends:
                     limit, x = wants[e].to_numpy()[:, None], rows[e.rpartition("_")[0]].to_numpy()
                     fits &= np.isnan(limit) | (x >= limit if e.endswith("_min") else x <= limit)
@@ -197,13 +268,20 @@ class VectorBlocks:
 
     def search(self, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
         """(qid, id, semantic_score, semantic_rank) of the k most similar vectors of each query, ties by id; and (qid, read, blocks): how many blocks were read of how many. queries: qid, q, limits; a stored table."""
-        first = stored(leading(self.bounds(queries), "qid", [F.desc("bound"), F.col("block")], 2 + 2 * k // max(1, self._usual())).select("qid", "block"))
-        near = stored(self.scored(queries, first, k))
-        rest = stored(self.bounds(queries, kth(near, "qid", "semantic_score", k)).select("qid", "block").join(first, ["qid", "block"], "left_anti"))
-        found = near.unionByName(self.scored(queries, rest, k))
+        few = 2 + 2 * k // max(1, self._usual())
+        found, first, least = None, None, None
+        for most in (few, few * MORE, None):
+            left = self.bounds(queries, least)
+            left = left if first is None else left.join(first, ["qid", "block"], "left_anti")
+            now = stored((left if most is None else leading(left, "qid", [F.desc("bound"), F.col("block")], most)).select("qid", "block"))
+            got = stored(self.scored(queries, now, k, least))
+            found = got if found is None else found.unionByName(got)
+            first = now if first is None else first.unionByName(now)
+            if most is not None:
+                least = stored(kth(found, "qid", "semantic_score", k))
         w = Window.partitionBy("qid").orderBy(F.desc("semantic_score"), "id")
         ranked = found.withColumn("semantic_rank", F.row_number().over(w) - 1).where(F.col("semantic_rank") < k)
-        read = first.union(rest).groupBy("qid").agg(F.count("*").alias("read"))
+        read = first.groupBy("qid").agg(F.count("*").alias("read"))
         return ranked, read.join(self.centres.agg(F.count("*").alias("blocks")), F.lit(True))
 
     def _usual(self) -> int:

@@ -119,7 +119,7 @@ def shown(src: Sources, asked: DataFrame, pool: DataFrame, lists: DataFrame, ter
     near = lists.where("list = 'query'").select("qid", "movie_key", "id", (2 + F.col("semantic_score")).alias("prefer"), F.col("semantic_rank").cast("long").alias("o"))
     near = keys.where("not alone").join(near, ["qid", "movie_key"]).unionByName(keys.where("alone").join(pool.where("semantic_rank is not null").select(*MODE, "movie_key"), [*MODE, "movie_key"], "left_semi").select(*MODE, "movie_key", "own", "alone", F.col("own").alias("id"), F.lit(3.0).alias("prefer"), F.lit(0).cast("long").alias("o")))
     wanted = stored(admitted(keys.select("qid", "movie_key").distinct().join(src.blocks.rows.select("id", "block", "movie_key", "year", "vote_average"), "movie_key"), asked).select("qid", "movie_key", "id", "block"))
-    again = src.blocks.scored(terms, wanted.select("qid", "block").distinct(), wanted.select("qid", "id")).join(wanted.select("qid", "id", "movie_key"), ["qid", "id"])
+    again = src.blocks.scored(terms, wanted.select("qid", "block", "id")).join(wanted.select("qid", "id", "movie_key"), ["qid", "id"])
     found = keys.join(again.select("qid", "movie_key", "id", (F.col("bm25_score") / (1 + F.col("bm25_score"))).alias("prefer"), F.col("id").alias("o")), ["qid", "movie_key"])
     rows = near.unionByName(found.select(near.columns)).join(src.catalog.select("id", *SHOWN), "id").withColumn("k", F.struct(*MODE, "movie_key"))
     merged = dedup.best_merge(rows.select("k", "prefer", "o", *SHOWN), "k", F.col("prefer"), "o", dict(SHOWN))

@@ -86,3 +86,21 @@ def test_batch_equals_single_queries(spark):
     assert want == [(r["id"], round(r["score"], 9)) for r in sorted((r for r in got if (r["qid"], r["mode"]) == (0, "basic")), key=lambda r: r["pos"])]
     assert {r["mode"] for r in got if r["qid"] == 3} == {"basic"} and not [r for r in got if r["qid"] == 4]
     assert {r["dark"] for r in got if r["qid"] == 0} == {False}
+
+
+def test_scores_below_what_is_known_are_not_shuffled(spark):
+    df = spark.createDataFrame([(i, "x " * (1 + i % 7) + "y" * (i % 2)) for i in range(60)], "id long, body string")
+    index = TextIndex.build(df, "id", {"body": F.col("body")}).stored()
+    blocks = BlockIndex.build(index, df.select("id"), ["id"], {"body": 1.0}, size=8)
+    terms = stored(spark.createDataFrame([(0, "x", 1), (1, "x", 2), (1, "y", 1)], "qid int, term string, qtf long"))
+    asked = blocks.bounds(terms).select("qid", "block")
+    every = {(r["qid"], r["id"]): r["bm25_score"] for r in blocks.scored(terms, asked).collect()}
+    assert len(every) > 60
+    cut = sorted(s for (q, _), s in every.items() if q == 1)[-5]
+    some = blocks.scored(terms, asked, spark.createDataFrame([(1, cut)], "qid int, least double")).collect()
+    assert {(r["qid"], r["id"]) for r in some} == {x for x, s in every.items() if x[0] == 0 or s >= cut}
+    vecs = spark.createDataFrame([(i, [1.0, i / 50]) for i in range(50)], "vec_id long, embedding array<double>")
+    near = VectorBlocks.build(vecs, size=8)
+    q = stored(spark.createDataFrame([(0, [0.0, 1.0])], "qid int, q array<double>"))
+    found = near.scored(q, near.bounds(q).select("qid", "block"), 8, spark.createDataFrame([(0, 0.9)], "qid int, least double"))
+    assert sorted(r["id"] for r in found.collect()) == [45, 46, 47, 48, 49]
