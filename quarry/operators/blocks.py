@@ -107,7 +107,8 @@ class BlockIndex:
         wants = blocks.groupBy("qid", "block").agg(F.collect_list("id").alias("only")) if named else blocks.select("qid", "block")  # a block's rows at most
         wants = wants.join(terms.groupBy("qid").agg(F.collect_list("term").alias("terms"), F.collect_list("qtf").alias("times")), "qid")  # a query's terms
         wants = wants.withColumn("least", F.lit(0.0)) if least is None else wants.join(least, "qid", "left").withColumn("least", F.coalesce("least", F.lit(0.0)))
-        chosen = self.impacts.join(terms.select("term").distinct(), "term", "left_semi").join(blocks.select("block").distinct(), "block", "left_semi").select("block", "term", "ids", "scores")
+        chosen = self.impacts.join(terms.select("term").distinct(), "term", "left_semi").join(blocks.select("block").distinct(), "block", "left_semi").select(F.col("block").alias("at"), "term", "ids", "scores")
+        wants = wants.withColumn("at", F.col("block") + 0)  # both sides may come from one table
 
         def run(chosen: pa.Table, wants: pa.Table) -> pa.Table:
             out_at, out_id, out_s = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -134,7 +135,7 @@ class BlockIndex:
                     out_s.append(s[i, j].astype(np.int64))
             return pa.table({"qid": wants["qid"].take(pa.array(np.concatenate(out_at))), "id": pa.array(np.concatenate(out_id)), "s": pa.array(np.concatenate(out_s))})
 
-        found = chosen.groupBy("block").cogroup(wants.groupBy("block")).applyInArrow(run, f"qid {kind}, id long, s long")
+        found = chosen.groupBy("at").cogroup(wants.groupBy("at")).applyInArrow(run, f"qid {kind}, id long, s long")
         return found.select("qid", "id", (F.col("s") / UNIT).alias("bm25_score"))
 
     def search(self, terms: DataFrame, k: int, key: str = "id", allowed: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
