@@ -5,7 +5,7 @@ A context is retained if a divergence test finds that its next-symbol distributi
 A token is scored in the longest retained state of its past.
 
 All suffixes and prefixes of a sequence in the tree are in the tree, so a document's score is a sum over its sequences: the root's log P of each token, and for each sequence x in the tree a weight, log P(x) - log P(suffix of x) - B(prefix of x) if its prefix is retained, plus B(x), the log weight of the suffix in x if x is retained as a context.
-Counts and weights are stored tables that meet documents in joins by key, 64-bit hashes of the sequences. Counts of the K most frequent tokens and weights of the K most frequent sequences are broadcast (K = 2^22 at most, by a threshold over a histogram of 128 numbers), and a bit table of fixed size, which spares sequences that can't be in a table the shuffle.
+Counts and weights are stored tables that meet documents by key, 64-bit hashes of the sequences. They are stored and shuffled as packed ranges of keys: a row has many keys as bytes. Counts of the K most frequent tokens and weights of the K most frequent sequences are broadcast (K = 2^22 at most, by a threshold over a histogram of 128 numbers), and a bit table of fixed size, which spares sequences that can't be in a table the shuffle.
 
 Defined cases: null and empty texts are one end mark; with no training documents every token is unknown with probability 1; repeated rows are scored each; an empty table gives no rows; other columns are not read.
 """
@@ -19,7 +19,9 @@ from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,12 +36,14 @@ DEPTH = 3
 FILTER_BITS = 27
 HOT = 1 << 22
 FINE = 64  # counts below are told apart where HOT cuts
+SLICE = 1 << 17  # bytes of text whose arrays stay in a core's cache
+PART = 3 << 19  # keys that a task counts at a time
 COST = 3.0  # nats that each parameter of a retained context must save
 
 
 def tokens(column: pa.Array, kernel: Kernel):
     """(first row, end row, token hashes, first token of each row) by slices; each row ends with END."""
-    for lo, hi, data, offsets in slices(column):
+    for lo, hi, data, offsets in slices(column, SLICE):
         h, first = kernel.word_hashes(data, offsets)
         at = first + np.arange(len(first))
         out = np.empty(len(h) + hi - lo, np.uint64)
@@ -50,6 +54,32 @@ def tokens(column: pa.Array, kernel: Kernel):
         yield lo, hi, out, at
 
 
+def ordered(keys: np.ndarray) -> np.ndarray:
+    """argsort of 64-bit hashes: their upper bits are sorted with the places in the lower ones, which takes a fraction of argsort's time."""
+    keys = keys.view(np.uint64)
+    bits = np.uint64(max(1, len(keys).bit_length()))
+    low = (np.uint64(1) << bits) - np.uint64(1)
+    order = keys & ~low
+    order |= np.arange(len(keys), dtype=np.uint64)
+    order.sort()
+    order &= low
+    order = order.view(np.int64)
+    now = keys[order]
+    wrong = np.flatnonzero(now[1:] < now[:-1])
+    upper = now >> bits if len(wrong) else now
+    for u in np.unique(upper[1:][wrong]):  # different keys with equal upper bits: few
+        lo, hi = np.searchsorted(upper, u, "left"), np.searchsorted(upper, u, "right")
+        order[lo:hi] = order[lo:hi][np.argsort(keys[order[lo:hi]], kind="stable")]
+    return order
+
+
+def starts(keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal sorted keys begins."""
+    new = np.ones(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    return np.flatnonzero(new)
+
+
 def lookup(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Place of each value in the sorted keys, or -1."""
     if not len(keys):
@@ -94,17 +124,23 @@ def _count(documents: DataFrame, make) -> DataFrame:
 
 def token_counts(documents: DataFrame) -> DataFrame:
     """(key, c): count of every token hash."""
+    bits = range_bits(documents.sparkSession)
 
     def make():
         kernel = Kernel()
 
         def step(batch: pa.RecordBatch) -> dict:
-            h, c = np.unique(np.concatenate([t for _, _, t, _ in tokens(batch["text"], kernel)]), return_counts=True)
-            return {"key": pa.array(h.view(np.int64)), "c": pa.array(c)}
+            h = np.sort(np.concatenate([t for _, _, t, _ in tokens(batch["text"], kernel)]))
+            at = starts(h)
+            return deal({"key": h[at], "c": np.diff(np.append(at, len(h)))}, h[at], bits, True)
 
         return step
 
-    return _count(documents, make)
+    def summed(rows: dict) -> dict:
+        key, c = added(rows["key"], rows["c"])
+        return {"key": key, "c": c}
+
+    return met(map_batches(documents.select("text"), make, dealt_schema(["key", "c"])), summed, "key long, c long", bits)
 
 
 def sequence_counts(documents: DataFrame, tree: Tree, length: int) -> DataFrame:
@@ -129,7 +165,7 @@ def sequence_counts(documents: DataFrame, tree: Tree, length: int) -> DataFrame:
     return _count(documents, make)
 
 
-def grow(tree: Tree, counts: list[np.ndarray], starts: int) -> None:
+def grow(tree: Tree, counts: list[np.ndarray]) -> None:
     """Fills the tree's probabilities from the counts of its sequences, length by length; counts[0]: of the symbols and the start mark."""
     n_symbols = len(tree.symbols)
     suffix = [np.full(n_symbols + 1, -1)]  # node of each sequence's suffix
@@ -185,7 +221,7 @@ def train(documents: DataFrame, depth: int = DEPTH, p_min: float = 0.0) -> tuple
     counts, stats = root(documents)
     n = stats["n"]
     least = max(LEAST, p_min * n)
-    starts = documents.count() if n else 0
+    rows = documents.count() if n else 0
     frequent = counts.where((F.col("c") >= least) | (F.col("key") == F.lit(int(END.view(np.int64))))).toArrow()
     if frequent.num_rows >= 1 << 20:
         raise ValueError("too many symbols for a tree in memory")
@@ -193,61 +229,88 @@ def train(documents: DataFrame, depth: int = DEPTH, p_min: float = 0.0) -> tuple
     order = np.argsort(h)
     tree = Tree(h[order])
     tree.root_share = np.append((1 - stats["u"]) * c[order] / max(n, 1), 1.0)
-    levels = [np.append(c[order], starts)]
+    levels = [np.append(c[order], rows)]
     for length in range(2, depth + 2):
         if not n:
             break
-        rows = sequence_counts(documents, tree, length).where(F.col("c") >= least).toArrow()
-        key, c = rows["key"].to_numpy(), rows["c"].to_numpy()
+        found = sequence_counts(documents, tree, length).where(F.col("c") >= least).toArrow()
+        key, c = found["key"].to_numpy(), found["c"].to_numpy()
         if not len(key):
             break
         order = np.argsort(key)
         tree.levels.append(key[order])
         levels.append(c[order])
-    grow(tree, levels, starts)
+    grow(tree, levels)
     return tree, counts, stats
 
 
 def sequences(h: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each length from 1: rows, keys, and keys of the prefix and the suffix (none for length 1) of all sequences, with a start mark before each row."""
-    rows = np.repeat(np.arange(len(at) - 1), np.diff(at) + 1)
-    place = np.arange(len(rows)) - (at[:-1] + np.arange(len(at) - 1))[rows]
-    key = np.full(len(rows), START, np.uint64)
-    key[place > 0] = h
+    """For each length from 1: places of the last symbol, keys, and keys of the prefix and the suffix (none for length 1) of all sequences, with a start mark before each row."""
+    n = np.diff(at) + 1
+    before = np.arange(len(h) + len(n)) - np.repeat(at[:-1] + np.arange(len(n)), n)
+    key = np.full(len(before), START, np.uint64)
+    key[before > 0] = h
     none = np.zeros(0, np.uint64)
-    yield rows, key, none, none
-    last, length = np.arange(len(rows)), 1
+    last, length = np.arange(len(before)), 1
+    yield last, key, none, none
     while True:
-        ok = place[last] >= length
+        ok = before >= length
         ok[:1] = False
-        suffix, prefix = key[ok], key[np.flatnonzero(ok) - 1]
-        last, length = last[ok], length + 1
+        ok = np.flatnonzero(ok)
+        suffix, prefix = key[ok], key[ok - 1]
+        last, before, length = last[ok], before[ok], length + 1
         key = joined_key(prefix, suffix, length)
-        yield rows[last], key, prefix, suffix
+        yield last, key, prefix, suffix
 
 
 class Filter:
-    """Bit table of keys: has() is true for all of them, and for few others while they are fewer than its bits. words: word (its place), bits; one row for each place at most."""
+    """Bit table of keys: has() is true for all of them, and for few others while they are fewer than its bits. found: range, words: the bits of each range of keys."""
 
-    def __init__(self, words: DataFrame) -> None:
-        got = words.toArrow()  # at most 2^(FILTER_BITS - 6) rows
-        self.words = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-        self.words[got["word"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
+    def __init__(self, found: pa.Table, bits: int) -> None:
+        self.words = np.zeros((1 << bits, 1 << (FILTER_BITS - 6 - bits)), np.uint64)
+        for i, words in zip(found["range"].to_pylist(), found["words"]):
+            self.words[i] |= np.frombuffer(words.as_buffer(), np.uint64)
+        self.words = self.words.ravel()
 
     @classmethod
-    def of(cls, keys: DataFrame) -> Filter:
-        """The keys of a stored table."""
-        bit = F.shiftrightunsigned("key", 64 - FILTER_BITS)
-        return cls(keys.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))).alias("bits")))
+    def of(cls, packed: DataFrame, bits: int) -> Filter:
+        """The keys of a packed table, which has each range once."""
+
+        def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                rows = b.to_pylist()
+                if rows:
+                    yield pa.RecordBatch.from_pydict({"range": pa.array([r["range"] for r in rows], pa.int32()), "words": pa.array([segment(np.frombuffer(r["key"], np.uint64), bits) for r in rows], pa.binary())})
+
+        return cls(packed.select("range", "key").mapInArrow(words, "range int, words binary").toArrow(), bits)  # 2^FILTER_BITS bits in all
 
     def has(self, keys: np.ndarray) -> np.ndarray:
-        bit = keys >> np.uint64(64 - FILTER_BITS)
-        return (self.words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) > 0
+        word, own = place(keys)
+        return (self.words[word] & own) == own
+
+
+def place(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A key's word in a filter, and its two bits there; its upper FILTER_BITS + 6 bits give them."""
+    one, rest = np.uint64(1), np.uint64(63)
+    own = one << ((keys >> np.uint64(64 - FILTER_BITS)) & rest)
+    own |= one << ((keys >> np.uint64(58 - FILTER_BITS)) & rest)
+    return (keys >> np.uint64(70 - FILTER_BITS)).astype(np.int64), own
+
+
+def segment(keys: np.ndarray, bits: int) -> bytes:
+    """The part of a filter that the sorted keys of one range fill."""
+    out = np.zeros(1 << (FILTER_BITS - 6 - bits), np.uint64)
+    word, own = place(keys)
+    word &= len(out) - 1
+    at = starts(word)
+    if len(at):
+        out[word[at]] = np.bitwise_or.reduceat(own, at)
+    return out.tobytes()
 
 
 def kind(column: str) -> type:
     """What a column's values are while they are bytes."""
-    return np.float64 if column in ("q", "w") else np.int64
+    return np.float64 if column in ("q", "kq", "w", "kw", "base", "model") else np.int64
 
 
 def range_bits(spark: SparkSession) -> int:
@@ -255,16 +318,27 @@ def range_bits(spark: SparkSession) -> int:
     return min(16, max(1, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()))
 
 
-def deal(rows: dict[str, np.ndarray], by: np.ndarray, bits: int) -> dict:
+def added(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Each key once, sorted, and the sums of its values."""
+    order = ordered(key)
+    key = key[order]
+    at = starts(key)
+    return (key[at], *(np.add.reduceat(v[order], at) if len(at) else v for v in values))
+
+
+def deal(rows: dict[str, np.ndarray], by: np.ndarray, bits: int, is_sorted: bool = False) -> dict:
     """Columns as bytes, one row for each range of the hash `by`, sorted by it: a shuffle moves few rows, and equal hashes compress."""
     by = by.view(np.uint64)
-    order = np.argsort(by)
-    cut = np.searchsorted(by[order] >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+    if not is_sorted:
+        order = ordered(by)
+        by, rows = by[order], {c: v[order] for c, v in rows.items()}
+    cut = np.searchsorted(by, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+    cut = np.concatenate([[0], cut, [len(by)]])
     own = np.flatnonzero(np.diff(cut))
+    ends = (8 * np.append(cut[own], len(by))).astype(np.int32)
     out = {"range": pa.array(own.astype(np.int32))}
     for name, v in rows.items():
-        v = v[order].view(kind(name))
-        out[name] = pa.array([v[cut[i] : cut[i + 1]].tobytes() for i in own], pa.binary())
+        out[name] = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(v.view(kind(name))))])
     return out
 
 
@@ -272,6 +346,16 @@ def dealt_schema(columns: list[str]) -> str:
     return ", ".join(["range int", *(f"{c} binary" for c in columns)])
 
 
+def padded(part: dict, columns: list[str]) -> pa.RecordBatch:
+    """Packed rows with all of these columns, null where they have none."""
+    return pa.RecordBatch.from_pydict({c: part[c] if c in part else pa.nulls(len(part["range"]), pa.binary()) for c in ("range", *columns)})
+
+
+def unpacked(rows: list[dict], columns: list[str]) -> dict:
+    """The columns of packed rows as arrays."""
+    return {c: np.concatenate([np.zeros(0, kind(c)), *(np.frombuffer(r[c], kind(c)) for r in rows if r[c] is not None)]) for c in columns}
+
+
 def dealt(df: DataFrame, by: str, bits: int) -> DataFrame:
     """The rows of a table as deal() packs them."""
 
@@ -290,9 +374,35 @@ def dealt(df: DataFrame, by: str, bits: int) -> DataFrame:
     return df.mapInArrow(run, dealt_schema(df.columns))
 
 
-def met(df: DataFrame, make: Callable[[dict], dict], out: str, by: str | None, bits: int) -> DataFrame:
-    """make() of the columns of all rows of each range. out: the schema of what it gives, which is packed again by ranges of the column `by`, or given as rows without one."""
-    names, columns = [c.split()[0] for c in out.split(", ")], df.columns[1:]
+def each(df: DataFrame, make: Callable[[dict], dict], columns: list[str]) -> DataFrame:
+    """Packed rows, row by row: make() of the columns' arrays."""
+    names = df.columns[1:]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                out = make(unpacked([r], names))
+                yield pa.RecordBatch.from_pydict({"range": pa.array([r["range"]], pa.int32()), **{c: pa.array([out[c].tobytes()], pa.binary()) for c in columns}})
+        trim()
+
+    return df.mapInArrow(run, dealt_schema(columns))
+
+
+def met(df: DataFrame, make: Callable[[dict], dict], out: str | list[list[str]], bits: int) -> DataFrame:
+    """make() of the columns of all rows of each range. out: the schema of the rows that it gives; or groups of columns, each packed again by ranges of its first column."""
+    columns = df.columns[1:]
+    groups = [[c.split()[0] for c in out.split(", ")]] if isinstance(out, str) else out
+    names = [c for g in groups for c in g]
+
+    def given(held: list[dict]) -> Iterator[pa.RecordBatch]:
+        rows = {c: np.concatenate([x[c] for x in held]) for c in names}
+        if not isinstance(out, str):
+            for g in groups:
+                if len(rows[g[0]]):
+                    yield padded(deal({c: rows[c] for c in g}, rows[g[0]], bits), names)
+            return
+        batch = pa.RecordBatch.from_pydict({c: pa.array(v.view(kind(c))) for c, v in rows.items()})
+        yield from (batch.slice(i, 1 << 16) for i in range(0, batch.num_rows, 1 << 16))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trim()
@@ -301,23 +411,15 @@ def met(df: DataFrame, make: Callable[[dict], dict], out: str, by: str | None, b
             for r in b.to_pylist():
                 ranges.setdefault(r.pop("range"), []).append(r)
         held, n = [], 0
-        while ranges or n:
-            if ranges:
-                parts = ranges.popitem()[1]
-                held.append(make({c: np.concatenate([np.zeros(0, kind(c)), *(np.frombuffer(p[c], kind(c)) for p in parts if p[c] is not None)]) for c in columns}))
-                n += len(held[-1][names[0]])
-                del parts
-            if n and (not ranges or n > 1 << 20):
-                rows = {c: np.concatenate([x[c] for x in held]) for c in names}
+        while ranges:
+            held.append(make(unpacked(ranges.popitem()[1], columns)))
+            n += max(len(held[-1][g[0]]) for g in groups)
+            if n > 1 << 20 or not ranges:
+                yield from given(held)
                 held, n = [], 0
-                if by is not None:
-                    yield pa.RecordBatch.from_pydict(deal(rows, rows[by], bits))
-                else:
-                    batch = pa.RecordBatch.from_pydict({c: pa.array(v) for c, v in rows.items()})
-                    yield from (batch.slice(i, 1 << 16) for i in range(0, batch.num_rows, 1 << 16))
         trim()
 
-    return df.repartition("range").mapInArrow(run, out if by is None else dealt_schema(names))
+    return df.repartition("range").mapInArrow(run, out if isinstance(out, str) else dealt_schema(names))
 
 
 def joined_key(prefix: np.ndarray, suffix: np.ndarray, length: int) -> np.ndarray:
@@ -325,138 +427,142 @@ def joined_key(prefix: np.ndarray, suffix: np.ndarray, length: int) -> np.ndarra
     return mix(prefix.view(np.uint64) * np.uint64(0x9FB21C651E98DF25) + mix(suffix.view(np.uint64) + np.uint64(length)))
 
 
-def candidates(slices_: Iterator, length: int, shorter: Filter) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Keys, prefixes and suffixes of the sequences of this length whose parts may be in the tree, by slices."""
-    for _, _, h, at in slices_:
-        _, key, prefix, suffix = next(islice(sequences(h, at), length - 1, None))
-        ok = shorter.has(prefix)
-        ok[ok] = shorter.has(suffix[ok])
-        yield key[ok], prefix[ok], suffix[ok]
+def repeated(documents: DataFrame, depth: int) -> list[Filter]:
+    """Filters of the sequences of each length from 2 to depth + 1 that may occur twice: they let through all that do.
 
-
-def repeated(documents: DataFrame, shorter: Filter, length: int) -> Filter:
-    """A filter of the sequences of this length that may occur twice: it lets through all that do.
-
-    Tasks send 32 bits of each key that they see, sorted and by ranges of keys, with those that they see twice marked; a range's bits meet, and those that come twice or are marked set their place in the filter. Equal bits of different keys let more through, never less.
+    In one pass tasks send 32 bits of each key that they see, sorted and by ranges of keys, with those that they see twice marked; a range's bits meet, and those that come twice or are marked set their place in the filter. Equal bits of different keys let more through, never less.
     """
     spark = documents.sparkSession
-    shared = spark.sparkContext.broadcast(shorter)
     bits = range_bits(spark)
 
     def make():
         kernel = Kernel()
 
-        def sent(parts: list) -> dict:
-            key, c = np.unique(np.concatenate(parts), return_counts=True)
-            cut = np.searchsorted(key >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+        def sent(length: int, parts: list) -> dict:
+            key = np.concatenate(parts)
+            parts.clear()
+            key.sort()
+            at = starts(key)
+            more = np.diff(np.append(at, len(key))) > 1
+            key = key[at]
+            cut = np.append(np.searchsorted(key, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), len(key))
             short = ((key << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
-            own = [i for i in range(1 << bits) if cut[i + 1] > cut[i]]
+            own = np.flatnonzero(np.diff(cut))
             pick = lambda i, m: short[cut[i] : cut[i + 1]][m[cut[i] : cut[i + 1]]].tobytes()
-            return {"range": pa.array(own, pa.int32()), "once": pa.array([pick(i, c == 1) for i in own], pa.binary()), "more": pa.array([pick(i, c > 1) for i in own], pa.binary())}
+            return {"length": pa.array(np.full(len(own), length, np.int32)), "range": pa.array(own.astype(np.int32)), "once": pa.array([pick(i, ~more) for i in own], pa.binary()), "more": pa.array([pick(i, more) for i in own], pa.binary())}
 
         def step(batch: pa.RecordBatch) -> Iterator[dict]:
-            parts, held = [], 0
-            for key, _, _ in candidates(tokens(batch["text"], kernel), length, shared.value):
-                parts.append(key)
-                held += len(key)
-                if held > 1 << 21:
-                    yield sent(parts)
-                    parts, held = [], 0
-            if held:
-                yield sent(parts)
+            parts, held = [[] for _ in range(depth)], 0
+            for _, _, h, at in chain(tokens(batch["text"], kernel), ((0, 0, None, None),)):
+                if held and (h is None or held > PART):
+                    for i, own in enumerate(parts):
+                        yield sent(i + 2, own)
+                    held = 0
+                if h is not None:
+                    for own, (_, key, _, _) in zip(parts, islice(sequences(h, at), 1, None)):
+                        own.append(key)
+                    held += len(h)
 
         return step
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trim()
-        by_range: dict[int, list] = {}
+        ranges: dict[tuple, list] = {}
         for b in batches:
-            for i, once, more in zip(b["range"].to_pylist(), b["once"].to_pylist(), b["more"].to_pylist()):
-                by_range.setdefault(i, []).append((once, more))
-        for i, blobs in by_range.items():
-            once = np.sort(np.concatenate([np.frombuffer(x, np.uint32) for x, _ in blobs]))
-            marked = np.unique(np.concatenate([once[1:][once[1:] == once[:-1]], *(np.frombuffer(x, np.uint32) for _, x in blobs)]))
+            for r in b.to_pylist():
+                ranges.setdefault((r["length"], r["range"]), []).append(r)
+        while ranges:
+            (length, i), rows = ranges.popitem()
+            once = np.sort(np.concatenate([np.frombuffer(r["once"], np.uint32) for r in rows]))
+            marked = np.sort(np.concatenate([once[1:][once[1:] == once[:-1]], *(np.frombuffer(r["more"], np.uint32) for r in rows)]))
             top = (np.uint64(i) << np.uint64(64 - bits)) | (marked.astype(np.uint64) << np.uint64(32 - bits))
-            bit = np.unique(top >> np.uint64(64 - FILTER_BITS))
-            word, start = np.unique(bit >> np.uint64(6), return_index=True)
-            if len(word):
-                yield pa.RecordBatch.from_pydict({"word": pa.array(word.astype(np.int64)), "bits": pa.array(np.bitwise_or.reduceat(np.uint64(1) << (bit & np.uint64(63)), start).view(np.int64))})
+            yield pa.RecordBatch.from_pydict({"length": pa.array([length], pa.int32()), "range": pa.array([i], pa.int32()), "words": pa.array([segment(top, bits)], pa.binary())})
         trim()
 
-    rows = map_batches(documents.select("text"), make, "range int, once binary, more binary")
-    out = Filter(rows.repartition("range").mapInArrow(marks, "word long, bits long"))
-    shared.unpersist()
-    del rows
+    rows = map_batches(documents.select("text"), make, "length int, range int, once binary, more binary")
+    found = rows.repartition("length", "range").mapInArrow(marks, "length int, range int, words binary").toArrow()  # 2^FILTER_BITS bits a length
+    out = [Filter(found.filter(pc.equal(found["length"], n)), bits) for n in range(2, depth + 2)]
+    del rows, found
     tidy(spark)  # the shuffle's files go before the counts' are written
     return out
 
 
-def pair_counts(documents: DataFrame, shorter: Filter, length: int, least: float) -> DataFrame:
-    """Packed (at, prefix, c), by ranges of at, the suffix: the sequences of this length that occur so often and whose parts are in the tree. Most of those that occur once are left out before the shuffle by repeated()."""
-    spark = documents.sparkSession
-    bits = range_bits(spark)
-    shared = spark.sparkContext.broadcast((shorter, repeated(documents, shorter, length)))
+def pair_counts(documents: DataFrame, filters: list[Broadcast], length: int, least: float) -> DataFrame:
+    """Packed (at, prefix, c), by ranges of at, the suffix: the sequences of this length that occur so often. filters: those of repeated() for shorter sequences, if any, and for these: most of the sequences that occur once are left out before the shuffle."""
+    bits = range_bits(documents.sparkSession)
 
     def make():
         kernel = Kernel()
 
         def counted(parts: list) -> dict:
             key, prefix, suffix = (np.concatenate(x) for x in zip(*parts))
-            key, first, c = np.unique(key, return_index=True, return_counts=True)
-            return deal({"prefix": prefix[first], "suffix": suffix[first], "c": c}, key, bits)
+            parts.clear()
+            order = ordered(key)
+            key = key[order]
+            at = starts(key)
+            first = order[at]
+            del order
+            return deal({"prefix": prefix[first], "suffix": suffix[first], "c": np.diff(np.append(at, len(key)))}, key[at], bits, True)
 
         def step(batch: pa.RecordBatch) -> Iterator[dict]:
             parts, held = [], 0
-            shorter, often = shared.value
-            for key, prefix, suffix in candidates(tokens(batch["text"], kernel), length, shorter):
-                ok = often.has(key)
+            *shorter, often = (f.value for f in filters)
+            for _, _, h, at in tokens(batch["text"], kernel):
+                _, key, prefix, suffix = next(islice(sequences(h, at), length - 1, None))
+                ok = np.flatnonzero(often.has(key))
+                for f in shorter:
+                    ok = ok[f.has(prefix[ok])]
+                    ok = ok[f.has(suffix[ok])]
                 parts.append((key[ok], prefix[ok], suffix[ok]))
-                held += len(parts[-1][0])
-                if held > 1 << 21:
+                held += len(ok)
+                if held > PART:
                     yield counted(parts)
-                    parts, held = [], 0
+                    held = 0
             if held:
                 yield counted(parts)
 
         return step
 
     def summed(rows: dict) -> dict:
-        key = joined_key(rows["prefix"], rows["suffix"], length)
-        order = np.argsort(key)
-        start = np.flatnonzero(np.append(True, np.diff(key[order]) != 0)) if len(key) else np.zeros(0, np.int64)
-        c = np.add.reduceat(rows["c"][order], start) if len(key) else rows["c"]
+        order = ordered(key := joined_key(rows["prefix"], rows["suffix"], length))
+        at = starts(key[order])
+        c = np.add.reduceat(rows["c"][order], at) if len(at) else rows["c"]
         often = np.flatnonzero(c >= least)
-        at = order[start[often]]
+        at = order[at[often]]
         return {"at": rows["suffix"][at], "prefix": rows["prefix"][at], "c": c[often]}
 
-    return met(map_batches(documents.select("text"), make, dealt_schema(["prefix", "suffix", "c"])), summed, "at long, prefix long, c long", "at", bits)
+    return met(map_batches(documents.select("text"), make, dealt_schema(["prefix", "suffix", "c"])), summed, [["at", "prefix", "c"]], bits)
 
 
-def with_level(rows: DataFrame, level: DataFrame, value: str, bits: int) -> DataFrame:
-    """Packed rows and beside them packed (k, the value) of the level's sequences, by ranges of their keys."""
-    return rows.unionByName(dealt(level.select(F.col("key").alias("k"), value), "k", bits), allowMissingColumns=True)
+def with_level(rows: DataFrame, level: DataFrame, **values: str) -> DataFrame:
+    """Packed rows and beside them k, the keys of a packed table, and these of its columns under other names."""
+    return rows.unionByName(level.select("range", F.col("key").alias("k"), *(F.col(v).alias(c) for c, v in values.items())), allowMissingColumns=True)
 
 
 def with_lower(rows: DataFrame, level: DataFrame, length: int, bits: int) -> DataFrame:
     """Packed (at, key, c, q), by ranges of at: prefix, key and count of each sequence, and P of its last symbol after its suffix's past."""
 
     def found(rows: dict) -> dict:
-        order = np.argsort(rows["k"])
-        at = lookup(rows["k"][order], rows["at"])
-        own = np.flatnonzero(at >= 0)  # all but those that only the filter let through
+        known = rows["kq"] >= 0
+        k, q = rows["k"][known], rows["kq"][known]
+        order = ordered(k)
+        at = lookup(k.view(np.uint64)[order], rows["at"].view(np.uint64))
+        own = np.flatnonzero(at >= 0)
         prefix = rows["prefix"][own]
-        return {"at": prefix, "key": joined_key(prefix, rows["at"][own], length).view(np.int64), "c": rows["c"][own], "q": rows["q"][order[at[own]]]}
+        return {"at": prefix, "key": joined_key(prefix, rows["at"][own], length).view(np.int64), "c": rows["c"][own], "q": q[order[at[own]]]}
 
-    return met(with_level(rows, level, "q", bits), found, "at long, key long, c long, q double", "at", bits)
+    return met(with_level(rows, level, kq="q"), found, [["at", "key", "c", "q"]], bits)
 
 
 def judged(rows: DataFrame, level: DataFrame, bits: int) -> DataFrame:
-    """(key, c, q, w): the sequences with P of their last symbol and their weights; and the retained contexts with q = -1."""
+    """Packed (key, c, q, w), by ranges of key: the sequences with count, P of their last symbol and weight; and the retained contexts with minus the count, -1 and their weight."""
 
     def test(rows: dict) -> dict:
-        order = np.argsort(rows["k"])
-        at, n = rows["k"][order], rows["n"][order].astype(float)
-        of = lookup(at, rows["at"])
+        known = rows["n"] > 0
+        at, n = rows["k"][known], rows["n"][known]
+        order = ordered(at)
+        at, n = at[order], n[order].astype(float)
+        of = lookup(at.view(np.uint64), rows["at"].view(np.uint64))
         own = np.flatnonzero(of >= 0)
         of = of[own]
         c, lower = rows["c"][own], rows["q"][own]
@@ -469,38 +575,65 @@ def judged(rows: DataFrame, level: DataFrame, bits: int) -> DataFrame:
         retained = (kinds > 0) & (n * divergence >= COST * (kinds + 1))
         w = np.where(retained[of], np.log(p) - np.log(lower) - log_back[of], 0.0)
         return {
-            "key": np.concatenate([rows["key"][own], at[retained]]), "c": np.concatenate([c, n[retained].astype(np.int64)]),
+            "key": np.concatenate([rows["key"][own], at[retained]]), "c": np.concatenate([c, -n[retained].astype(np.int64)]),
             "q": np.concatenate([np.where(retained[of], p, lower), np.full(retained.sum(), -1.0)]), "w": np.concatenate([w, log_back[retained]]),
         }
 
-    return met(with_level(rows, level.withColumnRenamed("c", "n"), "n", bits), test, "key long, c long, q double, w double", None, bits)
+    return met(with_level(rows, level, n="c"), test, [["key", "c", "q", "w"]], bits)
 
 
 def weights(documents: DataFrame, counts: DataFrame, stats: dict, depth: int = DEPTH, p_min: float = 0.0) -> DataFrame:
-    """Stored (key, c, w): count and weight of every sequence of the tree whose weight isn't 0. documents: the training rows."""
+    """Stored packed (key, c, w), each range of keys in one row: count and weight of every sequence of the tree whose weight isn't 0. documents: the training rows."""
     spark, n = documents.sparkSession, stats["n"]
-    parts, tables, bits = [spark.createDataFrame([], "key long, c long, w double")], [], range_bits(spark)
+    bits = range_bits(spark)
     least = max(LEAST, p_min * n)
     level = counts.where((F.col("c") >= least) | (F.col("key") == F.lit(int(END.view(np.int64))))).select("key", "c", (F.col("c") * F.lit((1 - stats["u"]) / max(n, 1))).alias("q"))
     start = spark.createDataFrame([(int(START.view(np.int64)), documents.count(), 1.0)], "key long, c long, q double")
-    level = level.unionByName(start)
+    level = stored(dealt(level.unionByName(start), "key", bits))
+    tables = [level]
+    filters = [spark.sparkContext.broadcast(f) for f in repeated(documents, depth)] if n else []
     for length in range(2, depth + 2) if n else ():
-        done = stored(judged(with_lower(pair_counts(documents, Filter.of(level), length, least), level, length, bits), level, bits))
-        tables.append(done)
-        tidy(spark)  # the files of its shuffles
-        level = done.where("q >= 0").select("key", "c", "q")
-        parts.append(done.where("w <> 0").select("key", "c", "w"))
-    out = stored(reduce(DataFrame.unionByName, parts).groupBy("key").agg(F.max("c").alias("c"), F.sum("w").alias("w")))
+        pairs = stored(pair_counts(documents, filters[max(0, length - 3) : length - 1], length, least))
+        for f in filters[max(0, length - 3) : length - 2 + (length > depth)]:
+            f.destroy()  # each executor has its copy on disk
+        tidy(spark)  # the shuffle's files go before the next ones are written
+        level = stored(judged(with_lower(pairs, level, length, bits), level, bits))
+        tables.append(level)
+        drop_stored(pairs)
+        tidy(spark)
+
+    def weighing(rows: dict) -> dict:
+        own = rows["w"] != 0
+        return {"key": rows["key"][own], "c": np.abs(rows["c"][own]), "w": rows["w"][own]}
+
+    def merged(rows: dict) -> dict:
+        order = ordered(rows["key"])
+        key = rows["key"][order]
+        at = starts(key)
+        return {"key": key[at], "c": rows["c"][order][at], "w": np.add.reduceat(rows["w"][order], at) if len(at) else rows["w"]}
+
+    own = [each(t.select("range", "key", "c", "w"), weighing, ["key", "c", "w"]) for t in tables[1:]]
+    out = stored(met(reduce(DataFrame.unionByName, own or [spark.createDataFrame([], dealt_schema(["key", "c", "w"]))]), merged, [["key", "c", "w"]], bits))
     for done in tables:
         drop_stored(done)
     tidy(spark)
     return out
 
 
-def hot_from(counts: DataFrame, most: int = HOT) -> int:
-    """The least count with at most `most` rows from there on."""
-    low = F.when(F.col("c") < FINE, F.col("c")).otherwise(F.expr("shiftleft(1L, cast(floor(log2(c)) as int))"))
-    histogram = counts.groupBy(low.alias("b")).count().collect()  # FINE + 64 rows at most
+def low_end(c: np.ndarray) -> np.ndarray:
+    """The count itself up to FINE, then the power of two below it."""
+    return np.where(c < FINE, c, np.int64(1) << np.floor(np.log2(np.maximum(c, 1))).astype(np.int64))
+
+
+def hot_from(packed: DataFrame, most: int = HOT) -> int:
+    """The least count with at most `most` keys from there on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            low, k = np.unique(low_end(unpacked(b.to_pylist(), ["c"])["c"]), return_counts=True)
+            yield pa.RecordBatch.from_pydict({"b": pa.array(low), "k": pa.array(k)})
+
+    histogram = packed.select("c").mapInArrow(run, "b long, k long").groupBy("b").agg(F.sum("k")).collect()  # FINE + 64 rows at most
     kept, least = 0, 1 << 62
     for b, k in sorted(((r[0], r[1]) for r in histogram), reverse=True):
         if kept + k > most:
@@ -509,35 +642,24 @@ def hot_from(counts: DataFrame, most: int = HOT) -> int:
     return least
 
 
-def hot_rows(counts: DataFrame, least: int, value: str) -> tuple[np.ndarray, np.ndarray]:
+def hot_rows(packed: DataFrame, least: int, value: str) -> tuple[np.ndarray, np.ndarray]:
     """Hashes, sorted, and values of the rows with this count at least, and of the end mark."""
-    rows = counts.where((F.col("c") >= least) | (F.col("key") == F.lit(int(END.view(np.int64))))).toArrow()
-    h, c = rows["key"].to_numpy().view(np.uint64), rows[value].to_numpy()
-    order = np.argsort(h)
-    return h[order], c[order]
-
-
-def rare_sums(scored: DataFrame, weighted: DataFrame) -> DataFrame:
-    """(row, w): sums of the weights of rows' keys (row, grams), a few for each row. Keys and weights meet by ranges of keys."""
-    bits = range_bits(scored.sparkSession)
-
-    def make():
-        def step(batch: pa.RecordBatch) -> dict | None:
-            grams = batch["grams"]
-            row = np.repeat(batch["row"].to_numpy(), grams.value_lengths().to_numpy())
-            key = grams.flatten().to_numpy()
-            return deal({"row": row, "key": key}, key, bits) if len(key) else None
+    end = END.view(np.int64)
 
-        return step
+    def often(rows: dict) -> dict:
+        own = (rows["c"] >= least) | (rows["key"] == end)
+        return {"key": rows["key"][own], value: rows[value][own]}
 
-    def summed(rows: dict) -> dict:
-        order = np.argsort(rows["k"])
-        at = lookup(rows["k"][order], rows["key"])
-        own = np.flatnonzero(at >= 0)
-        row, to = np.unique(rows["row"][own], return_inverse=True)
-        return {"row": row, "w": np.bincount(to, rows["w"][order[at[own]]], len(row))}
-
-    return met(with_level(map_batches(scored.select("row", "grams"), make, dealt_schema(["row", "key"])), weighted, "w", bits), summed, "row long, w double", None, bits)
+    names = ["key", value]
+    rows = each(packed.select("range", *dict.fromkeys(["key", "c", value])), often, names).toArrow()
+    by = np.argsort(rows["range"].to_numpy(), kind="stable")
+    h, v = (np.concatenate([np.zeros(0, kind(c)), *(np.frombuffer(rows[c][i].as_buffer(), kind(c)) for i in by)]) for c in names)
+    del rows
+    h = h.view(np.uint64)
+    if (h[1:] < h[:-1]).any():  # not if each range comes once
+        order = ordered(h)
+        h, v = h[order], v[order]
+    return h, v
 
 
 def score(documents: DataFrame, held_out_mod: int = 7, held_out_rest: int = 2, depth: int = DEPTH, p_min: float = 0.0, hot: int = HOT) -> DataFrame:
@@ -545,70 +667,110 @@ def score(documents: DataFrame, held_out_mod: int = 7, held_out_rest: int = 2, d
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     trained = docs.where(crc_mod("doc_id", held_out_mod) != held_out_rest)
+    bits = range_bits(spark)
     counts, stats = root(trained)
     weighted = weights(trained, counts, stats, depth, p_min)
-    hot_h, hot_c = hot_rows(counts, hot_from(counts, hot), "c")
-    common = hot_from(weighted, hot)
+    counts = stored(dealt(counts, "key", bits))
+    frequent, common = hot_from(counts, hot), hot_from(weighted, hot)
+    hot_h, hot_c = hot_rows(counts, frequent, "c")
+    shared = spark.sparkContext.broadcast((hot_h, hot_c, *hot_rows(weighted, common, "w"), Filter.of(weighted, bits)))
+    del hot_h, hot_c
     tidy(spark)
-    shared = spark.sparkContext.broadcast((hot_h, hot_c, *hot_rows(weighted, common, "w"), Filter.of(weighted)))
     n, v, u = stats["n"], stats["v"], stats["u"]
+    log_u = float(np.log10(u))
+    of_row = ["row", "doc", "known_id", "size", "known", "base", "model"]
+    columns = ["xrow", "xkey", "trow", "tkey", *of_row]
 
     def make():
         kernel, (hot_h, hot_c, hot_x, hot_w, possible) = Kernel(), shared.value
+        vars(shared).pop("_value", None)  # else a worker without a task keeps the tables
         hot_table, sequence_table = Table(hot_h), Table(hot_x)
         part, serial = TaskContext.get().partitionId() << 40, [0]
 
-        def step(batch: pa.RecordBatch) -> dict:
-            base, known, size, model, tail, grams = [], [], [], [], [], []
+        def packed(ids: np.ndarray, rows: tuple, keys: tuple, names: list[str]) -> dict:
+            """By ranges of keys, in each by rows: equal rows compress."""
+            row, key = np.concatenate(rows), np.concatenate(keys)
+            width, shift = np.uint64(len(key).bit_length()), np.uint64(64 - bits)
+            order = np.sort(((key >> shift) * np.uint64(len(ids)) + row.astype(np.uint64)) << width | np.arange(len(key), dtype=np.uint64))
+            order = (order & ((np.uint64(1) << width) - np.uint64(1))).astype(np.int64)
+            row, key = row[order], key[order]
+            return deal({names[0]: ids[row], names[1]: key}, key >> shift << shift, bits, True)
+
+        def step(batch: pa.RecordBatch) -> Iterator[dict]:
+            ids = (part + serial[0] + np.arange(batch.num_rows)).astype(np.uint64)
+            serial[0] += batch.num_rows
+            whole, rare, cold, held = [], [], [], 0
             for lo, hi, h, at in tokens(batch["text"], kernel):
                 rows = np.repeat(np.arange(hi - lo), np.diff(at))
                 place = hot_table.find(h)
-                c = np.where(place >= 0, hot_c[np.maximum(place, 0)], 0) if len(hot_c) else np.zeros(len(h))
-                base.append(np.bincount(rows, np.log10(c + 1), hi - lo))
-                known.append(np.bincount(rows, place >= 0, hi - lo))
-                size.append(np.diff(at))
-                known_here = place >= 0
-                total = np.zeros(len(h))
-                total[known_here] = np.log((1 - u) * c[known_here] / max(n, 1))
-                whole, rare_rows, rare = np.bincount(rows, total, hi - lo), [], []
-                for of, key, _, _ in islice(sequences(h, at), depth + 1):
+                hit = place >= 0
+                c = hot_c[place[hit]]
+                base = np.bincount(rows[hit], np.log10(c + 1), hi - lo)
+                model = np.bincount(rows[hit], np.log((1 - u) * c / max(n, 1)), hi - lo)
+                cold.append((lo + rows[~hit], h[~hit]))
+                marked = np.repeat(np.arange(hi - lo), np.diff(at) + 1)
+                for last, key, _, _ in islice(sequences(h, at), depth + 1):
                     seen = np.flatnonzero(possible.has(key))
-                    of, key = of[seen], key[seen]
+                    of, key = marked[last[seen]], key[seen]
                     found = sequence_table.find(key)
-                    hit = found >= 0
-                    whole += np.bincount(of[hit], hot_w[found[hit]], hi - lo)
-                    rare_rows.append(of[~hit])
-                    rare.append(key[~hit].view(np.int64))
-                model.append(whole / np.log(10))
-                rare_rows, rare = np.concatenate(rare_rows), np.concatenate(rare)
-                rare = rare[np.argsort(rare_rows, kind="stable")]
-                cut = np.append(0, np.cumsum(np.bincount(rare_rows, minlength=hi - lo)))
-                grams += [rare[cut[i] : cut[i + 1]] for i in range(hi - lo)]
-                cold = np.flatnonzero(place < 0)
-                cut = np.searchsorted(cold, at)
-                signed = h[cold].view(np.int64)
-                tail += [signed[cut[i] : cut[i + 1]] for i in range(hi - lo)]
-            ids = part + serial[0] + np.arange(batch.num_rows)
-            serial[0] += batch.num_rows
-            return {"row": pa.array(ids), "doc_id": batch["doc_id"], "n_tokens": pa.array(np.concatenate(size)), "known": pa.array(np.concatenate(known).astype(np.int64)), "base": pa.array(np.concatenate(base)), "model": pa.array(np.concatenate(model)), "tail": pa.array(tail, pa.list_(pa.int64())), "grams": pa.array(grams, pa.list_(pa.int64()))}
+                    own = found >= 0
+                    model += np.bincount(of[own], hot_w[found[own]], hi - lo)
+                    rare.append((lo + of[~own], key[~own]))
+                    held += len(of) - int(own.sum())
+                whole.append((np.diff(at), np.bincount(rows, hit, hi - lo).astype(np.int64), base, model / np.log(10)))
+                if held > PART:
+                    yield packed(ids, *zip(*rare), columns[:2])
+                    rare, held = [], 0
+            if held:
+                yield packed(ids, *zip(*rare), columns[:2])
+            if sum(len(x) for x, _ in cold):
+                yield packed(ids, *zip(*cold), columns[2:4])
+            doc = batch["doc_id"]
+            values = [ids, doc.fill_null(0).to_numpy(zero_copy_only=False), doc.is_valid().to_numpy(zero_copy_only=False).astype(np.int64), *(np.concatenate(x) for x in zip(*whole))]
+            yield {"range": pa.array([int(mix(ids[:1])[0] >> np.uint64(64 - bits))], pa.int32()), **{c: pa.array([x.view(kind(c)).tobytes()], pa.binary()) for c, x in zip(of_row, values)}}
 
-        return step
+        def all_columns(batch: pa.RecordBatch) -> Iterator[dict]:
+            for part_ in step(batch):
+                full = padded(part_, columns)
+                yield {c: full[c] for c in full.schema.names}
 
-    scored = stored(map_batches(docs, make, "row long, doc_id long, n_tokens long, known long, base double, model double, tail array<long>, grams array<long>"))
-    cold = scored.select("row", F.explode("tail").alias("key")).groupBy("row", "key").agg(F.count("*").alias("times"))
-    rest = cold.join(counts, "key", "left").groupBy("row").agg(
-        F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("more"),
-        F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 1)).alias("more_base"),
-        F.sum(F.col("times") * F.when(F.col("c").isNull(), F.lit(float(np.log10(u)))).otherwise(F.log10(F.col("c") * F.lit((1 - u) / max(n, 1)) + F.lit(0.0)))).alias("more_model"),
-    )
-    rare = rare_sums(scored, weighted.where(F.col("c") < common)).groupBy("row").agg((F.sum("w") / float(np.log(10))).alias("rare_model"))
-    none = F.lit(0)
-    return scored.drop("tail", "grams").join(rest, "row", "left").join(rare, "row", "left").select(
+        return all_columns
+
+    def summed(rows: dict) -> dict:
+        """Rows as they are, their ids as hashes; of the keys that weren't broadcast, the sums of each row's."""
+        rows |= {c: mix(rows[c].view(np.uint64)).view(np.int64) for c in ("row", "xrow", "trow")}
+        order = ordered(rows["k"])
+        at = lookup(rows["k"].view(np.uint64)[order], rows["xkey"].view(np.uint64))
+        own = np.flatnonzero(at >= 0)
+        xrow, w = added(rows["xrow"][own], rows["kw"][order[at[own]]])
+        order = ordered(rows["ck"])
+        at = lookup(rows["ck"].view(np.uint64)[order], rows["tkey"].view(np.uint64))
+        own = at >= 0
+        c = np.zeros(len(at))
+        c[own] = rows["cc"][order[at[own]]]
+        trow, known, base, model = added(rows["trow"], own.astype(np.int64), np.log10(c + 1), np.where(own, np.log10(np.where(own, c * ((1 - u) / max(n, 1)), 1.0)), log_u))
+        none = np.zeros(len(trow), np.int64)
+        more = {"row": trow, "doc": none, "known_id": none, "size": none, "known": known, "base": base, "model": model}
+        return {"xrow": xrow, "w": w / np.log(10), **{c: np.concatenate([rows[c], more[c]]) for c in of_row}}
+
+    def totals(rows: dict) -> dict:
+        row, *values = added(*(rows[c] for c in of_row))
+        out = dict(zip(of_row, [row, *values]))
+        xrow, w = added(rows["xrow"], rows["w"])
+        out["model"] = out["model"].copy()
+        out["model"][lookup(row.view(np.uint64), xrow.view(np.uint64))] += w
+        return out
+
+    rarer = each(weighted, lambda r: {c: r[v][r["c"] < common] for c, v in (("key", "key"), ("kw", "w"))}, ["key", "kw"])
+    colder = each(counts, lambda r: {c: r[v][r["c"] < frequent] for c, v in (("ck", "key"), ("cc", "c"))}, ["ck", "cc"])
+    scored = with_level(map_batches(docs, make, dealt_schema(columns)), rarer, kw="kw").unionByName(colder, allowMissingColumns=True)
+    out = met(met(scored, summed, [["xrow", "w"], of_row], bits), totals, ", ".join(f"{c} {'double' if kind(c) is np.float64 else 'long'}" for c in of_row), bits)
+    return out.withColumn("doc_id", F.when(F.col("known_id") > 0, F.col("doc"))).select(
         "doc_id",
         (crc_mod("doc_id", held_out_mod) == held_out_rest).alias("held_out"),
-        "n_tokens",
-        (F.col("known") + F.coalesce("more", none)).cast("long").alias("n_known"),
+        F.col("size").alias("n_tokens"),
+        F.col("known").alias("n_known"),
         F.lit(int(n)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more_base", none) - F.col("n_tokens") * F.lit(float(np.log10(n + v + 1)))).alias("base_score"),
-        (F.col("model") + F.coalesce("more_model", none) + F.coalesce("rare_model", none)).alias("score"),
+        (F.col("base") - F.col("size") * F.lit(float(np.log10(n + v + 1)))).alias("base_score"),
+        F.col("model").alias("score"),
     )

@@ -355,3 +355,26 @@ def test_the_threshold_does_not_move_with_the_share_of_a_class():
     many = toxicity.fit_arrays(toxic + clean * 4, np.repeat([1.0, 0.0], [40, 240]), (4, 6))
     for d in (toxic[0], clean[0]):
         assert (few.weights[d].sum() + few.bias > 0) == (many.weights[d].sum() + many.bias > 0)
+
+
+# --- 9: packed ranges ---
+
+
+def test_hashes_are_ordered_exactly():
+    """Sorting by upper bits alone would leave keys in disorder that differ in their lower bits only."""
+    rng = np.random.default_rng(3)
+    keys = rng.integers(0, 1 << 63, 5000).astype(np.uint64) * np.uint64(2)
+    keys[:3000] = (keys[:1] & ~np.uint64(7)) + rng.integers(0, 8, 3000).astype(np.uint64)
+    order = suffix_tree.ordered(keys)
+    assert (keys[order] == np.sort(keys)).all() and (np.sort(order) == np.arange(5000)).all()
+
+
+def test_filter_holds_its_keys_and_few_others():
+    """At a load of an eighth a table with one bit a key would let through an eighth of the others."""
+    bits = 4
+    keys = np.sort(np.random.default_rng(5).integers(0, 1 << 63, 1 << 18).astype(np.uint64) * np.uint64(2))
+    crowded = np.sort(np.random.default_rng(6).integers(0, 1 << 60, 1 << 20).astype(np.uint64))
+    found = pa.table({"range": pa.array([0], pa.int32()), "words": pa.array([suffix_tree.segment(crowded, bits)], pa.binary())})
+    shut = suffix_tree.Filter(found, bits)
+    assert shut.has(crowded).all() and not shut.has(keys[keys >> np.uint64(60) > 0]).any()
+    assert shut.has(np.random.default_rng(7).integers(0, 1 << 60, 100_000).astype(np.uint64)).mean() < 0.08
