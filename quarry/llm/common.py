@@ -8,6 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,8 +38,12 @@ def trim() -> None:
 
 
 def tidy(spark: SparkSession) -> None:
-    """Lets the driver give back what it has done with: Python's free memory, the JVM's plans of queries that are over, and the files of their shuffles, which Spark drops once its garbage has been collected."""
+    """Lets the driver give back what it has done with: Python's free memory, the JVM's plans of queries that are over, and the files of their shuffles, which Spark drops once its garbage has been collected. Events that listeners haven't had yet hold on to queries that are over, so those are waited for."""
     trim()
+    try:
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    except Py4JJavaError:  # listeners lag: what they hold goes another time
+        pass
     spark.sparkContext._jvm.System.gc()
 
 
