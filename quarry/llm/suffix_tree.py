@@ -683,7 +683,6 @@ def score(documents: DataFrame, held_out_mod: int = 7, held_out_rest: int = 2, d
 
     def make():
         kernel, (hot_h, hot_c, hot_x, hot_w, possible) = Kernel(), shared.value
-        vars(shared).pop("_value", None)  # else a worker without a task keeps the tables
         hot_table, sequence_table = Table(hot_h), Table(hot_x)
         part, serial = TaskContext.get().partitionId() << 40, [0]
 
