@@ -38,8 +38,9 @@ def trim() -> None:
 
 
 def tidy(spark: SparkSession) -> None:
-    """Lets the driver give back what it has done with: Python's free memory, the JVM's plans of queries that are over, and the files of their shuffles, which Spark drops once its garbage has been collected. Events that listeners haven't had yet hold on to queries that are over, so those are waited for."""
+    """Lets the driver give back what it has done with: Python's free memory, the JVM's plans of queries that are over, and the files of their shuffles, which Spark drops once its garbage has been collected. Events that listeners haven't had yet hold on to queries that are over, so those are waited for; and each listener's thread holds on to the last event that it had, a query's end with all its shuffles, until another comes: a small broadcast gives it one."""
     trim()
+    spark.sparkContext.broadcast(None).destroy()
     try:
         spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
     except Py4JJavaError:  # listeners lag: what they hold goes another time

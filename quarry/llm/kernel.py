@@ -160,8 +160,12 @@ class Table:
     def __init__(self, keys: np.ndarray) -> None:
         self.keys = keys
         self.bits = max(1, min(22, int(len(keys)).bit_length()))
-        count = np.bincount((keys >> np.uint64(64 - self.bits)).astype(np.int32), minlength=1 << self.bits)
-        self.start = (np.cumsum(count) - count).astype(np.int32)
+        start = np.zeros((1 << self.bits) + 1, np.int32)
+        for i in range(0, len(keys), 1 << 18):  # keys are sorted, so a part of them has few upper bits
+            upper = (keys[i : i + (1 << 18)] >> np.uint64(64 - self.bits)).astype(np.int64)
+            count = np.bincount(upper - upper[0])
+            start[1 + upper[0] : 1 + upper[0] + len(count)] += count.astype(np.int32)
+        self.start = np.cumsum(start, dtype=np.int32, out=start)[:-1]
 
     def find(self, values: np.ndarray) -> np.ndarray:
         """Place of each value, or -1."""

@@ -15,11 +15,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
-from itertools import chain, islice
+from itertools import chain, groupby, islice
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +37,7 @@ HOT = 1 << 22
 FINE = 64  # counts below are told apart where HOT cuts
 SLICE = 1 << 17  # bytes of text whose arrays stay in a core's cache
 PART = 3 << 19  # keys that a task counts at a time
+RARE = 3 << 17  # keys that a task sends at a time to meet their weights
 COST = 3.0  # nats that each parameter of a retained context must save
 
 
@@ -314,8 +314,8 @@ def kind(column: str) -> type:
 
 
 def range_bits(spark: SparkSession) -> int:
-    """Bits of a range's number: about as many ranges as shuffle partitions."""
-    return min(16, max(1, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()))
+    """Bits of a range's number: about as many ranges as shuffle partitions. With 32 more bits of a key they are as many as place() reads, FILTER_BITS + 6."""
+    return min(16, max(FILTER_BITS - 26, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()))
 
 
 def added(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -427,8 +427,8 @@ def joined_key(prefix: np.ndarray, suffix: np.ndarray, length: int) -> np.ndarra
     return mix(prefix.view(np.uint64) * np.uint64(0x9FB21C651E98DF25) + mix(suffix.view(np.uint64) + np.uint64(length)))
 
 
-def repeated(documents: DataFrame, depth: int) -> list[Filter]:
-    """Filters of the sequences of each length from 2 to depth + 1 that may occur twice: they let through all that do.
+def repeated(documents: DataFrame, depth: int) -> list[Broadcast]:
+    """Broadcast filters of the sequences of each length from 2 to depth + 1 that may occur twice: they let through all that do. The driver has one of them at a time.
 
     In one pass tasks send 32 bits of each key that they see, sorted and by ranges of keys, with those that they see twice marked; a range's bits meet, and those that come twice or are marked set their place in the filter. Equal bits of different keys let more through, never less.
     """
@@ -480,10 +480,14 @@ def repeated(documents: DataFrame, depth: int) -> list[Filter]:
         trim()
 
     rows = map_batches(documents.select("text"), make, "length int, range int, once binary, more binary")
-    found = rows.repartition("length", "range").mapInArrow(marks, "length int, range int, words binary").toArrow()  # 2^FILTER_BITS bits a length
-    out = [Filter(found.filter(pc.equal(found["length"], n)), bits) for n in range(2, depth + 2)]
-    del rows, found
+    found = stored(rows.repartition("length", "range").mapInArrow(marks, "length int, range int, words binary"))
+    del rows
     tidy(spark)  # the shuffle's files go before the counts' are written
+    out = []
+    for n in range(2, depth + 2):
+        out.append(spark.sparkContext.broadcast(Filter(found.where(F.col("length") == n).select("range", "words").toArrow(), bits)))  # 2^FILTER_BITS bits
+        trim()
+    drop_stored(found)
     return out
 
 
@@ -591,7 +595,7 @@ def weights(documents: DataFrame, counts: DataFrame, stats: dict, depth: int = D
     start = spark.createDataFrame([(int(START.view(np.int64)), documents.count(), 1.0)], "key long, c long, q double")
     level = stored(dealt(level.unionByName(start), "key", bits))
     tables = [level]
-    filters = [spark.sparkContext.broadcast(f) for f in repeated(documents, depth)] if n else []
+    filters = repeated(documents, depth) if n else []
     for length in range(2, depth + 2) if n else ():
         pairs = stored(pair_counts(documents, filters[max(0, length - 3) : length - 1], length, least))
         for f in filters[max(0, length - 3) : length - 2 + (length > depth)]:
@@ -642,8 +646,8 @@ def hot_from(packed: DataFrame, most: int = HOT) -> int:
     return least
 
 
-def hot_rows(packed: DataFrame, least: int, value: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, sorted, and values of the rows with this count at least, and of the end mark."""
+def hot_table(packed: DataFrame, least: int, value: str, most: int = HOT) -> tuple[Table, np.ndarray]:
+    """Table of the hashes and values of the rows with this count at least, which are `most` or fewer, and of the end mark. The driver gets them range by range, so that it has them once."""
     end = END.view(np.int64)
 
     def often(rows: dict) -> dict:
@@ -651,15 +655,15 @@ def hot_rows(packed: DataFrame, least: int, value: str) -> tuple[np.ndarray, np.
         return {"key": rows["key"][own], value: rows[value][own]}
 
     names = ["key", value]
-    rows = each(packed.select("range", *dict.fromkeys(["key", "c", value])), often, names).toArrow()
-    by = np.argsort(rows["range"].to_numpy(), kind="stable")
-    h, v = (np.concatenate([np.zeros(0, kind(c)), *(np.frombuffer(rows[c][i].as_buffer(), kind(c)) for i in by)]) for c in names)
-    del rows
-    h = h.view(np.uint64)
-    if (h[1:] < h[:-1]).any():  # not if each range comes once
-        order = ordered(h)
-        h, v = h[order], v[order]
-    return h, v
+    rows = stored(each(packed.select("range", *dict.fromkeys(["key", "c", value])), often, names))
+    h, v, n = np.empty(most + 1, np.uint64), np.empty(most + 1, kind(value)), 0
+    for _, own in groupby(rows.orderBy("range").toLocalIterator(), lambda r: r["range"]):
+        part = unpacked([r.asDict() for r in own], names)
+        order = ordered(part["key"])
+        h[n : n + len(order)], v[n : n + len(order)] = part["key"].view(np.uint64)[order], part[value][order]
+        n += len(order)
+    drop_stored(rows)
+    return Table(h[:n]), v[:n]
 
 
 def score(documents: DataFrame, held_out_mod: int = 7, held_out_rest: int = 2, depth: int = DEPTH, p_min: float = 0.0, hot: int = HOT) -> DataFrame:
@@ -670,20 +674,20 @@ def score(documents: DataFrame, held_out_mod: int = 7, held_out_rest: int = 2, d
     bits = range_bits(spark)
     counts, stats = root(trained)
     weighted = weights(trained, counts, stats, depth, p_min)
-    counts = stored(dealt(counts, "key", bits))
+    plain, counts = counts, stored(dealt(counts, "key", bits))
+    drop_stored(plain)
     frequent, common = hot_from(counts, hot), hot_from(weighted, hot)
-    hot_h, hot_c = hot_rows(counts, frequent, "c")
-    shared = spark.sparkContext.broadcast((hot_h, hot_c, *hot_rows(weighted, common, "w"), Filter.of(weighted, bits)))
-    del hot_h, hot_c
-    tidy(spark)
+    shared = []  # one by one: the driver has one of them at a time
+    for part in (lambda: hot_table(counts, frequent, "c", hot), lambda: hot_table(weighted, common, "w", hot), lambda: Filter.of(weighted, bits)):
+        shared.append(spark.sparkContext.broadcast(part()))
+        tidy(spark)
     n, v, u = stats["n"], stats["v"], stats["u"]
     log_u = float(np.log10(u))
     of_row = ["row", "doc", "known_id", "size", "known", "base", "model"]
     columns = ["xrow", "xkey", "trow", "tkey", *of_row]
 
     def make():
-        kernel, (hot_h, hot_c, hot_x, hot_w, possible) = Kernel(), shared.value
-        hot_table, sequence_table = Table(hot_h), Table(hot_x)
+        kernel, ((tokens_table, hot_c), (sequence_table, hot_w), possible) = Kernel(), (b.value for b in shared)
         part, serial = TaskContext.get().partitionId() << 40, [0]
 
         def packed(ids: np.ndarray, rows: tuple, keys: tuple, names: list[str]) -> dict:
@@ -701,7 +705,7 @@ def score(documents: DataFrame, held_out_mod: int = 7, held_out_rest: int = 2, d
             whole, rare, cold, held = [], [], [], 0
             for lo, hi, h, at in tokens(batch["text"], kernel):
                 rows = np.repeat(np.arange(hi - lo), np.diff(at))
-                place = hot_table.find(h)
+                place = tokens_table.find(h)
                 hit = place >= 0
                 c = hot_c[place[hit]]
                 base = np.bincount(rows[hit], np.log10(c + 1), hi - lo)
@@ -717,7 +721,7 @@ def score(documents: DataFrame, held_out_mod: int = 7, held_out_rest: int = 2, d
                     rare.append((lo + of[~own], key[~own]))
                     held += len(of) - int(own.sum())
                 whole.append((np.diff(at), np.bincount(rows, hit, hi - lo).astype(np.int64), base, model / np.log(10)))
-                if held > PART:
+                if held > RARE:
                     yield packed(ids, *zip(*rare), columns[:2])
                     rare, held = [], 0
             if held:
@@ -764,7 +768,7 @@ def score(documents: DataFrame, held_out_mod: int = 7, held_out_rest: int = 2, d
     colder = each(counts, lambda r: {c: r[v][r["c"] < frequent] for c, v in (("ck", "key"), ("cc", "c"))}, ["ck", "cc"])
     scored = with_level(map_batches(docs, make, dealt_schema(columns)), rarer, kw="kw").unionByName(colder, allowMissingColumns=True)
     out = met(met(scored, summed, [["xrow", "w"], of_row], bits), totals, ", ".join(f"{c} {'double' if kind(c) is np.float64 else 'long'}" for c in of_row), bits)
-    return out.withColumn("doc_id", F.when(F.col("known_id") > 0, F.col("doc"))).select(
+    result = stored(out.withColumn("doc_id", F.when(F.col("known_id") > 0, F.col("doc"))).select(
         "doc_id",
         (crc_mod("doc_id", held_out_mod) == held_out_rest).alias("held_out"),
         F.col("size").alias("n_tokens"),
@@ -772,4 +776,10 @@ def score(documents: DataFrame, held_out_mod: int = 7, held_out_rest: int = 2, d
         F.lit(int(n)).cast("long").alias("train_tokens"),
         (F.col("base") - F.col("size") * F.lit(float(np.log10(n + v + 1)))).alias("base_score"),
         F.col("model").alias("score"),
-    )
+    ))
+    for b in shared:  # they would stay in the memory of the driver and the executors for as long as the result is in use
+        b.destroy()
+    for done in (counts, weighted):
+        drop_stored(done)
+    tidy(spark)
+    return result

@@ -291,6 +291,53 @@ def test_weights_leave_one_table(spark):
     assert set(os.listdir(folder)) - before == {os.path.basename(out.scratch_path)} and out.count() > 0
 
 
+def test_scoring_leaves_its_result_only(spark, monkeypatch):
+    """Tables and broadcasts that outlive a scoring add up from query to query, in the driver's memory too."""
+    import os
+
+    from quarry.session import checkpoint_root
+
+    folder, made = checkpoint_root(spark).removeprefix("file://"), []
+    send = type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda sc, value: made.append(send(sc, value)) or made[-1])
+    docs = spark.createDataFrame([(i, "a b c d a b c d e f") for i in range(20)], "doc_id long, text string")
+    before = set(os.listdir(folder))
+    out = suffix_tree.score(docs)
+    assert len(set(os.listdir(folder)) - before) == 1 and out.count() == 20
+    assert made and not [b for b in made if os.path.exists(b._path)]
+
+
+def test_tidy_lets_shuffles_go(spark):
+    """The listeners' threads hold on to the last event, a query's end, and with it to the query's shuffles."""
+    import time
+
+    from quarry.llm.common import tidy
+    from quarry.session import stored
+
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {n for n in (str(f) for f in disk.getAllFiles().mkString("\n").split("\n")) if "shuffle_" in n}
+    before = files()
+    stored(spark.range(1000).repartition(3, "id"))
+    assert files() - before
+    tidy(spark)
+    until = time.time() + 8
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before
+
+
+def test_language_model_scores_with_one_partition(spark):
+    """Few partitions make few ranges of keys; the filters then still get all the bits that they look at."""
+    docs = spark.createDataFrame([(i, f"w{i % 50} x{i % 40} y{i % 30} z{i % 20}") for i in range(400)], "doc_id long, text string")
+    want = sorted((r["doc_id"], round(r["score"], 9)) for r in suffix_tree.score(docs).collect())
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        assert sorted((r["doc_id"], round(r["score"], 9)) for r in suffix_tree.score(docs).collect()) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+
+
 def test_language_model_scores(spark):
     rng = np.random.default_rng(11)
     rows = [(i, " ".join(("a b c" if rng.random() < 0.6 else "d E") if rng.random() < 0.7 else f"u{rng.integers(0, 40)}" for _ in range(int(rng.integers(0, 40))))) for i in range(150)]
