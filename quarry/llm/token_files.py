@@ -15,6 +15,7 @@ Defined cases: null and empty texts have the end id only; repeated rows and doc
 from __future__ import annotations
 
 import os
+import re
 import sys
 import types
 import uuid
@@ -35,7 +36,19 @@ BLOCK = 2048
 SHARD = 4096 * BLOCK  # ids, about
 SLOTS = 9  # log2 of a block's contexts of each order
 LIMIT = 2047
-_TOP, _BOTTOM, _WORD = np.uint64(1 << 48), np.uint64(1 << 40), np.uint64(16)
+# numpy takes constants faster as arrays without dimensions
+_TOP, _BOTTOM, _UNIT, _WORD, _HIGH = (np.array(x, np.uint64) for x in (1 << 48, 1 << 40, 1, 16, 48))
+_CODE, _ONE, _FRESH, _SIX, _SCALE, _SLOW = (np.array(x, np.int32) for x in (31, 5, 2, 6, 18, 16))
+_FULL, _RATE = np.array(4095, np.int16), np.array(4, np.int16)
+_KNOWN, _SHIFT, _NEXT = np.array(3), np.array(32 - SLOTS), np.array(1)
+_ID, _PAIR, _OLDER = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0x5BD1E995)  # of hashes
+_STEP = 3070  # of a weight in one update, at most
+_DOT = 12288  # of the mixed inputs, at most
+_RUN, _WORDS = 16, 8  # steps that are prepared together; words that a step can settle, at most
+
+
+#: A word with at most one space before it: letters of ASCII, of U+00C0 to U+023F and Cyrillic ones, which the byte-level pre-tokenizer never cuts.
+WORD = re.compile(rb" ?(?:[A-Za-z]|\xC3[\x80-\x96\x98-\xB6\xB8-\xBF]|[\xC4-\xC8\xD0][\x80-\xBF])+")
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -47,64 +60,104 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Model:
-    """The predictors of all lanes."""
+    """The predictors of all lanes. What both orders share is done for both at once: arrays of 2 n have order 2 in their first half, order 1 in the other."""
 
     def __init__(self, lanes: int, prior: np.ndarray) -> None:
-        self.squash, self.stretch = _tables()
+        squash, self.stretch = _tables()
+        dot = np.append(np.arange(_DOT), np.arange(-_DOT, 0))  # a negative place counts from the end
+        self.squash = squash[dot.clip(-LIMIT, LIMIT) + LIMIT] << 4
         self.prior = prior  # by id: stretched order-0 probability
-        self.two, self.one = np.zeros(lanes << SLOTS, np.int32), np.zeros(lanes << SLOTS, np.int32)  # id << 4 | confidence
-        self.rate2 = np.full(lanes << 4, 2048, np.int32)
-        self.rate1 = np.full(lanes << 5, 2048, np.int32)
+        self.table = np.zeros(2 * lanes << SLOTS, np.int32)  # id << 5 | confidence << 1
+        self.rate = np.full(2 * lanes << 5, 2048, np.int16)  # by confidence << 1; in order 1 also by whether both orders agree
+        confidence = np.arange(32) >> 1
+        self.change = np.where(np.arange(32) & 1, confidence < 15, -((confidence + 1) >> 1)).astype(np.int32) << 1  # by confidence << 1 | hit
         self.weight = np.repeat(np.array([[26000], [20000], [8000]], np.int32), lanes, axis=1)  # of 65536
         self.s = np.zeros((3, lanes), np.int32)
+        self.both, self.free = self.s[:2].reshape(-1), 0
         self.last, self.older = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)  # hashes of the last two ids
-        lane = np.arange(lanes, dtype=np.int32)
-        self.base, self.base2, self.base1 = lane << SLOTS, lane << 4, lane << 5
+        lane = np.arange(2 * lanes)
+        self.base, self.rate_base = lane << SLOTS, lane << 5
         self.n = lanes
 
     def cut(self, n: int) -> None:
         """Keeps the first n lanes."""
         if n != self.n:
             self.weight, self.s = np.ascontiguousarray(self.weight[:, :n]), np.ascontiguousarray(self.s[:, :n])
-            self.last, self.older, self.base, self.base2, self.base1, self.n = self.last[:n], self.older[:n], self.base[:n], self.base2[:n], self.base1[:n], n
-
-    def predict(self) -> tuple[np.ndarray, np.ndarray]:
-        """(predicted id, probability of 65536) for the lanes."""
-        shift = np.uint32(32 - SLOTS)
-        self.at1 = self.base + (self.last >> shift).view(np.int32)
-        self.at2 = self.base + (((self.last ^ self.older) * np.uint32(0x85EBCA6B)) >> shift).view(np.int32)
-        self.e2, self.e1 = self.two.take(self.at2), self.one.take(self.at1)
-        self.id2, self.id1, self.c2, self.c1 = self.e2 >> 4, self.e1 >> 4, self.e2 & 15, self.e1 & 15
-        guess = np.where(self.c2 > 0, self.id2, self.id1)
-        self.in2, self.in1 = self.base2 + self.c2, self.base1 + (self.c1 << 1) + (self.id1 == guess)
-        self.q2, self.q1 = self.rate2.take(self.in2), self.rate1.take(self.in1)
-        s = self.s
-        self.stretch.take(self.q2, out=s[0], mode="clip")
-        self.stretch.take(self.q1, out=s[1], mode="clip")
-        self.prior.take(guess, out=s[2], mode="clip")
-        dot = (self.weight * s).sum(0, dtype=np.int32) >> 16
-        np.minimum(dot, LIMIT, out=dot)
-        np.maximum(dot, -LIMIT, out=dot)
-        dot += LIMIT
+            self.both = self.s[:2].reshape(-1)
+            self.base, self.rate_base = (x.reshape(2, -1)[:, :n].reshape(-1) for x in (self.base, self.rate_base))
+            self.last, self.older, self.n = self.last[:n], self.older[:n], n
+
+    def places(self) -> np.ndarray:
+        """Places in the table of the next id's contexts."""
+        h = np.empty((2, self.n), np.int64)
+        h[0], h[1] = (self.last ^ self.older) * _PAIR, self.last
+        h >>= _SHIFT
+        at = h.reshape(-1)
+        at += self.base
+        return at
+
+    def places_of(self, run: np.ndarray) -> np.ndarray:
+        """The places for each of a run of steps whose ids are known."""
+        steps = len(run)
+        last, older = np.empty((steps + 1, self.n), np.uint32), np.empty((steps + 1, self.n), np.uint32)
+        last[0], older[0] = self.last, self.older
+        np.multiply(run.view(np.uint32), _ID, out=last[1:])
+        np.bitwise_xor(last[:-1], _OLDER, out=older[1:])
+        h = np.empty((steps, 2, self.n), np.int64)
+        h[:, 0], h[:, 1] = (last[:-1] ^ older[:-1]) * _PAIR, last[:-1]
+        h >>= _SHIFT
+        self.last, self.older = last[-1], older[-1]
+        at = h.reshape(steps, -1)
+        at += self.base
+        return at
+
+    def predict(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(predicted id, probability of 65536) for the lanes, whose contexts are at these places."""
+        n = self.n
+        self.at, self.e = at, self.table.take(at)
+        self.had, self.c = self.e >> _ONE, (self.e & _CODE).astype(np.int64)
+        one = self.had[n:]
+        guess = np.where(self.c[:n] > 0, self.had[:n], one)
+        self.inner = self.rate_base + self.c
+        self.inner[n:] += one == guess
+        self.q = self.rate.take(self.inner)
+        self.stretch.take(self.q, out=self.both, mode="clip")
+        self.prior.take(guess, out=self.s[2], mode="clip")
+        x = self.weight * self.s
+        dot = x[0]
+        dot += x[1]
+        dot += x[2]
+        dot >>= _SLOW
         self.p = self.squash.take(dot)
-        return guess, self.p << 4
+        return guess, self.p
 
     def update(self, ids: np.ndarray, hit: np.ndarray) -> None:
-        goal = hit.astype(np.int32) << 12
-        step = self.s * ((goal - self.p) * 6)
-        step >>= 14
+        wrong = (hit.astype(np.int32) << _SLOW) - self.p
+        wrong *= _SIX
+        step = self.s * wrong
+        step >>= _SCALE
         self.weight += step
-        np.minimum(self.weight, 131072, out=self.weight)
-        np.maximum(self.weight, -65536, out=self.weight)
-        np.minimum(goal, 4095, out=goal)
-        self.rate2[self.in2] = self.q2 + ((goal - self.q2) >> 4)
-        self.rate1[self.in1] = self.q1 + ((goal - self.q1) >> 4)
-        fresh = (ids << 4) | 1
-        for table, at, e, had, c in ((self.two, self.at2, self.e2, self.id2, self.c2), (self.one, self.at1, self.e1, self.id1, self.c1)):
-            same = had == ids
-            table[at] = np.where(same & (c > 0), e + (c < 15), np.where(c < 2, fresh, e - ((c + 1) >> 1)))
-        np.bitwise_xor(self.last, np.uint32(0x5BD1E995), out=self.older)
-        self.last = ids.view(np.uint32) * np.uint32(0x9E3779B1)
+        self.free -= 1
+        if self.free < 0:  # else no weight can have left its limits
+            np.minimum(self.weight, 131072, out=self.weight)
+            np.maximum(self.weight, -65536, out=self.weight)
+            self.free = min(131072 - int(self.weight.max(initial=0)), 65536 + int(self.weight.min(initial=0))) // _STEP
+        goal = hit.astype(np.int16)
+        goal *= _FULL
+        q = self.q.reshape(2, -1)
+        move = goal - q
+        move >>= _RATE
+        q += move
+        self.rate[self.inner] = self.q
+        k = self.c.reshape(2, -1)
+        k += self.had.reshape(2, -1) == ids
+        self.e += self.change.take(self.c)
+        self.table[self.at] = np.where(k < _KNOWN, (ids << _ONE) | _FRESH, self.e.reshape(2, -1)).reshape(-1)
+
+    def follow(self, ids: np.ndarray) -> None:
+        """The ids just coded are the next one's context."""
+        self.older = self.last ^ _OLDER
+        self.last = ids.view(np.uint32) * _ID
 
 
 def _order0(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -129,27 +182,29 @@ class _Lanes:
     def __init__(self, lanes: int) -> None:
         self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
 
-    def narrow(self, n: int, start: np.ndarray, width: np.ndarray, bits: int, lanes: np.ndarray | slice) -> None:
-        r = self.range[lanes] >> np.uint64(bits)
-        self.low[lanes] += r * start
-        self.range[lanes] = r * width
-
-    def shift(self, n: int) -> Iterator[np.ndarray]:
-        """Yields the lanes whose top word is settled, until there are none; the caller moves the word."""
-        lanes, low, rng = None, self.low[:n], self.range[:n]
-        while True:
-            settled = (low ^ (low + rng)) < _TOP
-            short = (rng < _BOTTOM) & ~settled
-            here = np.flatnonzero(settled | short)
-            if not len(here):
-                return
-            at = here if lanes is None else lanes[here]
-            s = at[short[here]]
-            if len(s):
-                self.range[s] = (~self.low[s] + np.uint64(1)) & (_BOTTOM - np.uint64(1))
-            yield at
-            lanes, low, rng = at, self.low[at] << _WORD, self.range[at] << _WORD
-            self.low[at], self.range[at] = low, rng
+    def cut(self, n: int) -> None:
+        self.low, self.range = self.low[:n], self.range[:n]
+
+    def shift(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Yields the lanes whose top word is settled, and their low, until there are none; the caller moves the word. A word is settled or short of range only where the range is below a word's."""
+        at = (self.range < _TOP).nonzero()[0]
+        while len(at):
+            low, rng = self.low[at], self.range[at]
+            go = (low ^ (low + rng)) < _TOP
+            short = rng < _BOTTOM
+            short &= ~go
+            if short.any():
+                rng[short] = (~low[short] + _UNIT) & (_BOTTOM - _UNIT)
+                go |= short
+            here = go.nonzero()[0]
+            if len(here) < len(at):
+                at, low, rng = at[here], low[here], rng[here]
+                if not len(at):
+                    return
+            yield at, low
+            rng <<= _WORD
+            self.low[at], self.range[at] = low << _WORD, rng
+            at = at[rng < _TOP]
 
 
 def encode_ids(ids: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray, tuple]:
@@ -159,38 +214,52 @@ def encode_ids(ids: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray, tuple]:
     cum = np.zeros(len(distinct) + 1, np.int64)
     np.cumsum(freq, out=cum[1:])
     model, state = _Model(lanes, _prior(*table)), _Lanes(lanes)
+    rest = state.low
     padded = np.zeros(lanes * BLOCK, np.int32)
     padded[: len(ids)] = ids
-    steps = np.ascontiguousarray(padded.reshape(lanes, BLOCK).T)
+    steps, bits = padded.reshape(lanes, BLOCK), np.array(bits, np.uint64)
     place = np.zeros(int(distinct.max(initial=0)) + 1, np.int64)
     place[distinct] = np.arange(len(distinct))
+    cum, freq = cum.astype(np.uint64), freq.astype(np.uint64)
     last = len(ids) - (lanes - 1) * BLOCK if lanes else 0
-    words, used = np.zeros((lanes, BLOCK + 64), np.uint16), np.zeros(lanes, np.int64)
-    for t in range(BLOCK if lanes > 1 else last):
-        n = lanes if t < last else lanes - 1
-        model.cut(n)
-        guess, p = model.predict()
-        x = steps[t, :n]
-        hit = guess == x
-        p64 = p.astype(np.uint64)
-        state.narrow(n, np.where(hit, np.uint64(0), p64), np.where(hit, p64, np.uint64(65536) - p64), 16, slice(0, n))
-        miss = np.flatnonzero(~hit)
-        at = place[x[miss]]
-        state.narrow(n, cum[at].astype(np.uint64), freq[at].astype(np.uint64), bits, miss)
-        for lane in state.shift(n):
-            if used.max() >= words.shape[1] - 8:
-                words = np.concatenate([words, np.zeros_like(words)], axis=1)
-            words[lane, used[lane]] = (state.low[lane] >> np.uint64(48)).astype(np.uint16)
-            used[lane] += 1
-        model.update(x, hit)
-    for k in (48, 32, 16, 0):  # the rest of low
-        if lanes and used.max() >= words.shape[1] - 8:
+    width = BLOCK + 64 + _RUN * _WORDS
+    words, used = np.zeros((lanes, width), np.uint16), np.zeros(lanes, np.int64)
+    ends = sorted({*range(0, BLOCK, _RUN), last, BLOCK}) if lanes > 1 else [*range(0, last, _RUN), last]
+    for begin, end in zip(ends, ends[1:]):
+        n = lanes if begin < last else lanes - 1
+        model.cut(n), state.cut(n)
+        if used.max() + (_RUN + 1) * _WORDS > words.shape[1]:
             words = np.concatenate([words, np.zeros_like(words)], axis=1)
-        words[np.arange(lanes), used] = (state.low >> np.uint64(k)).astype(np.uint16)
+        flat, free = words.reshape(-1), used[:n] + np.arange(n) * words.shape[1]
+        run = np.ascontiguousarray(steps[:n, begin:end].T)
+        at = place.take(run)
+        starts, widths = cum.take(at), freq.take(at)
+        for x, places, start, size in zip(run, model.places_of(run), starts, widths):
+            guess, p = model.predict(places)
+            hit = guess == x
+            r = state.range >> _WORD
+            edge = r * p.astype(np.uint64)
+            miss = (~hit).nonzero()[0]
+            if len(miss):
+                over = edge[miss]
+                r = ((r[miss] << _WORD) - over) >> bits
+                over += r * start[miss]
+                over += state.low[miss]
+                r *= size[miss]
+                state.low[miss], edge[miss] = over, r
+            state.range = edge
+            for lane, low in state.shift():
+                to = free[lane]
+                flat[to] = low >> _HIGH
+                to += _NEXT
+                free[lane] = to
+            model.update(x, hit)
+        used[:n] = free - np.arange(n) * words.shape[1]
+    for k in (48, 32, 16, 0):  # the rest of low
+        words[np.arange(lanes), used] = (rest >> np.uint64(k)).astype(np.uint16)
         used += 1
     raw = words[np.arange(words.shape[1])[None, :] < used[:, None]].astype("<u2").tobytes()
-    flat = ids.astype("<u4")
-    crc = np.array([zlib.crc32(flat[i : i + BLOCK].tobytes()) for i in range(0, len(flat), BLOCK)], dtype=np.int64)
+    crc = np.array([zlib.crc32(ids[i : i + BLOCK].astype("<u4").tobytes()) for i in range(0, len(ids), BLOCK)], dtype=np.int64)
     return raw, used, crc, table
 
 
@@ -201,8 +270,10 @@ def decode_ids(raw: bytes, used: np.ndarray, sizes: np.ndarray, crc: np.ndarray,
     cum = np.zeros(len(distinct) + 1, np.int64)
     np.cumsum(freq, out=cum[1:])
     slot = np.repeat(np.arange(len(distinct), dtype=np.int32), freq)
+    distinct, cum, freq = distinct.astype(np.int32), cum.astype(np.uint64), freq.astype(np.uint64)
     model, state = _Model(lanes, _prior(*table)), _Lanes(lanes)
-    flat = np.append(np.frombuffer(raw, "<u2"), np.zeros(8, np.uint16)).astype(np.uint64)
+    bits = np.array(bits, np.uint64)
+    flat = np.append(np.frombuffer(raw, "<u2"), np.zeros(8, np.uint16))
     at = np.append(0, np.cumsum(used))[:-1]
     code = np.zeros(lanes, np.uint64)
     for _ in range(4):
@@ -210,34 +281,42 @@ def decode_ids(raw: bytes, used: np.ndarray, sizes: np.ndarray, crc: np.ndarray,
         at = at + 1
     longest = int(sizes.max(initial=0))
     out = np.zeros((longest, lanes), np.int32)
-    active = np.searchsorted(-sizes, -np.arange(1, longest + 1), "right") if lanes else []
-    for t in range(longest):
-        n = int(active[t])
-        model.cut(n)
-        guess, p = model.predict()
-        p64 = p.astype(np.uint64)
-        edge = (state.range[:n] >> _WORD) * p64
-        hit = (code[:n] - state.low[:n]) < edge
-        state.narrow(n, np.where(hit, np.uint64(0), p64), np.where(hit, p64, np.uint64(65536) - p64), 16, slice(0, n))
-        miss = np.flatnonzero(~hit)
-        x = guess
+    active = np.searchsorted(-sizes, -np.arange(1, longest + 1), "right").tolist() if lanes else []
+    for t, n in enumerate(active):
+        model.cut(n), state.cut(n)
+        code, at = code[:n], at[:n]
+        x, p = model.predict(model.places())
+        r = state.range >> _WORD
+        edge = r * p.astype(np.uint64)
+        ahead = code - state.low
+        hit = ahead < edge
+        miss = (~hit).nonzero()[0]
         if len(miss):
-            v = (code[miss] - state.low[miss]) // (state.range[miss] >> np.uint64(bits))
-            k = slot[np.minimum(v, np.uint64((1 << bits) - 1)).astype(np.int64)]
-            state.narrow(n, cum[k].astype(np.uint64), freq[k].astype(np.uint64), bits, miss)
-            x = guess.copy()
+            over = edge[miss]
+            r = ((r[miss] << _WORD) - over) >> bits
+            v = (ahead[miss] - over) // r
+            k = slot.take(v.view(np.int64), mode="clip").astype(np.int64)  # a damaged block may have any v
             x[miss] = distinct[k]
-        for lane in state.shift(n):
-            code[lane] = (code[lane] << _WORD) | flat[np.minimum(at[lane], len(flat) - 1)]
-            at[lane] += 1
+            over += r * cum[k]
+            over += state.low[miss]
+            r *= freq[k]
+            state.low[miss], edge[miss] = over, r
+        state.range = edge
+        for lane, _ in state.shift():
+            to = at[lane]
+            code[lane] = (code[lane] << _WORD) | flat.take(to, mode="clip")
+            to += _NEXT
+            at[lane] = to
         out[t, :n] = x
         model.update(x, hit)
-    blocks = out.T
-    parts = [np.ascontiguousarray(blocks[i, : sizes[i]]) for i in range(lanes)]
-    for i, x in enumerate(parts):
-        if zlib.crc32(x.astype("<u4").tobytes()) != crc[i]:
+        model.follow(x)
+    ids, begin = np.empty(int(sizes.sum()), np.int32), 0
+    for i, n in enumerate(sizes.tolist()):
+        ids[begin : begin + n] = out[:n, i]
+        if zlib.crc32(ids[begin : begin + n].astype("<u4").tobytes()) != crc[i]:
             raise ValueError(f"checksum of block {i} fails")
-    return np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        begin += n
+    return ids
 
 
 def pack_shard(doc_ids: list, lengths: np.ndarray, ids: np.ndarray) -> bytes:
@@ -307,11 +386,11 @@ def unpack_shard(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
 
 
 class Encoder:
-    """Ids of texts by a tokenizers file (byte-level BPE). Texts are cut where the pre-tokenizer always begins a new word: before a single space or line end between two visible characters, after such a line end, and between ASCII letters, digits and symbols (but not after an apostrophe); never inside an added token of the file, which the library finds in plain text before it looks for words. Each distinct part is encoded by the library, and kept while there is room."""
+    """Ids of texts by a tokenizers file (byte-level BPE). Texts are cut where the pre-tokenizer always begins a new word: before a single space or line end between two visible characters, after such a line end, and between ASCII letters, digits and symbols (but not after an apostrophe); never inside an added token of the file, which the library finds in plain text before it looks for words. Each distinct part is encoded by the library, and kept while there is room; a part that is a single word goes to the library's model at once, as its normalizer, search for added tokens and pre-tokenizer would leave it whole."""
 
     def __init__(self, path: str, most: int = 1 << 20) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library, self.kernel, self.most = Tokenizer.from_file(path), Kernel(lower=False), most
         b = np.arange(256)
@@ -320,6 +399,11 @@ class Encoder:
         kind[(b >= 65) & (b <= 90) | (b >= 97) & (b <= 122)], kind[(b >= 48) & (b <= 57)], kind[39] = 1, 2, 4
         self.added = [t.content.encode() for t in self.library.get_added_tokens_decoder().values() if len(t.content.encode()) > 1]
         self.kind, self.visible = kind, kind > 0
+        cut = self.library.pre_tokenizer
+        plain = self.library.normalizer is None and isinstance(cut, pre_tokenizers.ByteLevel) and cut.use_regex and not cut.add_prefix_space
+        self.words = plain and not any(re.search(r"^[\w\s]*$", t.content) for t in self.library.get_added_tokens_decoder().values())  # whether words may go to the model at once
+        printed = (b > 32) & (b < 127) | (b > 160) & (b != 173)
+        self.shown = np.where(printed, b, 255 + np.cumsum(~printed)).astype("<u4")  # the character by which a byte-level model knows a byte
         self.after = self.visible | ((b >= 0xC3) & (b <= 0xDF))  # visible, or the lead of a two-byte letter
         self.tail, self.two = (b >= 0x80) & (b < 0xC0), (b >= 0xC3) & (b <= 0xDF)
         self.differs = np.zeros((5, 5), bool)
@@ -378,7 +462,18 @@ class Encoder:
     def _encode(self, data: np.ndarray, starts: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(lengths, ids) of the parts at these places."""
         raw = data.tobytes()
-        got = [e.ids for e in self.library.encode_batch_fast([raw[i:j].decode() for i, j in zip(starts[at].tolist(), starts[at + 1].tolist())], add_special_tokens=False)]
+        parts = [raw[i:j] for i, j in zip(starts[at].tolist(), starts[at + 1].tolist())]
+        whole = WORD.fullmatch
+        words = [i for i, part in enumerate(parts) if whole(part)] if self.words else []
+        got: list = [None] * len(parts)
+        if words:
+            line = np.frombuffer(b"\n".join([parts[i] for i in words]), np.uint8)  # no word holds a line end
+            tokens = self.library.model.tokenize
+            for i, word in zip(words, self.shown[line].tobytes().decode("utf-32-le").split(chr(self.shown[10]))):
+                got[i] = [t.id for t in tokens(word)]
+        rest = [i for i, x in enumerate(got) if x is None]
+        for i, e in zip(rest, self.library.encode_batch_fast([parts[i].decode() for i in rest], add_special_tokens=False)):
+            got[i] = e.ids
         n = np.fromiter(map(len, got), np.int64, len(got))
         return n, np.fromiter(chain.from_iterable(got), np.int32, int(n.sum()))
 
@@ -444,7 +539,7 @@ def write(documents: DataFrame, path: str, end: int = 2, folder: str | None = No
     folder = folder or scratch(spark)
     where, root = fs.FileSystem.from_uri(folder)
     where.create_dir(root, recursive=True)
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = max(1, (1 + int(spark.conf.get("spark.sql.shuffle.partitions"))) // 2)  # half as many: a shard's steps cost nearly the same for more lanes, and each has its own table
     ordered = docs.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -453,6 +548,7 @@ def write(documents: DataFrame, path: str, end: int = 2, folder: str | None = No
 
         def flush() -> pa.RecordBatch:
             flat, size = np.concatenate(tokens), np.concatenate(lengths)
+            tokens.clear()
             save(folder, f"{part:06d}-{number:06d}.qtk", pack_shard(ids, size, flat))
             return pa.RecordBatch.from_pydict({"n_docs": pa.array([len(ids)], pa.int64()), "n_tokens": pa.array([len(flat)], pa.int64())})
 
@@ -501,8 +597,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                 with where.open_input_file(name) as f:
                     doc_ids, lengths, ids = unpack_shard(f.read())
                 at = np.append(0, np.cumsum(lengths))
-                flat = ids.astype("<u4")
-                crc = [zlib.crc32(flat[i:j].tobytes()) for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
+                crc = [zlib.crc32(ids[i:j].astype("<u4").tobytes()) for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc_ids, pa.int64()), "start": pa.array(start + at[:-1]), "n_tokens": pa.array(lengths), "ids_crc32": pa.array(crc, pa.int64())})
 
     return starts.repartitionByRange(max(1, starts.count()), "path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -201,6 +201,48 @@ def test_added_tokens_are_not_cut():
         assert ids.tolist() == [*library.encode(text, add_special_tokens=False).ids, 2], text
 
 
+def test_words_go_to_the_model_at_once():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, encoder, seen = Tokenizer.from_file(path), token_files.Encoder(path), []
+
+    class Library:
+        model = library.model
+
+        def encode_batch_fast(self, texts, **rest):
+            seen.extend(texts)
+            return library.encode_batch_fast(texts, **rest)
+
+    encoder.library = Library()
+    letters = [chr(c) for c in range(0x41, 0x530) if token_files.WORD.fullmatch(chr(c).encode())]
+    texts = [f(c) for c in letters for f in (str, " {}".format, "qz{}".format, "{0}{0}x".format, " {0}q {0}".format)] + ["", "Straße überm Fluß", "×", "a÷b", "l'été", "x" * 300]
+    got = [flat for _, _, length, ids in encoder.ids(pa.array(texts), 2) for flat in np.split(ids, np.cumsum(length)[:-1])]
+    for text, ids in zip(texts, got, strict=True):
+        assert ids.tolist() == [*library.encode(text, add_special_tokens=False).ids, 2], text
+    assert len(letters) == 498 and seen and not any(token_files.WORD.fullmatch(x.encode()) for x in seen)
+
+
+def test_files_hold_two_partitions(spark, documents):
+    """A step of the coder costs nearly the same for more lanes."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        folder = token_files.write(documents, public_tokenizers.path("byte_bpe_50k.json"))
+        assert spark.read.format("binaryFile").option("pathGlobFilter", "*.qtk").load(folder).count() <= 4
+        assert token_files.read(spark, folder).count() == documents.count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_coder_keeps_its_format():
+    """Files written before the coder's arrays were laid out anew: the same bytes."""
+    x = ((np.arange(5000, dtype=np.int64) ** 2 // 7) % 997 % 61 * 823).astype(np.int32)
+    data = token_files.pack_shard([7], np.array([5000]), x)
+    assert (len(data), zlib.crc32(data[:-4])) == (4300, 2733063927)
+    assert (token_files.unpack_shard(data)[2] == x).all()
+
+
 # --- 3, 5, 6: classifiers ---
 
 
