@@ -1,6 +1,6 @@
 """Exact top-k retrieval for a table of queries, reading only the blocks that can hold a result.
 
-Rows are dealt to blocks of bounded size in an order that the caller names (rows that share words should be neighbours). A term's postings in a block are one stored row with the greatest score they can give. A query's bound in a block is the sum of its terms' greatest scores there, and no row of the block scores more.
+Rows are dealt to blocks of bounded size in an order that the caller names (rows that share words should be neighbours). A term's postings in a block are one stored row; another table has the greatest weight of each field in it. A query's bound in a block is the sum of its terms' greatest scores there, and no row of the block scores more.
 
 A search takes three passes. The first scores, for each query, the blocks of greatest bound, and finds the k-th best score so far; the second does the same with more blocks. The third scores what is left with a bound of that score at least. Rows of all other blocks score less than k rows do that are known already, so the result is that of scoring everything. A pass scores whole blocks of many queries in one job, a block in one place: what is shuffled are the packed postings of the chosen blocks, and of the rows those that reach the score found before.
 
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import rules
-from quarry.functions.text import DIGITS
+from quarry.functions.text import DIGITS, tokens
 from quarry.operators.index import TextIndex
 from quarry.session import stored
 
@@ -28,9 +28,13 @@ UNIT = 10**9  # text scores are added in whole billionths, so that sums don't de
 
 
 def numbered(rows: DataFrame, order: list[str], size: int) -> DataFrame:
-    """rows with `block`: runs of up to `size` rows in this order. One range shuffle; stored, so that numbers stay as they are."""
-    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("block", F.monotonically_increasing_id())
-    return stored(placed.withColumn("block", F.expr(f"block div {size}") if size & (size - 1) else F.shiftright("block", size.bit_length() - 1)))
+    """rows with `block`, runs of up to `size` rows in this order, and `place`, a row's number in its block. One range shuffle; stored, so that numbers stay as they are."""
+    return stored(in_order(rows, order).withColumns({"block": F.expr(f"at div {size}"), "place": F.expr(f"cast(at % {size} as int)")}).drop("at"))
+
+
+def in_order(rows: DataFrame, order: list[str]) -> DataFrame:
+    """rows in ranges of this order, numbered by `at`: from one row of a range to the next by one."""
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
 
 
 def leading(rows: DataFrame, by: str, order: list[Column], n: int) -> DataFrame:
@@ -44,74 +48,163 @@ def kth(scores: DataFrame, by: str, score: str, k: int) -> DataFrame:
     return ranked.where(F.col("__n") <= k).where(F.col("__n") == k).select(by, "least")
 
 
+LISTS = "places array<smallint>, fs array<tinyint>, tfs array<int>, dls array<int>"
+
+
+def lists(words: pa.DictionaryArray, code: np.ndarray, block: np.ndarray, place: np.ndarray, f: np.ndarray, tf: np.ndarray, dl: np.ndarray) -> Iterator[dict]:
+    """Postings as a row for each term and block, with its LISTS by place and field. They come sorted by code, block, place and field."""
+    start = np.flatnonzero(np.append(True, (np.diff(code) != 0) | (np.diff(block) != 0)))
+    ends = np.append(start, len(code))
+    for lo in range(0, len(start), 1 << 16):
+        hi = min(len(start), lo + (1 << 16))
+        own = slice(ends[lo], ends[hi])
+        cut = pa.array((ends[lo : hi + 1] - ends[lo]).astype(np.int32))
+        made = {n: pa.ListArray.from_arrays(cut, pa.array(x[own].astype(t))) for n, x, t in (("places", place, np.int16), ("fs", f, np.int8), ("tfs", tf, np.int32), ("dls", dl, np.int32))}
+        yield {"term": words.take(pa.array(code[start[lo:hi]])), "block": pa.array(block[start[lo:hi]])} | made
+
+
 @dataclass
 class BlockIndex:
-    """impacts(term, block, most, n, ids, scores): a term's postings in a block, sorted by (term, block); rows(id, block, ...): every row's block and the columns that filters and keys need."""
+    """impacts(term, block, LISTS): a term's postings in a block, by the rows' places; bests(term, block, n, counts, tops): how many rows and postings of each field those are, and the greatest weight of each field without its idf; both sorted by (term, block) within files. rows(id, block, place, ...): every row's block and the columns that filters and keys need. fields: (name, boost, mean length); idfs: of a table of terms, (term, idfs) by field."""
 
     impacts: DataFrame
+    bests: DataFrame
     rows: DataFrame
+    fields: list[tuple[str, float, float]]
+    idfs: Callable[[DataFrame], DataFrame]
+    k1: float = rules.K1
+    b: float = rules.B
 
     @staticmethod
     def build(index: TextIndex, rows: DataFrame, order: list[str], boosts: dict[str, float] | None = None, size: int = 256, k1: float = rules.K1, b: float = rules.B) -> BlockIndex:
-        """rows: id and the columns to keep. Scores are those of TextIndex.search() with these boosts, all fields of a term summed."""
-        spark = rows.sparkSession
+        """From an index that there is. rows: id and the columns to keep. Scores are those of TextIndex.search() with these boosts, all fields of a term summed."""
         dealt = numbered(rows, order, size)
         boosts = boosts or rules.FIELD_BOOSTS
         fields = [(r["field"], boosts[r["field"]], r["avgdl"]) for r in index.fields.collect() if r["field"] in boosts]  # a row for each field
-        if not fields:
-            return BlockIndex(stored(spark.createDataFrame([], "term string, block long, most long, n int, ids array<long>, scores array<long>")), dealt)
-        number = F.create_map(*[F.lit(x) for i, f in enumerate(fields) for x in (f[0], i)])[F.col("field")]
-        own = index.postings.where(number.isNotNull()).select(F.col("id").cast("long").alias("id"), "term", number.alias("f"), F.col("tf").cast("int").alias("tf"), F.col("dl").cast("int").alias("dl")).join(dealt.select("id", "block"), "id")
+        number = F.coalesce(*[F.when(F.col("field") == f[0], i) for i, f in enumerate(fields)], F.lit(None).cast("int"))
+        own = index.postings.select(F.col("id").cast("long").alias("id"), "term", number.alias("f"), F.col("tf").cast("int").alias("tf"), F.col("dl").cast("int").alias("dl")).where("f is not null").join(dealt.select("id", "block", "place"), "id")
 
         def pack(key: tuple, rows: pa.Table) -> pa.Table:
-            """Of a block, one row for each term: its postings by id and field."""
+            """Of a block, one row for each term."""
             words = rows["term"].combine_chunks().dictionary_encode()
             code = words.indices.to_numpy()
-            at = np.lexsort((rows["f"].to_numpy(), rows["id"].to_numpy(), code))
-            start = np.flatnonzero(np.append(True, np.diff(code[at]) != 0))
-            cut = pa.array(np.append(start, len(at)).astype(np.int32))
-            lists = {f"{c}s": pa.ListArray.from_arrays(cut, pa.array(rows[c].to_numpy()[at])) for c in ("id", "f", "tf", "dl")}
-            return pa.table({"term": words.dictionary.take(pa.array(code[at[start]])), "block": pa.array(np.full(len(start), key[0].as_py())), **lists})
+            at = np.lexsort((rows["f"].to_numpy(), rows["place"].to_numpy(), code))
+            return pa.concat_tables([pa.table(x) for x in lists(words.dictionary, code[at], np.full(len(at), key[0].as_py()), *(rows[c].to_numpy()[at] for c in ("place", "f", "tf", "dl")))])
 
-        packed = own.groupBy("block").applyInArrow(pack, "term string, block long, ids array<long>, fs array<int>, tfs array<int>, dls array<int>")
-        idfs = index.terms.groupBy("term").agg(*[F.max(F.when(F.col("field") == f[0], F.col("idf"))).alias(f"idf{i}") for i, f in enumerate(fields)])
+        packed = own.groupBy("block").applyInArrow(pack, f"term string, block long, {LISTS}")
+        impacts = stored(packed.sortWithinPartitions("term", "block"))
+        given = F.array(*[F.max(F.when(F.col("field") == f[0], F.col("idf"))) for f in fields]).cast("array<double>")
+        return BlockIndex(impacts, best_of(impacts, fields, k1, b), dealt, fields, lambda terms: index.terms.join(terms, "term", "left_semi").groupBy("term").agg(given.alias("idfs")), k1, b)
 
-        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            boost, mean = np.array([f[1] for f in fields], float), np.array([f[2] for f in fields], float)
-            for x in batches:
-                if not x.num_rows:
-                    continue
-                row = np.repeat(np.arange(x.num_rows), x["ids"].value_lengths().to_numpy())
-                ids, f, tf, dl = (x[c].flatten().to_numpy() for c in ("ids", "fs", "tfs", "dls"))
-                idf = np.stack([x[f"idf{i}"].to_numpy(zero_copy_only=False).astype(float) for i in range(len(fields))], axis=1)[row, f]
-                part = boost[f] * idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / mean[f]))
-                start = np.flatnonzero(np.append(True, (np.diff(row) != 0) | (np.diff(ids) != 0)))
-                total = np.add.reduceat(part, start) * UNIT
-                total = np.trunc(total + np.copysign(0.5, total)).astype(np.int64)
-                first = np.flatnonzero(np.append(True, np.diff(row[start]) != 0))
-                cut = pa.array(np.append(first, len(start)).astype(np.int32))
-                yield pa.RecordBatch.from_pydict({"term": x["term"], "block": x["block"], "most": pa.array(np.maximum.reduceat(total, first)), "n": pa.array(np.diff(np.append(first, len(start))).astype(np.int32)), "ids": pa.ListArray.from_arrays(cut, pa.array(ids[start])), "scores": pa.ListArray.from_arrays(cut, pa.array(total))})
+    @staticmethod
+    def of(rows: DataFrame, id_: str, texts: dict[str, Column], keep: dict[str, Column], order: list[str], boosts: dict[str, float] | None = None, size: int = 256, k1: float = rules.K1, b: float = rules.B) -> BlockIndex:
+        """From the rows themselves, each with an id of its own. Only rows are shuffled, once, into their order, and each block's postings are packed where its rows then lie; texts and keep are made after the shuffle, so that it has no text twice. All statistics come from what is packed."""
+        boosts = boosts or rules.FIELD_BOOSTS
+        names = [f for f in texts if f in boosts]
+        dealt = in_order(rows, order).select("at", F.col(id_).cast("long").alias("id"), *[c.alias(n) for n, c in keep.items()], *[tokens(texts[f]).alias(f"__{f}") for f in names])
+        kept = [f"{n} {t}" for n, t in dealt.dtypes if n == "id" or n in keep]
 
-        scored = packed.join(idfs, "term").mapInArrow(score, "term string, block long, most long, n int, ids array<long>, scores array<long>")
-        return BlockIndex(stored(scored.sortWithinPartitions("term", "block")), dealt)
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """A row for each row, without a term, and a row for each term of each block. A block may lie in two batches: its rows wait for their last."""
+            waiting: list[pa.RecordBatch] = []
+            for x in batches:
+                if x.num_rows:
+                    at = x["at"].to_numpy() // size
+                    last = int(np.searchsorted(at, at[-1]))
+                    if waiting and (last or waiting[0]["at"][0].as_py() // size != at[-1]):
+                        yield from packed(pa.concat_batches([*waiting, x.slice(0, last)]))
+                        waiting = []
+                    elif last:
+                        yield from packed(x.slice(0, last))
+                    waiting.append(x.slice(last))
+            if waiting:
+                yield from packed(pa.concat_batches(waiting))
+
+        def packed(x: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            at = x["at"].to_numpy()
+            block, nth = np.unique(at // size, return_inverse=True)
+            words = [x[f"__{f}"].flatten() for f in names]
+            long = [x[f"__{f}"].value_lengths().fill_null(0).to_numpy() for f in names]
+            none = [pa.nulls(x.num_rows, t) for t in (pa.string(), *LIST_TYPES)]
+            lens = pa.ListArray.from_arrays(pa.array((np.arange(x.num_rows + 1) * len(names)).astype(np.int32)), pa.array(np.stack(long, axis=1).astype(np.int32).ravel()))
+            yield pa.RecordBatch.from_arrays([none[0], pa.array(at // size), *none[1:], pa.array((at % size).astype(np.int32)), lens, *[x[n.split(" ")[0]] for n in kept]], names=columns)
+            every = pa.concat_arrays(words).dictionary_encode()
+            if not len(every):
+                return
+            row = np.concatenate([np.repeat(np.arange(x.num_rows), n) for n in long])
+            f = np.repeat(np.arange(len(names)), [len(w) for w in words])
+            key, tf = np.unique(((every.indices.to_numpy().astype(np.int64) * len(block) + nth[row]) * size + at[row] % size) * len(names) + f, return_counts=True)
+            key, f = np.divmod(key, len(names))
+            key, place = np.divmod(key, size)
+            code, own = np.divmod(key, len(block))
+            start = np.searchsorted(nth, np.arange(len(block)))  # a block's rows are neighbours
+            dl = np.stack(long, axis=1)[start[own] + place - at[start[own]] % size, f]
+            for part in lists(every.dictionary, code, block[own], place, f, tf, dl):
+                size_ = len(part["block"])
+                yield pa.RecordBatch.from_arrays([*part.values(), *[pa.nulls(size_, t) for t in (pa.int32(), pa.list_(pa.int32()), *(x[n.split(" ")[0]].type for n in kept))]], names=columns)
+
+        schema = f"term string, block long, {LISTS}, place int, lens array<int>, {', '.join(kept)}"
+        columns = ["term", "block", "places", "fs", "tfs", "dls", "place", "lens", *[n.split(" ")[0] for n in kept]]
+        all_ = stored(dealt.mapInArrow(pack, schema).sortWithinPartitions("term", "block"))
+        impacts, rows = all_.where("term is not null").select(*columns[:6]), all_.where("term is null").select("id", "block", *columns[6:7], *[n for n in keep if n != "id"], "lens")
+        n, *total = rows.agg(F.count("*"), *[F.coalesce(F.sum(F.col("lens")[i]), F.lit(0)) for i in range(len(names))]).first()
+        fields = [(f, boosts[f], t / max(n, 1)) for f, t in zip(names, total)]
+        bests = best_of(impacts, fields, k1, b)
+        counted = lambda terms: terms.groupBy("term").agg(*[F.sum(F.col("counts")[i]).alias(f"c{i}") for i in range(len(names))])
+        raw = [F.when(F.col(f"c{i}") > 0, F.log(n - F.col(f"c{i}") + 0.5) - F.log(F.col(f"c{i}") + 0.5)) for i in range(len(names))]
+        means = counted(bests).agg(*[F.avg(r) for r in raw]).first()
+        floors = [None if m is None else rules.EPSILON * m for m in means]
+        found = F.array(*[F.when(r < 0, F.lit(m).cast("double")).otherwise(r) for r, m in zip(raw, floors)])
+        return BlockIndex(impacts, bests, rows.drop("lens"), fields, lambda terms: counted(bests.join(terms, "term", "left_semi")).select("term", found.alias("idfs")), k1, b)
+
+    def weighed(self, terms: DataFrame) -> DataFrame:
+        """Stored terms (qid, term, qtf) with `idfs` by field; those that no row has are left out."""
+        return stored(terms.join(self.idfs(terms.select("term").distinct()), "term"))
 
     def bounds(self, terms: DataFrame) -> DataFrame:
-        """(qid, block, bound, n): every block with a term of the query. terms: qid, term, qtf."""
-        hit = self.impacts.select("term", "block", "most", "n").join(terms, "term")
-        return hit.groupBy("qid", "block").agg(F.sum(F.col("qtf") * F.greatest("most", F.lit(0).cast("long"))).alias("bound"), F.max("n").alias("n"))
+        """(qid, block, bound, n): every block with a term of the query, and a score in whole billionths that none of its rows exceeds. terms: qid, term, qtf (and idfs)."""
+        terms = terms if "idfs" in terms.columns else self.weighed(terms)
+        hit = self.bests.select("term", "block", "tops", "n").join(terms, "term")
+        parts = [F.greatest(F.coalesce(F.col("idfs")[i] * f[1], F.lit(0.0)), F.lit(0.0)) * F.col("tops")[i] for i, f in enumerate(self.fields)]
+        most = F.ceil(sum(parts, F.lit(0.0)) * (UNIT * (1 + SLACK))) + 1
+        return hit.groupBy("qid", "block").agg(F.sum(F.col("qtf") * most).alias("bound"), F.max("n").alias("n"))
 
     def scored(self, terms: DataFrame, blocks: DataFrame, least: DataFrame | None = None) -> DataFrame:
-        """(qid, id, bm25_score) of all rows of these blocks (qid, block) that score above 0; of the named rows only, if blocks has `id`; with `least` (qid, least), of those that score so much at least."""
+        """(qid, id, bm25_score) of all rows of these blocks (qid, block) that score above 0; of the named rows only, if blocks has `place`; with `least` (qid, least), of those that score so much at least."""
+        return self.found(terms, blocks, least).select("qid", "id", "bm25_score")
+
+    def found(self, terms: DataFrame, blocks: DataFrame, least: DataFrame | None = None) -> DataFrame:
+        """The rows of scored() with the columns of rows."""
+        terms = terms if "idfs" in terms.columns else self.weighed(terms)
         kind = terms.schema["qid"].dataType.simpleString()
-        named = "id" in blocks.columns
-        wants = blocks.groupBy("qid", "block").agg(F.collect_list("id").alias("only")) if named else blocks.select("qid", "block")  # a block's rows at most
+        named = "place" in blocks.columns
+        wants = blocks.groupBy("qid", "block").agg(F.collect_list("place").alias("only")) if named else blocks.select("qid", "block")  # a block's rows at most
         wants = wants.join(terms.groupBy("qid").agg(F.collect_list("term").alias("terms"), F.collect_list("qtf").alias("times")), "qid")  # a query's terms
         wants = wants.withColumn("least", F.lit(0.0)) if least is None else wants.join(least, "qid", "left").withColumn("least", F.coalesce("least", F.lit(0.0)))
-        chosen = self.impacts.join(terms.select("term").distinct(), "term", "left_semi").join(blocks.select("block").distinct(), "block", "left_semi").select(F.col("block").alias("at"), "term", "ids", "scores")
+        some = blocks.select("block").distinct()
+        chosen = self.impacts.join(terms.select("term", "idfs").dropDuplicates(["term"]), "term").join(some, "block", "left_semi")
         wants = wants.withColumn("at", F.col("block") + 0)  # both sides may come from one table
+        fields, k1, b = self.fields, self.k1, self.b
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """The lists' scores in whole billionths, all fields of a row summed."""
+            boost = np.array([f[1] for f in fields], float)
+            for x in batches:
+                if not x.num_rows:
+                    continue
+                row, place, f, w = weights(x, fields, k1, b)
+                part = boost[f] * np.nan_to_num(x["idfs"].flatten().to_numpy(zero_copy_only=False).astype(float).reshape(x.num_rows, -1))[row, f] * w
+                start = np.flatnonzero(np.append(True, (np.diff(row) != 0) | (np.diff(place) != 0)))
+                total = np.add.reduceat(part, start) * UNIT
+                total = np.trunc(total + np.copysign(0.5, total)).astype(np.int64)
+                first = np.flatnonzero(np.append(True, np.diff(row[start]) != 0))
+                cut = pa.array(np.append(first, len(start)).astype(np.int32))
+                yield pa.RecordBatch.from_pydict({"at": x["block"], "term": x["term"], "ids": pa.ListArray.from_arrays(cut, pa.array(place[start])), "scores": pa.ListArray.from_arrays(cut, pa.array(total))})
+
+        chosen = chosen.select("block", "term", "idfs", "places", "fs", "tfs", "dls").mapInArrow(score, "at long, term string, ids array<smallint>, scores array<long>")
 
         def run(chosen: pa.Table, wants: pa.Table) -> pa.Table:
-            out_at, out_id, out_s = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            out_at, out_id, out_s = [np.zeros(0, np.int64)], [np.zeros(0, np.int16)], [np.zeros(0, np.int64)]
             if chosen.num_rows and wants.num_rows:
                 place = {t: i for i, t in enumerate(chosen["term"].to_pylist())}
                 ids, where = np.unique(flatten(chosen["ids"]), return_inverse=True)
@@ -133,16 +226,18 @@ class BlockIndex:
                     out_at.append(lo + i)
                     out_id.append(ids[j])
                     out_s.append(s[i, j].astype(np.int64))
-            return pa.table({"qid": wants["qid"].take(pa.array(np.concatenate(out_at))), "id": pa.array(np.concatenate(out_id)), "s": pa.array(np.concatenate(out_s))})
+            return pa.table({"qid": wants["qid"].take(pa.array(np.concatenate(out_at))), "at": wants["at"].take(pa.array(np.concatenate(out_at))), "place": pa.array(np.concatenate(out_id).astype(np.int32)), "s": pa.array(np.concatenate(out_s))})
 
-        found = chosen.groupBy("at").cogroup(wants.groupBy("at")).applyInArrow(run, f"qid {kind}, id long, s long")
-        return found.select("qid", "id", (F.col("s") / UNIT).alias("bm25_score"))
+        hits = chosen.groupBy("at").cogroup(wants.groupBy("at")).applyInArrow(run, f"qid {kind}, at long, place int, s long")
+        hits = hits.select("qid", F.col("at").alias("block"), "place", (F.col("s") / UNIT).alias("bm25_score"))
+        return hits.join(self.rows.join(some, "block", "left_semi"), ["block", "place"])
 
     def search(self, terms: DataFrame, k: int, key: str = "id", allowed: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
         """Stored (qid, id, the columns of rows, bm25_score) of at least the best row of each of the k best keys of the query; and stored (qid, blocks, read), how many blocks have a term of the query and how many were read.
 
         terms: qid, term, qtf, a stored table. allowed: keeps of rows with qid the ones that a query admits, before the cut.
         """
+        terms = self.weighed(terms)
         bounds = stored(self.bounds(terms))
         few = 2 + 2 * k // max(1, self._usual(bounds))
         hits, seen, least = None, None, None
@@ -151,7 +246,7 @@ class BlockIndex:
             if seen is not None:
                 left = left.join(least, "qid", "left").where(F.coalesce(F.col("bound") >= F.round(F.col("least") * UNIT).cast("long"), F.lit(True))).join(seen, ["qid", "block"], "left_anti")
             now = stored((left if most is None else leading(left, "qid", [F.desc("bound"), F.col("block")], most)).select("qid", "block"))
-            got = self.scored(terms, now, least).join(self.rows, "id")
+            got = self.found(terms, now, least)
             got = stored(got if allowed is None else allowed(got))
             hits = got if hits is None else hits.unionByName(got)
             seen = now if seen is None else seen.unionByName(now)
@@ -166,6 +261,37 @@ class BlockIndex:
         return int(bounds.agg(F.avg("n")).first()[0] or 1)
 
 
+#: Arrow's types of LISTS
+LIST_TYPES = (pa.list_(pa.int16()), pa.list_(pa.int8()), pa.list_(pa.int32()), pa.list_(pa.int32()))
+
+
+def weights(x: pa.RecordBatch, fields: list[tuple[str, float, float]], k1: float, b: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, place, field, weight without boost and idf) of all postings in its lists."""
+    mean = np.array([f[2] for f in fields], float)
+    row = np.repeat(np.arange(x.num_rows), x["places"].value_lengths().to_numpy())
+    place, f, tf, dl = (x[c].flatten().to_numpy() for c in ("places", "fs", "tfs", "dls"))
+    return row, place, f, tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / mean[f]))
+
+
+def best_of(impacts: DataFrame, fields: list[tuple[str, float, float]], k1: float, b: float) -> DataFrame:
+    """Stored BlockIndex.bests of these lists, in their order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            if not x.num_rows:
+                continue
+            row, place, f, w = weights(x, fields, k1, b)
+            tops, counts = np.zeros((x.num_rows, len(fields))), np.zeros((x.num_rows, len(fields)), np.int32)
+            np.maximum.at(tops, (row, f), w)
+            np.add.at(counts, (row, f), 1)
+            n = np.bincount(row[np.append(True, (np.diff(row) != 0) | (np.diff(place) != 0))], minlength=x.num_rows)
+            cut = pa.array((np.arange(x.num_rows + 1) * len(fields)).astype(np.int32))
+            up = np.where(tops > 0, np.nextafter(tops.astype(np.float32), np.float32(np.inf)), 0).astype(np.float32)  # no less than what it stands for
+            yield pa.RecordBatch.from_pydict({"term": x["term"], "block": x["block"], "n": pa.array(n.astype(np.int32)), "counts": pa.ListArray.from_arrays(cut, pa.array(counts.ravel())), "tops": pa.ListArray.from_arrays(cut, pa.array(up.ravel()))})
+
+    return stored(impacts.mapInArrow(run, "term string, block long, n int, counts array<int>, tops array<float>"))
+
+
 def flatten(column: pa.ChunkedArray) -> np.ndarray:
     """Values of a column of arrays, one after the other."""
     return column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
@@ -222,7 +348,7 @@ class VectorBlocks:
 
         centres = stored(placed.select("block", "v").groupBy("block").applyInArrow(middle, "block long, centre array<double>, radius double, n int"))
         packs = 1 + centres.count() // 4096
-        return VectorBlocks(placed.drop("cell", "away"), centres.withColumn("pack", F.pmod(F.xxhash64("block"), F.lit(packs)).cast("int")), packs, attributes)
+        return VectorBlocks(placed.drop("cell", "away", "place"), centres.withColumn("pack", F.pmod(F.xxhash64("block"), F.lit(packs)).cast("int")), packs, attributes)
 
     def bounds(self, queries: DataFrame, least: DataFrame | None = None) -> DataFrame:
         """(qid, block, bound, n) of all blocks, or of those whose bound reaches the query's `least`."""

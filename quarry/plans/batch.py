@@ -15,7 +15,7 @@ from quarry.functions import rules
 from quarry.functions.text import DIGITS, collapse
 from quarry.operators import dedup, fusion, intent
 from quarry.operators.blocks import BlockIndex, VectorBlocks, leading
-from quarry.operators.index import TextIndex, expanded, top
+from quarry.operators.index import expanded, top
 from quarry.plans.pipelines import SHOWN
 from quarry.session import stored
 
@@ -33,10 +33,8 @@ class Sources:
     catalog: DataFrame
 
     @staticmethod
-    def build(index: TextIndex, vectors: DataFrame, catalog: DataFrame, order: list[str], size: int = 256) -> Sources:
-        """catalog has movie_key; order: rows that share words are neighbours in it."""
-        kept = catalog.select(*dict.fromkeys(["id", "movie_key", "year", "vote_average", *order]))
-        blocks = BlockIndex.build(index, kept, order, size=size)
+    def build(blocks: BlockIndex, vectors: DataFrame, catalog: DataFrame, size: int = 256) -> Sources:
+        """catalog has movie_key."""
         known = vectors.join(catalog.select(F.col("id").alias("vec_id"), "year", "vote_average"), "vec_id", "left")
         return Sources(blocks, VectorBlocks.build(known, attributes=("year", "vote_average"), size=size), catalog)
 
@@ -118,8 +116,8 @@ def shown(src: Sources, asked: DataFrame, pool: DataFrame, lists: DataFrame, ter
     keys = pool.select(*MODE, "movie_key", F.col("id").alias("own"), F.col("semantic_rrf").isNotNull().alias("alone"))
     near = lists.where("list = 'query'").select("qid", "movie_key", "id", (2 + F.col("semantic_score")).alias("prefer"), F.col("semantic_rank").cast("long").alias("o"))
     near = keys.where("not alone").join(near, ["qid", "movie_key"]).unionByName(keys.where("alone").join(pool.where("semantic_rank is not null").select(*MODE, "movie_key"), [*MODE, "movie_key"], "left_semi").select(*MODE, "movie_key", "own", "alone", F.col("own").alias("id"), F.lit(3.0).alias("prefer"), F.lit(0).cast("long").alias("o")))
-    wanted = stored(admitted(keys.select("qid", "movie_key").distinct().join(src.blocks.rows.select("id", "block", "movie_key", "year", "vote_average"), "movie_key"), asked).select("qid", "movie_key", "id", "block"))
-    again = src.blocks.scored(terms, wanted.select("qid", "block", "id")).join(wanted.select("qid", "id", "movie_key"), ["qid", "id"])
+    wanted = stored(admitted(keys.select("qid", "movie_key").distinct().join(src.blocks.rows.select("id", "block", "place", "movie_key", "year", "vote_average"), "movie_key"), asked).select("qid", "movie_key", "id", "block", "place"))
+    again = src.blocks.scored(terms, wanted.select("qid", "block", "place")).join(wanted.select("qid", "id", "movie_key"), ["qid", "id"])
     found = keys.join(again.select("qid", "movie_key", "id", (F.col("bm25_score") / (1 + F.col("bm25_score"))).alias("prefer"), F.col("id").alias("o")), ["qid", "movie_key"])
     rows = near.unionByName(found.select(near.columns)).join(src.catalog.select("id", *SHOWN), "id").withColumn("k", F.struct(*MODE, "movie_key"))
     merged = dedup.best_merge(rows.select("k", "prefer", "o", *SHOWN), "k", F.col("prefer"), "o", dict(SHOWN))

@@ -104,3 +104,34 @@ def test_scores_below_what_is_known_are_not_shuffled(spark):
     q = stored(spark.createDataFrame([(0, [0.0, 1.0])], "qid int, q array<double>"))
     found = near.scored(q, near.bounds(q).select("qid", "block"), 8, spark.createDataFrame([(0, 0.9)], "qid int, least double"))
     assert sorted(r["id"] for r in found.collect()) == [45, 46, 47, 48, 49]
+
+
+def test_blocks_of_rows_equal_an_index_of_them(spark, monkeypatch):
+    """Packed where rows lie: blocks that cross Arrow batches, rows without text, fields that lack; and the queries' blocks make no postings beside them."""
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(f"w{x}" for x in rng.zipf(1.4, 20) if x < 200), None if i % 9 == 0 else f"w{i % 4} t{i % 50}", i % 3) for i in range(500)] + [(900, None, None, 1), (901, "", "w1", 0), (902, "w1 " * 400, "w1 w1", 2)]
+    df = spark.createDataFrame(rows, "id long, body string, head string, part int")
+    texts, boosts = {"head": F.col("head"), "body": F.col("body"), "none": F.lit("")}, {"head": 2.5, "body": 1.0, "none": 1.0}
+    index = TextIndex.build(df, "id", texts).stored()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        blocks = BlockIndex.of(df, "id", texts, {"part": F.col("part")}, ["part", "id"], boosts, size=16)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    asked = {0: ["w1", "w2", "t7"], 1: ["w1", "w1", "w3", "t11"], 2: ["nothing"], 3: ["w3"]}
+    terms = stored(spark.createDataFrame([(q, t, ts.count(t)) for q, ts in asked.items() for t in set(ts)], "qid int, term string, qtf long"))
+    assert blocks.rows.count() == len(rows) and blocks.impacts.groupBy("term", "block").count().where("count > 1").isEmpty()
+    for k in (5, 1000):
+        hits, read = blocks.search(terms, k)
+        hits, read = hits.collect(), read.collect()
+        for q, ts in asked.items():
+            want = [(r["id"], round(r["s"], 6)) for r in top(index.search(ts, boosts).withColumnRenamed("bm25_score", "s"), "s", "id", k, "r").collect()]
+            got = sorted(((r["id"], round(r["bm25_score"], 6)) for r in hits if r["qid"] == q), key=lambda x: (-x[1], x[0]))[:k]
+            assert sorted(got) == sorted(want)
+        assert k > 5 or any(r["read"] < r["blocks"] for r in read)
+    bound = {(r["qid"], r["block"]): r["bound"] for r in blocks.bounds(terms).collect()}
+    of = {r["id"]: r["block"] for r in blocks.rows.collect()}
+    assert all(round(r["bm25_score"] * 1e9) <= bound[r["qid"], of[r["id"]]] for r in hits)
+    monkeypatch.setattr(own, "_batch_sources", {})
+    monkeypatch.setattr(own, "index", lambda *_: 1 / 0)
+    assert own.bm25_blocks(spark, SF).count() == 20
