@@ -251,7 +251,9 @@ class BlockIndex:
             hits = got if hits is None else hits.unionByName(got)
             seen = now if seen is None else seen.unionByName(now)
             if most is not None:
-                least = stored(kth(hits.groupBy("qid", key).agg(F.max("bm25_score").alias("s")), "qid", "s", k))
+                # by hashes of keys: two keys that meet in one make the k-th score smaller, which loses nothing
+                least = stored(kth(hits.groupBy("qid", F.xxhash64(key).alias("h")).agg(F.max("bm25_score").alias("s")), "qid", "s", k))
+                hits = hits.join(least, "qid", "left").where(F.coalesce(F.col("bm25_score") >= F.col("least"), F.lit(True))).drop("least")
         read = seen.groupBy("qid").agg(F.count("*").alias("read"))
         return hits, stored(bounds.groupBy("qid").agg(F.count("*").alias("blocks")).join(read, "qid"))
 

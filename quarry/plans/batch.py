@@ -119,7 +119,9 @@ def shown(src: Sources, asked: DataFrame, pool: DataFrame, lists: DataFrame, ter
     wanted = stored(admitted(keys.select("qid", "movie_key").distinct().join(src.blocks.rows.select("id", "block", "place", "movie_key", "year", "vote_average"), "movie_key"), asked).select("qid", "movie_key", "id", "block", "place"))
     again = src.blocks.scored(terms, wanted.select("qid", "block", "place")).join(wanted.select("qid", "id", "movie_key"), ["qid", "id"])
     found = keys.join(again.select("qid", "movie_key", "id", (F.col("bm25_score") / (1 + F.col("bm25_score"))).alias("prefer"), F.col("id").alias("o")), ["qid", "movie_key"])
-    rows = near.unionByName(found.select(near.columns)).join(src.catalog.select("id", *SHOWN), "id").withColumn("k", F.struct(*MODE, "movie_key"))
+    rows = stored(near.unionByName(found.select(near.columns)))
+    own = src.catalog.select("id", *SHOWN).join(stored(rows.select("id").distinct()), "id", "left_semi")  # texts are shuffled for these ids only
+    rows = rows.join(own, "id").withColumn("k", F.struct(*MODE, "movie_key"))
     merged = dedup.best_merge(rows.select("k", "prefer", "o", *SHOWN), "k", F.col("prefer"), "o", dict(SHOWN))
     return merged.select("k.*", *SHOWN)
 

@@ -129,6 +129,8 @@ def test_blocks_of_rows_equal_an_index_of_them(spark, monkeypatch):
             got = sorted(((r["id"], round(r["bm25_score"], 6)) for r in hits if r["qid"] == q), key=lambda x: (-x[1], x[0]))[:k]
             assert sorted(got) == sorted(want)
         assert k > 5 or any(r["read"] < r["blocks"] for r in read)
+    few = blocks.search(terms, 5)[0].where("qid = 3").collect()  # what can't be among the best isn't passed on
+    assert 5 <= len(few) < sum(r["qid"] == 3 for r in hits)
     bound = {(r["qid"], r["block"]): r["bound"] for r in blocks.bounds(terms).collect()}
     of = {r["id"]: r["block"] for r in blocks.rows.collect()}
     assert all(round(r["bm25_score"] * 1e9) <= bound[r["qid"], of[r["id"]]] for r in hits)
